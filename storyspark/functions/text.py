@@ -135,6 +135,22 @@ def contains_term(folded: Column, term: str) -> Column:
     return folded.rlike(term_pattern([term])) if term else F.lit(False)
 
 
+def word_string(folded: Column) -> Column:
+    """Folded text as blank-delimited words, punctuation kept as a bar.
+
+    A term made of words then matches as a plain substring between blanks, which is far
+    cheaper than one regular expression per term.
+    """
+    return F.concat(F.lit(" "), squeeze(F.regexp_replace(folded, r"[^\p{L}\p{N}_ ]+", " | ")), F.lit(" "))
+
+
+def has_term(word_string: Column, term: str) -> Column:
+    """Whole-word match in a :func:`word_string`; terms with punctuation use a pattern."""
+    if not all(ch.isalnum() or ch in " _" for ch in term):
+        return word_string.rlike(term_pattern([term]))
+    return F.contains(word_string, F.lit(f" {term} "))
+
+
 def cut_words(c: Column, chars: int, suffix: str = "", keep_partial: bool = False) -> Column:
     """At most ``chars`` characters, without a broken last word."""
     c = _text(c)

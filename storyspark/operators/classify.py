@@ -48,14 +48,13 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def _ngrams(tokens: Column, most: int) -> Column:
     """Distinct word n-grams of up to ``most`` words."""
-    grams = [tokens] + [
-        F.when(
-            F.size(tokens) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(2, most + 1)
-    ]
-    return F.array_distinct(F.flatten(F.array(*grams)))
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(tokens, *[of_size(n) for n in range(2, most + 1)])))
 
 
 def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
@@ -83,15 +82,12 @@ def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = Cl
     texts = articles.select("id", *[c.alias(f"f_{n}") for n, c, _ in fields])
 
     longest = joinable.agg(F.coalesce(F.max(F.size(F.split("term_key", " "))), F.lit(1)).alias("m")).first()["m"]
-    per_field = F.flatten(F.array(*[
-        # a blank between words only: words next to punctuation do not form an n-gram
-        F.transform(
-            _field_grams(F.col(f"f_{name}"), longest),
-            lambda g, name=name, weight=weight: F.struct(
-                g.alias("term_key"), F.lit(name).alias("field"), F.lit(weight).alias("field_weight")),
-        )
-        for name, _, weight in fields
-    ]))
+
+    def tagged(name: str, weight: float) -> Column:
+        return F.transform(_field_grams(F.col(f"f_{name}"), longest), lambda g: F.struct(
+            g.alias("term_key"), F.lit(name).alias("field"), F.lit(weight).alias("field_weight")))
+
+    per_field = F.flatten(F.array(*[tagged(name, weight) for name, _, weight in fields]))
     grams = texts.select("id", F.inline(per_field))
     rule_cols = ["category", "cat_ord", "polarity", "ord", "term", "weight", "ambiguous"]
     # the short rule list meets the n-grams first, so only hits are shuffled

@@ -73,23 +73,27 @@ def quality_score(cfg: ScoringConfig = ScoringConfig()) -> Column:
     return F.least(total, F.lit(cfg.quality_max))
 
 
-def impact_level(text: Column, cfg: ScoringConfig = ScoringConfig()) -> tuple[Column, Column]:
-    """(score, level) of the highest level with a matching term: one pattern per level."""
-    score, level = F.lit(0), F.lit(None).cast("string")
-    for name, points, terms in sorted(cfg.impact_terms, key=lambda x: x[1]):
-        hit = text.rlike(t.term_pattern(_folded(terms)))
-        score, level = F.when(hit, F.lit(points)).otherwise(score), F.when(hit, F.lit(name)).otherwise(level)
-    return score, level
+def _any_term(words: Column, terms: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for term in _folded(terms):
+        hit = hit | t.has_term(words, term)
+    return hit
 
 
-def _matches(text: Column, terms: Sequence[str]) -> Column:
+def impact_level(words: Column, cfg: ScoringConfig = ScoringConfig()) -> Column:
+    """Name of the highest level with a matching term, NULL if there is none."""
+    level = F.lit(None).cast("string")
+    for name, _, terms in sorted(cfg.impact_terms, key=lambda x: x[1]):
+        level = F.when(_any_term(words, terms), F.lit(name)).otherwise(level)
+    return level
+
+
+def _matches(words: Column, terms: Sequence[str]) -> Column:
     """How many list entries match; entries that fold to the same text count each."""
-    quick = text.rlike(t.term_pattern(_folded(terms)))
     count = F.lit(0)
     for term in _expanded(terms):
-        count = count + F.when(t.contains_term(text, term), F.lit(1)).otherwise(F.lit(0))
-    # most texts match nothing: one pattern decides before single terms are counted
-    return F.when(quick, count).otherwise(F.lit(0))
+        count = count + t.has_term(words, term).cast("int")
+    return count
 
 
 def _expanded(terms: Sequence[str]) -> list[str]:
@@ -140,20 +144,21 @@ def score_articles(df: DataFrame, as_of: datetime, cfg: ScoringConfig = ScoringC
     count = F.coalesce(F.col("source_count"), F.lit(1)) if "source_count" in df.columns else F.lit(1)
     base = df.withColumns({
         "canonical_source": canonical_source(F.col("source"), cfg),
-        "score_text": article_text(cfg.text_chars),
+        "score_text": t.word_string(article_text(cfg.text_chars)),
         "content_words": t.word_count(F.col("content")),
     })
     base = base.withColumns({
         "local_matches": _matches(F.col("score_text"), cfg.local_terms),
-        "has_foreign": F.col("score_text").rlike(t.term_pattern(_folded(cfg.foreign_terms))),
-        "impact_score": impact_level(F.col("score_text"), cfg)[0],
-        "impact_level": impact_level(F.col("score_text"), cfg)[1],
+        "has_foreign": _any_term(F.col("score_text"), cfg.foreign_terms),
+        "impact_level": impact_level(F.col("score_text"), cfg),
     })
     flags = penalty_flags(cfg)
     penalty = F.lit(0)
     for _, cond, points in flags:
         penalty = penalty + F.when(cond, F.lit(points)).otherwise(F.lit(0))
     scored = base.withColumns({
+        "impact_score": F.coalesce(
+            F.try_element_at(_map({name: points for name, points, _ in cfg.impact_terms}), F.col("impact_level")), F.lit(0)),
         "recency_score": recency_score(F.col("published_at"), as_of, cfg),
         "source_score": source_score(F.col("canonical_source"), cfg),
         "quality_score": quality_score(cfg),

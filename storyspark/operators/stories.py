@@ -178,7 +178,8 @@ def cluster_ids(df: DataFrame, edges: DataFrame, cfg: StoryConfig = StoryConfig(
     roots = forest_roots(edges, "id", "match_id")
     named = roots.join(fingerprints.withColumnRenamed("id", "root"), "root").select(
         F.col("id").alias("__id"), F.col("content_fingerprint").alias("root_fp"))
-    match = edges.select(F.col("id").alias("__m"), "match_id", "reason", "score")
+    match = edges.select(
+        F.col("id").alias("__m"), "match_id", F.col("reason").alias("__reason"), F.col("score").alias("__score"))
     own = fingerprints.select(F.col("id").alias("__f"), "content_fingerprint")
     base = df.drop("story_cluster_id", "duplicate_of_article_id", "duplicate_reason", "similarity_score", "content_fingerprint")
     return (
@@ -188,9 +189,9 @@ def cluster_ids(df: DataFrame, edges: DataFrame, cfg: StoryConfig = StoryConfig(
         .withColumns({
             "story_cluster_id": F.coalesce("root_fp", "content_fingerprint"),
             "duplicate_of_article_id": F.col("match_id"),
-            "duplicate_reason": F.col("reason"),
-            "similarity_score": F.col("score"),
-        }).drop("__f", "__id", "__m", "root_fp", "match_id", "reason", "score")
+            "duplicate_reason": F.col("__reason"),
+            "similarity_score": F.col("__score"),
+        }).drop("__f", "__id", "__m", "root_fp", "match_id", "__reason", "__score")
     )
 
 

@@ -142,14 +142,16 @@ def _(spark, sf):
 
 @query("page_articles")
 def _(spark, sf):
-    return pages.page_articles(pages.read_pages(tables.read_table(spark, sf, "pages")))
+    # the given pages list their links in the navigation
+    layout = pages.PageLayout(card="nav li", title="a")
+    return pages.page_articles(pages.read_pages(tables.read_table(spark, sf, "pages"), layout))
 
 
 @query("page_links")
 def _(spark, sf):
-    # pages of the given table hold article bodies, so links are read as if no card matched
+    # no card matches, so links are the fallback; the given pages have short link texts
     layout = pages.PageLayout(card="article .teaser")
-    return pages.page_links(pages.read_pages(tables.read_table(spark, sf, "pages"), layout))
+    return pages.page_links(pages.read_pages(tables.read_table(spark, sf, "pages"), layout), min_text=8)
 
 
 @query("page_body")
@@ -344,12 +346,33 @@ def _(spark, sf):
 
 
 # --- classification ----------------------------------------------------------
+def _folded(terms) -> list[str]:
+    return rk._expanded(terms)
+
+
 _BND = r"(^|[^\p{L}\p{N}_])"
 _END = r"($|[^\p{L}\p{N}_])"
+
+
+def _rule_structs() -> str:
+    """One constant pattern per rule, so that DuckDB compiles each only once."""
+    out = []
+    for cat_ord, (category, spec) in enumerate(fx.RULES.items()):
+        ord_ = 0
+        for polarity in ("positive", "negative"):
+            for r in spec[polarity]:
+                folded = _folded([r["term"]])[0].replace(".", "[.]")
+                pat = "(?i)" + r["term"] if r.get("regex") else _BND + folded + _END
+                field = " ".join(f"WHEN regexp_matches({c}, '{pat}') THEN '{n}'" for c, n in (("t", "title"), ("d", "description"), ("c", "content")))
+                out.append(f"{{'category': '{category}', 'cat_ord': {cat_ord}, 'polarity': '{polarity}', 'ord': {ord_}, 'term': '{r['term']}', "
+                           f"'weight': {float(r['weight'])}::DOUBLE, 'ambiguous': {str(bool(r.get('ambiguous'))).lower()}, 'field': CASE {field} END}}")
+                ord_ += 1
+    return ", ".join(out)
+
+
 _RULE_MATCH = f"""{fx.ARTICLES}, {fx.RULES_SQL},
 ft AS (SELECT id, {fx.sql_fold("title")} AS t, {fx.sql_fold("description")} AS d, {fx.sql_fold("left(content, 1200)")} AS c FROM articles),
-rp AS (SELECT *, CASE WHEN is_regex THEN '(?i)' || term ELSE '{_BND}' || regexp_replace({fx.sql_fold("term")}, '([.])', '\\\\.', 'g') || '{_END}' END AS pat FROM rules),
-mt AS (SELECT id, r.* EXCLUDE (pat), CASE WHEN regexp_matches(t, pat) THEN 'title' WHEN regexp_matches(d, pat) THEN 'description' WHEN regexp_matches(c, pat) THEN 'content' END AS field FROM ft, rp r),
+mt AS MATERIALIZED (SELECT id, m.* FROM (SELECT id, unnest([{_rule_structs()}]) AS m FROM ft)),
 tm AS (SELECT *, weight * CASE field WHEN 'title' THEN 3.0 WHEN 'description' THEN 2.0 ELSE 1.0 END AS value FROM mt WHERE field IS NOT NULL)"""
 
 
@@ -378,7 +401,7 @@ _DECIDED = f"""{_SCORED}, co AS (SELECT category, min(cat_ord) AS cat_ord FROM r
 rk AS (SELECT cs.*, row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_ord) AS rn FROM cs JOIN co USING (category)),
 tp AS (SELECT a.id, coalesce(x.score, 0) AS top, coalesce(y.score, 0) AS second, x.category AS cat, coalesce(x.top_term / x.score, 0) AS ratio, coalesce(x.ambiguous, false) AS amb
   FROM articles a LEFT JOIN rk x ON x.id = a.id AND x.rn = 1 LEFT JOIN rk y ON y.id = a.id AND y.rn = 2),
-dc AS (SELECT id, CASE WHEN top >= 2 THEN cat ELSE 'general' END AS category, CASE WHEN top >= 2 THEN round_even(top / (top + second + 1), 4) ELSE 0.0 END::DOUBLE AS confidence,
+dc AS MATERIALIZED (SELECT id, CASE WHEN top >= 2 THEN cat ELSE 'general' END AS category, CASE WHEN top >= 2 THEN round_even(top / (top + second + 1), 4) ELSE 0.0 END::DOUBLE AS confidence,
   CASE WHEN top >= 2 AND (top - second < 2 OR top / (top + second + 1) < 0.62 OR ratio >= 0.5 OR amb) THEN 'rules_low_confidence' ELSE 'rules' END AS method,
   CASE WHEN top < 2 THEN 0.0 WHEN amb THEN greatest(round_even(greatest(ratio, 1 - top / (top + second + 1)), 4), 10.0) ELSE round_even(greatest(ratio, 1 - top / (top + second + 1)), 4) END::DOUBLE AS risk_score FROM tp)"""
 
@@ -412,11 +435,11 @@ def _(spark, sf):
     return cl.merge_opinions(cl.classify(_with_source(spark, sf), fx.rules(spark)), opinions).select("id", "category", "confidence", "method", "rule_category", "opinion_error")
 
 
-@query("apply_corrections", f"""WITH {fx.ARTICLES}, c0 AS (SELECT doc_id AS article_id, 'salud' AS new_category, TIMESTAMP '2024-02-01' AS at FROM labels UNION ALL
-  SELECT doc_id, 'mundo', TIMESTAMP '2024-02-02' FROM labels WHERE toxic = 1), c AS (SELECT article_id, arg_max(new_category, at) AS nc, max(at) AS at FROM c0 GROUP BY 1)
+@query("apply_corrections", f"""WITH {fx.ARTICLES}, c0 AS (SELECT doc_id AS article_id, 'salud' AS new_category, TIMESTAMP '2024-02-01' AS tm FROM labels UNION ALL
+  SELECT doc_id, 'mundo', TIMESTAMP '2024-02-02' FROM labels WHERE toxic = 1), c AS (SELECT article_id, arg_max(new_category, tm) AS nc, max(tm) AS tm FROM c0 GROUP BY 1)
 SELECT id, CASE WHEN is_active AND nc IS NOT NULL THEN nc ELSE category END AS category, CASE WHEN is_active AND nc IS NOT NULL THEN 'manual_correction' ELSE raw_payload ->> '$.category_method' END AS category_method,
   CASE WHEN NOT (is_active AND nc IS NOT NULL) THEN raw_payload ->> '$.category_llm_error' END AS review_error, CASE WHEN is_active AND nc IS NOT NULL THEN category END AS previous_category,
-  CASE WHEN is_active AND nc IS NOT NULL THEN at END AS corrected_at FROM articles LEFT JOIN c ON article_id = id""")
+  CASE WHEN is_active AND nc IS NOT NULL THEN tm END AS corrected_at FROM articles LEFT JOIN c ON article_id = id""")
 def _(spark, sf):
     labels = tables.read_table(spark, sf, "labels")
 
@@ -449,10 +472,6 @@ def _(spark, sf):
 
 
 # --- ranking -----------------------------------------------------------------
-def _folded(terms) -> list[str]:
-    return rk._expanded(terms)
-
-
 _CFG = ScoringConfig(
     source_scores={**{k: v for k, v in ScoringConfig().source_scores.items()}, "src1": 84, "src2": 78, "src3": 82},
     local_terms=(*LOCAL_TERMS, "the", "avec", "und", "para"), foreign_terms=(*FOREIGN_TERMS, "with", "dans"),
@@ -472,9 +491,9 @@ def rank_ctes(source: str = "articles", sources: str = "1") -> str:
     buckets = " ".join(f"WHEN hrs < {h} THEN {s}" for h, s in _CFG.recency_buckets)
     scores = " ".join(f"WHEN '{k}' THEN {s}" for k, s in _CFG.source_scores.items())
     impact = " ".join(f"WHEN regexp_matches(stext, '{_rx(terms)}') THEN {s}" for _, s, terms in _CFG.impact_terms)
-    return f"""r0 AS (SELECT *, {sources} AS nsrc, replace({fx.sql_fold("source")}, ' ', '_') AS csrc, {fx.sql_fold("concat_ws(' ', coalesce(title, ''), coalesce(description, ''), left(coalesce(content, ''), 2000))")} AS stext,
+    return f"""r0 AS MATERIALIZED (SELECT *, {sources} AS nsrc, replace({fx.sql_fold("source")}, ' ', '_') AS csrc, {fx.sql_fold("concat_ws(' ', coalesce(title, ''), coalesce(description, ''), left(coalesce(content, ''), 2000))")} AS stext,
   {fx.sql_words("content")} AS cw, greatest(epoch_us({_NOW} - published_at) / 3600000000.0::DOUBLE, 0) AS hrs FROM {source}),
-r1 AS (SELECT *, {_count_terms("stext", _CFG.local_terms)} AS loc, regexp_matches(stext, '{_rx(_CFG.foreign_terms)}') AS forn FROM r0),
+r1 AS MATERIALIZED (SELECT *, {_count_terms("stext", _CFG.local_terms)} AS loc, regexp_matches(stext, '{_rx(_CFG.foreign_terms)}') AS forn FROM r0),
 r2 AS (SELECT *, CASE WHEN published_at IS NULL THEN 20 {buckets} ELSE 10 END AS s1, CASE csrc {scores} ELSE 55 END AS s2,
   least(35 + CASE WHEN cw >= 120 THEN 20 ELSE 0 END + CASE WHEN cw >= 300 THEN 10 ELSE 0 END + CASE WHEN coalesce(length(image), 0) > 0 THEN 10 ELSE 0 END
    + CASE WHEN length({desc}) BETWEEN 60 AND 280 THEN 10 ELSE 0 END + CASE WHEN length({titl}) BETWEEN 30 AND 140 THEN 10 ELSE 0 END, 100) AS s3,
@@ -484,7 +503,7 @@ r2 AS (SELECT *, CASE WHEN published_at IS NULL THEN 20 {buckets} ELSE 10 END AS
   CASE WHEN {cont} = '' THEN 25 WHEN cw < 60 THEN 15 ELSE 0 END + CASE WHEN {desc} <> '' AND {cont} <> '' AND {fx.sql_fold(desc)} = {fx.sql_fold(cont)} THEN 20 ELSE 0 END
    + CASE WHEN published_at IS NULL THEN 10 ELSE 0 END + CASE WHEN csrc IN {_in(_CFG.source_scores)} THEN 0 ELSE 8 END + CASE WHEN coalesce(category_confidence < 0.4, false) THEN 10 ELSE 0 END
    + CASE WHEN forn AND loc = 0 THEN 20 ELSE 0 END AS pen FROM r1),
-ranked AS (SELECT * EXCLUDE (score), least(greatest(0.15 * s1 + 0.10 * s2 + 0.17 * s3 + 0.20 * s4 + 0.20 * s5 + 0.10 * s6 + 0.08 * s7 - pen, 0), 100)::DECIMAL(18,2)::DOUBLE AS score FROM r2)"""
+ranked AS MATERIALIZED (SELECT * EXCLUDE (score), least(greatest(0.15 * s1 + 0.10 * s2 + 0.17 * s3 + 0.20 * s4 + 0.20 * s5 + 0.10 * s6 + 0.08 * s7 - pen, 0), 100)::DECIMAL(18,2)::DOUBLE AS score FROM r2)"""
 
 
 @query("rank_articles", f"""WITH {fx.ARTICLES}, {rank_ctes()} SELECT id, score, s1 AS recency_score, s2 AS source_score, s3 AS quality_score, s4 AS impact_score, s5 AS local_score,
