@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .scan import hour_block
+from .scan import day_block
 
 _ALERT = "indicator_code string, id bigint, reference double, value double, change_ratio double, delivered boolean"
 
@@ -43,7 +43,7 @@ def price_alerts(df: DataFrame, threshold: float = 0.01, block: Column | None =
     ``df(indicator_code, id, collected_at, value, delivered)``.
     """
     points = df.where(F.col("value").isNotNull()).select(
-        "indicator_code", (block if block is not None else hour_block(F.col("collected_at"))).alias("block"),
+        "indicator_code", (block if block is not None else day_block(F.col("collected_at"))).alias("block"),
         "collected_at", "id", F.col("value").cast("double").alias("value"),
         F.coalesce("delivered", F.lit(True)).alias("delivered"))
     points = cut(points)

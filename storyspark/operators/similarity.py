@@ -45,31 +45,35 @@ def jaccard_prefixes(nodes: DataFrame, node: str, tokens: str, threshold: float)
     return _prefixes(nodes, node, tokens, n - F.ceil(n * threshold - 1e-9) + 1)
 
 
-def bigrams(c: Column) -> Column:
-    """Character bigrams, numbered so that a repeated bigram counts as often as it occurs."""
+def with_bigrams(df: DataFrame, title: str, name: str = "grams") -> DataFrame:
+    """Character bigrams, numbered so that a repeated bigram counts as often as it occurs.
+
+    Two steps, so that the sorted array is made once per row and not once per element.
+    """
+    c = F.col(title)
     plain = F.when(
-        F.length(c) >= 2,
-        F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))),
+        F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
     ).otherwise(F.array().cast("array<string>"))
-    ordered = F.array_sort(plain)
+    df = df.withColumn("__sorted", F.array_sort(plain))
+    ordered = F.col("__sorted")
     # position minus the first position of the same bigram = its running number
-    return F.transform(ordered, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(ordered, g)).cast("string")))
+    numbered = F.transform(ordered, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(ordered, g)).cast("string")))
+    return df.withColumn(name, numbered).drop("__sorted")
 
 
-def ratio_prefixes(nodes: DataFrame, node: str, title: str, threshold: float) -> DataFrame:
+def ratio_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
     """Prefixes such that titles with ratio >= ``threshold`` share a prefix bigram.
 
     Two such titles of lengths a and b share at least (1.5t-1)(a+b)-1 bigrams (k blocks
     over M matched characters keep M-k of them, and k <= a+b-2M+1), and never fewer
     than one. The shorter title has at least t/(2-t) of the longer one's length.
+    ``nodes(node, title, grams)``.
     """
-    length = F.length(title)
+    length = F.length("title")
     shortest = threshold / (2.0 - threshold)
     need = F.greatest(F.lit(1.0), F.ceil((1.5 * threshold - 1.0) * length * (1.0 + shortest) - 1.0 - 1e-9))
-    grams = nodes.select(node, bigrams(F.col(title)).alias("grams"), need.alias("need")).where(F.size("grams") > 0)
-    keep = F.greatest(F.lit(1), F.size("grams") - F.col("need") + 1)
-    return _prefixes(grams, node, "grams", keep).join(
-        nodes.select(F.col(node).alias("node"), length.alias("length")), "node")
+    keep = F.greatest(F.lit(1), F.size("grams") - need + 1)
+    return _prefixes(nodes.where(F.size("grams") > 0), "node", "grams", keep).withColumn("length", F.col("n") + 1)
 
 
 def unordered_pairs(prefixes: DataFrame, blocks: DataFrame, keys: Sequence[str], length_ok: Column) -> DataFrame:
@@ -90,32 +94,26 @@ def with_ratio(pairs: DataFrame, left: str, right: str, name: str = "ratio") ->
     return pairs.withColumn(name, title_ratio(F.col(left), F.col(right)))
 
 
-def ratio_bound(left: Column, right: Column, threshold: float) -> Column:
-    """Cheap necessary condition of ratio >= threshold: shared letters by multiset size.
-
-    Twice the shared bigrams-with-counts cannot be too small; evaluated in the JVM so
-    that only promising pairs reach Python.
-    """
-    shared = F.size(F.array_intersect(bigrams(left), bigrams(right)))
-    total = F.length(left) + F.length(right)
-    return shared >= F.greatest(F.lit(1.0), (1.5 * threshold - 1.0) * total - 1.0 - 1e-9)
-
-
 def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Directed (keys, new, old, ratio): ratio of the newer title against the older one.
 
     ``nodes(node, title)`` are distinct titles. Both directions are computed because the
     ratio depends on the order of its arguments.
     """
-    prefixes = ratio_prefixes(nodes, "node", "title", threshold)
+    nodes = cut(with_bigrams(nodes.select("node", "title"), "title"))
+    prefixes = ratio_prefixes(nodes, threshold)
     shortest = threshold / (2.0 - threshold)
     length_ok = (F.col("length") >= F.col("r_length") * shortest - 1e-9) & (
         F.col("r_length") >= F.col("length") * shortest - 1e-9)
     pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok))
-    distinct = pairs.select("left", "right").distinct()
-    titled = distinct.join(nodes.select(F.col("node").alias("left"), F.col("title").alias("lt")), "left").join(
-        nodes.select(F.col("node").alias("right"), F.col("title").alias("rt")), "right")
-    titled = titled.where(ratio_bound(F.col("lt"), F.col("rt"), threshold))
+    titled = (
+        pairs.select("left", "right").distinct()
+        .join(nodes.select(F.col("node").alias("left"), F.col("title").alias("lt"), F.col("grams").alias("lg")), "left")
+        .join(nodes.select(F.col("node").alias("right"), F.col("title").alias("rt"), F.col("grams").alias("rg")), "right"))
+    # the full bigram bound and the length bound run in the JVM; few pairs reach Python
+    total = F.length("lt") + F.length("rt")
+    shared = F.size(F.array_intersect("lg", "rg"))
+    titled = titled.where(shared >= F.greatest(F.lit(1.0), (1.5 * threshold - 1.0) * total - 1.0 - 1e-9))
     scored = titled.select("left", "right", title_ratio("lt", "rt").alias("lr"), title_ratio("rt", "lt").alias("rl"))
     both = scored.select("left", "right", F.inline(F.array(
         F.struct(F.col("left").alias("new"), F.col("right").alias("old"), F.col("lr").alias("ratio")),

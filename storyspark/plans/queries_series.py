@@ -176,9 +176,9 @@ x AS (SELECT *, CASE WHEN good THEN NULL WHEN bt IS NULL THEN nv WHEN nt IS NULL
 y AS (SELECT *, CASE WHEN good THEN 'reliable' WHEN expected IS NULL THEN 'no_neighbour' WHEN coalesce(abs(expected - value)::DOUBLE / nullif(abs(value)::DOUBLE, 0), 0) <= 0.03 THEN 'close_enough' ELSE 'repaired' END AS action FROM x)"""
 
 
-@query("outlier_repair", f"WITH {_REPAIR} SELECT id, action, round(CASE WHEN action = 'repaired' THEN expected ELSE value END::DOUBLE, 4) AS new_value FROM y")
+@query("outlier_repair", f"WITH {_REPAIR} SELECT id, action, CASE WHEN action = 'repaired' THEN expected ELSE value END::DOUBLE AS new_value FROM y")
 def _(spark, sf):
-    return ic.repair_outliers(fx.indicators(spark, sf)).select("id", "action", F.round(F.col("new_value").cast("double"), 4).alias("new_value"))
+    return ic.repair_outliers(fx.indicators(spark, sf)).select("id", "action", "new_value")
 
 
 @query("revert_repair", f"""WITH {_REPAIR} SELECT id, value::DOUBLE AS value, action = 'repaired' AS reverted FROM y""")
