@@ -73,25 +73,34 @@ def quality_score(cfg: ScoringConfig = ScoringConfig()) -> Column:
     return F.least(total, F.lit(cfg.quality_max))
 
 
-def _any_term(words: Column, terms: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for term in _folded(terms):
+def _split(terms: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Single words, found in the token array, and everything else, found in the text."""
+    single = [x for x in terms if x and all(ch.isalnum() or ch == "_" for ch in x)]
+    return single, [x for x in terms if x and x not in single]
+
+
+def _any_term(words: Column, tokens: Column, terms: Sequence[str]) -> Column:
+    single, rest = _split(_folded(terms))
+    hit = F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in single])) if single else F.lit(False)
+    for term in rest:
         hit = hit | t.has_term(words, term)
     return hit
 
 
-def impact_level(words: Column, cfg: ScoringConfig = ScoringConfig()) -> Column:
+def impact_level(words: Column, tokens: Column, cfg: ScoringConfig = ScoringConfig()) -> Column:
     """Name of the highest level with a matching term, NULL if there is none."""
     level = F.lit(None).cast("string")
     for name, _, terms in sorted(cfg.impact_terms, key=lambda x: x[1]):
-        level = F.when(_any_term(words, terms), F.lit(name)).otherwise(level)
+        level = F.when(_any_term(words, tokens, terms), F.lit(name)).otherwise(level)
     return level
 
 
-def _matches(words: Column, terms: Sequence[str]) -> Column:
+def _matches(words: Column, tokens: Column, terms: Sequence[str]) -> Column:
     """How many list entries match; entries that fold to the same text count each."""
-    count = F.lit(0)
-    for term in _expanded(terms):
+    entries = _expanded(terms)
+    single, rest = _split(list(dict.fromkeys(entries)))
+    count = F.size(F.array_intersect(tokens, F.array(*[F.lit(x) for x in single]))) if single else F.lit(0)
+    for term in rest + [x for n, x in enumerate(entries) if x in entries[:n]]:
         count = count + t.has_term(words, term).cast("int")
     return count
 
@@ -147,10 +156,12 @@ def score_articles(df: DataFrame, as_of: datetime, cfg: ScoringConfig = ScoringC
         "score_text": t.word_string(article_text(cfg.text_chars)),
         "content_words": t.word_count(F.col("content")),
     })
+    base = base.withColumn("score_tokens", F.split("score_text", " "))
+    words, tokens = F.col("score_text"), F.col("score_tokens")
     base = base.withColumns({
-        "local_matches": _matches(F.col("score_text"), cfg.local_terms),
-        "has_foreign": _any_term(F.col("score_text"), cfg.foreign_terms),
-        "impact_level": impact_level(F.col("score_text"), cfg),
+        "local_matches": _matches(words, tokens, cfg.local_terms),
+        "has_foreign": _any_term(words, tokens, cfg.foreign_terms),
+        "impact_level": impact_level(words, tokens, cfg),
     })
     flags = penalty_flags(cfg)
     penalty = F.lit(0)
@@ -189,7 +200,7 @@ def score_articles(df: DataFrame, as_of: datetime, cfg: ScoringConfig = ScoringC
         ),
         F.transform("penalty_reasons", lambda r: F.concat(F.lit("penalty:"), r)),
     ))
-    return scored.withColumns({"score": final, "score_reasons": reasons}).drop("score_text", "penalty_reasons")
+    return scored.withColumns({"score": final, "score_reasons": reasons}).drop("score_text", "score_tokens", "penalty_reasons")
 
 
 def rank_articles(df: DataFrame, as_of: datetime, limit: int | None = None, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.urls import url_hash
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 AS_OF = datetime(2024, 1, 31, 12, 0)
 DAY = date(2024, 1, 20)
@@ -71,7 +71,7 @@ _METHOD = (
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents"), "doc_id")
     first = F.left(t.squeeze(F.split_part("text", F.lit("."), F.lit(1))), F.lit(120))
     base = F.lit("2024-01-01").cast("timestamp_ntz")
     minutes = (F.col("doc_id") * 37) % 43200

@@ -26,6 +26,10 @@ AS_OF = fx.AS_OF
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
 
+def _pages(spark, sf):
+    return tables.spread(tables.read_table(spark, sf, "pages"), "page_id")
+
+
 def _in(values) -> str:
     return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + ")"
 
@@ -135,7 +139,7 @@ _PATH = "regexp_replace(regexp_extract(url, '//[^/?#]*(/[^?#]*)', 1), '^/+|/+$',
 
 @query("article_url_filter", f"""SELECT page_id, coalesce(NOT {_like_any("url", NON_ARTICLE_URL_FRAGMENTS)} AND length({_PATH}) > 8, false) AS looks_like_article, {_HOST} AS host FROM pages""")
 def _(spark, sf):
-    p = tables.read_table(spark, sf, "pages")
+    p = _pages(spark, sf)
     home = F.concat(F.lit("https://"), u.host(F.col("url")), F.lit("/"))
     return p.select("page_id", u.looks_like_article(F.col("url"), home).alias("looks_like_article"), u.host(F.col("url")).alias("host"))
 
@@ -144,31 +148,31 @@ def _(spark, sf):
 def _(spark, sf):
     # the given pages list their links in the navigation
     layout = pages.PageLayout(card="nav li", title="a")
-    return pages.page_articles(pages.read_pages(tables.read_table(spark, sf, "pages"), layout))
+    return pages.page_articles(pages.read_pages(_pages(spark, sf), layout))
 
 
 @query("page_links")
 def _(spark, sf):
     # no card matches, so links are the fallback; the given pages have short link texts
     layout = pages.PageLayout(card="article .teaser")
-    return pages.page_links(pages.read_pages(tables.read_table(spark, sf, "pages"), layout), min_text=8)
+    return pages.page_links(pages.read_pages(_pages(spark, sf), layout), min_text=8)
 
 
 @query("page_body")
 def _(spark, sf):
-    return pages.page_body(pages.read_pages(tables.read_table(spark, sf, "pages"))).select("page_id", "title", "method", "words", F.md5("body").alias("body_md5"))
+    return pages.page_body(pages.read_pages(_pages(spark, sf))).select("page_id", "title", "method", "words", F.md5("body").alias("body_md5"))
 
 
 @query("page_meta", f"""SELECT page_id, {_HOST} AS host, {fx.sql_squeeze("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")} AS title,
   regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang,
   {fx.sql_squeeze("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')")} AS h1, length(html) AS html_chars FROM pages""")
 def _(spark, sf):
-    return pages.page_title_columns(tables.read_table(spark, sf, "pages"))
+    return pages.page_title_columns(_pages(spark, sf))
 
 
 @query("page_metadata")
 def _(spark, sf):
-    return pages.page_meta(pages.read_pages(tables.read_table(spark, sf, "pages")))
+    return pages.page_meta(pages.read_pages(_pages(spark, sf)))
 
 
 def _skip_sql() -> str:
@@ -185,7 +189,7 @@ k AS (SELECT doc_id, line, min(i) AS i FROM e WHERE NOT done AND NOT active AND
 @query("boilerplate_lines", f"""WITH {_skip_sql()}
 SELECT d.doc_id, count(k.i) AS n_lines, md5(coalesce(string_agg(k.line, chr(10) || chr(10) ORDER BY k.i), '')) AS body_md5 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id""")
 def _(spark, sf):
-    rows = pages.clean_text_lines(tables.read_table(spark, sf, "documents").select("doc_id", "text"))
+    rows = pages.clean_text_lines(tables.spread(tables.read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id"))
     return rows.select("doc_id", F.size("body_lines").alias("n_lines"), F.md5("body").alias("body_md5"))
 
 
@@ -303,7 +307,7 @@ def _(spark, sf):
 
 @query("text_repair")
 def _(spark, sf):
-    p = tables.read_table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("raw"))
+    p = _pages(spark, sf).select("page_id", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("raw"))
     return p.select("page_id", t.strip_invisible(repair_text(F.col("raw"))).alias("heading"))
 
 
@@ -322,7 +326,7 @@ _NQ = "array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\
 n AS (SELECT id, 'https://' || {_NH} || {_NP} || CASE WHEN {_NQ} <> '' THEN '?' || {_NQ} ELSE '' END AS u, url FROM b)
 SELECT id, u AS normal_url, sha256(u) AS url_fingerprint, md5(url) AS url_hash FROM n""")
 def _(spark, sf):
-    a = fx.articles(spark, sf).select("id", "url").unionByName(tables.read_table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("id"), "url"))
+    a = fx.articles(spark, sf).select("id", "url").unionByName(_pages(spark, sf).select((-1 - F.col("page_id")).alias("id"), "url"))
     return a.select("id", u.normalize_url(F.col("url")).alias("normal_url"), u.url_fingerprint(F.col("url")).alias("url_fingerprint"), u.url_hash(F.col("url")).alias("url_hash"))
 
 
@@ -509,10 +513,16 @@ ranked AS MATERIALIZED (SELECT * EXCLUDE (score), least(greatest(0.15 * s1 + 0.1
 @query("rank_articles", f"""WITH {fx.ARTICLES}, {rank_ctes()} SELECT id, score, s1 AS recency_score, s2 AS source_score, s3 AS quality_score, s4 AS impact_score, s5 AS local_score,
   s7 AS confidence_score, pen AS penalties FROM ranked""")
 def _(spark, sf):
-    return rk.rank_articles(fx.articles(spark, sf), AS_OF, cfg=_CFG).select(
+    return rk.score_articles(fx.articles(spark, sf), AS_OF, _CFG).select(
         "id", "score", "recency_score", "source_score", "quality_score", "impact_score", "local_score", "confidence_score", "penalties")
 
 
+@query("rank_top", f"WITH {fx.ARTICLES}, {rank_ctes()} SELECT id, title, score FROM ranked ORDER BY score DESC, id LIMIT 100")
+def _(spark, sf):
+    """The ranking itself is a top-k report: no full sort."""
+    return rk.rank_articles(fx.articles(spark, sf), AS_OF, 100, _CFG).select("id", "title", "score")
+
+
 # --- selection ---------------------------------------------------------------
 @query("unique_stories", f"""WITH {fx.STORED} SELECT id, story_cluster_id, score FROM stored WHERE duplicate_of_article_id IS NULL
 QUALIFY row_number() OVER (PARTITION BY story_cluster_id ORDER BY score DESC, id) = 1""")

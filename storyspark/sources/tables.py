@@ -12,6 +12,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than there are cores.
+
+    Text functions are bound by CPU, so a table stored as one small file would keep one
+    core busy. A scan with enough splits is returned as it is: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def export_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
     """One Parquet folder per table, replaced as a whole."""
     for name, df in tables.items():
