@@ -46,29 +46,19 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
         return rules_from_mapping(spark, yaml.safe_load(handle)["categories"])
 
 
-def _ngrams(tokens: Column, most: int) -> Column:
-    """Distinct word n-grams of up to ``most`` words."""
-
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.flatten(F.array(tokens, *[of_size(n) for n in range(2, most + 1)])))
-
-
 def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
     """Best field value of every (article, rule) that matches.
 
-    Plain terms made of words become an equi join on word n-grams. Regular
-    expressions and terms with punctuation are tested against each article by a
-    broadcast of that short part of the rule list, filtered by ``rlike``.
+    Terms made of words are found by an equi join: a text's words are cut down to the
+    first words of terms, joined to the rules, and a term of several words is then looked
+    up in the text. Regular expressions and terms with punctuation are tested against
+    each article by a broadcast of that short part of the rule list.
     """
     plain = rules.where(~F.col("is_regex")).withColumn("term_key", t.fold(F.col("term")))
-    wordy = f"^{t.WORD}+( {t.WORD}+)*$"
-    joinable = plain.where(F.col("term_key").rlike(wordy))
+    wordy = F.col("term_key").rlike(f"^{t.WORD}+( {t.WORD}+)*$")
+    joinable = plain.where(wordy).withColumn("first_word", F.substring_index("term_key", " ", 1))
     quoted = F.regexp_replace("term_key", r"([^\p{L}\p{N}_ ])", r"\\$1")
-    scanned = plain.where(~F.col("term_key").rlike(wordy)).withColumn(
+    scanned = plain.where(~wordy).withColumn(
         "pattern", F.concat(F.lit("(?<!" + t.WORD + ")"), quoted, F.lit("(?!" + t.WORD + ")"))
     ).unionByName(
         rules.where("is_regex").withColumn("term_key", F.lit("")).withColumn(
@@ -79,45 +69,24 @@ def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = Cl
         ("description", t.fold(F.col("description")), cfg.description_weight),
         ("content", t.fold(F.left("content", F.lit(cfg.content_chars))), cfg.content_weight),
     ]
-    texts = articles.select("id", *[c.alias(f"f_{n}") for n, c, _ in fields])
-
-    longest = joinable.agg(F.coalesce(F.max(F.size(F.split("term_key", " "))), F.lit(1)).alias("m")).first()["m"]
-
-    def tagged(name: str, weight: float) -> Column:
-        return F.transform(_field_grams(F.col(f"f_{name}"), longest), lambda g: F.struct(
-            g.alias("term_key"), F.lit(name).alias("field"), F.lit(weight).alias("field_weight")))
-
-    per_field = F.flatten(F.array(*[tagged(name, weight) for name, _, weight in fields]))
-    grams = texts.select("id", F.inline(per_field))
+    texts = articles.select("id", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("field"), F.lit(w).alias("field_weight"), c.alias("folded")) for n, c, w in fields
+    ]))).where(F.length("folded") > 0)
+    # the rule list is configuration: its words fit a literal
+    vocabulary = sorted(r["first_word"] for r in joinable.select("first_word").distinct().collect())
+    words = texts.select("id", "field", "field_weight", t.word_string(F.col("folded")).alias("ws"))
+    hits = words.select("id", "field", "field_weight", "ws", F.explode(
+        F.array_intersect(F.split("ws", " "), F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))).alias("first_word"))
     rule_cols = ["category", "cat_ord", "polarity", "ord", "term", "weight", "ambiguous"]
-    # the short rule list meets the n-grams first, so only hits are shuffled
-    by_word = (
-        grams.join(joinable, "term_key")
-        .groupBy("id", *rule_cols)
-        .agg(F.max(F.struct("field_weight", "field")).alias("best"))
-        .select("id", *rule_cols, F.col("best.field").alias("field"),
-                (F.col("weight") * F.col("best.field_weight")).alias("value"))
-    )
-
-    hit = F.lit(None).cast("struct<field:string,field_weight:double>")
-    for name, _, weight in sorted(fields, key=lambda f: f[2]):
-        found = (F.length(f"f_{name}") > 0) & F.regexp_like(F.col(f"f_{name}"), F.col("pattern"))
-        hit = F.when(found, F.struct(F.lit(name).alias("field"), F.lit(weight).alias("field_weight"))).otherwise(hit)
-    if scanned.isEmpty():
-        return by_word
-    by_scan = (
-        texts.join(F.broadcast(scanned), F.lit(True))
-        .withColumn("hit", hit).where(F.col("hit").isNotNull())
-        .select("id", *rule_cols, F.col("hit.field").alias("field"),
-                (F.col("weight") * F.col("hit.field_weight")).alias("value"))
-    )
-    return by_word.unionByName(by_scan)
-
-
-def _field_grams(text: Column, most: int) -> Column:
-    """N-grams of words divided by exactly one blank, per run of such words."""
-    runs = F.regexp_extract_all(text, F.lit(f"({t.WORD}+(?: {t.WORD}+)*)"), 1)
-    return F.flatten(F.transform(runs, lambda run: _ngrams(F.split(run, " "), most)))
+    found = hits.join(joinable, "first_word").where(
+        F.contains("ws", F.concat(F.lit(" "), F.col("term_key"), F.lit(" ")))
+    ).select("id", *rule_cols, "field", "field_weight")
+    if not scanned.isEmpty():
+        found = found.unionByName(
+            texts.join(F.broadcast(scanned), F.regexp_like(F.col("folded"), F.col("pattern"))).select(
+                "id", *rule_cols, "field", "field_weight"))
+    return found.groupBy("id", *rule_cols).agg(F.max(F.struct("field_weight", "field")).alias("best")).select(
+        "id", *rule_cols, F.col("best.field").alias("field"), (F.col("weight") * F.col("best.field_weight")).alias("value"))
 
 
 def category_scores(

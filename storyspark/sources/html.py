@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import unicodedata
-
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 section article main header footer nav aside blockquote tr table".split())
 _SKIP = frozenset(("script", "style", "noscript", "iframe"))
@@ -88,6 +88,7 @@ _STEP = re.compile(r"([a-zA-Z0-9]*)((?:\.[\w-]+|\[[^\]]+\])*)")
 _PART = re.compile(r"\.([\w-]+)|\[([\w:-]+)(?:=['\"]?([^'\"\]]*)['\"]?)?\]")
 
 
+@lru_cache(maxsize=256)
 def _compile(selector: str):
     """``tag.class[attr='x']`` steps joined by blanks, alternatives by commas."""
     groups = []

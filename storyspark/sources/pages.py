@@ -85,10 +85,10 @@ def read_pages(pages: DataFrame, layout: PageLayout = PageLayout()) -> DataFrame
 
     def page_row(page_id, url, markup):
         root = h.parse(markup)
-        excluded = h._compile(layout.exclude)
+        excluded = {id(n) for n in h.select(root, layout.exclude)}
 
         def hidden(node):
-            return h.matches(node, excluded)
+            return id(node) in excluded
 
         title = first(root, "h1") or first(root, "title")
         title = title.text() if title is not None else ""
