@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio of two titles. Not symmetric: the newer title goes first.
-
-    Used on candidate pairs only. The matcher keeps the index of its second
-    argument, so equal right-hand titles in a batch are compared in one go.
-    """
+def _ratios(left: pd.Series, right: pd.Series) -> list[float]:
+    # the matcher keeps the index of its second argument, so equal right-hand titles
+    # of a batch are compared in one go
     out = [0.0] * len(left)
     groups: dict[str, list[int]] = {}
     for position, value in enumerate(right):
@@ -29,7 +25,26 @@ def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         for position in positions:
             matcher.set_seq1(lefts[position] or "")
             out[position] = matcher.ratio()
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Matching-block ratio of two titles. Not symmetric: the newer title goes first.
+
+    Used on candidate pairs only.
+    """
+    return pd.Series(_ratios(left, right))
+
+
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("mixed", T.DoubleType())]))
+def story_score(
+    left: pd.Series, right: pd.Series, jaccard: pd.Series, title_weight: pd.Series, content_weight: pd.Series
+) -> pd.DataFrame:
+    """Title ratio, and its mix with the token overlap to four digits of the binary value."""
+    ratios = _ratios(left, right)
+    mixed = [round(r * tw + j * cw, 4) for r, j, tw, cw in zip(ratios, jaccard, title_weight, content_weight)]
+    return pd.DataFrame({"ratio": ratios, "mixed": mixed})
 
 
 # --- fixed values: broken UTF-8 sequences and their meaning ------------------

@@ -22,6 +22,9 @@ def dedup_url(df: DataFrame, order: Sequence[str] = ("collected_at", "id"), url:
     return first_per(df.withColumn("__key", key), ["__key"], [F.col(c) for c in order]).drop("__key")
 
 
+_SLOTS = "component string, slot int, node string, id bigint, published bigint"
+
+
 def dedup_title(
     df: DataFrame, batch: Sequence[str], threshold: float = 0.85, block_rows: int = 50_000
 ) -> DataFrame:
@@ -69,23 +72,20 @@ def dedup_title(
     runs = cut(runs)
     last_step = runs.agg(F.max("step")).first()[0]
     survivors = None
-    slots = runs.select("component", F.lit(0).alias("slot"), "node", "id", "published").limit(0)
+    slots = df.sparkSession.createDataFrame([], _SLOTS)
     for step in range((last_step or 0) + 1):
         part = runs.where(F.col("step") == step).drop("step")
-        slots = cut(part.groupBy("component").cogroup(slots.groupBy("component")).applyInPandas(
-            _walk, "component string, slot int, node string, id bigint, published bigint, live boolean")).where("live").drop("live")
-        finished = slots if step == (last_step or 0) else slots.join(
-            runs.where(F.col("step") > step).select("component").distinct(), "component", "left_anti")
-        survivors = finished.select("id") if survivors is None else survivors.unionByName(finished.select("id"))
+        open_slots = slots.join(part.select("component").distinct(), "component", "left_semi")
+        slots = cut(part.groupBy("component").cogroup(open_slots.groupBy("component")).applyInPandas(
+            _walk, _SLOTS))
+        later = runs.where(F.col("step") > step).select("component").distinct()
+        finished = slots.join(later, "component", "left_anti").select("id")
+        survivors = finished if survivors is None else survivors.unionByName(finished)
     return alone.select("id").unionByName(survivors)
 
 
 def _walk(runs: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
     """Leader walk over one bounded step of a group of similar titles."""
-    columns = ["component", "slot", "node", "id", "published", "live"]
-    if runs.empty:
-        return pd.DataFrame({c: [] for c in columns}).astype(
-            {"slot": "int32", "id": "int64", "published": "float64", "live": "bool"})
     slots = slots.sort_values("slot")
     kept = [[n, int(i), None if pd.isna(p) else int(p)] for n, i, p in zip(slots["node"], slots["id"], slots["published"])]
     led: dict[str, set[int]] = {}
@@ -106,12 +106,11 @@ def _walk(runs: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
             led.setdefault(node, set()).add(number)
             kept[number] = [node, int(row_id), published]
     return pd.DataFrame({
-        "component": runs["component"].iloc[0],
+        "component": pd.Series([runs["component"].iloc[0]] * len(kept), dtype="object"),
         "slot": pd.Series(range(len(kept)), dtype="int32"),
-        "node": [k[0] for k in kept],
-        "id": [k[1] for k in kept],
-        "published": pd.array([k[2] for k in kept], dtype="Int64"),
-        "live": True,
+        "node": pd.Series([k[0] for k in kept], dtype="object"),
+        "id": pd.Series([k[1] for k in kept], dtype="int64"),
+        "published": pd.Series([k[2] for k in kept], dtype="object"),
     })
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.arrow import title_ratio
+from ..functions.arrow import story_score, title_ratio
 from ..session import cut
 
 FREQUENT_TOKENS = 20_000  # size bound of the broadcast list
@@ -90,10 +90,6 @@ def unordered_pairs(prefixes: DataFrame, blocks: DataFrame, keys: Sequence[str],
         *keys, F.col("node").alias("left"), F.col("r_node").alias("right")).distinct()
 
 
-def with_ratio(pairs: DataFrame, left: str, right: str, name: str = "ratio") -> DataFrame:
-    return pairs.withColumn(name, title_ratio(F.col(left), F.col(right)))
-
-
 def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Directed (keys, new, old, ratio): ratio of the newer title against the older one.
 
@@ -148,9 +144,9 @@ def story_similarity(left: str, right: str, title_weight: float = 0.65, content_
     Structs carry ``title``, ``excerpt`` and ``tokens``; ``left`` is the newer story.
     """
     a, b = F.col(left), F.col(right)
-    ratio = title_ratio(a["title"], b["title"])
-    mixed = F.round(ratio * title_weight + t.jaccard(a["tokens"], b["tokens"]) * content_weight, 4)
-    return _decide(a, b, ratio, mixed, short_title, min_words)
+    scores = story_score(
+        a["title"], b["title"], t.jaccard(a["tokens"], b["tokens"]), F.lit(float(title_weight)), F.lit(float(content_weight)))
+    return _decide(a, b, scores["ratio"], scores["mixed"], short_title, min_words)
 
 
 def _decide(a: Column, b: Column, ratio: Column, mixed: Column, short_title: float, min_words: int) -> Column:
