@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .scan import day_block
 
 _ALERT = "indicator_code string, id bigint, reference double, value double, change_ratio double, delivered boolean"
 
@@ -31,7 +30,18 @@ def _fold(points: Iterable[tuple], reference: float | None, threshold: float):
     return alerts, reference
 
 
-def price_alerts(df: DataFrame, threshold: float = 0.01, block: Column | None = None) -> DataFrame:
+def bounded_block(df: DataFrame, key: str, ts: str, rows: int) -> Column:
+    """Coarsest of day, hour, minute and second that keeps a block of a key within ``rows``."""
+    units = ("day", "hour", "minute", "second")
+    for unit in units[:-1]:
+        block = F.date_trunc(unit, F.col(ts).cast("timestamp")).cast("timestamp_ntz")
+        largest = df.groupBy(key, block.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (largest or 0) <= rows:
+            return block
+    return F.date_trunc(units[-1], F.col(ts).cast("timestamp")).cast("timestamp_ntz")
+
+
+def price_alerts(df: DataFrame, threshold: float = 0.01, block_rows: int = 200_000) -> DataFrame:
     """Alerts per code; the reference moves only with a delivered alert.
 
     The first value of a code sets the reference silently, a zero reference never alerts.
@@ -42,11 +52,10 @@ def price_alerts(df: DataFrame, threshold: float = 0.01, block: Column | None =
     blocks emit their alerts in parallel.
     ``df(indicator_code, id, collected_at, value, delivered)``.
     """
-    points = df.where(F.col("value").isNotNull()).select(
-        "indicator_code", (block if block is not None else day_block(F.col("collected_at"))).alias("block"),
-        "collected_at", "id", F.col("value").cast("double").alias("value"),
-        F.coalesce("delivered", F.lit(True)).alias("delivered"))
-    points = cut(points)
+    points = cut(df.where(F.col("value").isNotNull()).select(
+        "indicator_code", "collected_at", "id", F.col("value").cast("double").alias("value"),
+        F.coalesce("delivered", F.lit(True)).alias("delivered")))
+    points = points.withColumn("block", bounded_block(points, "indicator_code", "collected_at", block_rows))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["collected_at", "id"])

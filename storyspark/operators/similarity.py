@@ -21,7 +21,7 @@ FREQUENT_TOKENS = 20_000  # size bound of the broadcast list
 
 
 def _prefixes(nodes: DataFrame, node: str, tokens: str, keep: Column) -> DataFrame:
-    """(node, n, token): the first ``keep`` tokens of each node, rarest first.
+    """(node, n, pos, token): the first ``keep`` tokens of each node, rarest first.
 
     Only the most frequent tokens get a rank, so the broadcast list has a fixed
     bound; all others are ordered by hash, which is as good an order as any.
@@ -34,8 +34,22 @@ def _prefixes(nodes: DataFrame, node: str, tokens: str, keep: Column) -> DataFra
     ranked = single.join(F.broadcast(frequent), "token", "left").groupBy("node", "n", "keep").agg(
         F.array_sort(F.collect_list(F.struct(
             F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), "token"))).alias("s"))
-    return ranked.select("node", "n", F.explode(F.slice("s", F.lit(1), F.col("keep").cast("int"))).alias("e")).select(
-        "node", "n", F.col("e.token").alias("token"))
+    return ranked.select("node", "n", F.posexplode(F.slice("s", F.lit(1), F.col("keep").cast("int"))).alias("pos", "e")).select(
+        "node", "n", "pos", F.col("e.token").alias("token"))
+
+
+def position_ok(n: str, pos: str, other_n: str, other_pos: str, need: Column) -> Column:
+    """Whether the tokens from a shared one on can still reach the needed overlap.
+
+    True for every qualifying pair at the first token it shares, so nothing is lost, and
+    pairs that only meet late in both prefixes are dropped inside the join.
+    """
+    return F.least(F.col(n) - F.col(pos), F.col(other_n) - F.col(other_pos)) >= need
+
+
+def jaccard_overlap(n: str, other_n: str, threshold: float) -> Column:
+    """Tokens two sets of these sizes must share."""
+    return F.ceil((F.col(n) + F.col(other_n)) * (threshold / (1.0 + threshold)) - 1e-9)
 
 
 def jaccard_prefixes(nodes: DataFrame, node: str, tokens: str, threshold: float) -> DataFrame:
@@ -76,14 +90,15 @@ def ratio_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
     return _prefixes(nodes.where(F.size("grams") > 0), "node", "grams", keep).withColumn("length", F.col("n") + 1)
 
 
-def unordered_pairs(prefixes: DataFrame, blocks: DataFrame, keys: Sequence[str], length_ok: Column) -> DataFrame:
+def unordered_pairs(prefixes: DataFrame, blocks: DataFrame, keys: Sequence[str], length_ok: Column, need: Column) -> DataFrame:
     """Distinct node pairs (left < right) of a block that share a prefix token.
 
-    ``blocks(node, *keys)`` says in which blocks a node occurs.
+    ``blocks(node, *keys)`` says in which blocks a node occurs; ``need`` is the overlap a
+    pair must reach.
     """
     placed = prefixes.join(blocks, "node")
     right = placed.select(*[F.col(c).alias(f"r_{c}") for c in placed.columns])
-    on = (F.col("token") == F.col("r_token")) & (F.col("node") < F.col("r_node")) & length_ok
+    on = (F.col("token") == F.col("r_token")) & (F.col("node") < F.col("r_node")) & length_ok & position_ok("n", "pos", "r_n", "r_pos", need)
     for key in keys:
         on = on & (F.col(key) == F.col(f"r_{key}"))
     return placed.join(right, on).select(
@@ -101,7 +116,8 @@ def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thresh
     shortest = threshold / (2.0 - threshold)
     length_ok = (F.col("length") >= F.col("r_length") * shortest - 1e-9) & (
         F.col("r_length") >= F.col("length") * shortest - 1e-9)
-    pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok))
+    bound = (1.5 * threshold - 1.0) * (F.col("length") + F.col("r_length")) - 1.0 - 1e-9
+    pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok, F.greatest(F.lit(1.0), bound)))
     titled = (
         pairs.select("left", "right").distinct()
         .join(nodes.select(F.col("node").alias("left"), F.col("title").alias("lt"), F.col("grams").alias("lg")), "left")
@@ -122,7 +138,7 @@ def jaccard_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thre
     """Directed (keys, new, old, jaccard) in both directions for token sets."""
     prefixes = jaccard_prefixes(nodes, "node", "tokens", threshold)
     length_ok = (F.col("n") >= F.col("r_n") * threshold - 1e-9) & (F.col("r_n") >= F.col("n") * threshold - 1e-9)
-    pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok))
+    pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok, jaccard_overlap("n", "r_n", threshold)))
     distinct = pairs.select("left", "right").distinct()
     scored = (
         distinct.join(nodes.select(F.col("node").alias("left"), F.col("tokens").alias("lt")), "left")

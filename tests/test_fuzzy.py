@@ -47,7 +47,7 @@ def make_rows(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_title_dedup_equals_the_walk(spark, seed):
     rows = make_rows(seed)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("batch", F.lit("d"))
@@ -67,7 +67,7 @@ def test_title_dedup_equals_the_walk(spark, seed):
     assert sorted(r["id"] for r in dedupe.dedup_title(df, ["batch"], block_rows=7).collect()) == want
 
 
-@pytest.mark.parametrize("seed", [3])
+@pytest.mark.parametrize("seed", [3, 4])
 def test_corroboration_equals_the_walk(spark, seed):
     rows = make_rows(seed, 90)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("batch", F.lit("d"))
