@@ -387,3 +387,13 @@ def _(spark, sf):
         F.expr("'u' || user_id || '@x.org'").alias("email"), F.expr("CASE WHEN event_type = 'error' THEN 'unsubscribe' ELSE 'subscribe' END").alias("action"),
         F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("channel"), F.array(F.lit("general")).alias("categories"), F.lit("diario").alias("frequency"), F.lit(9).alias("preferred_hour"))
     return mg.subscription_state(mg.subscription_events(requests)).select("identifier", "channel", "is_active", "updated_at")
+
+
+@query("daily_selection")
+def _(spark, sf):
+    """All steps of a daily run up to the articles chosen for summaries."""
+    from .daily import select_articles
+    from .queries_core import AS_OF
+
+    chosen, _ = select_articles(_batched(spark, sf), fx.rules(spark), fx.summaries(spark, sf), AS_OF, ["batch"])
+    return chosen.select("id", "category", "source", "title", "score", "source_count", "pick")

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import TABLES
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -30,8 +32,8 @@ def export_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def import_tables(spark: SparkSession, folder: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Reads exported tables with declared schemas."""
+def import_tables(spark: SparkSession, folder: str, schemas: Mapping[str, str] = TABLES) -> dict[str, DataFrame]:
+    """Reads exported tables with declared schemas; ``schemas`` may name a part of them."""
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in schemas.items()}
 
 

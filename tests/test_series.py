@@ -225,3 +225,14 @@ def test_response_with_broken_and_fenced_json(spark):
     assert set(got) == {"a", "b", "d"}
     assert (got["a"]["title"], got["a"]["category"], got["b"]["category"], got["a"]["source_article_count"]) == ("Título propio", "salud", "salud", 1)
     assert got["a"]["summary"] == "Uno dos tres. Una descripción larga que sirve de contexto."
+
+
+def test_export_and_import(spark, tmp_path):
+    from storyspark.schemas import TABLES
+    from storyspark.sources import tables
+
+    made = {"news_sources": spark.createDataFrame([(1, "a", "scraper", None, True)], TABLES["news_sources"])}
+    tables.export_tables(made, str(tmp_path))
+    back = tables.import_tables(spark, str(tmp_path), {"news_sources": TABLES["news_sources"]})
+    assert back["news_sources"].collect() == made["news_sources"].collect()
+    assert tables.table_counts(back).first().asDict() == {"table_name": "news_sources", "rows": 1}
