@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, CHANNELS
 from ..functions.values import micros
-from .scan import day_block, previous_row, running_sum
+from .scan import attach, day_block, previous_row, running_sum
 
 RUN_COUNTERS = (
     "raw_collected_count", "usable_count", "quality_dropped_count", "deduplicated_count",
@@ -35,7 +35,7 @@ def event_totals(events: DataFrame, since: datetime, approximate: bool = False)
 
 def event_summary(events: DataFrame, since: datetime) -> DataFrame:
     """Counts per event name next to the distinct sessions and users of the window."""
-    return event_counts(events, since).crossJoin(event_totals(events, since).drop("events"))
+    return attach(event_counts(events, since), event_totals(events, since).drop("events"))
 
 
 def run_totals(runs: DataFrame, since: datetime) -> DataFrame:
@@ -63,7 +63,7 @@ def category_counts(rows: DataFrame, day_column: Column, day: date) -> DataFrame
     labels = rows.sparkSession.createDataFrame(list(CATEGORIES.items()), "category string, label string")
     counts = rows.where(day_column == F.lit(day)).groupBy("category").agg(F.count("*").alias("n"))
     counts = counts.join(F.broadcast(labels), "category")
-    return counts.crossJoin(counts.agg(F.sum("n").alias("total")))
+    return attach(counts, counts.agg(F.sum("n").alias("total")))
 
 
 def latest_day(sources: Sequence[tuple[DataFrame, Column]], requested: date) -> DataFrame:
@@ -152,9 +152,10 @@ def run_funnel(runs: DataFrame) -> DataFrame:
 def dashboard(events: DataFrame, runs: DataFrame, subscribers: DataFrame, since: datetime, cohort_days: int = 7) -> DataFrame:
     """One row: event totals, run totals, returning sessions, active subscribers."""
     active = subscribers.agg(F.count_if("is_active").alias("active_subscribers"))
-    return (
-        event_totals(events, since).crossJoin(run_totals(runs, since))
-        .crossJoin(returning_rate(events, since, cohort_days)).crossJoin(active))
+    out = event_totals(events, since)
+    for part in (run_totals(runs, since), returning_rate(events, since, cohort_days), active):
+        out = attach(out, part)
+    return out
 
 
 def delivery_stats(deliveries: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:

@@ -51,8 +51,8 @@ def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = Cl
 
     Terms made of words are found by an equi join: a text's words are cut down to the
     first words of terms, joined to the rules, and a term of several words is then looked
-    up in the text. Regular expressions and terms with punctuation are tested against
-    each article by a broadcast of that short part of the rule list.
+    up in the text. Regular expressions and terms with punctuation, the short part of the
+    rule list, become one expression per pattern.
     """
     plain = rules.where(~F.col("is_regex")).withColumn("term_key", t.fold(F.col("term")))
     wordy = F.col("term_key").rlike(f"^{t.WORD}+( {t.WORD}+)*$")
@@ -81,10 +81,14 @@ def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = Cl
     found = hits.join(joinable, "first_word").where(
         F.contains("ws", F.concat(F.lit(" "), F.col("term_key"), F.lit(" ")))
     ).select("id", *rule_cols, "field", "field_weight")
-    if not scanned.isEmpty():
+    patterns = scanned.select("pattern", F.struct(*rule_cols).alias("rule")).collect()
+    if patterns:
+        # constant patterns are compiled once and need no join
+        tests = [
+            F.when(F.col("folded").rlike(p["pattern"]), F.struct(*[F.lit(p["rule"][c]).alias(c) for c in rule_cols])) for p in patterns]
         found = found.unionByName(
-            texts.join(F.broadcast(scanned), F.regexp_like(F.col("folded"), F.col("pattern"))).select(
-                "id", *rule_cols, "field", "field_weight"))
+            texts.select("id", "field", "field_weight", F.explode(F.array_compact(F.array(*tests))).alias("r")).select(
+                "id", *[F.col(f"r.{c}").alias(c) for c in rule_cols], "field", "field_weight"))
     return found.groupBy("id", *rule_cols).agg(F.max(F.struct("field_weight", "field")).alias("best")).select(
         "id", *rule_cols, F.col("best.field").alias("field"), (F.col("weight") * F.col("best.field_weight")).alias("value"))
 

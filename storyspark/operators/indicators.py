@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import micros, parse_decimal
-from .scan import day_block, neighbours, previous_row, top_per
+from .scan import attach, day_block, neighbours, previous_row
 
 SERIES_KEY = ("source", "indicator_code", "currency", "asset", "side")
 
@@ -68,7 +68,7 @@ def save_report(df: DataFrame, key: Sequence[str] = SERIES_KEY) -> DataFrame:
     done = change_only(df, key).agg(
         F.count_if(F.col("outcome") == "inserted").alias("inserted"),
         F.count_if(F.col("outcome") == "unchanged").alias("unchanged"))
-    return done.crossJoin(df.agg(F.count_if(F.col("value").isNull()).alias("skipped")))
+    return attach(done, df.agg(F.count_if(F.col("value").isNull()).alias("skipped")))
 
 
 def reliable_advertiser(advertiser: Column, min_orders: int = 10, min_rate: float = 0.80) -> Column:

@@ -117,3 +117,10 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     out = df.withColumn(name or "__rn", rn).where(F.col(name or "__rn") <= k)
     return out if name else out.drop("__rn")
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row aggregate on every row, as a scalar subquery and not as a join."""
+    names = one_row.columns
+    value = one_row.select(F.struct(*names).alias("s")).scalar()
+    return df.withColumn("__one", value).select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in names])

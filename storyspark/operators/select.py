@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import SummaryConfig
 from ..functions import text as t
-from .scan import first_per, top_per
+from .scan import attach, first_per, top_per
 
 
 def with_dimensions(articles: DataFrame, categories: DataFrame, sources: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, page_size: i
     page, page_size = max(page, 1), min(max(page_size, 1), 100)
     total = df.agg(F.count("*").alias("total"))
     rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
-    return rows.crossJoin(total).withColumns({
+    return attach(rows, total).withColumns({
         "page": F.lit(page), "page_size": F.lit(page_size), "total_pages": F.ceil(F.col("total") / page_size)})
 
 
