@@ -7,7 +7,7 @@ letter, number and white-space character.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from ..config import CORROBORATION_STOPWORDS, LOW_VALUE_PREFIXES, STORY_STOPWORD
 
 SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
 WORD = r"[\p{L}\p{N}_]"
+# white space that is not already one plain blank: single blanks need no replacement
+_LOOSE_SPACE = SPACE + r"{2,}|[\s\p{Z}\x0B\x1C-\x1F\x85&&[^ ]]"
 NOT_WORD_OR_SPACE = r"[^\p{L}\p{N}_\s\p{Z}\x0B\x1C-\x1F\x85]"
 
 
@@ -42,7 +44,15 @@ def _text(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(_text(c), SPACE + "+", " "))
+    return F.trim(F.regexp_replace(_text(c), _LOOSE_SPACE, " "))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A filter evaluates every mention of an expression; a lambda variable is bound once.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: use(bound)), F.lit(0))
 
 
 def strip_accents(c: Column) -> Column:

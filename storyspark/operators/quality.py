@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..config import CATEGORIES, EVENT_NAMES, PREFERRED_HOURS
 from ..functions import text as t
 
-_EMPTY = F.lit
-
 
 def _joined(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
@@ -20,10 +18,13 @@ def _joined(*columns: str) -> Column:
 
 def usable_text(title: str = "title", fields: Sequence[str] = ("description", "content", "excerpt")) -> Column:
     """Some text that is not just the title: 50 characters or 8 words at least."""
-    text = t.squeeze(F.lower(_joined(*fields)))
-    same = text == t.squeeze(F.lower(F.col(title)))
-    long_enough = (F.length(text) >= 50) | (F.size(F.split(text, " ")) >= 8)
-    return (F.length(text) > 0) & ~same & long_enough
+    short_title = t.squeeze(F.lower(F.col(title)))
+
+    def usable(text: Column) -> Column:
+        long_enough = (F.length(text) >= 50) | (F.size(F.split(text, " ")) >= 8)
+        return (F.length(text) > 0) & (text != short_title) & long_enough
+
+    return t.once(t.squeeze(F.lower(_joined(*fields))), usable)
 
 
 def usable_articles(df: DataFrame) -> DataFrame:
@@ -33,8 +34,7 @@ def usable_articles(df: DataFrame) -> DataFrame:
 def drop_reason(as_of: datetime, fields: Sequence[str] = ("description", "content", "excerpt")) -> Column:
     """Why the collector drops a row; NULL for kept rows."""
     joined = F.trim(_joined(*fields))
-    key = t.match_key(joined)
-    no_text = (F.length(key) == 0) | (key == t.match_key(F.col("title")))
+    no_text = t.once(t.match_key(joined), lambda key: (F.length(key) == 0) | (key == t.match_key(F.col("title"))))
     short = (t.word_count(joined) < 8) & (F.length(joined) < 50)
     return (
         F.when(no_text, "no_text")
