@@ -47,7 +47,7 @@ class RuleConfig:
     min_group: int = 200
     fences: tuple[Fence, ...] = (
         Fence("symbol_rate", False, 3, 100), Fence("shout_rate", False, 3, 100), Fence("upper_rate", False, 3, 250),
-        Fence("distinct_rate", True, 3, 50), Fence("dup_line_rate", False, 3, 300))
+        Fence("distinct_rate", True, 3, 50), Fence("dup_line_rate", False, 3, 500))
 
 
 def _count(text: str, chars: str) -> Column:
