@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan as licenses
 from . import quality_rules as rules
 from .common import table
 
@@ -66,3 +67,26 @@ LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a"""
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+def _license_sql(stride: int = licenses.STRIDE) -> str:
+    values = ", ".join(f"({k}, '{t.label}', '{t.text}', {licenses.required(t)}, {len(licenses.template_words(t))}, {str(t.ordered).lower()})"
+                       for k, t in enumerate(licenses.BASE + licenses.NOTICES))
+    return f"""
+WITH t AS (SELECT k, label, string_split(phrase, ' ') AS ph, need, m, ordered FROM (VALUES {values}) v(k, label, phrase, need, m, ordered)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT r, ws[o + 1:o + {2 * stride}] AS block FROM (SELECT r, ws, unnest(range(0, len(ws), {stride})) AS o FROM d)),
+f AS (SELECT r, label, len(list_intersect(block, ph)) / m AS share FROM b JOIN t ON NOT ordered AND len(list_intersect(block, ph)) >= need),
+o AS (SELECT r, label, i - 1 AS start FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) JOIN t ON ordered AND ws[i] = ph[1] AND ws[i:i + len(ph) - 1] = ph),
+a AS (SELECT r, label, share, NULL AS start, false AS base FROM f UNION ALL SELECT r, label, 1.0, start, true FROM o)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
+  coalesce(string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(coalesce(max(share), 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (r) GROUP BY r"""
+
+
+@query(sql=_license_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices found in every document."""
+    return licenses.per_document(licenses.scan(table(spark, sf_dir, "documents")))
