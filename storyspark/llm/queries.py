@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import license_scan as licenses
 from . import quality_rules as rules
+from . import token_files as tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,9 @@ FROM d LEFT JOIN a USING (r) GROUP BY r"""
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices found in every document."""
     return licenses.per_document(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    return tokens.read(tokens.write(table(spark, sf_dir, "documents"), end_id=0))
