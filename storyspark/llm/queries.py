@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan as licenses
+from . import packing
 from . import quality_rules as rules
 from . import token_files as tokens
 from .common import table
@@ -97,3 +98,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     return tokens.read(tokens.write(table(spark, sf_dir, "documents"), end_id=0))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1,024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2).drop("row")
