@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import impact_search as search
 from . import license_scan as licenses
 from . import packing
 from . import quality_rules as rules
@@ -104,3 +105,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1,024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2).drop("row")
+
+
+@query(sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 20""")
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best partners of every 20th vector by whole-number inner product."""
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
