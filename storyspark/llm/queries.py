@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import impact_search as search
 from . import license_scan as licenses
-from . import packing
+from . import mixing, packing
 from . import quality_rules as rules
 from . import token_files as tokens
 from .common import table
@@ -115,3 +115,44 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best partners of every 20th vector by whole-number inner product."""
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+#: Weights of the tree; sources of a language weigh the same.
+MIX = mixing.Mix(weights={"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}, epochs=2, budget_pct=100)
+DOMAIN = "'d' || CAST(CAST(nullif(regexp_extract(source, '([0-9]+)', 1), '') AS BIGINT) % 4 AS STRING)"
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Documents with the domain that the tree has above the languages: sources are dealt to four."""
+    return docs.withColumn("domain", F.expr(DOMAIN))
+
+
+def _mix_sql(mix: mixing.Mix = MIX) -> str:
+    case = lambda c: f"CASE {' '.join(f'WHEN {c} = {v!r} THEN {w}' for v, w in mix.weights.get(c, {}).items())} ELSE {mix.default_weight} END" if mix.weights.get(c) else str(mix.default_weight)
+    steps = [f"b0 AS (SELECT any_value(root) AS root, CAST(sum(size) * {mix.budget_pct} // 100 AS HUGEINT) AS budget FROM leaves)"]
+    for i, c in enumerate(mix.levels):
+        up = ["root", *mix.levels[:i]]
+        keys = ", ".join([*up, c])
+        on = " AND ".join(f"n.{k} IS NOT DISTINCT FROM b.{k}" for k in up)
+        over = f"PARTITION BY {', '.join(up)} ORDER BY weight = 0, capacity / nullif(weight, 0), {c} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        steps.append(f"""n{i} AS (SELECT n.*, b.budget AS given FROM (SELECT {keys}, {case(c)} AS weight, CAST(sum(size) AS HUGEINT) AS size, CAST(sum(capacity) AS HUGEINT) AS capacity FROM leaves GROUP BY {keys}) n JOIN b{i} b ON {on}),
+l{i} AS (SELECT *, given - coalesce(sum(capacity) OVER ({over}), 0) AS rem, sum(weight) OVER (PARTITION BY {', '.join(up)}) - coalesce(sum(weight) OVER ({over}), 0) AS wide FROM n{i}),
+s{i} AS (SELECT *, weight > 0 AND rem >= 0 AND capacity * wide <= rem * weight AS short FROM l{i}),
+b{i + 1} AS (SELECT *, CASE WHEN weight = 0 THEN 0 WHEN short THEN capacity ELSE max(CASE WHEN NOT short AND weight > 0 THEN rem END) OVER (PARTITION BY {', '.join(up)}) * weight
+  // max(CASE WHEN NOT short THEN wide END) OVER (PARTITION BY {', '.join(up)}) END AS budget FROM s{i})""")
+    on = " AND ".join(f"d.{k} IS NOT DISTINCT FROM b.{k}" for k in mix.levels)
+    live = " AND ".join(f"{case(c)} > 0" for c in mix.levels)
+    return f"""
+WITH d AS (SELECT doc_id, text, lang, source, {DOMAIN} AS domain, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
+leaves AS (SELECT 0 AS root, {', '.join(mix.levels)}, sum(tokens) AS size, CASE WHEN {live} THEN sum(tokens) * {mix.epochs} ELSE 0 END AS capacity FROM d GROUP BY {', '.join(mix.levels)}),
+{", ".join(steps)},
+e AS (SELECT d.*, b.budget, b.size, unnest(range({mix.epochs})) AS epoch FROM d JOIN b{len(mix.levels)} b ON {on} WHERE b.budget > 0),
+o AS (SELECT *, epoch * size + sum(tokens) OVER (PARTITION BY {', '.join(mix.levels)}, epoch ORDER BY md5('{mix.seed}:' || epoch || ':' || doc_id), doc_id, text ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, CAST(tokens AS BIGINT) AS tokens FROM o WHERE upto <= budget"""
+
+
+@query(sql=_mix_sql())
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken, with their epoch, when the corpus' tokens are dealt anew by target weights, two epochs at most."""
+    taken = mixing.select(with_domain(table(spark, sf_dir, "documents")), MIX)
+    return taken.select("doc_id", "domain", "lang", "source", "epoch", "tokens")
