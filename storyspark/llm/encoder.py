@@ -27,7 +27,7 @@ def default_path() -> str:
 class Encoder:
     """``keep``: entries kept at most; pieces beyond it are encoded anew in each batch, with equal results."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,6 +41,16 @@ class Encoder:
         self.dtype = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+
+    def _first(self, piece: str) -> bytes:
+        """The ids of the piece that no space precedes."""
+        ids = self.first.get(piece)
+        if ids is None:
+            ids = self._plain(piece)
+            if len(piece) < 32 and len(self.first) < self.keep // 10:
+                self.first[piece] = ids
+        return ids
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -71,7 +81,7 @@ class Encoder:
             known.update(extra)
             extra = {}
         lookup = known.__getitem__ if not extra else (lambda p: known.get(p) or extra[p])
-        return [self._plain(pieces[0]) + b"".join(found if found is not None else map(lookup, pieces[1:])) for pieces, found in cut]
+        return [self._first(pieces[0]) + b"".join(found if found is not None else map(lookup, pieces[1:])) for pieces, found in cut]
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, self.dtype)

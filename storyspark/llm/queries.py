@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import impact_search as search
 from . import license_scan as licenses
 from . import mixing, packing
+from . import quality_gam as gam
 from . import quality_rules as rules
 from . import token_files as tokens
-from .common import table
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +157,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken, with their epoch, when the corpus' tokens are dealt anew by target weights, two epochs at most."""
     taken = mixing.select(with_domain(table(spark, sf_dir, "documents")), MIX)
     return taken.select("doc_id", "domain", "lang", "source", "epoch", "tokens")
+
+
+def _classified(docs: DataFrame, score, threshold: float) -> DataFrame:
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return _classified(docs, gam.score(gam.train(docs, table(spark, sf_dir, "labels")), F.col("text")), 0.5)
