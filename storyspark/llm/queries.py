@@ -13,6 +13,7 @@ from . import mixing, packing
 from . import quality_gam as gam
 from . import quality_rules as rules
 from . import token_files as tokens
+from . import toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +170,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")
     return _classified(docs, gam.score(gam.train(docs, table(spark, sf_dir, "labels")), F.col("text")), 0.5)
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return _classified(docs, toxicity.score(toxicity.train(docs, table(spark, sf_dir, "labels")), F.col("text")), 0.7)
