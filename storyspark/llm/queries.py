@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import impact_search as search
 from . import license_scan as licenses
-from . import mixing, packing
+from . import mixing, packing, pii
 from . import quality_gam as gam
 from . import quality_rules as rules
 from . import token_files as tokens
@@ -177,3 +177,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     return _classified(docs, toxicity.score(toxicity.train(docs, table(spark, sf_dir, "labels")), F.col("text")), 0.7)
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of personal data in every document."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    return found.select("doc_id", *[F.size(F.filter(kinds, F.lit(kind).__eq__)).cast("bigint").alias(f"n_{kind}") for kind in pii.BASE],
+                        F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
