@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import impact_search as search
 from . import license_scan as licenses
 from . import mixing, packing, pii
+from . import near_dedup as near
 from . import quality_gam as gam
 from . import quality_rules as rules
 from . import token_files as tokens
@@ -187,3 +188,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     return found.select("doc_id", *[F.size(F.filter(kinds, F.lit(kind).__eq__)).cast("bigint").alias(f"n_{kind}") for kind in pii.BASE],
                         F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near-equal documents that each document is in; 2-word shingles, similarity 0.8."""
+    return near.groups(table(spark, sf_dir, "documents"), near.JoinConfig(words=2))
