@@ -224,3 +224,16 @@ def groups(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "do
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"),
                       F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one document of each group; rows that repeat an id become one, the smallest."""
+    own = groups(docs, config, doc_id, text)
+    per_id = own.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_i")).agg(F.count("*").alias("_n"), F.min("kept").alias("_kept"))
+    marked = materialize(per_id.where("_n > 1 or not _kept"))
+    few = marked.count() <= BROADCAST_IDS
+    key = F.col(f"`{doc_id}`").cast("bigint")
+    df = docs.join(F.broadcast(marked) if few else marked, key == F.col("_i"), "left")
+    single = df.where(F.col("_i").isNull()).select(*[f"`{c}`" for c in docs.columns])
+    repeated = df.where(F.col("_kept") & (F.col("_n") > 1)).groupBy("_i").agg(F.min(F.struct(*[f"`{c}`" for c in docs.columns])).alias("r"))
+    return single.unionByName(repeated.select("r.*"))

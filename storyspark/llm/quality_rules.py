@@ -54,12 +54,12 @@ def _count(text: str, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(F.col(text), chars, ""))).cast("bigint")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``COUNTS``, ``MORE`` and ``RATES``; one narrow pass over the whole texts."""
+def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ``COUNTS``, ``MORE`` and ``RATES`` to the columns of ``docs`` (or those named); one narrow pass over the whole texts."""
     own = ["_body", "_words", "_lines", "_runs", "_hits"]
     made = {*own, *COUNTS, *MORE, *RATES}
     df = docs.withColumn("_body", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    df = df.select("_body", *[f"`{c}`" for c in docs.columns if c not in made])
+    df = df.select("_body", *[f"`{c}`" for c in keep or docs.columns if c not in made])
     df = df.withColumn("_words", F.array_remove(F.split("_body", SPACE), ""))
     df = df.withColumns({
         "n_words": F.size("_words").cast("bigint"),
@@ -130,11 +130,13 @@ def limits(sketch: DataFrame, config: RuleConfig) -> DataFrame:
         .otherwise(corpus.select(f"{f.rate}0").scalar()).alias(f"_{f.rate}") for f in config.fences])
 
 
-def apply_rules(docs: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, the measures, ``base_failed``, ``kept`` and ``failed`` (names of the fences missed)."""
-    measured = measure(docs.drop("base_failed", "kept", "failed"), text).drop("_body").withColumn(
-        "base_failed", (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_pct * F.col("n_words")))
-    measured = materialize(measured.drop(text))
+def judge(measured: DataFrame, config: RuleConfig) -> DataFrame:
+    """Adds ``base_failed``, ``kept`` and ``failed`` (names of the fences missed) to measured rows.
+
+    The measures are stored before anything filters on them, so each text is measured once.
+    """
+    measured = materialize(measured.withColumn(
+        "base_failed", (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_pct * F.col("n_words"))))
     rates = [f.rate for f in config.fences]
     sketch = materialize(sketches(measured.where(~F.col("base_failed")), rates, ["lang", "source"]))
     fences = limits(sketch, config)
@@ -144,3 +146,14 @@ def apply_rules(docs: DataFrame, config: RuleConfig = RuleConfig(), text: str =
         for f in config.fences]))
     return df.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop(
         "_lang", "_source", *[f"_{r}" for r in rates])
+
+
+def apply_rules(docs: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, the measures, and what ``judge`` adds."""
+    return judge(measure(docs.drop("base_failed", "kept", "failed"), text).drop(text), config)
+
+
+def keep(docs: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns, also those named like a measure."""
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), *[f"`{c}`" for c in sorted({text, "lang", "source"})])
+    return judge(measure(rows, text, ("_row", "lang", "source")), config).where("kept").select("_row.*")
