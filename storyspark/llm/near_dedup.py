@@ -3,10 +3,11 @@
 A document's set are its distinct runs of ``words`` words. Documents with equal sets form a class at once, represented
 by the smallest id. Representatives enter ``trees`` independent trees. In a tree a node chooses a few of the minwise
 functions and sends each of its documents, for each function, to the child named by the document's minimum: documents
-with similarity s share a child with chance s per function. A node of at most ``leaf`` documents is compared
-exhaustively. A larger one is compared with its first document, so that a large group of near copies becomes one cluster
-with as many comparisons as it has members, and branches again as long as it holds more than one cluster. At ``depth``
-what is left is compared exhaustively. Two documents of similarity 0.8 are missed by all trees with chance below 1e-7.
+with similarity s share a child with chance s per function. All documents of a node are compared with its first one, so
+that a large group of near copies becomes one cluster with as many comparisons as it has members. Nodes whose documents
+are all in one cluster end. In others, the clusters of a node of at most ``leaf`` documents are compared exhaustively; a
+larger node branches again. At ``depth`` what is left is compared exhaustively. Two documents of similarity 0.8 are missed
+by all trees with chance below 1e-7.
 
 Comparisons are filtered by set sizes and by a sketch of two bits of each of 64 minima (agreement in fewer than ``agree``
 symbols has a chance below 1e-7 at similarity 0.8), and every link is confirmed on full sets. Connected components of the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_step, materialize
 
-FUNCTIONS, STORED = 64, 32
+FUNCTIONS = 64
 #: Rows of ids that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -42,7 +43,7 @@ class JoinConfig:
     trees: int = 3
     root_branches: int = 4
     branches: int = 3
-    leaf: int = 32
+    leaf: int = 256
     depth: int = 10
     agree: int = 36
     seed: int = 11
@@ -98,7 +99,7 @@ def signatures(docs: DataFrame, config: JoinConfig, doc_id: str, text: str) -> D
                 out["key"].append(xxh3_128_digest(runs.tobytes()))
                 for name, bit in (("s0", 0), ("s1", 1)):
                     out[name].append(int((((low >> np.uint32(bit)) & np.uint32(1)) * powers).sum().astype(np.int64)))
-                out["sig"].append(low[:STORED].view(np.int32))
+                out["sig"].append(low.view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["key"], pa.binary()), pa.array(out["s0"], pa.int64()),
                  pa.array(out["s1"], pa.int64()), pa.array(out["sig"], pa.list_(pa.int32()))], ["id", "n", "key", "s0", "s1", "sig"])
@@ -136,51 +137,66 @@ def confirm(pairs: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str,
     return links
 
 
+def _functions(tree: Column, level: int, config: JoinConfig) -> list[Column]:
+    """The minwise functions that nodes of a level choose: other ones for each tree and level, as long as there are any."""
+    if level == 0:
+        return [tree * config.root_branches + k for k in range(config.root_branches)]
+    first = config.trees * (config.root_branches + (level - 1) * config.branches)
+    return [(F.lit(first) + tree * config.branches + k) % FUNCTIONS for k in range(config.branches)]
+
+
+def _branch(rows: DataFrame, level: int, config: JoinConfig) -> DataFrame:
+    """Sends rows to the children of their nodes."""
+    return rows.withColumn("node", F.explode(F.array(*[
+        F.xxhash64("tree", "node", F.lit(k), F.get("sig", c)) for k, c in enumerate(_functions(F.col("tree"), level, config))]))).drop("sig")
+
+
+def _lead(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``lead``: the smallest document that a row's document is known to be connected with."""
+    rows = rows.drop("lead")
+    if roots is None:
+        return rows.withColumn("lead", F.col("id"))
+    known = roots.select(F.col("id").alias("rid"), "root")
+    return rows.join(known, F.col("id") == F.col("rid"), "left").withColumn("lead", F.coalesce("root", "id")).drop("rid", "root")
+
+
 def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str, text: str) -> DataFrame:
     """Links (a < b) between representatives, enough of them to connect every group."""
-    roots = [(t, t * config.root_branches + k) for t in range(config.trees) for k in range(config.root_branches)]
     data = ("id", "n", "s0", "s1")
-    rows = reps.select(*data, F.col("id").alias("lead"), F.explode(F.array(*[
-        F.xxhash64(F.lit(t), F.lit(c), F.get("sig", F.lit(c % STORED))) for t, c in roots])).alias("node"))
-    sig = reps.select(F.col("id").alias("sid"), F.col("n").alias("sn"), F.col("s0").alias("ss0"), "sig")
-    links, step = None, None
+    me = F.struct(*data)
+    sig = reps.select(F.struct(*data).alias("me"), "sig")
+    rows = reps.select(*data, F.col("id").alias("lead"), "sig", F.lit(0).cast("bigint").alias("node"),
+                       F.explode(F.sequence(F.lit(0), F.lit(config.trees - 1))).alias("tree"))
+    rows = _branch(rows, 0, config)
+    links = roots = None
+
+    def grow(pairs: DataFrame) -> None:
+        """Confirms pairs and adds their links."""
+        nonlocal links, roots
+        pairs = materialize(pairs.distinct())
+        found = confirm(pairs, docs, config, doc_id, text)
+        drop_step(pairs)
+        if links is None or not found.isEmpty():
+            links = found if links is None else materialize(links.unionByName(found))
+            roots = components(links)
+
     for level in range(config.depth + 1):
-        stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("id", "lead", "n", "s0", "s1")).alias("first"),
-                                         F.min("lead").alias("lo"), F.max("lead").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        live = materialize(rows.join(stats, "node"))
-        if step is not None:
-            drop_step(step)
-        step = live
-        last = level == config.depth
-        leaf = live if last else live.where(F.col("size") <= config.leaf)
-        part = leaf.select("node", "lead", *data)
+        stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(me).alias("first"), F.min("lead").alias("lo"), F.max("lead").alias("hi"),
+                                         F.min(F.struct("id", "lead")).alias("top")).where("lo <> hi")
+        live = materialize(rows.join(stats.drop("lo", "hi"), "node"))
+        # every document of a node against its first: a large group of near copies becomes one cluster
+        star = live.where(F.col("lead") != F.col("top.lead")).select(me.alias("x"), F.col("first").alias("y")).where(_close("x", "y", config))
+        grow(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
+        # small nodes: clusters exhaustively against each other
+        part = _lead(live if level == config.depth else live.where(F.col("size") <= config.leaf), roots).select("node", "lead", *data)
         near = part.alias("x").join(part.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
                                     & (F.col("x.lead") != F.col("y.lead")) & _close("x", "y", config))
-        pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        big = None if last else live.where(F.col("size") > config.leaf)
-        if big is not None:
-            star = big.select(F.struct("id", "lead", "n", "s0", "s1").alias("x"), F.col("first").alias("y")).where(
-                (F.col("x.id") != F.col("y.id")) & (F.col("x.lead") != F.col("y.lead")) & _close("x", "y", config))
-            pairs = pairs.unionByName(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
-        pairs = pairs.distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        found = confirm(pairs, docs, config, doc_id, text)
-        drop_step(pairs)
-        links = found if links is None else materialize(links.unionByName(found))
-        if big is None or big.isEmpty():
+        grow(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        big = live.where(F.col("size") > config.leaf)
+        if level == config.depth or big.isEmpty():
             break
-        # members that are linked with a node's first document are one cluster below it
-        linked = links.select(F.col("a").alias("pa"), F.col("b").alias("pb"))
-        led = big.join(linked, (F.col("first.id") == F.col("pa")) & (F.col("id") == F.col("pb")), "left")
-        led = led.withColumn("lead", F.when(F.col("pa").isNotNull(), F.col("first.lead")).otherwise(F.col("lead")))
-        # the functions that a node chooses for its children
-        chosen = F.pmod(F.xxhash64("node"), F.lit(STORED)).cast("int")
-        children = led.join(sig, (F.col("id") == F.col("sid")) & (F.col("n") == F.col("sn")) & (F.col("s0") == F.col("ss0")))
-        rows = children.select(*data, "lead", F.explode(F.array(*[
-            F.xxhash64("node", F.lit(k), F.get("sig", F.pmod(chosen + k * 11, F.lit(STORED)))) for k in range(config.branches)])).alias("node"))
-    drop_step(step)
+        own = _lead(big, roots).select(*data, "lead", "node", "tree")
+        rows = _branch(own.withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me"), level + 1, config)
     return links
 
 
