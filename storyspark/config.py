@@ -229,8 +229,8 @@ class ScoringConfig:
     foreign_penalty: int = 20
     title_similarity: float = 0.82
     token_jaccard: float = 0.55
-    text_chars: int = 2000
-    story_chars: int = 600
+    text_chars: int | None = None  # whole texts; a number cuts them
+    story_chars: int | None = None  # whole texts; a number cuts them
 
 
 @dataclass(frozen=True)
@@ -243,7 +243,7 @@ class ClassifyConfig:
     accept_margin: float = 2.0
     low_confidence: float = 0.62
     dominant_ratio: float = 0.5
-    content_chars: int = 1200
+    content_chars: int | None = None  # whole texts; a number cuts them
     ambiguous_risk: float = 10.0
     review_quota: int = 12
     opinion_min_confidence: float = 0.55

@@ -7,6 +7,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,40 +54,48 @@ _BROKEN = {
     "â€“": "-", "â€”": "-", "â€¦": "...", "Â": "",
 }
 _MARKERS = "ÃÂâ"
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-
-
-def _marker_count(text: str) -> int:
-    return sum(text.count(m) for m in _MARKERS)
-
-
-def repair(text: str | None) -> str:
-    """Entities (up to three layers), broken UTF-8 and tags of one text."""
-    text = text or ""
-    for _ in range(3):
-        plain = html.unescape(text)
-        if plain == text:
-            break
-        text = plain
-    before = _marker_count(text)
-    if before:
-        trial = text
-        for bad, good in _BROKEN.items():
-            trial = trial.replace(bad, good)
-        trial = re.sub("Ã([\x80-\xbf])", lambda m: chr(0xC0 + ord(m.group(1)) - 0x80), trial)
-        for codec in ("latin1", "cp1252"):
-            try:
-                trial = trial.encode(codec).decode("utf-8")
-                break
-            except UnicodeError:
-                pass
-        if _marker_count(trial) < before:
-            text = trial
-    if _TAG.search(text):
-        text = html.unescape(_TAG.sub(" ", text))
-    return text
+_TAG = "</?[a-zA-Z][^>]*>"
+#: Characters that a byte of a wrongly decoded sequence can have become, and that byte.
+_BYTE = {chr(b): b for b in range(0x80, 0x100)} | {
+    bytes([b]).decode("cp1252"): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_RUN = re.compile("[" + "".join(map(re.escape, _BYTE)) + "]{2,}")
+
+
+def _meant(run: re.Match) -> str:
+    """A run of such characters read as UTF-8, as far as it is; the rest stays."""
+    raw = bytes(_BYTE[c] for c in run.group())
+    out, at = [], 0
+    while at < len(raw):
+        width = next((n for n in (2, 3, 4) if len(raw[at:at + n].decode("utf-8", "ignore")) == 1), 1)
+        out.append(raw[at:at + width].decode("utf-8") if width > 1 else run.group()[at])
+        at += width
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def plain_entities(values: pd.Series) -> pd.Series:
+    """Entities replaced, up to three layers deep."""
+    return values.map(lambda x: html.unescape(html.unescape(html.unescape(x))), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def repair_text(values: pd.Series) -> pd.Series:
-    return values.map(repair)
+def reread_runs(values: pd.Series) -> pd.Series:
+    """Runs that were UTF-8 before someone read them byte by byte."""
+    return values.str.replace(_RUN, _meant, regex=True)
+
+
+def repair_text(text: Column) -> Column:
+    """Entities, broken UTF-8 and tags of a whole text.
+
+    The broken sequences are replaced only if that leaves fewer of their marks. Null counts as empty.
+    """
+    def marks(c: Column) -> Column:
+        return F.length(c) - F.length(F.translate(c, _MARKERS, ""))
+
+    plain = plain_entities(F.coalesce(text, F.lit("")))
+    known = plain
+    for bad, good in _BROKEN.items():
+        known = F.replace(known, F.lit(bad), F.lit(good))
+    tried = reread_runs(F.when(marks(plain) > 0, known).otherwise(plain))
+    fixed = F.when((marks(plain) > 0) & (marks(tried) < marks(plain)), tried).otherwise(plain)
+    return F.when(fixed.rlike(_TAG), plain_entities(F.regexp_replace(fixed, _TAG, " "))).otherwise(fixed)

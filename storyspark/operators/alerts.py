@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,119 +12,127 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-_ALERT = "indicator_code string, id bigint, reference double, value double, change_ratio double, delivered boolean"
+#: Values are whole millionths, so that a move of exactly the threshold is seen as one.
+SCALE = 1_000_000
+_ALERT = "indicator_code string, id bigint, reference bigint, value bigint, delivered boolean"
 
 
-def _fold(points: Iterable[tuple], reference: float | None, threshold: float):
-    """Walk (id, value, delivered) in order; yields alerts, last item is the new reference."""
+def millionths(value: Column) -> Column:
+    return (value.cast("decimal(18,6)") * SCALE).cast("bigint")
+
+
+def with_ratio(alerts: DataFrame) -> DataFrame:
+    """Alerts with decimal values and the relative change."""
+    as_decimal = lambda c: (F.col(c).cast("decimal(24,0)") / SCALE).cast("decimal(18,6)")
+    return alerts.select("indicator_code", "id", as_decimal("reference").alias("reference"), as_decimal("value").alias("value"),
+                         ((F.col("value") - F.col("reference")).cast("double") / F.col("reference").cast("double")).alias("change_ratio"), "delivered")
+
+
+def crosses(value: int, reference: int, threshold: Fraction) -> bool:
+    return abs(value - reference) * threshold.denominator >= threshold.numerator * abs(reference)
+
+
+def fold(points: Iterable[tuple], reference: int | None, threshold: Fraction) -> tuple[list[tuple], int | None]:
+    """Walk (id, value, delivered) in order: alerts, and the reference after them."""
     alerts = []
     for row_id, value, delivered in points:
         if reference is None:
             reference = value
-            continue
-        if reference == 0:
-            break
-        ratio = (value - reference) / reference
-        if abs(ratio) >= threshold:
-            alerts.append((row_id, reference, value, ratio, bool(delivered)))
+        elif reference and crosses(value, reference, threshold):
+            alerts.append((row_id, reference, value, bool(delivered)))
             if delivered:
                 reference = value
     return alerts, reference
 
 
-def bounded_block(df: DataFrame, key: str, ts: str, rows: int) -> Column:
-    """Coarsest of day, hour, minute and second that keeps a block of a key within ``rows``."""
-    units = ("day", "hour", "minute", "second")
-    for unit in units[:-1]:
-        block = F.date_trunc(unit, F.col(ts).cast("timestamp")).cast("timestamp_ntz")
-        largest = df.groupBy(key, block.alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if (largest or 0) <= rows:
-            return block
-    return F.date_trunc(units[-1], F.col(ts).cast("timestamp")).cast("timestamp_ntz")
+def next_crossings(values: list[int], threshold: Fraction) -> list[int]:
+    """For each position the first later one whose value crosses from it, or the length. O(n log n).
 
-
-def price_alerts(df: DataFrame, threshold: float = 0.01, block_rows: int = 200_000) -> DataFrame:
-    """Alerts per code; the reference moves only with a delivered alert.
-
-    The first value of a code sets the reference silently, a zero reference never alerts.
-    A series is cut into time blocks. Which point a block ends on depends only on where
-    its first delivered alert falls, so every block is summarised on its own: its record
-    highs and lows (the only points a reference can first cross at) and the last alert
-    reached from each. The references then pass over the short summaries, and all
-    blocks emit their alerts in parallel.
+    From the right, two stacks hold the positions whose value exceeds (falls below) all nearer ones; the first value at
+    or beyond a bound is among them, in order, so it is found by bisection.
+    """
+    n = len(values)
+    out, p, q = [n] * n, threshold.numerator, threshold.denominator
+    up_keys, up_at, low_keys, low_at = [], [], [], []
+    for i in range(n - 1, -1, -1):
+        v = values[i]
+        if v:
+            high, low = v * q + p * abs(v), v * q - p * abs(v)
+            # keys ascend towards the top of the stack: -value of highs, value of lows
+            k = bisect_right(up_keys, -high) - 1
+            j = bisect_right(low_keys, low) - 1
+            out[i] = min(up_at[k] if k >= 0 else n, low_at[j] if j >= 0 else n)
+        for keys, at, key in ((up_keys, up_at, -v * q), (low_keys, low_at, v * q)):
+            while keys and keys[-1] >= key:
+                keys.pop()
+                at.pop()
+            keys.append(key)
+            at.append(i)
+    return out
+
+
+def price_alerts(df: DataFrame, threshold: float | str = "0.01", block: str = "day", codes: list[str] | None = None) -> DataFrame:
+    """Alerts per code; the reference moves only with a delivered alert. ``codes`` limits the tracked codes.
+
+    The first value of a code sets the reference silently, a zero reference never alerts. A move of exactly the
+    threshold alerts: values are compared as whole millionths. A series is cut into time blocks (``block``, a unit).
+    Which point a block ends on depends only on where its first delivered alert falls, so every block is summarised on
+    its own: its record highs and lows (the only points a reference can first cross at) and the last alert reached
+    from each, in O(n log n). The references then pass over the short summaries, and all blocks emit in parallel.
     ``df(indicator_code, id, collected_at, value, delivered)``.
     """
-    points = cut(df.where(F.col("value").isNotNull()).select(
-        "indicator_code", "collected_at", "id", F.col("value").cast("double").alias("value"),
-        F.coalesce("delivered", F.lit(True)).alias("delivered")))
-    points = points.withColumn("block", bounded_block(points, "indicator_code", "collected_at", block_rows))
+    limit = Fraction(str(threshold))
+    tracked = df if codes is None else df.where(F.col("indicator_code").isin(codes))
+    points = cut(tracked.where(F.col("value").isNotNull()).select(
+        "indicator_code", "collected_at", "id", millionths(F.col("value")).alias("value"),
+        F.coalesce("delivered", F.lit(True)).alias("delivered"),
+        F.date_trunc(block, F.col("collected_at").cast("timestamp")).cast("timestamp_ntz").alias("block")))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["collected_at", "id"])
-        values, sent = pdf["value"].tolist(), pdf["delivered"].tolist()
-        # record highs and lows among points that can move the reference
-        usable = [i for i, ok in enumerate(sent) if ok]
-        high, low, crossing = float("-inf"), float("inf"), []
-        for i in usable:
-            if values[i] > high or values[i] < low:
-                crossing.append(i)
-                high, low = max(high, values[i]), min(low, values[i])
-        last_of: dict[float, float] = {}
-        rows = [(0, values[0], _run(values, sent, 0, values[0], threshold))]
-        for i in crossing:
-            if (i, values[i]) not in last_of:
-                last_of[(i, values[i])] = _run(values, sent, i + 1, values[i], threshold)
-            rows.append((i + 1, values[i], last_of[(i, values[i])]))
+        first = int(pdf["value"].iloc[0])
+        values = [int(v) for v in pdf["value"][pdf["delivered"]]]
+        after = next_crossings(values, limit)
+        leave = values[:]  # the reference at the end of the block, starting from each value
+        for i in range(len(values) - 1, -1, -1):
+            if after[i] < len(values):
+                leave[i] = leave[after[i]]
+        start = next((i for i, v in enumerate(values) if first and crosses(v, first, limit)), None)
+        rows = [(0, first, first if start is None else leave[start])]
+        high = low = None
+        for i, v in enumerate(values):
+            if high is None or v > high or v < low:
+                rows.append((i + 1, v, leave[i]))
+                high, low = v if high is None else max(high, v), v if low is None else min(low, v)
         return pd.DataFrame({
-            "indicator_code": pdf["indicator_code"].iloc[0], "block": pdf["block"].iloc[0],
-            "pos": pd.Series([r[0] for r in rows], dtype="int32"), "value": [r[1] for r in rows],
-            "exit": [r[2] for r in rows]})
+            "indicator_code": pdf["indicator_code"].iloc[0], "block": pdf["block"].iloc[0], "pos": pd.Series([r[0] for r in rows], dtype="int32"),
+            "value": pd.Series([r[1] for r in rows], dtype="int64"), "exit": pd.Series([r[2] for r in rows], dtype="int64")})
 
     summaries = points.groupBy("indicator_code", "block").applyInPandas(
-        summarise, "indicator_code string, block timestamp_ntz, pos int, value double, exit double")
+        summarise, "indicator_code string, block timestamp_ntz, pos int, value bigint, exit bigint")
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         out, reference = [], None
-        for block_value, rows in pdf.sort_values(["block", "pos"]).groupby("block", sort=True):
-            out.append((pdf["indicator_code"].iloc[0], block_value, reference))
-            entries = list(zip(rows["pos"], rows["value"], rows["exit"]))
+        for at, rows in pdf.sort_values(["block", "pos"]).groupby("block", sort=True):
+            out.append((at, reference))
+            entries = [(int(p), int(v), int(e)) for p, v, e in zip(rows["pos"], rows["value"], rows["exit"])]
             if reference is None:
                 reference = entries[0][2]
-                continue
-            if reference == 0:
-                continue
-            for pos, value, exit_value in entries:
-                if pos > 0 and abs((value - reference) / reference) >= threshold:
-                    reference = exit_value
-                    break
+            elif reference:
+                reference = next((e for p, v, e in entries if p and crosses(v, reference, limit)), reference)
         return pd.DataFrame({
-            "indicator_code": [o[0] for o in out], "block": [o[1] for o in out],
-            "reference": pd.array([o[2] for o in out], dtype="Float64")})
+            "indicator_code": pdf["indicator_code"].iloc[0], "block": [o[0] for o in out], "reference": pd.array([o[1] for o in out], dtype="Int64")})
 
     # one short list of records per block of a code
-    references = summaries.groupBy("indicator_code").applyInPandas(
-        carry, "indicator_code string, block timestamp_ntz, reference double")
+    references = summaries.groupBy("indicator_code").applyInPandas(carry, "indicator_code string, block timestamp_ntz, reference bigint")
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["collected_at", "id"])
         start = pdf["reference"].iloc[0]
-        alerts, _ = _fold(zip(pdf["id"], pdf["value"], pdf["delivered"]), None if pd.isna(start) else float(start), threshold)
-        return pd.DataFrame({
-            "indicator_code": pdf["indicator_code"].iloc[0] if alerts else pd.Series([], dtype="object"),
-            "id": pd.Series([a[0] for a in alerts], dtype="int64"),
-            "reference": pd.Series([a[1] for a in alerts], dtype="float64"),
-            "value": pd.Series([a[2] for a in alerts], dtype="float64"),
-            "change_ratio": pd.Series([a[3] for a in alerts], dtype="float64"),
-            "delivered": pd.Series([a[4] for a in alerts], dtype="bool")})
-
-    return points.join(references, ["indicator_code", "block"]).groupBy("indicator_code", "block").applyInPandas(emit, _ALERT)
-
-
-def _run(values: list[float], sent: list[bool], start: int, reference: float, threshold: float) -> float:
-    """Reference after walking from ``start`` to the end of the block."""
-    for i in range(start, len(values)):
-        if reference == 0:
-            break
-        if sent[i] and abs((values[i] - reference) / reference) >= threshold:
-            reference = values[i]
-    return reference
+        walk = zip(pdf["id"], map(int, pdf["value"]), pdf["delivered"])
+        alerts, _ = fold(walk, None if pd.isna(start) else int(start), limit)
+        out = pd.DataFrame(alerts, columns=["id", "reference", "value", "delivered"])
+        return out.astype({"id": "int64", "reference": "int64", "value": "int64", "delivered": "bool"}).assign(indicator_code=pdf["indicator_code"].iloc[0])
+
+    joined = points.join(references, ["indicator_code", "block"])
+    return with_ratio(joined.groupBy("indicator_code", "block").applyInPandas(emit, _ALERT))

@@ -67,7 +67,7 @@ def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = Cl
     fields = [
         ("title", t.fold(F.col("title")), cfg.title_weight),
         ("description", t.fold(F.col("description")), cfg.description_weight),
-        ("content", t.fold(F.left("content", F.lit(cfg.content_chars))), cfg.content_weight),
+        ("content", t.fold(F.col("content") if cfg.content_chars is None else F.left("content", F.lit(cfg.content_chars))), cfg.content_weight),
     ]
     texts = articles.select("id", F.inline(F.array(*[
         F.struct(F.lit(n).alias("field"), F.lit(w).alias("field_weight"), c.alias("folded")) for n, c, w in fields

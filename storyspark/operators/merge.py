@@ -20,35 +20,35 @@ def insert_if_absent(base: DataFrame, new: DataFrame, key: Sequence[str]) -> Dat
     return new.join(b, on, "left_anti").dropDuplicates(list(key))
 
 
-def trusted_date(existing: Column) -> Column:
-    """Whether an incoming row may overwrite a stored date."""
-    flag = F.coalesce(F.col("n.published_at_from_detail"), F.lit(False)) | F.coalesce(F.col("n.published_at_from_listing"), F.lit(False))
-    return existing.isNull() | flag | (F.col("n.source_type") != "scraper")
-
-
 def upsert_articles(base: DataFrame, batch: DataFrame) -> DataFrame:
     """Merge a batch into stored articles by URL hash; adds ``outcome``.
 
-    Last batch row per hash wins. Dates and scores are overwritten only by a trusted
-    date. Hot hashes are reduced by the aggregation before the join.
+    The batch counts as if its rows came one after the other by collection time. The last row of a hash sets its
+    fields. Date and score come from the last row with a trusted date; without one they stay as stored, or, if
+    nothing was stored, come from the first row. Hot hashes are reduced by the aggregation before the join.
     """
-    fields = ["title", "url", "description", "content", "category", "source", "source_type", "published_at",
-              "published_at_from_detail", "published_at_from_listing", "collected_at", "score", "id"]
+    fields = ["title", "url", "description", "content", "category", "source", "collected_at", "id"]
     usable = batch.where((F.length("url") > 0) & (F.length("title") > 0) & F.col("url_hash").isNotNull())
-    n = usable.groupBy("url_hash").agg(F.max_by(F.struct(*fields), F.struct("collected_at", "id")).alias("n"))
-    b = base.select("url_hash", F.struct(*[c for c in fields if c in base.columns]).alias("b"))
+    order = F.struct("collected_at", "id")
+    dated = F.struct(F.coalesce("published_at", "collected_at").alias("at"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    trusted = (F.coalesce("published_at_from_detail", F.lit(False)) | F.coalesce("published_at_from_listing", F.lit(False))
+               | F.coalesce(F.col("source_type") != "scraper", F.lit(False)))
+    n = usable.groupBy("url_hash").agg(
+        F.max_by(F.struct(*fields), order).alias("n"), F.max_by(dated, F.when(trusted, order)).alias("t"), F.min_by(dated, order).alias("f"))
+    b = base.select("url_hash", F.struct(*fields, "published_at", "score").alias("b"))
     joined = b.join(n, "url_hash", "full")
     new, old = F.col("n").isNotNull(), F.col("b").isNotNull()
-    move = new & (~old | trusted_date(F.col("b.published_at")))
 
     def pick(name: str) -> Column:
         return F.when(new, F.col(f"n.{name}")).otherwise(F.col(f"b.{name}")).alias(name)
 
+    def moved(name: str, stored: str) -> Column:
+        first = F.when(new & F.col("b.published_at").isNull(), F.col(f"f.{name}")).otherwise(F.col(f"b.{stored}"))
+        return F.when(F.col("t").isNotNull(), F.col(f"t.{name}")).otherwise(first).alias(stored)
+
     return joined.select(
         "url_hash", F.coalesce("b.id", "n.id").alias("id"),
-        *[pick(c) for c in ("title", "url", "description", "content", "category", "source")],
-        F.when(move, F.coalesce("n.published_at", "n.collected_at")).otherwise(F.col("b.published_at")).alias("published_at"),
-        F.when(move, F.coalesce("n.score", F.lit(0.0))).otherwise(F.col("b.score")).alias("score"),
+        *[pick(c) for c in ("title", "url", "description", "content", "category", "source")], moved("at", "published_at"), moved("score", "score"),
         F.coalesce("b.collected_at", "n.collected_at").alias("collected_at"),
         F.when(new & old, "updated").when(new, "inserted").otherwise("kept").alias("outcome"))
 

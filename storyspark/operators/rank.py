@@ -27,10 +27,10 @@ def canonical_source(source: Column, cfg: ScoringConfig = ScoringConfig()) -> Co
     return F.coalesce(F.try_element_at(_map(cfg.source_aliases), key), key)
 
 
-def article_text(chars: int) -> Column:
+def article_text(chars: int | None = None) -> Column:
+    content = F.coalesce("content", F.lit(""))
     return t.fold(F.concat_ws(
-        " ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")),
-        F.left(F.coalesce("content", F.lit("")), F.lit(chars))))
+        " ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), content if chars is None else F.left(content, F.lit(chars))))
 
 
 def _folded(terms: Sequence[str]) -> list[str]:

@@ -17,21 +17,14 @@ from ..functions import text as t
 from ..functions.arrow import story_score, title_ratio
 from ..session import cut
 
-FREQUENT_TOKENS = 20_000  # size bound of the broadcast list
-
-
 def _prefixes(nodes: DataFrame, node: str, tokens: str, keep: Column) -> DataFrame:
     """(node, n, pos, token): the first ``keep`` tokens of each node, rarest first.
 
-    Only the most frequent tokens get a rank, so the broadcast list has a fixed
-    bound; all others are ordered by hash, which is as good an order as any.
+    Every token has its exact document count; a token of one node alone needs no count, as no pair shares it.
     """
     single = nodes.select(F.col(node).alias("node"), F.size(tokens).alias("n"), keep.alias("keep"), F.explode(tokens).alias("token"))
-    frequent = (
-        single.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        .orderBy(F.col("df").desc(), "token").limit(FREQUENT_TOKENS)
-    )
-    ranked = single.join(F.broadcast(frequent), "token", "left").groupBy("node", "n", "keep").agg(
+    counts = single.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = single.join(counts, "token", "left").groupBy("node", "n", "keep").agg(
         F.array_sort(F.collect_list(F.struct(
             F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), "token"))).alias("s"))
     return ranked.select("node", "n", F.posexplode(F.slice("s", F.lit(1), F.col("keep").cast("int"))).alias("pos", "e")).select(

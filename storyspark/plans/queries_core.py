@@ -307,8 +307,7 @@ def _(spark, sf):
 
 @query("text_repair")
 def _(spark, sf):
-    p = _pages(spark, sf).select("page_id", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("raw"))
-    return p.select("page_id", t.strip_invisible(repair_text(F.col("raw"))).alias("heading"))
+    return _pages(spark, sf).select("page_id", t.strip_invisible(repair_text(F.col("html"))).alias("repaired"))
 
 
 @query("summary_context")
@@ -375,7 +374,7 @@ def _rule_structs() -> str:
 
 
 _RULE_MATCH = f"""{fx.ARTICLES}, {fx.RULES_SQL},
-ft AS (SELECT id, {fx.sql_fold("title")} AS t, {fx.sql_fold("description")} AS d, {fx.sql_fold("left(content, 1200)")} AS c FROM articles),
+ft AS (SELECT id, {fx.sql_fold("title")} AS t, {fx.sql_fold("description")} AS d, {fx.sql_fold("content")} AS c FROM articles),
 mt AS MATERIALIZED (SELECT id, m.* FROM (SELECT id, unnest([{_rule_structs()}]) AS m FROM ft)),
 tm AS (SELECT *, weight * CASE field WHEN 'title' THEN 3.0 WHEN 'description' THEN 2.0 ELSE 1.0 END AS value FROM mt WHERE field IS NOT NULL)"""
 
@@ -495,7 +494,7 @@ def rank_ctes(source: str = "articles", sources: str = "1") -> str:
     buckets = " ".join(f"WHEN hrs < {h} THEN {s}" for h, s in _CFG.recency_buckets)
     scores = " ".join(f"WHEN '{k}' THEN {s}" for k, s in _CFG.source_scores.items())
     impact = " ".join(f"WHEN regexp_matches(stext, '{_rx(terms)}') THEN {s}" for _, s, terms in _CFG.impact_terms)
-    return f"""r0 AS MATERIALIZED (SELECT *, {sources} AS nsrc, replace({fx.sql_fold("source")}, ' ', '_') AS csrc, {fx.sql_fold("concat_ws(' ', coalesce(title, ''), coalesce(description, ''), left(coalesce(content, ''), 2000))")} AS stext,
+    return f"""r0 AS MATERIALIZED (SELECT *, {sources} AS nsrc, replace({fx.sql_fold("source")}, ' ', '_') AS csrc, {fx.sql_fold("concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(content, ''))")} AS stext,
   {fx.sql_words("content")} AS cw, greatest(epoch_us({_NOW} - published_at) / 3600000000.0::DOUBLE, 0) AS hrs FROM {source}),
 r1 AS MATERIALIZED (SELECT *, {_count_terms("stext", _CFG.local_terms)} AS loc, regexp_matches(stext, '{_rx(_CFG.foreign_terms)}') AS forn FROM r0),
 r2 AS (SELECT *, CASE WHEN published_at IS NULL THEN 20 {buckets} ELSE 10 END AS s1, CASE csrc {scores} ELSE 55 END AS s2,

@@ -187,20 +187,22 @@ def _(spark, sf):
     return ic.revert_repair(repaired).select("id", "value", "reverted")
 
 
-_ALERT_SQL = f"""WITH RECURSIVE {fx.INDICATORS}, p AS MATERIALIZED (SELECT indicator_code, id, value::DOUBLE AS v, id % 10 <> 3 AS ok, row_number() OVER (PARTITION BY indicator_code ORDER BY collected_at, id) AS rn FROM ind),
+# prices of two digits, so that moves of exactly one per cent occur
+_PRICE = "CAST(CAST(CAST(value AS BIGINT) % 60 AS DECIMAL(18,6)) * 0.05 + 10 AS DECIMAL(18,6))"
+_ALERT_SQL = f"""WITH RECURSIVE {fx.INDICATORS}, p AS MATERIALIZED (SELECT indicator_code, id, {_PRICE} AS v, id % 10 <> 3 AS ok, row_number() OVER (PARTITION BY indicator_code ORDER BY collected_at, id) AS rn FROM ind),
 w(indicator_code, rn, ref, id, oldref, v, ok, hit) AS (SELECT indicator_code, rn, v, id, v, v, ok, false FROM p WHERE rn = 1
- UNION ALL SELECT p.indicator_code, p.rn, CASE WHEN w.ref <> 0 AND abs((p.v - w.ref) / w.ref) >= 0.5 AND p.ok THEN p.v ELSE w.ref END, p.id, w.ref, p.v, p.ok, w.ref <> 0 AND abs((p.v - w.ref) / w.ref) >= 0.5
+ UNION ALL SELECT p.indicator_code, p.rn, CASE WHEN w.ref <> 0 AND abs(p.v - w.ref) >= 0.01 * abs(w.ref) AND p.ok THEN p.v ELSE w.ref END, p.id, w.ref, p.v, p.ok, w.ref <> 0 AND abs(p.v - w.ref) >= 0.01 * abs(w.ref)
  FROM w JOIN p ON p.indicator_code = w.indicator_code AND p.rn = w.rn + 1)
-SELECT indicator_code, id, oldref AS reference, v AS value, (v - oldref) / oldref AS change_ratio, ok AS delivered FROM w WHERE hit"""
+SELECT indicator_code, id, oldref::DOUBLE AS reference, v::DOUBLE AS value, (CAST(v * 1000000 AS BIGINT) - CAST(oldref * 1000000 AS BIGINT))::DOUBLE / CAST(oldref * 1000000 AS BIGINT)::DOUBLE AS change_ratio, ok AS delivered FROM w WHERE hit"""
 
 
 def _priced(df: DataFrame) -> DataFrame:
-    return df.withColumn("delivered", F.expr("id % 10 <> 3"))
+    return df.withColumns({"delivered": F.expr("id % 10 <> 3"), "value": F.expr(_PRICE)})
 
 
 @query("price_alerts", _ALERT_SQL)
 def _(spark, sf):
-    return al.price_alerts(_priced(fx.indicators(spark, sf)), threshold=0.5)
+    return al.price_alerts(_priced(fx.indicators(spark, sf)), threshold="0.01")
 
 
 # --- delivery ----------------------------------------------------------------
@@ -302,7 +304,7 @@ def _(spark, sf):
 @query("stream_price_alerts", _ALERT_SQL)
 def _(spark, sf):
     stream, sink, ckpt = _replay(_priced(fx.indicators(spark, sf)).drop("raw_payload"))
-    return _drain(jobs.price_alerts(stream, 0.5), sink, ckpt)
+    return _drain(jobs.price_alerts(stream, "0.01"), sink, ckpt)
 
 
 @query("stream_dedup", f"""WITH {fx.ARTICLES} SELECT count(DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS n FROM articles""")

@@ -351,11 +351,15 @@ def _(spark, sf):
 
 # --- upserts -----------------------------------------------------------------
 @query("upsert_articles", f"""WITH {fx.ARTICLES}, base AS (SELECT * FROM articles WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY id) = 1),
-n AS (SELECT * FROM (SELECT * REPLACE (published_at + INTERVAL 2 DAY AS published_at, score + 1 AS score, collected_at + INTERVAL 5 DAY AS collected_at) FROM articles) WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY collected_at DESC, id DESC) = 1)
+m AS (SELECT * REPLACE (published_at + INTERVAL 2 DAY AS published_at, score + 1 AS score, collected_at + INTERVAL 5 DAY AS collected_at) FROM articles WHERE title <> ''),
+n AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY collected_at DESC, id DESC) = 1),
+t AS (SELECT * FROM m WHERE published_at_from_detail OR published_at_from_listing OR source_type <> 'scraper' QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY collected_at DESC, id DESC) = 1),
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY collected_at, id) = 1)
 SELECT url_hash, coalesce(b.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE b.title END AS title,
-  CASE WHEN n.id IS NOT NULL AND (b.id IS NULL OR b.published_at IS NULL OR n.published_at_from_detail OR n.published_at_from_listing OR n.source_type <> 'scraper') THEN coalesce(n.published_at, n.collected_at) ELSE b.published_at END AS published_at,
-  CASE WHEN n.id IS NOT NULL AND (b.id IS NULL OR b.published_at IS NULL OR n.published_at_from_detail OR n.published_at_from_listing OR n.source_type <> 'scraper') THEN n.score ELSE b.score END AS score,
-  CASE WHEN n.id IS NOT NULL AND b.id IS NOT NULL THEN 'updated' WHEN n.id IS NOT NULL THEN 'inserted' ELSE 'kept' END AS outcome FROM base b FULL JOIN n USING (url_hash)""")
+  CASE WHEN t.id IS NOT NULL THEN coalesce(t.published_at, t.collected_at) WHEN f.id IS NOT NULL AND b.published_at IS NULL THEN coalesce(f.published_at, f.collected_at) ELSE b.published_at END AS published_at,
+  CASE WHEN t.id IS NOT NULL THEN coalesce(t.score, 0) WHEN f.id IS NOT NULL AND b.published_at IS NULL THEN coalesce(f.score, 0) ELSE b.score END AS score,
+  CASE WHEN n.id IS NOT NULL AND b.id IS NOT NULL THEN 'updated' WHEN n.id IS NOT NULL THEN 'inserted' ELSE 'kept' END AS outcome
+FROM base b FULL JOIN n USING (url_hash) LEFT JOIN t USING (url_hash) LEFT JOIN f USING (url_hash)""")
 def _(spark, sf):
     from ..operators.scan import first_per
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 from typing import Any
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import EVENT_NAMES
 from ..functions.urls import url_fingerprint
+from ..operators import alerts
 
 
 def event_counts(
@@ -45,7 +47,7 @@ def dedup_articles(stream: DataFrame, horizon: str = "3 days") -> DataFrame:
     return keyed.withWatermark("at", horizon).dropDuplicatesWithinWatermark(["url_key"])
 
 
-_POINT = "series string, id bigint, day date, value double, collected_at timestamp"
+_POINT = "series string, id bigint, day date, value bigint, collected_at timestamp"
 
 
 def change_only(stream: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -57,7 +59,7 @@ def change_only(stream: DataFrame, key: Sequence[str]) -> DataFrame:
     series = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key])
     points = stream.where(F.col("value").isNotNull()).select(
         series.alias("series"), "id", F.coalesce("observed_at", F.to_date("collected_at")).alias("day"),
-        F.col("value").cast("double").alias("value"), F.col("collected_at").cast("timestamp").alias("collected_at"))
+        alerts.millionths(F.col("value")).alias("value"), F.col("collected_at").cast("timestamp").alias("collected_at"))
 
     def walk(_: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
@@ -65,41 +67,33 @@ def change_only(stream: DataFrame, key: Sequence[str]) -> DataFrame:
         keep = []
         for day, value in zip(batch["day"].astype(str), batch["value"]):
             keep.append(last is None or last[0] != day or last[1] != value)
-            last = (day, float(value))
+            last = (day, int(value))
         state.update(last)
         yield batch[keep]
 
-    return points.groupBy("series").applyInPandasWithState(
-        walk, _POINT, "day string, value double", "append", GroupStateTimeout.NoTimeout)
+    kept = points.groupBy("series").applyInPandasWithState(
+        walk, _POINT, "day string, value bigint", "append", GroupStateTimeout.NoTimeout)
+    return kept.withColumn("value", (F.col("value").cast("decimal(24,0)") / alerts.SCALE).cast("decimal(18,6)"))
 
 
-_ALERT = "indicator_code string, id bigint, reference double, value double, change_ratio double, delivered boolean"
-
-
-def price_alerts(stream: DataFrame, threshold: float = 0.01) -> DataFrame:
+def price_alerts(stream: DataFrame, threshold: float | str = "0.01") -> DataFrame:
     """Alerts against the last delivered alert; state is the reference value of a code."""
+    limit = Fraction(str(threshold))
     points = stream.where(F.col("value").isNotNull()).select(
         "indicator_code", "id", F.col("collected_at").cast("timestamp").alias("collected_at"),
-        F.col("value").cast("double").alias("value"), F.coalesce("delivered", F.lit(True)).alias("delivered"))
+        alerts.millionths(F.col("value")).alias("value"), F.coalesce("delivered", F.lit(True)).alias("delivered"))
 
     def walk(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         reference = state.get[0] if state.exists else None
         batch = pd.concat(list(frames)).sort_values(["collected_at", "id"])
-        out = []
-        for row_id, value, delivered in zip(batch["id"], batch["value"], batch["delivered"]):
-            if reference is None:
-                reference = float(value)
-            elif reference != 0:
-                ratio = (value - reference) / reference
-                if abs(ratio) >= threshold:
-                    out.append((key[0], int(row_id), reference, float(value), float(ratio), bool(delivered)))
-                    reference = float(value) if delivered else reference
+        out, reference = alerts.fold(zip(batch["id"], map(int, batch["value"]), batch["delivered"]), reference, limit)
         if reference is not None:
             state.update((reference,))
-        yield pd.DataFrame(out, columns=["indicator_code", "id", "reference", "value", "change_ratio", "delivered"])
+        yield pd.DataFrame(out, columns=["id", "reference", "value", "delivered"]).assign(indicator_code=key[0])
 
-    return points.groupBy("indicator_code").applyInPandasWithState(
-        walk, _ALERT, "reference double", "append", GroupStateTimeout.NoTimeout)
+    found = points.groupBy("indicator_code").applyInPandasWithState(
+        walk, "id bigint, reference bigint, value bigint, delivered boolean, indicator_code string", "reference bigint", "append", GroupStateTimeout.NoTimeout)
+    return alerts.with_ratio(found)
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import text as t
 from storyspark.functions import urls as u
 from storyspark.functions import values as v
-from storyspark.functions.arrow import repair, title_ratio
+from storyspark.functions.arrow import repair_text, title_ratio
 
 
 @pytest.fixture(scope="module")
@@ -77,9 +77,9 @@ def test_clean_generated_and_context(one):
 
 def test_invisible_and_repair(one):
     assert one(t.strip_invisible(lit("a­b​  c"))) == "ab c"
-    assert repair("econom&amp;iacute;a") == "economía"
-    assert repair("dÃ­a â€œuno") == 'día "uno'
-    assert repair("uno<br/>dos").split() == ["uno", "dos"]
+    assert one(repair_text(lit("econom&amp;iacute;a"))) == "economía"
+    assert one(repair_text(lit("dÃ­a â€œuno"))) == 'día "uno'
+    assert one(repair_text(lit("uno<br/>dos"))).split() == ["uno", "dos"]
 
 
 def test_url_identity(one):

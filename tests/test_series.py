@@ -1,6 +1,7 @@
 """Series, alerts, streams, selection and delivery on small frames."""
 
 import random
+from fractions import Fraction
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -58,19 +59,38 @@ def alert_walk(rows, threshold):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows", [1000, 3])
-def test_alerts_equal_the_walk(spark, block_rows):
-    rnd = random.Random(block_rows)
+@pytest.mark.parametrize("block", ["day", "hour"])
+def test_alerts_equal_the_walk(spark, block):
+    rnd = random.Random(block)
     rows, level = [], {"a": 10.0, "b": 7.0, "z": 0.0}
     for i in range(600):
         code = rnd.choice("aabz")
         level[code] = round(level[code] * (1 + rnd.uniform(-0.02, 0.02)), 4)
         rows.append((code, datetime(2024, 1, 1) + timedelta(minutes=i * 7), i, level[code], rnd.random() > 0.3))
     df = spark.createDataFrame(rows, "indicator_code string, collected_at timestamp_ntz, id bigint, value double, delivered boolean")
-    got = sorted(r["id"] for r in alerts.price_alerts(df, 0.03, block_rows).collect())
+    got = sorted(r["id"] for r in alerts.price_alerts(df, 0.03, block).collect())
     assert got == alert_walk(rows, 0.03)
 
 
+def test_a_move_of_exactly_the_threshold_alerts(spark):
+    rows = [("a", datetime(2024, 1, 1, h), h, v, True) for h, v in enumerate(["10.00", "10.10", "10.15", "10.201", "12.00", "12.12"])]
+    df = spark.createDataFrame(rows, "indicator_code string, collected_at timestamp_ntz, id bigint, value string, delivered boolean")
+    df = df.withColumn("value", F.col("value").cast("decimal(18,6)"))
+    assert sorted(r["id"] for r in alerts.price_alerts(df).collect()) == [1, 3, 4, 5]
+    assert alerts.price_alerts(df, codes=["b"]).count() == 0
+
+
+def test_next_crossings_of_a_long_rise():
+    values = list(range(100_000, 300_000))
+    got = alerts.next_crossings(values, Fraction("0.01"))
+    assert got[0] == 1_000 and got[100_000] == 102_000 and got[-1] == len(values)
+    rnd = random.Random(2)
+    values = [rnd.randrange(-50, 50) for _ in range(400)]
+    for i, j in enumerate(alerts.next_crossings(values, Fraction("0.3"))):
+        want = next((k for k in range(i + 1, 400) if values[i] and alerts.crosses(values[k], values[i], Fraction("0.3"))), 400)
+        assert j == want
+
+
 def replay(spark, df, folder):
     df.write.parquet(f"{folder}/in")
     return spark.readStream.schema(df.schema).parquet(f"{folder}/in")
