@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import cut
+from .graph import components
 from .scan import first_per
 
 
@@ -70,53 +73,91 @@ def dim_upsert(dim: DataFrame, incoming: DataFrame) -> DataFrame:
         F.when(seen, F.lit(True)).otherwise(F.col("is_active")).alias("is_active"), F.col("id").isNull().alias("created"))
 
 
-def subscription_state(events: DataFrame) -> DataFrame:
-    """Current subscriptions from subscribe/unsubscribe events: latest event per identifier.
+SUBSCRIBER = ("phone string, telegram_id string, email string, channel string, categories array<string>, frequency string, preferred_hour int, "
+              "is_active boolean, updated_at timestamp_ntz")
 
-    ``events(identifier, action, at, seq, channel, categories, frequency, preferred_hour)``.
-    An unsubscribe keeps the preferences of the last subscribe and clears the flag.
-    """
-    at = F.struct("at", "seq")
-    is_sub = F.col("action") == "subscribe"
-    prefs = F.struct("channel", "categories", "frequency", "preferred_hour")
-    state = events.groupBy("identifier").agg(
-        F.max_by("action", at).alias("last_action"), F.max_by(prefs, F.when(is_sub, at)).alias("p"), F.max("at").alias("updated_at"))
-    return state.where("p IS NOT NULL").select(
-        "identifier", "p.channel", "p.categories", "p.frequency", "p.preferred_hour",
-        (F.col("last_action") == "subscribe").alias("is_active"), "updated_at")
+
+def _grouped(rows: DataFrame, keys: Column, name: str = "unit") -> DataFrame:
+    """Rows with the group of rows they are connected with by any of ``keys`` (an array of strings, one at least)."""
+    rows = cut(rows.withColumn("_keys", keys).where(F.size("_keys") > 0))
+    pairs = rows.where(F.size("_keys") > 1).select(F.get("_keys", F.lit(0)).alias("src"), F.explode(F.slice("_keys", F.lit(2), F.size("_keys"))).alias("dst")).where("src <> dst")
+    found = components(pairs.distinct()) if not pairs.isEmpty() else pairs.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return rows.withColumn("_k", F.get("_keys", F.lit(0))).join(found, F.col("_k") == F.col("node"), "left").withColumn(
+        name, F.coalesce("component", "_k")).drop("_k", "_keys", "node", "component")
 
 
-def subscription_events(requests: DataFrame) -> DataFrame:
-    """Requests by any of three identifiers to one event per identifier given.
+def subscription_state(requests: DataFrame) -> DataFrame:
+    """Subscribers after all requests, one record per subscriber.
 
-    ``requests(phone, telegram_id, email, action, at, seq, ...)``.
+    ``requests(phone, telegram_id, email, action, at, seq, channel, categories, frequency, preferred_hour)``. A
+    subscription finds a record by any identifier it names (the oldest, if several), and overwrites all its fields and
+    identifiers, or makes a new one; empty categories keep the stored ones. A removal marks every record that has one of
+    its identifiers. Requests are walked in order inside groups connected by identifiers: one person's requests.
     """
-    ids = F.array_compact(F.array(*[
-        F.when(F.length(c) > 0, F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("phone", "telegram_id", "email")]))
-    rest = [c for c in requests.columns if c not in ("phone", "telegram_id", "email")]
-    return requests.select(F.explode(ids).alias("identifier"), *rest)
+    names = ("phone", "telegram_id", "email")
+    given = F.array_compact(F.array(*[F.when(F.length(c) > 0, F.concat(F.lit(f"{c}:"), F.col(c))) for c in names]))
+    rows = _grouped(requests.select(*names, "action", "at", "seq", "channel", "categories", "frequency", "preferred_hour"), given)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        records: list[dict] = []
+        for r in pdf.sort_values(["at", "seq"]).to_dict("records"):
+            own = {c: r[c] for c in names if isinstance(r[c], str) and r[c]}
+            hits = [x for x in records if any(x[c] == v for c, v in own.items())]
+            if r["action"] == "unsubscribe":
+                for x in hits:
+                    x.update(is_active=False, updated_at=r["at"])
+                continue
+            if not hits:
+                hits = [{"categories": ["general"]}]
+                records += hits
+            wanted = sorted(r["categories"]) if r["categories"] is not None and len(r["categories"]) else hits[0]["categories"]
+            hits[0].update({c: own.get(c) for c in names}, channel=r["channel"], frequency=r["frequency"], preferred_hour=r["preferred_hour"],
+                           categories=wanted, is_active=True, updated_at=r["at"])
+        return pd.DataFrame(records, columns=[x.split()[0] for x in SUBSCRIBER.split(", ")])
+
+    return rows.groupBy("unit").applyInPandas(walk, SUBSCRIBER)
 
 
 def upsert_summaries(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge summaries by (category, day, title), else by (article, day); adds ``outcome``.
+    """Merge summaries one after the other by (category, day, title), else by (article, day); adds ``outcome``.
 
-    ``new`` rows without title or text are dropped; one row per story key is kept.
+    ``new`` rows without title or text are dropped; one row per story key is kept, the first. A row that an earlier one
+    of the batch changed or added is met as it then is, so both keys stay unique. Only stored rows that share a key
+    with the batch are walked, in groups connected by keys; all others are kept as they are.
     """
     key = t.title_key_raw(F.col("title"))
     story = F.coalesce(F.concat(F.lit("cluster:"), F.nullif("story_cluster_id", F.lit(""))), F.concat(F.lit("title:"), key))
     clean = new.where((F.length(F.trim("title")) > 0) & (F.length(F.trim("summary")) > 0)).withColumn("__story", story)
-    clean = first_per(clean, ["category", "summary_date", "__story"], [F.col("id")]).drop("__story")
-    by_title = base.groupBy("category", "summary_date", "title").agg(F.min("id").alias("t_id"))
-    by_article = base.where("article_id IS NOT NULL").groupBy("article_id", "summary_date").agg(F.min("id").alias("a_id"))
-    hit = (
-        clean.join(by_title, ["category", "summary_date", "title"], "left").join(by_article, ["article_id", "summary_date"], "left")
-        .withColumn("target", F.coalesce("t_id", "a_id")))
-    # several new rows may meet one stored row: the last one stays
-    updates = hit.where("target IS NOT NULL").groupBy("target").agg(F.max_by(F.struct(
-        "article_id", "category", "story_cluster_id", "title", "summary", "fact"), F.col("id")).alias("u"))
+    clean = first_per(clean, ["category", "summary_date", "__story"], [F.col("id")])
     cols = ["article_id", "category", "story_cluster_id", "title", "summary", "fact"]
-    merged = base.join(updates, base["id"] == updates["target"], "left").select(
-        "id", "summary_date", *[F.when(F.col("u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(c)).alias(c) for c in cols],
-        F.when(F.col("u").isNotNull(), "updated").otherwise("kept").alias("outcome"))
-    added = hit.where("target IS NULL").select("id", "summary_date", *cols, F.lit("inserted").alias("outcome"))
-    return merged.unionByName(added)
+    day = F.col("summary_date").cast("string")
+    keys = F.array_compact(F.array(F.concat_ws("|", F.lit("t"), day, "category", "title"),
+                                   F.when(F.col("article_id").isNotNull(), F.concat_ws("|", F.lit("a"), day, F.col("article_id").cast("string")))))
+    clean = clean.select("id", "summary_date", *cols, F.lit(True).alias("new"))
+    stored = base.select("id", "summary_date", *cols, F.lit(False).alias("new"))
+    asked = clean.select(F.explode(keys).alias("k")).distinct()
+    touched = stored.select("id", F.explode(keys).alias("k")).join(asked, "k", "left_semi").select(F.col("id").alias("i")).distinct()
+    marked = stored.join(touched, F.col("id") == F.col("i"), "left")
+    kept = marked.where("i IS NULL").drop("i", "new").withColumn("outcome", F.lit("kept"))
+    rows = _grouped(clean.unionByName(marked.where("i IS NOT NULL").drop("i")), keys)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["new", "id"]).astype(object).where(pdf.notna(), None)
+        records: list[dict] = []
+        for r in pdf.to_dict("records"):
+            if not r["new"]:
+                records.append(r | {"outcome": "kept"})
+                continue
+            same_day = [x for x in records if x["summary_date"] == r["summary_date"]]
+            hit = next((x for x in same_day if x["category"] == r["category"] and x["title"] == r["title"]), None)
+            if hit is None and r["article_id"] is not None:
+                hit = next((x for x in same_day if x["article_id"] == r["article_id"]), None)
+            if hit is None:
+                records.append(r | {"outcome": "inserted"})
+            else:
+                hit.update({c: r[c] for c in cols})
+                hit["outcome"] = "inserted" if hit["outcome"] == "inserted" else "updated"
+        return pd.DataFrame(records, columns=["id", "summary_date", *cols, "outcome"])
+
+    return kept.unionByName(rows.groupBy("unit").applyInPandas(walk, schema))

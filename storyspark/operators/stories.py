@@ -313,27 +313,37 @@ def story_updates(articles: DataFrame, cfg: StoryConfig = StoryConfig()) -> Data
 
 
 def merge_singletons(articles: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Move decided duplicates into the primary's cluster when they stand alone in theirs.
+    """Move decided duplicates into the primary's cluster when they stand alone in theirs, decision by decision.
 
-    ``decisions(primary_id, duplicate_id)``. Returns all articles with new cluster
-    columns and ``merged``. A cluster's size comes from one aggregation joined back.
+    ``decisions(primary_id, duplicate_id, ord)``. Only an article's first decision as a duplicate can move it, and it
+    does unless an earlier decision has brought another article into its cluster. Decisions are settled in rounds, each
+    settling those whose earlier ones are; a round joins decisions only. Returns all articles with new cluster columns
+    and ``merged``; ``stories`` on the result recounts both clusters.
     """
     cluster = articles.select("id", "story_cluster_id")
     sizes = cluster.groupBy("story_cluster_id").agg(F.count("*").alias("size"))
-    primary = cluster.select(F.col("id").alias("primary_id"), F.col("story_cluster_id").alias("primary_cluster"))
-    own = cluster.join(sizes, "story_cluster_id").select(F.col("id").alias("duplicate_id"), F.col("story_cluster_id").alias("own_cluster"), "size")
-    allowed = (
-        decisions.where("primary_id <> duplicate_id").join(primary, "primary_id").join(own, "duplicate_id")
-        .where((F.col("size") == 1) & F.col("primary_cluster").isNotNull() & (F.col("primary_cluster") != F.col("own_cluster")))
-    )
-    allowed = allowed.groupBy("duplicate_id").agg(F.min(F.struct("primary_id", "primary_cluster")).alias("m"))
+    primary = cluster.where(F.col("story_cluster_id").isNotNull()).select(F.col("id").alias("primary_id"))
+    alone = cluster.join(sizes.where("size = 1"), "story_cluster_id").select(F.col("id").alias("duplicate_id"))
+    first = (decisions.where("primary_id <> duplicate_id").join(primary, "primary_id").join(alone, "duplicate_id")
+             .groupBy("duplicate_id").agg(F.min(F.struct("ord", "primary_id")).alias("d")))
+    state = cut(first.select(F.col("duplicate_id").alias("d"), F.col("d.primary_id").alias("p"), F.col("d.ord").alias("o"), F.lit(None).cast("boolean").alias("moves")))
+    while not state.where("moves IS NULL").isEmpty():
+        into = state.select(F.col("p").alias("d"), F.col("o").alias("bo"), F.col("moves").alias("bm"))
+        blocked = (state.select("d", "o").join(into, "d").where("bo < o").groupBy("d")
+                   .agg(F.bool_or("bm").alias("yes"), F.bool_or(F.col("bm").isNull()).alias("open")))
+        state = cut(state.join(blocked, "d", "left").select("d", "p", "o", F.coalesce(
+            "moves", F.when(F.coalesce("yes", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)).alias("moves")))
+    moves = state.where("moves").select("d", "p")
+    # a primary that has moved itself leads on to its new cluster
+    roots = forest_roots(moves, "d", "p").join(cluster.select(F.col("id").alias("root"), F.col("story_cluster_id").alias("to")), "root")
+    target = roots.join(moves, "d").select(F.col("d").alias("moved_id"), F.struct(F.col("p").alias("primary_id"), "to").alias("m"))
     merged = F.col("m").isNotNull()
-    return articles.join(allowed, articles["id"] == allowed["duplicate_id"], "left").withColumns({
-        "story_cluster_id": F.coalesce("m.primary_cluster", "story_cluster_id"),
+    return articles.join(target, articles["id"] == target["moved_id"], "left").withColumns({
+        "story_cluster_id": F.coalesce("m.to", "story_cluster_id"),
         "duplicate_of_article_id": F.coalesce("m.primary_id", "duplicate_of_article_id"),
         "duplicate_reason": F.when(merged, "ai_semantic").otherwise(F.col("duplicate_reason")),
         "merged": merged,
-    }).drop("duplicate_id", "m")
+    }).drop("moved_id", "m")
 
 
 def story_siblings(articles: DataFrame, limit: int = 4) -> DataFrame:

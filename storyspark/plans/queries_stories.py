@@ -112,15 +112,18 @@ def _(spark, sf):
 _DECIDE = "SELECT o.id AS primary_id, d.id AS duplicate_id FROM stored o JOIN stored d ON d.id = o.id + 1 JOIN labels l ON l.doc_id = o.id WHERE l.quality = 1"
 
 
-@query("merge_singletons", f"""WITH {fx.STORED}, dc AS ({_DECIDE}), sz AS (SELECT story_cluster_id, count(*) AS n FROM stored GROUP BY 1),
-ok AS (SELECT dc.duplicate_id, min(dc.primary_id) AS primary_id FROM dc JOIN stored p ON p.id = dc.primary_id JOIN stored d ON d.id = dc.duplicate_id JOIN sz ON sz.story_cluster_id = d.story_cluster_id
-  WHERE sz.n = 1 AND p.story_cluster_id <> d.story_cluster_id GROUP BY 1)
-SELECT s.id, coalesce(p.story_cluster_id, s.story_cluster_id) AS story_cluster_id, coalesce(ok.primary_id, s.duplicate_of_article_id) AS duplicate_of_article_id, ok.primary_id IS NOT NULL AS merged
-FROM stored s LEFT JOIN ok ON ok.duplicate_id = s.id LEFT JOIN stored p ON p.id = ok.primary_id""")
+# decided from the last pair to the first, so that a pair can find its duplicate taken as a primary before
+@query("merge_singletons", f"""WITH RECURSIVE {fx.STORED}, dc AS ({_DECIDE}), sz AS (SELECT story_cluster_id, count(*) AS n FROM stored GROUP BY 1),
+ok AS (SELECT dc.duplicate_id, dc.primary_id FROM dc JOIN stored d ON d.id = dc.duplicate_id JOIN stored p ON p.id = dc.primary_id JOIN sz ON sz.story_cluster_id = d.story_cluster_id WHERE sz.n = 1 AND p.story_cluster_id IS NOT NULL),
+mv AS (SELECT duplicate_id, primary_id, true AS moves FROM ok WHERE duplicate_id NOT IN (SELECT primary_id FROM ok)
+  UNION ALL SELECT ok.duplicate_id, ok.primary_id, NOT mv.moves FROM mv JOIN ok ON ok.duplicate_id = mv.primary_id),
+gone AS (SELECT * FROM mv WHERE moves)
+SELECT s.id, coalesce(p.story_cluster_id, s.story_cluster_id) AS story_cluster_id, coalesce(gone.primary_id, s.duplicate_of_article_id) AS duplicate_of_article_id, gone.primary_id IS NOT NULL AS merged
+FROM stored s LEFT JOIN gone ON gone.duplicate_id = s.id LEFT JOIN stored p ON p.id = gone.primary_id""")
 def _(spark, sf):
     a = fx.stored_articles(spark, sf)
     labels = tables.read_table(spark, sf, "labels").where("quality = 1")
-    decisions = labels.select(F.col("doc_id").alias("primary_id"), (F.col("doc_id") + 1).alias("duplicate_id"))
+    decisions = labels.select(F.col("doc_id").alias("primary_id"), (F.col("doc_id") + 1).alias("duplicate_id"), (-F.col("doc_id")).alias("ord"))
     return st.merge_singletons(a, decisions).select("id", "story_cluster_id", "duplicate_of_article_id", "merged")
 
 
@@ -380,17 +383,21 @@ def _(spark, sf):
     return mg.dim_upsert(dim, new).drop("id")
 
 
-@query("subscription_state", """WITH e AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type = 'error' THEN 'unsubscribe' ELSE 'subscribe' END AS action FROM events),
-i AS (SELECT 'email:u' || user_id || '@x.org' AS identifier, * FROM e UNION ALL SELECT 'telegram_id:t' || user_id, * FROM e WHERE event_type IN ('click', 'error'))
-SELECT identifier, arg_max(event_type, event_id) FILTER (WHERE action = 'subscribe') AS channel, arg_max(action, event_id) = 'subscribe' AS is_active, max(ts) AS updated_at FROM i GROUP BY 1
-HAVING count(*) FILTER (WHERE action = 'subscribe') > 0""")
+# every request names the e-mail, some another identifier too; removals name one identifier
+@query("subscription_state", """WITH e AS (SELECT user_id, event_type, ts, event_id, event_type = 'error' AS stop FROM events),
+s AS (SELECT user_id, min(event_id) AS first_sub FROM e WHERE NOT stop GROUP BY 1),
+a AS (SELECT e.* FROM e JOIN s USING (user_id) WHERE event_id >= first_sub)
+SELECT CASE WHEN arg_max(event_type, event_id) FILTER (WHERE NOT stop) = 'purchase' THEN '+591' || user_id END AS phone,
+ CASE WHEN arg_max(event_type, event_id) FILTER (WHERE NOT stop) = 'click' THEN 't' || user_id END AS telegram_id, 'u' || user_id || '@x.org' AS email,
+ arg_max(event_type, event_id) FILTER (WHERE NOT stop) AS channel, NOT arg_max(stop, event_id) AS is_active, max(ts) AS updated_at FROM a GROUP BY user_id""")
 def _(spark, sf):
     ev = tables.read_table(spark, sf, "events")
     requests = ev.select(
-        F.lit(None).cast("string").alias("phone"), F.expr("CASE WHEN event_type IN ('click', 'error') THEN 't' || user_id ELSE '' END").alias("telegram_id"),
-        F.expr("'u' || user_id || '@x.org'").alias("email"), F.expr("CASE WHEN event_type = 'error' THEN 'unsubscribe' ELSE 'subscribe' END").alias("action"),
+        F.expr("CASE WHEN event_type = 'purchase' THEN '+591' || user_id END").alias("phone"),
+        F.expr("CASE WHEN event_type = 'click' THEN 't' || user_id END").alias("telegram_id"), F.expr("'u' || user_id || '@x.org'").alias("email"),
+        F.expr("CASE WHEN event_type = 'error' THEN 'unsubscribe' ELSE 'subscribe' END").alias("action"),
         F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("channel"), F.array(F.lit("general")).alias("categories"), F.lit("diario").alias("frequency"), F.lit(9).alias("preferred_hour"))
-    return mg.subscription_state(mg.subscription_events(requests)).select("identifier", "channel", "is_active", "updated_at")
+    return mg.subscription_state(requests).select("phone", "telegram_id", "email", "channel", "is_active", "updated_at")
 
 
 @query("daily_selection")

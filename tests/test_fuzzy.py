@@ -204,6 +204,25 @@ def test_merge_only_singletons(spark):
     rows = [(1, "a"), (2, "b"), (3, "c"), (4, "c")]
     df = spark.createDataFrame(rows, "id bigint, story_cluster_id string").withColumns({
         "duplicate_of_article_id": F.lit(None).cast("bigint"), "duplicate_reason": F.lit(None).cast("string")})
-    decisions = spark.createDataFrame([(1, 2), (1, 3), (1, 1)], "primary_id bigint, duplicate_id bigint")
+    decisions = spark.createDataFrame([(1, 2, 0), (1, 3, 1), (1, 1, 2)], "primary_id bigint, duplicate_id bigint, ord bigint")
     got = {r["id"]: r["story_cluster_id"] for r in stories.merge_singletons(df, decisions).collect()}
     assert got == {1: "a", 2: "a", 3: "c", 4: "c"}
+
+
+def merge_walk(clusters, decisions):
+    at = dict(clusters)
+    for p, d, _ in sorted(decisions, key=lambda x: x[2]):
+        if p != d and p in at and d in at and at[p] and at[d] and at[p] != at[d] and list(at.values()).count(at[d]) == 1:
+            at[d] = at[p]
+    return at
+
+
+def test_merge_follows_the_order_of_decisions(spark):
+    rnd = random.Random(8)
+    for _ in range(3):
+        clusters = [(i, f"c{i if rnd.random() < 0.8 else i % 3}") for i in range(40)]
+        decisions = [(rnd.randrange(42), rnd.randrange(42), k) for k in range(60)] + [(2, 3, -2), (1, 2, -1)]
+        df = spark.createDataFrame(clusters, "id bigint, story_cluster_id string").withColumns({
+            "duplicate_of_article_id": F.lit(None).cast("bigint"), "duplicate_reason": F.lit(None).cast("string")})
+        got = stories.merge_singletons(df, spark.createDataFrame(decisions, "primary_id bigint, duplicate_id bigint, ord bigint")).collect()
+        assert {r["id"]: r["story_cluster_id"] for r in got} == merge_walk(clusters, decisions)
