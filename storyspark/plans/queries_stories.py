@@ -326,14 +326,18 @@ def _(spark, sf):
     return sm.dedup_summaries(s).select("id", "category")
 
 
-@query("upsert_summaries", f"""WITH {fx.SUMMARIES}, base AS (SELECT * FROM summaries WHERE quality = 1),
+@query("upsert_summaries", f"""WITH RECURSIVE {fx.SUMMARIES}, base AS (SELECT * FROM summaries WHERE quality = 1),
 nw AS (SELECT id + 1000000 AS id, CASE WHEN score > 30 THEN article_id ELSE NULL END AS article_id, category, NULL::VARCHAR AS story_cluster_id, CASE WHEN score > 60 THEN title || ' x' ELSE title END AS title, 'new ' || summary AS summary, fact, summary_date FROM summaries),
 cn AS (SELECT * FROM nw WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY category, summary_date, 'title:' || {fx.sql_title_key_raw("title")} ORDER BY id) = 1),
-bt AS (SELECT category, summary_date, title, min(id) AS t_id FROM base GROUP BY ALL), ba AS (SELECT article_id, summary_date, min(id) AS a_id FROM base GROUP BY ALL),
-ht AS (SELECT cn.*, coalesce(t_id, a_id) AS target FROM cn LEFT JOIN bt USING (category, summary_date, title) LEFT JOIN ba ON ba.article_id = cn.article_id AND ba.summary_date = cn.summary_date),
-u AS (SELECT * FROM ht WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY id DESC) = 1)
-SELECT b.id, b.summary_date, CASE WHEN u.id IS NOT NULL THEN u.article_id ELSE b.article_id END AS article_id, coalesce(u.title, b.title) AS title, CASE WHEN u.id IS NOT NULL THEN 'updated' ELSE 'kept' END AS outcome FROM base b LEFT JOIN u ON u.target = b.id
-UNION ALL SELECT id, summary_date, article_id, title, 'inserted' FROM ht WHERE target IS NULL""")
+nx AS (SELECT *, row_number() OVER (PARTITION BY summary_date ORDER BY id) AS rn FROM cn),
+w(d, rn, st) AS (SELECT d, 0::BIGINT, coalesce(list({{'id': b.id, 'a': b.article_id, 'c': b.category, 't': b.title, 'o': 'kept'}} ORDER BY b.id) FILTER (WHERE b.id IS NOT NULL), [])
+  FROM (SELECT DISTINCT summary_date AS d FROM summaries) LEFT JOIN base b ON b.summary_date = d GROUP BY d
+ UNION ALL SELECT d, rn, CASE WHEN hit IS NULL THEN list_append(st, {{'id': id, 'a': article_id, 'c': category, 't': title, 'o': 'inserted'}})
+  ELSE list_transform(st, lambda x, i: CASE WHEN i = hit THEN {{'id': x.id, 'a': article_id, 'c': category, 't': title, 'o': CASE WHEN x.o = 'inserted' THEN 'inserted' ELSE 'updated' END}} ELSE x END) END
+  FROM (SELECT w.d, nx.rn, st, nx.id, nx.article_id, nx.category, nx.title, coalesce(
+    list_position(list_transform(st, lambda x: x.c = nx.category AND x.t = nx.title), true), list_position(list_transform(st, lambda x: x.a = nx.article_id), true)) AS hit
+   FROM w JOIN nx ON nx.summary_date = w.d AND nx.rn = w.rn + 1))
+SELECT x.id, d AS summary_date, x.a AS article_id, x.t AS title, x.o AS outcome FROM (SELECT d, unnest(st) AS x FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY d ORDER BY rn DESC) = 1))""")
 def _(spark, sf):
     s = fx.summaries(spark, sf)
     new = s.withColumns({
