@@ -77,7 +77,7 @@ def budgets(leaves: DataFrame, mix: Mix, total: int | Column) -> DataFrame:
             w = F.when(F.col(level).eqNullSafe(F.lit(value)), F.lit(own).cast("bigint")).otherwise(w)
         return w
 
-    used = F.least(*[weight(c) for c in levels]) > 0  # what lies under a weight of 0 is no capacity
+    used = F.array_min(F.array(*[weight(c) for c in levels])) > 0  # what lies under a weight of 0 is no capacity
     leaves = leaves.withColumn("capacity", F.when(used, F.col("size") * mix.epochs).otherwise(0))
     above = leaves.select(F.lit(0).alias("_root"), (total if isinstance(total, Column) else F.lit(total)).cast("bigint").alias("budget")).limit(1)
     for depth, level in enumerate(levels):
