@@ -182,7 +182,8 @@ def clean_text_lines(df: DataFrame, text: str = "text") -> DataFrame:
 def page_body(parsed: DataFrame, min_words: int = 25) -> DataFrame:
     """Body text per page by ordered candidates.
 
-    JSON-LD body, lines after the title, the site's own selector, the default selector;
+    JSON-LD body, lines after the title (after the first long line, if no line shows it), the site's own selector,
+    the default selector;
     the first with ``min_words`` words wins, else the longest of the last candidates.
     """
     anchored = F.when(F.col("anchor") >= 0, F.expr("slice(lines, anchor + 2, size(lines))")).otherwise(F.array().cast("array<string>"))
@@ -198,7 +199,7 @@ def page_body(parsed: DataFrame, min_words: int = 25) -> DataFrame:
         return joined(F.filter(long, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1))
 
     kinds = (
-        ("json_ld", F.col("ld_body")), ("title_anchor", joined(body_lines(anchored))),
+        ("json_ld", F.col("ld_body")), ("title_anchor", joined(body_lines(F.when(F.col("anchor") >= 0, anchored).otherwise(loose)))),
         ("site_selector", distinct_paragraphs("body")), ("default_selector", distinct_paragraphs("default_body")),
         ("first_long_line", joined(body_lines(loose))))
     candidates = F.array(*[

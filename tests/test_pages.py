@@ -42,6 +42,13 @@ def test_body_rules(spark):
     assert (rows[1]["method"], rows[1]["body"]) == ("json_ld", "Cuerpo desde datos")
 
 
+def test_body_starts_at_the_first_long_line_when_no_line_shows_the_title(spark):
+    lead = "Una primera línea larga que nada tiene que ver con el titular de arriba"
+    page = f"<html><head><title>Zzz qqq</title></head><body><div>{lead}</div><div>{BODY}</div><article><p>{BODY} Y otro texto de selector.</p></article></body></html>"
+    row = pages.page_body(pages.read_pages(frame(spark, page))).first()
+    assert row["method"] == "title_anchor" and row["body"].split("\n\n")[0] == BODY
+
+
 def test_meta(spark):
     row = pages.page_meta(pages.read_pages(frame(spark, DETAIL))).first()
     assert (row["description"], row["published_at"]) == ("Resumen & más", datetime(2026, 5, 10, 9, 30))
