@@ -15,15 +15,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer splits than there are cores.
+    """Hash-spread a scan over ``storyspark.scan.partitions`` tasks, if the session sets that number.
 
-    Text functions are bound by CPU, so a table stored as one small file would keep one
-    core busy. A scan with enough splits is returned as it is: no shuffle at scale.
+    For tables that are one small file with one row group, which Spark reads in one task. Unset, scans are left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    n = df.sparkSession.conf.get("storyspark.scan.partitions", None)
+    return df.repartition(int(n), key) if n else df
 
 
 def export_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
