@@ -5,8 +5,8 @@ by the smallest id. Representatives enter ``trees`` independent trees. In a tree
 functions and sends each of its documents, for each function, to the child named by the document's minimum: documents
 with similarity s share a child with chance s per function. All documents of a node are compared with its first one, so
 that a large group of near copies becomes one cluster with as many comparisons as it has members. Nodes whose documents
-are all in one cluster end. In others, the clusters of a node of at most ``leaf`` documents are compared exhaustively; a
-larger node branches again. At ``depth`` what is left is compared exhaustively. Two documents of similarity 0.8 are missed
+are all in one cluster end. In others, if at most ``leaf`` documents are outside the largest cluster, these are compared
+with all others; if more are, the node branches again. At ``depth`` what is left is compared exhaustively. Two documents of similarity 0.8 are missed
 by all trees with chance below 1e-7.
 
 Comparisons are filtered by set sizes and by a sketch of two bits of each of 64 minima (agreement in fewer than ``agree``
@@ -187,16 +187,20 @@ def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id
         # every document of a node against its first: a large group of near copies becomes one cluster
         star = live.where(F.col("lead") != F.col("top.lead")).select(me.alias("x"), F.col("first").alias("y")).where(_close("x", "y", config))
         grow(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
-        # small nodes: clusters exhaustively against each other
-        part = _lead(live if level == config.depth else live.where(F.col("size") <= config.leaf), roots).select("node", "lead", *data)
-        near = part.alias("x").join(part.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
-                                    & (F.col("x.lead") != F.col("y.lead")) & _close("x", "y", config))
-        grow(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        big = live.where(F.col("size") > config.leaf)
+        # documents outside a node's largest cluster, if they are few, against all others
+        own = materialize(_lead(live.drop("first", "top", "size"), roots))
+        drop_step(live)
+        nodes = own.groupBy("node", "lead").agg(F.count("*").alias("c")).groupBy("node").agg(
+            F.max(F.struct("c", "lead")).alias("main"), F.sum("c").alias("size")).where("main.c < size")
+        nodes = nodes.select("node", F.col("main.lead").alias("main"), (F.col("size") - F.col("main.c")).alias("rest"))
+        few = own.join(nodes if level == config.depth else nodes.where(F.col("rest") <= config.leaf), "node")
+        near = few.where("lead <> main").alias("x").join(few.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.lead") != F.col("y.lead")) & (
+            (F.col("y.lead") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _close("x", "y", config))
+        grow(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+        big = own.join(nodes.where(F.col("rest") > config.leaf), "node").select(*data, "node", "tree")
         if level == config.depth or big.isEmpty():
             break
-        own = _lead(big, roots).select(*data, "lead", "node", "tree")
-        rows = _branch(own.withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me"), level + 1, config)
+        rows = _branch(_lead(big, roots).withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me"), level + 1, config)
     return links
 
 
