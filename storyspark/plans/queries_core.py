@@ -253,7 +253,8 @@ def _(spark, sf):
     return out.select("id", "detail_reused", "published_at", F.length("description").alias("description_chars"))
 
 
-_TABLES = ("documents", "pages", "events", "orders", "customer", "conversations", "labels")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+           "conversations")
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in _TABLES))

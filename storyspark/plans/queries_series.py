@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from ..operators import analytics as an
 from ..operators import delivery as dl
 from ..operators import indicators as ic
 from ..operators import quality as q
+from ..operators import select
 from ..operators.dedupe import dedup_url
 from ..session import ensure_checkpoint_dir
 from ..sources import tables
@@ -225,21 +226,24 @@ _ITEMS = f"""{fx.SUMMARIES}, {_ELIG}, sk AS (SELECT *, 'cluster:' || story_clust
 ct AS (SELECT DISTINCT el.id AS subscriber_id, channel, c.category FROM el, unnest(CASE WHEN len(categories) > 0 THEN categories ELSE ['politica', 'economia', 'deportes', 'sociedad'] END) c(category)),
 pr AS (SELECT subscriber_id, channel, sk.* FROM ct JOIN sk ON sk.category = ct.category AND sk.category IN ('politica', 'economia', 'deportes', 'sociedad')),
 un AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY subscriber_id, story_key ORDER BY score DESC, id) = 1),
-it AS (SELECT *, row_number() OVER (PARTITION BY subscriber_id ORDER BY score DESC, id) AS position FROM un QUALIFY position <= 10)"""
+nt AS (SELECT story_cluster_id AS note_of, 'Actualizacion: ' || max(title) AS update_note FROM summaries WHERE story_cluster_id IS NOT NULL GROUP BY 1 HAVING max(id) % 2 = 0),
+it AS (SELECT un.*, nt.update_note, row_number() OVER (PARTITION BY subscriber_id ORDER BY score DESC, id) AS position FROM un LEFT JOIN nt ON nt.note_of = un.story_cluster_id QUALIFY position <= 10)"""
 
 
 def _items(spark, sf):
-    s = fx.summaries(spark, sf).withColumn("ord", F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))).withColumn("update_note", F.lit(None).cast("string"))
-    return dl.delivery_items(_eligible(spark, sf), s, _CATS4)
+    s = fx.summaries(spark, sf).withColumn("ord", F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))
+    notes = s.where("story_cluster_id IS NOT NULL").groupBy(F.col("story_cluster_id").alias("story_id")).agg(
+        F.concat(F.lit("Actualizacion: "), F.max("title")).alias("last_update_note"), F.max("id").alias("m")).where("m % 2 = 0").drop("m")
+    return dl.delivery_items(_eligible(spark, sf), select.with_update_notes(s, notes), _CATS4)
 
 
-@query("delivery_items", f"WITH {_ITEMS} SELECT subscriber_id, position, id AS summary_id FROM it")
+@query("delivery_items", f"WITH {_ITEMS} SELECT subscriber_id, position, id AS summary_id, update_note FROM it")
 def _(spark, sf):
-    return _items(spark, sf).select("subscriber_id", "position", "summary_id")
+    return _items(spark, sf).select("subscriber_id", "position", "summary_id", "update_note")
 
 
 @query("delivery_messages", f"""WITH {_ITEMS} SELECT subscriber_id, count(*) AS n_items, md5('Brief del dia' || chr(10) || chr(10) || string_agg(position || '. ' || left(title, 80) || chr(10) || '   ' || left(summary, 150) || chr(10)
-|| CASE WHEN length(fact) > 0 THEN '   Dato: ' || fact || chr(10) ELSE '' END || chr(10), '' ORDER BY position) || '---' || chr(10) || '/preferencias | /cancelar') AS message_md5 FROM it GROUP BY 1""")
+|| CASE WHEN length(fact) > 0 THEN '   Dato: ' || fact || chr(10) ELSE '' END || CASE WHEN length(update_note) > 0 THEN '   ' || update_note || chr(10) ELSE '' END || chr(10), '' ORDER BY position) || '---' || chr(10) || '/preferencias | /cancelar') AS message_md5 FROM it GROUP BY 1""")
 def _(spark, sf):
     return dl.render_messages(_items(spark, sf)).select("subscriber_id", "n_items", F.md5("message").alias("message_md5"))
 
@@ -252,14 +256,8 @@ def _(spark, sf):
 
 # --- streams, drained with availableNow and read back ------------------------
 def _folders(spark: SparkSession) -> tuple[str, str, str]:
-    """Input, sink and checkpoint folder of one run, on the shared storage of the cluster."""
-    root = ensure_checkpoint_dir(spark)
-    if "://" in root or root.startswith("file:"):
-        import uuid
-
-        base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    else:
-        base = tempfile.mkdtemp(prefix="stream-", dir=root)
+    """Input, output and checkpoint of a replayed stream, in the shared folder."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{base}/in", f"{base}/out", f"{base}/ckpt"
 
 
