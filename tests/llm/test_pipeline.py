@@ -104,18 +104,3 @@ def test_nothing_else_imports_the_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"(from|import) .*\bllm\b", open(f"{folder}/{n}").read()), n
-
-
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_queries_equal_their_sql(spark, name):
-    got = QUERIES[name](spark, SF)
-    c = duckdb.connect()
-    c.sql("SET temp_directory = ''")
-    for t in ("documents", "embeddings"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = c.sql(ORACLES[name])
-    assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(
-        "Row(" + ", ".join(f"{n}={v!r}" for n, v in zip(want.columns, r, strict=True)) + ")" for r in want.fetchall())
-
-
