@@ -161,24 +161,23 @@ def _lead(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str, text: str) -> DataFrame:
-    """Links (a < b) between representatives, enough of them to connect every group."""
+    """Pairs (a < b) of representatives that connect every group: each document with its group's smallest."""
     data = ("id", "n", "s0", "s1")
     me = F.struct(*data)
     sig = reps.select(F.struct(*data).alias("me"), "sig")
     rows = reps.select(*data, F.col("id").alias("lead"), "sig", F.lit(0).cast("bigint").alias("node"),
                        F.explode(F.sequence(F.lit(0), F.lit(config.trees - 1))).alias("tree"))
     rows = _branch(rows, 0, config)
-    links = roots = None
+    roots = None
 
     def grow(pairs: DataFrame) -> None:
-        """Confirms pairs and adds their links."""
-        nonlocal links, roots
+        """Confirms pairs and joins the clusters that they link."""
+        nonlocal roots
         pairs = materialize(pairs.distinct())
         found = confirm(pairs, docs, config, doc_id, text)
         drop_step(pairs)
-        if links is None or not found.isEmpty():
-            links = found if links is None else materialize(links.unionByName(found))
-            roots = components(links)
+        if roots is None or not found.isEmpty():
+            roots = components(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
 
     for level in range(config.depth + 1):
         stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(me).alias("first"), F.min("lead").alias("lo"), F.max("lead").alias("hi"),
@@ -201,7 +200,7 @@ def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id
         if level == config.depth or big.isEmpty():
             break
         rows = _branch(_lead(big, roots).withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me"), level + 1, config)
-    return links
+    return roots.select(F.col("root").alias("a"), F.col("id").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,14 +216,12 @@ def components(edges: DataFrame) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "w"))
         large = ways.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large)
         # every neighbour below a document, and it, are tied to the least of them
         down = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(down, F.col("u") == F.col("w"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = materialize(small.select("e.*").where("u <> v").distinct())
         drop_step(edges)
-        drop_step(large)
         edges = after
 
 
