@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hard_negatives as hard
 from . import impact_search as search
+from . import language_id, prefix_trie
 from . import license_scan as licenses
 from . import mixing, packing, pii
 from . import near_dedup as near
@@ -194,3 +196,44 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of near-equal documents that each document is in; 2-word shingles, similarity 0.8."""
     return near.groups(table(spark, sf_dir, "documents"), near.JoinConfig(words=2))
+
+
+@query(sql="""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score) WHERE rank <= 3""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of the five positives of every 50th vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    return language_id.identify(docs, language_id.train(docs.where(~out)), [F.col("doc_id"), out.alias("held_out")])
+
+
+@query(sql="""
+WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h FROM t),
+b AS (SELECT h.conv_id, list_concat(coalesce(t.own, [])[1:h], h.own[h + 1:]) AS s FROM h LEFT JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100),
+n AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM b),
+g AS (SELECT d, s[1:d] AS p, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CASE WHEN len(s) = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends FROM n GROUP BY d, s[1:d]),
+c AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS children FROM g WHERE d > 0 GROUP BY ALL),
+m AS (SELECT g.*, coalesce(children, 0) AS children, CASE WHEN d > 0 THEN (n - 1) * length(p[d].text) ELSE 0 END AS own FROM g LEFT JOIN c USING (d, p))
+SELECT any_value(a.conv_id) AS conv_id, a.d AS depth, any_value(u.conv_id) AS parent_conv_id, any_value(a.n) AS n_convs, any_value(a.children) AS n_children,
+  count(*) FILTER (x.children = 0) AS n_leaves, CAST(sum(x.own) AS BIGINT) AS saved_tokens, sha256(any_value(a.ends)) AS ends_sha256
+FROM m a JOIN m x ON x.d >= a.d AND x.p[1:a.d] = a.p LEFT JOIN m u ON u.d = a.d - 1 AND u.p = a.p[1:a.d - 1] GROUP BY a.d, a.p""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.nodes(prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
