@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, CHANNELS
 from ..functions.values import micros
-from .scan import attach, day_block, previous_row, running_sum
+from .scan import Blocks, attach, previous, running, total
 
 RUN_COUNTERS = (
     "raw_collected_count", "usable_count", "quality_dropped_count", "deduplicated_count",
@@ -143,9 +143,7 @@ def run_funnel(runs: DataFrame) -> DataFrame:
     fields = ("raw_collected_count", "usable_count", "inserted_count", "summaries_count", "summary_candidates_count", "ranked_count")
     clean = runs.withColumns({c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in fields})
     worked = clean.where(F.greatest(*[F.col(c) for c in fields[:4]]) > 0).withColumn("day", F.to_date("started_at"))
-    out = running_sum(
-        worked, ["day"], [F.col("started_at"), F.col("id")], F.date_trunc("hour", F.col("started_at").cast("timestamp")),
-        F.col("summaries_count").cast("bigint"), "briefs_so_far")
+    out = running(worked, ["day"], [F.col("started_at"), F.col("id")], {"briefs_so_far": total(F.col("summaries_count").cast("bigint"))})
     return out.select("id", "day", "started_at", *fields, "briefs_so_far")
 
 
@@ -177,10 +175,12 @@ def source_stats(articles: DataFrame) -> DataFrame:
 def sessionize(events: DataFrame, gap_minutes: int = 30, key: str = "user_id", ts: str = "created_at") -> DataFrame:
     """Sessions by inactivity gap: one row per session with its span and event count."""
     order = [F.col(ts), F.col("event_id")]
-    rows = previous_row(events.select(key, ts, "event_id"), [key], order, day_block(F.col(ts)), F.struct(ts), "prev")
-    new = F.col("prev").isNull() | (micros(F.col(ts)) - micros(F.col(f"prev.{ts}")) >= gap_minutes * 60_000_000)
+    rows = events.select(key, ts, "event_id")
+    blocks = Blocks(rows, [key], order)
+    rows = blocks.add(rows, {"prev": previous(F.col(ts))})
+    new = F.col("prev").isNull() | (micros(F.col(ts)) - micros(F.col("prev")) >= gap_minutes * 60_000_000)
     rows = rows.withColumn("starts", F.when(new, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    rows = running_sum(rows, [key], order, day_block(F.col(ts)), F.col("starts"), "session_no")
+    rows = blocks.add(rows, {"session_no": total(F.col("starts"))})
     return rows.groupBy(key, "session_no").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("events"))
 

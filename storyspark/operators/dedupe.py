@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..session import cut
 from .graph import components
-from .scan import first_per, hour_block, previous_row, running_sum
+from .scan import Blocks, first_per, previous, total
 from .similarity import title_edges
 
 
@@ -58,10 +58,11 @@ def dedup_title(
 
     grouped = keyed.where("component IS NOT NULL")
     order = [F.col("collected_at"), F.col("id")]
-    grouped = previous_row(grouped, ["component"], order, hour_block(F.col("collected_at")), F.struct("node"), "prev")
-    starts = F.when(F.col("prev").isNull() | (F.col("prev.node") != F.col("node")), F.lit(1)).otherwise(F.lit(0))
+    blocks = Blocks(grouped, ["component"], order)
+    grouped = blocks.add(grouped, {"prev": previous(F.col("node"))})
+    starts = F.when(F.col("prev").isNull() | (F.col("prev") != F.col("node")), F.lit(1)).otherwise(F.lit(0))
     grouped = grouped.withColumn("start", starts)
-    grouped = running_sum(grouped, ["component"], order, hour_block(F.col("collected_at")), F.col("start").cast("bigint"), "run")
+    grouped = blocks.add(grouped, {"run": total(F.col("start").cast("bigint"))})
     runs = grouped.groupBy(*batch, "component", "run", "node").agg(F.max_by(F.struct("id", "published_at"), preference).alias("best"))
     allowed = edges.groupBy(*batch, F.col("new").alias("node")).agg(F.collect_list("old").alias("allowed"))
     runs = runs.join(allowed, [*batch, "node"], "left").select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, SummaryConfig
 from ..functions import text as t
-from .scan import day_block, first_per, running_sum, top_per
+from .scan import first_per, running, top_per, total
 from .summaries import story_key
 
 
@@ -75,19 +75,19 @@ def since_cursor(subscribers: DataFrame, summaries: DataFrame) -> DataFrame:
 
     ``subscribers(id, categories, last_notified_at)``; ``summaries(id, category, created_at)``.
     Counts come from a running total per category: each cursor is looked up in the
-    category's cumulative counts, so nobody's items are listed out.
+    category's cumulative counts, so nobody's items are listed out. Subscribers without a
+    cursor get the category's total and are not looked up.
     """
-    events = summaries.select("category", F.col("created_at").alias("at"), F.lit(1).cast("bigint").alias("n"),
-                              F.lit(None).cast("bigint").alias("subscriber_id"))
     asks = subscribers.where(F.col("is_active")).select(
-        F.explode("categories").alias("category"), F.coalesce("last_notified_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"),
-        F.lit(0).cast("bigint").alias("n"), F.col("id").alias("subscriber_id"))
+        F.explode("categories").alias("category"), F.col("last_notified_at").alias("at"), F.col("id").alias("who"))
+    items = summaries.select("category", F.col("created_at").alias("at"), F.col("id").cast("bigint").alias("who"), F.lit(False).alias("is_ask"))
     # items at the cursor's own time are already delivered: they sort before the question
-    both = events.unionByName(asks).withColumn("is_ask", F.col("subscriber_id").isNotNull())
-    seen = running_sum(
-        both, ["category"], [F.col("at"), F.col("is_ask"), F.coalesce("subscriber_id", F.lit(0))], day_block(F.col("at")), F.col("n"), "seen").where("is_ask")
+    both = items.unionByName(asks.where(F.col("at").isNotNull()).withColumn("is_ask", F.lit(True)))
+    n = F.when(F.col("is_ask"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    seen = running(both, ["category"], [F.col("at"), F.col("is_ask"), F.col("who")], {"seen": total(n)}).where("is_ask").select("category", "who", "seen")
+    every = seen.unionByName(asks.where(F.col("at").isNull()).select("category", "who", F.lit(0).cast("bigint").alias("seen")))
     totals = summaries.groupBy("category").agg(F.count("*").alias("total"), F.max("created_at").alias("newest"))
-    per_ask = seen.join(totals, "category", "left").withColumn("fresh", F.coalesce(F.col("total") - F.col("seen"), F.lit(0)))
-    return per_ask.groupBy("subscriber_id").agg(
+    per_ask = every.join(totals, "category", "left").withColumn("fresh", F.coalesce(F.col("total") - F.col("seen"), F.lit(0)))
+    return per_ask.groupBy(F.col("who").alias("subscriber_id")).agg(
         F.sum("fresh").alias("new_items"),
         F.max(F.when(F.col("fresh") > 0, F.col("newest"))).alias("new_cursor"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import micros, parse_decimal
-from .scan import attach, day_block, neighbours, previous_row
+from .scan import attach, nearest_after, nearest_before, previous, running
 
 SERIES_KEY = ("source", "indicator_code", "currency", "asset", "side")
 
@@ -58,7 +58,7 @@ def change_only(df: DataFrame, key: Sequence[str] = SERIES_KEY) -> DataFrame:
     """
     valued = df.where(F.col("value").isNotNull())
     current = F.struct(_day().alias("day"), F.col("value").alias("v"))
-    seen = previous_row(valued, key, [F.col("collected_at"), F.col("id")], day_block(F.col("collected_at")), current, "prev")
+    seen = running(valued, key, [F.col("collected_at"), F.col("id")], {"prev": previous(current)})
     same = F.col("prev").isNotNull() & F.col("prev.day").eqNullSafe(_day()) & (F.col("prev.v") == F.col("value"))
     return seen.withColumn("outcome", F.when(same, "unchanged").otherwise("inserted")).drop("prev")
 
@@ -130,7 +130,7 @@ def repair_outliers(
     at = micros(F.col("collected_at"))
     rows = rows.withColumns({"good": good, "at": at})
     point = F.when(F.col("good"), F.struct(F.col("at").alias("t"), F.col("value").alias("v")))
-    rows = neighbours(rows, key, F.col("at"), day_block(F.col("collected_at")), point, "b", "a")
+    rows = running(rows, key, [F.col("at")], {"b": nearest_before(point), "a": nearest_after(point)})
     share = ((F.col("at") - F.col("b.t")) / (F.col("a.t") - F.col("b.t"))).cast("decimal(18,12)")
     between = (F.col("b.v") + (F.col("a.v") - F.col("b.v")) * share).cast("decimal(18,6)")
     expected = F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull(), F.col("b.v")).otherwise(between)

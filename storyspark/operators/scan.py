@@ -1,110 +1,154 @@
-"""Running aggregates over long or hot keys.
-
-A plain window sends every row of a key to one task. Here a key is cut into blocks
-(days or hours of its ordering column): a window inside (key, block) runs in parallel,
-one small summary row per block is carried over the blocks, and both are combined.
-Only block summaries of a key ever meet in one task.
+"""Running values over the ordered rows of a key, whatever a key's share of the rows.
+
+A plain window sends every row of a key to one task. That is right for keys of ordinary size, so they
+get just that: one shuffle, one sort, all values from the same window. Keys with more than ``block_rows``
+rows are counted first. Each of these is cut into blocks of about that many rows by bounds from a sample of its
+order columns (which end in a unique column, so rows of one moment can be cut apart too), and the window runs
+inside (key, block). One summary row per block holds all that later or earlier blocks need; the summaries are
+carried over the blocks of a key and joined back. Only summaries of a key ever meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+BLOCK_ROWS = 1_000_000
+#: Blocks of all hot keys together at most, which bounds what is broadcast; beyond it blocks hold more rows.
+MAX_BLOCKS = 100_000
+#: Sampled rows per block from which bounds are taken.
+SAMPLES = 32
+
 _BLOCK = "__block"
-_CARRY = "__carry"
-
-
-def day_block(ts: Column) -> Column:
-    return F.date_trunc("day", ts.cast("timestamp")).cast("timestamp_ntz")
-
-
-def hour_block(ts: Column) -> Column:
-    return F.date_trunc("hour", ts.cast("timestamp")).cast("timestamp_ntz")
-
-
-def with_carry(
-    df: DataFrame, keys: Sequence[str], block: Column, summary: Column, combine: str
-) -> DataFrame:
-    """Add ``__block`` and ``__carry``: ``summary`` combined over all earlier blocks.
-
-    ``combine``: ``last``, ``first_after`` (looks at later blocks), ``sum``, ``max``, ``min``.
-    ``summary`` is an aggregate over one block.
-    """
-    df = df.withColumn(_BLOCK, block)
-    blocks = df.groupBy(*keys, _BLOCK).agg(summary.alias("__s"))
-    order = Window.partitionBy(*keys).orderBy(F.col(_BLOCK))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    carried = {
-        "last": lambda: F.last("__s", ignorenulls=True).over(before),
-        "first_after": lambda: F.first("__s", ignorenulls=True).over(after),
-        "sum": lambda: F.sum("__s").over(before),
-        "max": lambda: F.max("__s").over(before),
-        "min": lambda: F.min("__s").over(before),
-    }[combine]()
-    blocks = blocks.select(*keys, _BLOCK, carried.alias(_CARRY))
-    blocks = blocks.select(*[F.col(c).alias(f"__b_{c}") for c in (*keys, _BLOCK)], _CARRY)
-    on = F.lit(True)
-    for c in (*keys, _BLOCK):
-        on = on & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-    return df.join(blocks, on, "left").drop(*[f"__b_{c}" for c in (*keys, _BLOCK)])
-
-
-def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
-) -> DataFrame:
-    """``value`` (a struct) of the preceding row of the key."""
-    last = F.max_by(value, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    out = with_carry(df, keys, block, last, "last")
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    return out.withColumn(name, F.coalesce(F.lag(value).over(w), F.col(_CARRY))).drop(_BLOCK, _CARRY)
-
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
-) -> DataFrame:
+
+
+@dataclass(frozen=True)
+class Running:
+    """A running value: how rows of a block, and then blocks of a key, are combined."""
+
+    kind: str
+    value: Column
+
+
+def previous(value: Column) -> Running:
+    """``value`` of the preceding row."""
+    return Running("previous", value)
+
+
+def total(value: Column) -> Running:
     """Sum of ``value`` up to and including the row."""
-    out = with_carry(df, keys, block, F.sum(value), "sum")
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(value).over(w) + F.coalesce(F.col(_CARRY), F.lit(0))
-    return out.withColumn(name, total).drop(_BLOCK, _CARRY)
-
-
-def running_max_before(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
-) -> DataFrame:
-    """Greatest ``value`` among the strictly earlier rows of the key."""
-    out = with_carry(df, keys, block, F.max(value), "max")
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.max(value).over(w)
-    best = F.when(inside.isNull(), F.col(_CARRY)).when(F.col(_CARRY).isNull(), inside).otherwise(
-        F.greatest(inside, F.col(_CARRY))
-    )
-    return out.withColumn(name, best).drop(_BLOCK, _CARRY)
-
-
-def neighbours(
-    df: DataFrame, keys: Sequence[str], position: Column, block: Column, value: Column,
-    before: str, after: str,
-) -> DataFrame:
-    """Nearest non-null ``value`` at a strictly smaller and a strictly greater position.
-
-    ``position`` is a BIGINT (microseconds); rows at the same position do not see each other.
-    """
-    seen = F.when(value.isNotNull(), position)
-    out = with_carry(df, keys, block, F.max_by(value, seen), "last").withColumnRenamed(_CARRY, "__prev").drop(_BLOCK)
-    out = with_carry(out, keys, block, F.min_by(value, seen), "first_after").withColumnRenamed(_CARRY, "__next")
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(position)
-    inner_before = F.last(value, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    inner_after = F.first(value, ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing))
-    return (
-        out.withColumn(before, F.coalesce(inner_before, F.col("__prev")))
-        .withColumn(after, F.coalesce(inner_after, F.col("__next")))
-        .drop("__prev", "__next", _BLOCK)
-    )
+    return Running("total", value)
+
+
+def greatest_before(value: Column) -> Running:
+    """Greatest ``value`` among the strictly earlier rows."""
+    return Running("greatest_before", value)
+
+
+def nearest_before(value: Column) -> Running:
+    """Nearest non-null ``value`` at a strictly smaller position; the order is one BIGINT column."""
+    return Running("nearest_before", value)
+
+
+def nearest_after(value: Column) -> Running:
+    """Nearest non-null ``value`` at a strictly greater position; the order is one BIGINT column."""
+    return Running("nearest_after", value)
+
+
+class Blocks:
+    """The blocks of ``df`` for running values by ``keys`` in ``order``; counting rows per key is one job."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], block_rows: int | None = None):
+        self.keys, self.order = list(keys), list(order)
+        rows = block_rows or BLOCK_ROWS
+        counts = df.groupBy(*self.keys).agg(F.count("*").alias("__n")).where(F.col("__n") > rows)
+        hot = counts.agg(F.count("*").alias("keys"), F.sum("__n").alias("rows")).first()
+        self.bounds = self._bounds(df, counts, max(rows, -(-(hot["rows"] or 0) // MAX_BLOCKS))) if hot["keys"] else None
+
+    def _same(self, prefix: str) -> Column:
+        on = F.lit(True)
+        for k in self.keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+        return on
+
+    def _bounds(self, df: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
+        """Ascending bounds per hot key, from the rows that a hash of key and order picks."""
+        hot = cut(counts.select(*[F.col(k).alias(f"__h_{k}") for k in self.keys]))
+        place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
+        every = max(1, rows // SAMPLES)
+        picked = df.select(*self.keys, place.alias("__o")).where(F.pmod(F.xxhash64(*self.keys, "__o"), F.lit(every)) == 0)
+        picked = picked.join(F.broadcast(hot), self._same("__h_"))
+        ranked = picked.withColumn("__r", F.row_number().over(Window.partitionBy(*self.keys).orderBy("__o"))).where(F.col("__r") % SAMPLES == 0)
+        return cut(ranked.groupBy(*[F.col(k).alias(f"__h_{k}") for k in self.keys]).agg(F.sort_array(F.collect_set("__o")).alias("__bounds")))
+
+    def add(self, df: DataFrame, wanted: Mapping[str, Running]) -> DataFrame:
+        """``df`` with the running values as columns. May be called again for values that build on these."""
+        if self.bounds is None:
+            return self._windows(df, wanted, self.keys, {})
+        place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
+        block = F.size(F.filter("__bounds", lambda b: b <= place))
+        rows = df.join(F.broadcast(self.bounds), self._same("__h_"), "left").withColumn(_BLOCK, F.when(F.col("__bounds").isNotNull(), block))
+        rows = rows.drop("__bounds", *[f"__h_{k}" for k in self.keys])
+        carried = self._carried(rows.where(F.col(_BLOCK).isNotNull()), wanted)
+        on = self._same("__c_") & F.col(_BLOCK).eqNullSafe(F.col(f"__c_{_BLOCK}"))
+        # a row per block, MAX_BLOCKS about
+        joined = rows.join(F.broadcast(carried), on, "left").drop(*[f"__c_{k}" for k in (*self.keys, _BLOCK)])
+        out = self._windows(joined, wanted, [*self.keys, _BLOCK], {name: F.col(f"__s_{name}") for name in wanted})
+        # read once by what follows, which may look at it twice
+        return cut(out.drop(_BLOCK, *[f"__s_{name}" for name in wanted]))
+
+    def _carried(self, rows: DataFrame, wanted: Mapping[str, Running]) -> DataFrame:
+        place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
+
+        def summary(r: Running) -> Column:
+            if r.kind == "previous":
+                return F.max_by(F.struct(r.value.alias("v")), place)
+            if r.kind == "total":
+                return F.sum(r.value)
+            if r.kind == "greatest_before":
+                return F.max(r.value)
+            seen = F.when(r.value.isNotNull(), self.order[0])
+            return F.max_by(r.value, seen) if r.kind == "nearest_before" else F.min_by(r.value, seen)
+
+        blocks = rows.groupBy(*self.keys, _BLOCK).agg(*[summary(r).alias(f"__s_{name}") for name, r in wanted.items()])
+        order = Window.partitionBy(*self.keys).orderBy(_BLOCK)
+        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+        fold = {"previous": lambda c: F.last(c, ignorenulls=True).over(before)["v"], "total": lambda c: F.sum(c).over(before),
+                "greatest_before": lambda c: F.max(c).over(before), "nearest_before": lambda c: F.last(c, ignorenulls=True).over(before),
+                "nearest_after": lambda c: F.first(c, ignorenulls=True).over(after)}
+        return blocks.select(*[F.col(k).alias(f"__c_{k}") for k in (*self.keys, _BLOCK)],
+                             *[fold[r.kind](F.col(f"__s_{name}")).alias(f"__s_{name}") for name, r in wanted.items()])
+
+    def _windows(self, df: DataFrame, wanted: Mapping[str, Running], by: list[str], carried: Mapping[str, Column]) -> DataFrame:
+        """All values from one window per (key, block); ``carried`` is what earlier or later blocks add."""
+        w = Window.partitionBy(*by).orderBy(*self.order)
+        made = {}
+        for name, r in wanted.items():
+            carry = carried.get(name)
+            if r.kind == "previous":
+                lag = F.lag(F.struct(r.value.alias("v"))).over(w)
+                made[name] = lag["v"] if carry is None else F.when(lag.isNotNull(), lag["v"]).otherwise(carry)
+            elif r.kind == "total":
+                own = F.sum(r.value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                made[name] = own if carry is None else own + F.coalesce(carry, F.lit(0))
+            elif r.kind == "greatest_before":
+                own = F.max(r.value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+                made[name] = own if carry is None else F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(F.greatest(own, carry))
+            else:
+                own = (F.last(r.value, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1)) if r.kind == "nearest_before"
+                       else F.first(r.value, ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing)))
+                made[name] = own if carry is None else F.coalesce(own, carry)
+        return df.withColumns(made)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wanted: Mapping[str, Running], block_rows: int | None = None) -> DataFrame:
+    """``df`` with running values by ``keys`` in ``order``."""
+    return Blocks(df, keys, order, block_rows).add(df, wanted)
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

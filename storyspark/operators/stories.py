@@ -15,7 +15,7 @@ from ..functions.values import hours_between, micros, temporal_proximity
 from ..session import cut
 from .graph import forest_roots, smallest_reachable
 from .rank import article_text, canonical_source
-from .scan import day_block, hour_block, previous_row, running_max_before, top_per
+from .scan import Blocks, greatest_before, previous, running, top_per
 from .similarity import jaccard_edges, jaccard_overlap, jaccard_prefixes, position_ok, story_similarity, title_edges
 
 
@@ -53,28 +53,28 @@ def exact_matches(rows: DataFrame, cfg: StoryConfig = StoryConfig(), not_duplica
     (ids) the fingerprint match prefers rows that matched nothing themselves.
     """
     order = [F.col("collected_at"), F.col("id")]
-    block = day_block(F.col("collected_at"))
     newest = F.struct(F.col("published"), (-F.col("id")).alias("neg"))
-    fp = ["category", "content_fingerprint"]
+    by_url = F.struct(F.col("published"), F.col("collected_at"), (-F.col("id")).alias("neg"))
     active = F.col("is_active")
-    out = running_max_before(rows, fp, order, block, F.when(active, newest), "any_fp")
+    wanted, out = {"any_fp": greatest_before(F.when(active, newest))}, rows
     chosen = F.when(_recent(F.col("any_fp"), F.col("published"), cfg), -F.col("any_fp.neg"))
     if not_duplicates is not None:
         out = out.join(not_duplicates.select(F.col("id").alias("nd_id"), F.lit(True).alias("first_seen")),
                        F.col("id") == F.col("nd_id"), "left").drop("nd_id")
-        out = running_max_before(out, fp, order, block, F.when(active & F.col("first_seen"), newest), "first_fp").drop("first_seen")
+        wanted["first_fp"] = greatest_before(F.when(active & F.col("first_seen"), newest))
         chosen = F.when(_recent(F.col("first_fp"), F.col("published"), cfg), -F.col("first_fp.neg")).otherwise(chosen)
-    by_url = F.struct(F.col("published"), F.col("collected_at"), (-F.col("id")).alias("neg"))
-    out = running_max_before(out, ["url_fingerprint"], order, block, F.when(active & (F.length("url_fingerprint") > 0), by_url), "any_url")
+    out = Blocks(rows, ["category", "content_fingerprint"], order).add(out, wanted)
+    out = Blocks(rows, ["url_fingerprint"], order).add(out, {"any_url": greatest_before(F.when(active & (F.length("url_fingerprint") > 0), by_url))})
     return out.withColumns({
         "by_fingerprint": chosen,
         "by_url": F.when(_recent(F.col("any_url"), F.col("published"), cfg), -F.col("any_url.neg")),
-    }).drop("any_fp", "first_fp", "any_url")
+    }).drop("any_fp", "first_fp", "any_url", "first_seen")
 
 
 def match_exact(df: DataFrame, cfg: StoryConfig = StoryConfig()) -> DataFrame:
     """Exact story matches only: equal fingerprint in the category, else equal URL."""
-    rows = exact_matches(_ingest(df, cfg), cfg)
+    narrow = cut(_ingest(df, cfg).select("id", "is_active", "category", "collected_at", "published", "content_fingerprint", "url_fingerprint"))
+    rows = exact_matches(narrow, cfg)
     edges = rows.where(F.coalesce("by_fingerprint", "by_url").isNotNull())
     return edges.select(
         "id", F.coalesce("by_fingerprint", "by_url").alias("match_id"),
@@ -247,12 +247,12 @@ def corroboration(df: DataFrame, batch: Sequence[str], cfg: ScoringConfig = Scor
 
     # row level: last earlier row of every similar group, and of the own title group
     order = [F.col("collected_at"), F.col("id")]
-    met = running_max_before(
-        asks_offers, ["kind", *link], order, hour_block(F.col("collected_at")), F.when(~F.col("asks"), pos), "seen"
+    met = running(
+        asks_offers, ["kind", *link], order, {"seen": greatest_before(F.when(~F.col("asks"), pos))}
     ).where(F.col("asks") & F.col("seen").isNotNull())
     own_group = [*batch, "title_node", "cat"]
-    own = previous_row(
-        rows.select(*own_group, "id", "collected_at"), own_group, order, hour_block(F.col("collected_at")), pos, "seen"
+    own = running(
+        rows.select(*own_group, "id", "collected_at"), own_group, order, {"seen": previous(pos)}
     ).where(F.col("seen").isNotNull())
     edges = met.select(F.col("id").alias("src"), F.col("seen.id").alias("dst")).unionByName(
         own.select(F.col("id").alias("src"), F.col("seen.id").alias("dst")))

@@ -13,7 +13,7 @@ from ..operators import select as sel
 from ..operators import similarity as sim
 from ..operators import stories as st
 from ..operators import summaries as sm
-from ..operators.scan import previous_row, day_block
+from ..operators.scan import previous, running
 from ..sources import tables
 from . import fixtures as fx
 from .queries_core import diverse_sql
@@ -43,7 +43,7 @@ def _(spark, sf):
     keys = st.story_keys(fx.articles(spark, sf)).select("id", "source", "collected_at", F.struct(
         F.col("story_title").alias("title"), F.col("story_excerpt").alias("excerpt"),
         t.significant_tokens(F.concat_ws(" ", "story_title", "story_excerpt")).alias("tokens")).alias("a"))
-    pairs = previous_row(keys, ["source"], [F.col("collected_at"), F.col("id")], day_block(F.col("collected_at")), F.struct("id", "a"), "p").where("p IS NOT NULL")
+    pairs = running(keys, ["source"], [F.col("collected_at"), F.col("id")], {"p": previous(F.struct("id", "a"))}).where("p IS NOT NULL")
     pairs = pairs.withColumn("b", F.col("p.a"))
     return pairs.select("id", F.col("p.id").alias("previous_id"), sim.story_similarity("a", "b").alias("similarity"))
 
