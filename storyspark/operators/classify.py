@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, ClassifyConfig
 from ..functions import text as t
-from .scan import top_per
+from ..session import cut
+from .scan import computed_once, top_per
 
 RULE_SCHEMA = (
     "category string, cat_ord int, polarity string, ord int, term string, is_regex boolean, "
@@ -46,85 +48,131 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
         return rules_from_mapping(spark, yaml.safe_load(handle)["categories"])
 
 
+#: Slots of the table of first words, per first word; a lookup then meets one or two terms.
+_SPREAD = 4
+_RULE = "category:string,cat_ord:int,polarity:string,ord:int,term:string,weight:double,ambiguous:boolean"
+_RULE_COLS = ("category", "cat_ord", "polarity", "ord", "term", "weight", "ambiguous")
+
+
+def _constant(value: Any, ddl: str) -> Column:
+    """A nested literal; folded once when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+class _Rules:
+    """The rule list, which is configuration, as literals: rules by number, and a table of word paths by a hash of the first word."""
+
+    def __init__(self, rules: DataFrame):
+        key = F.when(~F.col("is_regex"), t.fold(F.col("term")))
+        wordy = key.rlike(f"^{t.WORD}+( {t.WORD}+)*$")
+        quoted = F.regexp_replace(key, r"([^\p{L}\p{N}_ ])", r"\\$1")
+        pattern = F.when(F.col("is_regex"), F.concat(F.lit("(?iu)"), F.col("term"))).when(
+            ~wordy, F.concat(F.lit("(?<!" + t.WORD + ")"), quoted, F.lit("(?!" + t.WORD + ")")))
+        first = F.when(wordy, F.substring_index(key, " ", 1))
+        rows = rules.select(*_RULE_COLS, F.when(wordy, key).alias("key"), pattern.alias("pattern"), first.alias("first")).collect()
+        self.rows = sorted(rows, key=lambda r: (r["cat_ord"], r["ord"], r["category"], r["term"]))
+        self.rule = _constant([{c: r[c] for c in _RULE_COLS} for r in self.rows], f"array<struct<{_RULE}>>")
+        self.firsts = sorted({r["first"] for r in self.rows if r["first"]})
+        self.patterns = [(k, r["pattern"]) for k, r in enumerate(self.rows) if r["pattern"]]
+        self.size = max(1, _SPREAD * len(self.firsts))
+        slots = rules.sparkSession.createDataFrame([(w,) for w in self.firsts], "w string").select(
+            "w", F.pmod(F.xxhash64("w"), F.lit(self.size)).alias("at")).collect()
+        table: list[list] = [[] for _ in range(self.size)]
+        for s in slots:
+            for k, r in enumerate(self.rows):
+                if r["first"] == s["w"]:
+                    table[s["at"]].append({"first": s["w"], "path": f" {r['key']} ", "rule": k})
+        self.table = _constant(table, "array<array<struct<first:string,path:string,rule:int>>>")
+        self.categories = sorted({(r["category"], r["cat_ord"]) for r in self.rows}, key=lambda c: (c[1], c[0]))
+
+    def found(self, folded: str, words: str) -> Column:
+        """Numbers of the rules that match a folded text and its word string."""
+        hits = F.array_intersect(F.split(words, " "), _constant(self.firsts, "array<string>"))
+        paths = F.flatten(F.transform(hits, lambda w: F.filter(
+            F.get(self.table, F.pmod(F.xxhash64(w), F.lit(self.size)).cast("int")),
+            lambda e: (e["first"] == w) & F.contains(F.col(words), e["path"]))))
+        numbers = F.transform(paths, lambda e: e["rule"])
+        tests = [F.when(F.col(folded).rlike(p), F.lit(k)) for k, p in self.patterns]
+        return F.array_union(numbers, F.array_compact(F.array(*tests))) if tests else F.array_distinct(numbers)
+
+
+def _match(rules: _Rules, field: str, weight: float) -> Callable[[Column], Column]:
+    def match(k: Column) -> Column:
+        rule = F.get(rules.rule, k)
+        return F.struct(*[rule[c].alias(c) for c in _RULE_COLS], F.lit(field).alias("field"), (rule["weight"] * weight).alias("value"))
+
+    return match
+
+
+def _with_matches(articles: DataFrame, rules: _Rules, cfg: ClassifyConfig) -> DataFrame:
+    """Adds ``_matches``: the best field value of every rule that matches the row. Nothing leaves the row."""
+    content = F.col("content") if cfg.content_chars is None else F.left("content", F.lit(cfg.content_chars))
+    fields = sorted([(cfg.title_weight, "title", F.col("title")), (cfg.description_weight, "description", F.col("description")),
+                     (cfg.content_weight, "content", content)], key=lambda f: (-f[0], f[1]))
+    df = articles.withColumns({f"_{n}": t.fold(F.coalesce(c, F.lit(""))) for _, n, c in fields})
+    df = df.withColumns({f"_{n}_words": t.word_string(F.col(f"_{n}")) for _, n, _ in fields})
+    df = df.withColumns({f"_{n}_rules": rules.found(f"_{n}", f"_{n}_words") for _, n, _ in fields})
+    parts, known = [], None
+    for weight, n, _ in fields:  # a rule counts where it is worth most
+        own = F.col(f"_{n}_rules") if known is None else F.array_except(f"_{n}_rules", known)
+        known = F.col(f"_{n}_rules") if known is None else F.array_union(known, f"_{n}_rules")
+
+        parts.append(F.transform(own, _match(rules, n, weight)))
+    df = df.withColumn("_matches", F.concat(*parts)).drop(*[f"_{n}{x}" for _, n, _ in fields for x in ("", "_words", "_rules")])
+    return computed_once(df, "_matches")
+
+
 def term_matches(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
-    """Best field value of every (article, rule) that matches.
+    """Best field value of every (article, rule) that matches, without a shuffle.
 
-    Terms made of words are found by an equi join: a text's words are cut down to the
-    first words of terms, joined to the rules, and a term of several words is then looked
-    up in the text. Regular expressions and terms with punctuation, the short part of the
-    rule list, become one expression per pattern.
+    A text's words are cut down to first words of terms; each is looked up in a table of word
+    paths, and a path of several words is then looked up in the text. Regular expressions and
+    terms with punctuation, the short part of the rule list, are one expression per pattern.
     """
-    plain = rules.where(~F.col("is_regex")).withColumn("term_key", t.fold(F.col("term")))
-    wordy = F.col("term_key").rlike(f"^{t.WORD}+( {t.WORD}+)*$")
-    joinable = plain.where(wordy).withColumn("first_word", F.substring_index("term_key", " ", 1))
-    quoted = F.regexp_replace("term_key", r"([^\p{L}\p{N}_ ])", r"\\$1")
-    scanned = plain.where(~wordy).withColumn(
-        "pattern", F.concat(F.lit("(?<!" + t.WORD + ")"), quoted, F.lit("(?!" + t.WORD + ")"))
-    ).unionByName(
-        rules.where("is_regex").withColumn("term_key", F.lit("")).withColumn(
-            "pattern", F.concat(F.lit("(?iu)"), F.col("term")))
-    )
-    fields = [
-        ("title", t.fold(F.col("title")), cfg.title_weight),
-        ("description", t.fold(F.col("description")), cfg.description_weight),
-        ("content", t.fold(F.col("content") if cfg.content_chars is None else F.left("content", F.lit(cfg.content_chars))), cfg.content_weight),
-    ]
-    texts = articles.select("id", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("field"), F.lit(w).alias("field_weight"), c.alias("folded")) for n, c, w in fields
-    ]))).where(F.length("folded") > 0)
-    # the rule list is configuration: its words fit a literal
-    vocabulary = sorted(r["first_word"] for r in joinable.select("first_word").distinct().collect())
-    words = texts.select("id", "field", "field_weight", t.word_string(F.col("folded")).alias("ws"))
-    hits = words.select("id", "field", "field_weight", "ws", F.explode(
-        F.array_intersect(F.split("ws", " "), F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))).alias("first_word"))
-    rule_cols = ["category", "cat_ord", "polarity", "ord", "term", "weight", "ambiguous"]
-    found = hits.join(joinable, "first_word").where(
-        F.contains("ws", F.concat(F.lit(" "), F.col("term_key"), F.lit(" ")))
-    ).select("id", *rule_cols, "field", "field_weight")
-    patterns = scanned.select("pattern", F.struct(*rule_cols).alias("rule")).collect()
-    if patterns:
-        # constant patterns are compiled once and need no join
-        tests = [
-            F.when(F.col("folded").rlike(p["pattern"]), F.struct(*[F.lit(p["rule"][c]).alias(c) for c in rule_cols])) for p in patterns]
-        found = found.unionByName(
-            texts.select("id", "field", "field_weight", F.explode(F.array_compact(F.array(*tests))).alias("r")).select(
-                "id", *[F.col(f"r.{c}").alias(c) for c in rule_cols], "field", "field_weight"))
-    return found.groupBy("id", *rule_cols).agg(F.max(F.struct("field_weight", "field")).alias("best")).select(
-        "id", *rule_cols, F.col("best.field").alias("field"), (F.col("weight") * F.col("best.field_weight")).alias("value"))
-
-
-def category_scores(
-    articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = ClassifyConfig(), matches: DataFrame | None = None
-) -> DataFrame:
+    found = _with_matches(articles, _Rules(rules), cfg).select("id", F.inline("_matches"))
+    return found.select("id", *_RULE_COLS, "field", "value")
+
+
+def _with_scores(articles: DataFrame, rules: _Rules, cfg: ClassifyConfig) -> DataFrame:
+    """Adds ``_scores``: a struct per category with a match or the source's bonus, computed in the row."""
+    df = _with_matches(articles, rules, cfg)
+    hit = lambda m: F.struct(
+        (m["polarity"] == "positive").alias("pos"), m["ambiguous"].alias("ambiguous"), m["value"].alias("value"), m["field"].alias("field"),
+        m["term"].alias("term"), m["ord"].alias("ord"))
+    bonus = F.array().cast("array<struct<pos:boolean,ambiguous:boolean,value:double,field:string,term:string,ord:int>>")
+    own = F.lit(None).cast("string")
+    if "source_category" in articles.columns:
+        own = F.col("source_category")
+        bonus = F.array(F.struct(
+            F.lit(True).alias("pos"), F.lit(False).alias("ambiguous"), F.lit(float(cfg.source_category_bonus)).alias("value"),
+            F.lit("source_category").alias("field"), F.lit("categoria_fuente").alias("term"), F.lit(2**30).alias("ord")))
+    cats = _constant([{"category": c, "cat_ord": o} for c, o in rules.categories], "array<struct<category:string,cat_ord:int>>")
+    per = F.transform(cats, lambda c: F.struct(c["category"].alias("category"), c["cat_ord"].alias("cat_ord"), F.concat(
+        F.transform(F.filter("_matches", lambda m: m["category"] == c["category"]), hit),
+        F.when(own == c["category"], bonus).otherwise(F.slice(bonus, 1, 0))).alias("hits")))
+
+    def scored(c: Column) -> Column:
+        hits = c["hits"]
+        for_it = F.filter(hits, lambda h: h["pos"])
+        signed = F.aggregate(hits, F.lit(0.0), lambda a, h: a + F.when(h["pos"], h["value"]).otherwise(-h["value"]))
+        note = lambda h: F.struct(h["ord"].alias("ord"), F.concat(
+            h["field"], F.lit(":"), h["term"], F.lit("("), F.when(h["pos"], "+").otherwise("-"), _plain(h["value"]), F.lit(")")).alias("note"))
+        return F.struct(
+            c["category"].alias("category"), c["cat_ord"].alias("cat_ord"), F.greatest(F.bround(signed, 4), F.lit(0.0)).alias("score"),
+            F.array_max(F.transform(for_it, lambda h: h["value"])).alias("top_term"), F.exists(for_it, lambda h: h["ambiguous"]).alias("ambiguous"),
+            F.transform(F.slice(F.array_sort(F.transform(hits, note)), 1, 8), lambda x: x["note"]).alias("notes"))
+
+    return df.withColumn("_hits", F.filter(per, lambda c: F.size(c["hits"]) > 0)).withColumn("_scores", F.transform("_hits", scored)).drop("_hits", "_matches").transform(
+        computed_once, "_scores")
+
+
+def category_scores(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
     """Positive minus negative term values per (article, category), floored at 0.
 
     A repeated positive term counts once. ``source_category`` (a slug, may be absent)
     adds its bonus.
     """
-    matches = term_matches(articles, rules, cfg) if matches is None else matches
-    positive = F.col("polarity") == "positive"
-    hits = matches.select("id", "category", "term", "ambiguous", "value", "field", "ord", positive.alias("pos"))
-    if "source_category" in articles.columns:
-        bonus = (
-            articles.where(F.length("source_category") > 0)
-            .join(F.broadcast(rules.select(F.col("category").alias("source_category")).distinct()), "source_category")
-            .select("id", F.col("source_category").alias("category"),
-                    F.lit("categoria_fuente").alias("term"), F.lit(False).alias("ambiguous"),
-                    F.lit(cfg.source_category_bonus).alias("value"), F.lit("source_category").alias("field"),
-                    F.lit(2**30).alias("ord"), F.lit(True).alias("pos"))
-        )
-        hits = hits.unionByName(bonus)
-    sign = F.when(F.col("pos"), F.lit("+")).otherwise(F.lit("-"))
-    note = F.concat(F.col("field"), F.lit(":"), F.col("term"), F.lit("("), sign, _plain(F.col("value")), F.lit(")"))
-    signed = F.when(F.col("pos"), F.col("value")).otherwise(-F.col("value"))
-    return hits.groupBy("id", "category").agg(
-        F.greatest(F.bround(F.sum(signed), 4), F.lit(0.0)).alias("score"),
-        F.max(F.when(F.col("pos"), F.col("value"))).alias("top_term"),
-        F.coalesce(F.bool_or(F.when(F.col("pos"), F.col("ambiguous"))), F.lit(False)).alias("ambiguous"),
-        # bounded by the number of rules of one category
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct(F.col("ord"), note.alias("note")))), 1, 8),
-                    lambda s: s["note"]).alias("notes"),
-    )
+    return _with_scores(articles, _Rules(rules), cfg).select("id", F.inline("_scores")).drop("cat_ord")
 
 
 def _plain(c: Column) -> Column:
@@ -135,20 +183,16 @@ def _plain(c: Column) -> Column:
 def classify(articles: DataFrame, rules: DataFrame, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
     """Decision per article: category, confidence, method, risk and reason.
 
-    Top and second score come from one aggregation over the score rows of an
-    article (at most one row per category), so no sort of the articles is needed.
+    Matches, scores and the two best categories are found inside the row, so the plan
+    is one scan without a shuffle.
     """
-    order = F.broadcast(rules.groupBy("category").agg(F.min("cat_ord").alias("cat_ord")))
-    scores = category_scores(articles, rules, cfg).join(order, "category")
-    ranked = F.array_sort(F.collect_list(F.struct(
-        (-F.col("score")).alias("neg"), F.col("cat_ord"), F.col("category"), F.col("top_term"),
-        F.col("ambiguous"), F.col("notes"))))
-    best = scores.groupBy("id").agg(
-        ranked.alias("r"),
-        F.map_from_entries(F.collect_list(F.struct("category", "score"))).alias("scores"),
-    )
+    df = _with_scores(articles, _Rules(rules), cfg)
+    ranked = F.array_sort(F.transform("_scores", lambda s: F.struct(
+        (-s["score"]).alias("neg"), s["cat_ord"], s["category"], s["top_term"], s["ambiguous"], s["notes"])))
+    df = df.select("id", F.slice(ranked, 1, 2).alias("r"), F.when(F.size("_scores") > 0, F.map_from_entries(F.transform(
+        "_scores", lambda s: F.struct(s["category"], s["score"])))).alias("scores"))
     top, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    joined = articles.select("id").join(best, "id", "left").select(
+    joined = df.select(
         "id", "scores",
         F.coalesce(-top["neg"], F.lit(0.0)).alias("top"),
         F.coalesce(-second["neg"], F.lit(0.0)).alias("second"),
@@ -185,6 +229,7 @@ def review_quota(decisions: DataFrame, batch: Sequence[str], cfg: ClassifyConfig
     The quota is found by a top-k per batch and joined back, so a large batch is
     never sorted in one task.
     """
+    decisions = cut(decisions)  # looked at twice
     eligible = decisions.where(F.col("method") == "rules_low_confidence")
     chosen = top_per(eligible.select(*batch, "id", "risk_score"), batch,
                      [F.col("risk_score").desc(), F.col("id")], cfg.review_quota)

@@ -168,3 +168,8 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     names = one_row.columns
     value = one_row.select(F.struct(*names).alias("s")).scalar()
     return df.withColumn("__one", value).select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in names])
+
+
+def computed_once(df: DataFrame, name: str) -> DataFrame:
+    """A costly column behind a generator, which filters are not moved through: else they would compute it again."""
+    return df.select(*[c for c in df.columns if c != name], F.inline_outer(F.array(F.struct(name))))

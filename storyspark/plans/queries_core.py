@@ -385,9 +385,16 @@ def _(spark, sf):
     return cl.term_matches(fx.articles(spark, sf), fx.rules(spark)).select("id", "category", "polarity", "term", "field", "value")
 
 
+def _num(x: str) -> str:
+    return f"regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(18,4)) AS VARCHAR), '0+$', ''), '\\.$', '')"
+
+
 _SCORED = f"""{_RULE_MATCH},
 bn AS (SELECT id, category FROM articles WHERE category IN (SELECT category FROM rules)),
 al AS (SELECT id, category, term, ambiguous, value, polarity = 'positive' AS pos FROM tm UNION ALL SELECT id, category, 'categoria_fuente', false, 2.5, true FROM bn),
+nt AS (SELECT id, category, ord, field || ':' || term || '(' || CASE polarity WHEN 'positive' THEN '+' ELSE '-' END || {_num("value")} || ')' AS note FROM tm
+  UNION ALL SELECT id, category, 1073741824, 'source_category:categoria_fuente(+2.5)' FROM bn),
+ns AS (SELECT id, category, array_to_string((list(note ORDER BY ord, note))[1:8], ';') AS notes FROM nt GROUP BY id, category),
 cs AS (SELECT id, category, greatest(round(sum(CASE WHEN pos THEN value ELSE -value END), 4), 0)::DOUBLE AS score, max(CASE WHEN pos THEN value END)::DOUBLE AS top_term,
   coalesce(bool_or(ambiguous) FILTER (WHERE pos), false) AS ambiguous FROM al GROUP BY id, category)"""
 
@@ -403,16 +410,17 @@ def _(spark, sf):
 
 _DECIDED = f"""{_SCORED}, co AS (SELECT category, min(cat_ord) AS cat_ord FROM rules GROUP BY category),
 rk AS (SELECT cs.*, row_number() OVER (PARTITION BY id ORDER BY score DESC, cat_ord) AS rn FROM cs JOIN co USING (category)),
-tp AS (SELECT a.id, coalesce(x.score, 0) AS top, coalesce(y.score, 0) AS second, x.category AS cat, coalesce(x.top_term / x.score, 0) AS ratio, coalesce(x.ambiguous, false) AS amb
-  FROM articles a LEFT JOIN rk x ON x.id = a.id AND x.rn = 1 LEFT JOIN rk y ON y.id = a.id AND y.rn = 2),
+tp AS (SELECT a.id, coalesce(x.score, 0) AS top, coalesce(y.score, 0) AS second, x.category AS cat, coalesce(x.top_term / x.score, 0) AS ratio, coalesce(x.ambiguous, false) AS amb, ns.notes
+  FROM articles a LEFT JOIN rk x ON x.id = a.id AND x.rn = 1 LEFT JOIN ns ON ns.id = x.id AND ns.category = x.category LEFT JOIN rk y ON y.id = a.id AND y.rn = 2),
 dc AS MATERIALIZED (SELECT id, CASE WHEN top >= 2 THEN cat ELSE 'general' END AS category, CASE WHEN top >= 2 THEN round_even(top / (top + second + 1), 4) ELSE 0.0 END::DOUBLE AS confidence,
   CASE WHEN top >= 2 AND (top - second < 2 OR top / (top + second + 1) < 0.62 OR ratio >= 0.5 OR amb) THEN 'rules_low_confidence' ELSE 'rules' END AS method,
-  CASE WHEN top < 2 THEN 0.0 WHEN amb THEN greatest(round_even(greatest(ratio, 1 - top / (top + second + 1)), 4), 10.0) ELSE round_even(greatest(ratio, 1 - top / (top + second + 1)), 4) END::DOUBLE AS risk_score FROM tp)"""
+  CASE WHEN top < 2 THEN 0.0 WHEN amb THEN greatest(round_even(greatest(ratio, 1 - top / (top + second + 1)), 4), 10.0) ELSE round_even(greatest(ratio, 1 - top / (top + second + 1)), 4) END::DOUBLE AS risk_score,
+  CASE WHEN top >= 2 THEN cat || ':score=' || {_num("top")} || ';margin=' || {_num("top - second")} || ';' || notes ELSE 'sin_senales_suficientes' END AS reason FROM tp)"""
 
 
-@query("classify", f"WITH {_DECIDED} SELECT id, category, confidence, method, risk_score FROM dc")
+@query("classify", f"WITH {_DECIDED} SELECT id, category, confidence, method, risk_score, reason FROM dc")
 def _(spark, sf):
-    return cl.classify(_with_source(spark, sf), fx.rules(spark)).select("id", "category", "confidence", "method", "risk_score")
+    return cl.classify(_with_source(spark, sf), fx.rules(spark)).select("id", "category", "confidence", "method", "risk_score", "reason")
 
 
 @query("review_quota", f"""WITH {_DECIDED}, b AS (SELECT dc.*, a.collected_at::DATE AS batch FROM dc JOIN articles a USING (id)),

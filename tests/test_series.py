@@ -183,6 +183,19 @@ def test_classification_levels(spark):
     assert got[4]["reason"].startswith("deportes:score=9;margin=9;title:gol(+9)")
 
 
+def test_classification_is_one_scan_without_a_shuffle(spark, tmp_path):
+    rows = [(1, "Gol de penal", "gol", "partido"), (2, None, None, None), (3, "", "robos y juez", "policía policía")]
+    spark.createDataFrame(rows, "id bigint, title string, description string, content string").write.parquet(f"{tmp_path}/a")
+    rules = classify.rules_from_mapping(spark, RULES)
+    for f in (classify.classify, classify.category_scores, classify.term_matches):
+        plan = f(spark.read.parquet(f"{tmp_path}/a"), rules)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    # a filter above does not compute the matches again
+    found = classify.classify(spark.read.parquet(f"{tmp_path}/a"), rules)
+    assert found.where("category = 'policiales'")._jdf.queryExecution().optimizedPlan().toString().count("array_except(_description_rules") == 1
+    assert {r["id"]: r["category"] for r in found.collect()} == {1: "deportes", 2: "general", 3: "policiales"}
+
+
 def test_review_goes_to_highest_risk(spark):
     rows = [(i, "b", "rules_low_confidence", i / 100) for i in range(20)] + [(99, "b", "rules", 0.99)]
     df = spark.createDataFrame(rows, "id bigint, batch string, method string, risk_score double")
