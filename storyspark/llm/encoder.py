@@ -2,7 +2,10 @@
 
 The library's pre-tokenizer never joins characters over a single space that a non-space follows, so the ids
 of a text are the ids of its pieces cut before such spaces, one after the other. Pieces repeat; their ids are
-kept, and the pieces a batch adds are encoded as one string and cut apart by the tokens' byte lengths.
+kept. A new piece that is a word with a mark after it, or a line break and a second word, is taken apart where the
+pre-tokenizer would; the new words and all other new pieces of a batch are encoded as one string and cut apart by the
+tokens' byte lengths. A text that holds the string of a special token is encoded whole,
+since the library cuts such tokens out first.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ import numpy as np
 
 _RUN = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
+#: Letters in every version of Unicode; a word, a mark, and perhaps a line break with another word and mark.
+_LETTERS = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+"
+_WORD = re.compile(_LETTERS)
+_LINES = re.compile(f"({_LETTERS})([.,;:!?]?)\n({_LETTERS})([.,;:!?]?)")
 
 
 def default_path() -> str:
@@ -31,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab()
@@ -42,6 +48,8 @@ class Encoder:
         self.keep = keep
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {m: self._plain(m) for m in ".,;:!?\n"} | {"": b""}
 
     def _first(self, piece: str) -> bytes:
         """The ids of the piece that no space precedes."""
@@ -57,7 +65,24 @@ class Encoder:
 
     def _words(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """The ids of each piece with a space before it."""
-        pieces = list(pieces)
+        new, made, known, marks = set(), [], self.known, self.marks
+        for p in pieces:
+            if p.isalpha():
+                new.add(p)
+            elif (p[-1:] in marks and (word := p[:-1]) and _WORD.fullmatch(word)):
+                made.append((p, word, marks[p[-1]]))
+            elif shape := _LINES.fullmatch(p):
+                word, mark, second, last = shape.groups()
+                made.append((p, word, marks[mark] + marks["\n"] + self._first(second) + marks[last]))
+            else:
+                new.add(p)
+        new.update([word for _, word, _ in made if word not in known])
+        out = self._encoded(list(new))
+        for p, word, rest in made:
+            out[p] = (known.get(word) or out[word]) + rest
+        return out
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         joined = "".join([f" {p}" for p in pieces])
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
         sizes = map(len, pieces) if joined.isascii() else (len(p.encode()) for p in pieces)
@@ -70,6 +95,9 @@ class Encoder:
         """The ids of each text as little-endian unsigned integers of ``dtype``."""
         known, cut, new = self.known, [], set()
         for text in texts:
+            if any(a in text for a in self.added):
+                cut.append((None, self._plain(text)))
+                continue
             pieces = text.split(" ") if not _RUN.search(text) else _CUT.split(text)
             found = list(map(known.get, pieces[1:]))
             if None in found:
@@ -81,7 +109,7 @@ class Encoder:
             known.update(extra)
             extra = {}
         lookup = known.__getitem__ if not extra else (lambda p: known.get(p) or extra[p])
-        return [self._first(pieces[0]) + b"".join(found if found is not None else map(lookup, pieces[1:])) for pieces, found in cut]
+        return [found if pieces is None else self._first(pieces[0]) + b"".join(found if found is not None else map(lookup, pieces[1:])) for pieces, found in cut]
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, self.dtype)

@@ -18,7 +18,7 @@ have a candidate. Steps are kept in the shared folder and deleted when the next
 
 Cases: documents without words, null texts included, have an empty set and are linked with nothing; fewer than
 ``words`` words are one shingle; a null id is linked with nothing, has a null component and is kept; rows with one id are
-one document, and its texts' links are all its links; an empty table gives no rows; other columns are ignored.
+one document, and its texts' links are all its links; very long texts are hashed whole; equal sets are one class; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_step, materialize
@@ -186,6 +186,8 @@ def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id
         stats = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(me).alias("first"), F.min("lead").alias("lo"), F.max("lead").alias("hi"),
                                          F.min(F.struct("id", "lead")).alias("top")).where("lo <> hi")
         live = materialize(rows.join(stats.drop("lo", "hi"), "node"))
+        if level:
+            drop_step(own)
         # every document of a node against its first: a large group of near copies becomes one cluster
         star = live.where(F.col("lead") != F.col("top.lead")).select(me.alias("x"), F.col("first").alias("y")).where(_close("x", "y", config))
         grow(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
@@ -230,6 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _groups(docs, config, doc_id, text)[0]
+
+
+def _groups(docs: DataFrame, config: JoinConfig, doc_id: str, text: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups, and the steps that they are read from."""
     signed = materialize(signatures(docs, config, doc_id, text))
     known = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = materialize(known.groupBy("key").agg(F.min(F.struct("id", "n", "s0", "s1", "sig")).alias("r")).select("key", "r.*"))
@@ -240,20 +247,23 @@ def groups(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "do
     roots = components(links.unionByName(ties.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     named = reps.join(roots.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"), "left").select(
         F.col("key").alias("k"), F.coalesce("root", "id").alias("root"))
+    steps = [signed, reps]
     out = signed.select("id", "n", "key").join(named, F.col("id").isNotNull() & (F.col("n") > 0) & (F.col("key") == F.col("k")), "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"),
-                      F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("id") == root, F.lit(True)).alias("kept")), steps
 
 
 def keep_one(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one document of each group; rows that repeat an id become one, the smallest."""
-    own = groups(docs, config, doc_id, text)
+    """The rows of ``docs`` without all but one document of each group; of rows that repeat an id the first by its JSON text stays."""
+    own, steps = _groups(docs, config, doc_id, text)
     per_id = own.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_i")).agg(F.count("*").alias("_n"), F.min("kept").alias("_kept"))
     marked = materialize(per_id.where("_n > 1 or not _kept"))
+    for step in steps:
+        drop_step(step)
     few = marked.count() <= BROADCAST_IDS
-    key = F.col(f"`{doc_id}`").cast("bigint")
-    df = docs.join(F.broadcast(marked) if few else marked, key == F.col("_i"), "left")
-    single = df.where(F.col("_i").isNull()).select(*[f"`{c}`" for c in docs.columns])
-    repeated = df.where(F.col("_kept") & (F.col("_n") > 1)).groupBy("_i").agg(F.min(F.struct(*[f"`{c}`" for c in docs.columns])).alias("r"))
-    return single.unionByName(repeated.select("r.*"))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").cast("bigint").alias("_key"))
+    df = rows.join(F.broadcast(marked) if few else marked, F.col("_key") == F.col("_i"), "left")
+    first = F.row_number().over(Window.partitionBy("_i").orderBy(F.to_json("_row")))
+    repeated = df.where(F.col("_kept") & (F.col("_n") > 1)).withColumn("_first", first).where("_first = 1")
+    return df.where(F.col("_i").isNull()).select("_row.*").unionByName(repeated.select("_row.*"))

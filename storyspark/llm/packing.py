@@ -4,13 +4,15 @@ Documents become pieces of at most ``capacity`` tokens; only longer documents ar
 first. Each partition packs its pieces best-fit, largest first, and emits the bins that are nearly full. The others
 go on as items of their own (a bin with its members, at most ``capacity`` of them): ``fan_in`` partitions at a time
 are merged and packed again, until one group is left. What a bin lacks to count as nearly full grows from round to
-round. A group carries at most ``carry`` bins, the emptiest; it emits the fuller rest, so no task's input
-grows with the table and every piece is in exactly one emitted bin.
+round. Where the bins carried would be more than ``carry`` per group, they are dealt to more groups by a hash that changes with
+the round, so no task's input grows with the table and other bins meet in every round; such rounds end when one has
+saved less than a fiftieth of the bins, since the rest (items over half a sequence, say) has no partners. No bin is
+emitted early for being one too many.
 
 Every round is written to the shared folder before the next reads it, so a repeated task cannot move pieces
 between bins that were already counted.
 
-Cases: a null or empty text is one piece of the end id alone; a row is a document, so equal rows and null ids are
+Cases: a null or empty text is one piece of the end id alone; pieces of one length are packed in the order of their rows; a row is a document, so equal rows and null ids are
 packed like others (``row`` tells them apart); an empty table gives no rows; other columns are ignored.
 """
 
@@ -62,14 +64,14 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_items(items: list[tuple[int, list]], capacity: int, slack: int, carry: int) -> Iterable[tuple[int, bool, list]]:
+def pack_items(items: list[tuple[int, list]], capacity: int, slack: int) -> Iterable[tuple[int, bool, list]]:
     """(fill, full, members) of the bins made of ``items`` (fill, members)."""
     made = []
     for b in best_fit([n for n, _ in items], capacity):
         made.append((sum(items[k][0] for k in b), [m for k in b for m in items[k][1]]))
     made.sort(key=lambda x: x[0])
-    for k, (fill, members) in enumerate(made):
-        yield fill, fill >= capacity - slack or k >= carry, members
+    for fill, members in made:
+        yield fill, fill >= capacity - slack, members
 
 
 def _batch(node: int, level: int, bins: list[tuple[int, bool, list]], first: int) -> pa.RecordBatch:
@@ -108,7 +110,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
 
         def flush():
             nonlocal items, made
-            for b in _emit(node, 0, pack_items(items, capacity, 4, carry)):
+            for b in _emit(node, 0, pack_items(items, capacity, 4)):
                 # ids go on where the partition's last chunk ended
                 yield b.set_column(2, "id", pa.array(range((node << 32) + made, (node << 32) + made + b.num_rows), pa.int64()))
                 made += b.num_rows
@@ -134,20 +136,24 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
                     items.setdefault(x["node"], []).append((x["id"], x["fill"], [tuple(m.values()) for m in x["members"]]))
             for node in sorted(items):
                 own = sorted(items[node], key=lambda x: x[0])
-                yield from _emit(node, level, pack_items([(n, m) for _, n, m in own], capacity, slack, carry))
+                yield from _emit(node, level, pack_items([(n, m) for _, n, m in own], capacity, slack))
         return run
 
     done = []
     made = materialize(rows.mapInArrow(leaves, BIN))
-    level, nodes = 0, 1 + (made.where(~F.col("full")).agg(F.max("node")).first()[0] or 0)
+    level, nodes, before = 0, 1 + (made.where(~F.col("full")).agg(F.max("node")).first()[0] or 0), None
     while True:
         done.append(made.where("full").select("id", "members"))
         rest = made.where(~F.col("full"))
-        if level and nodes == 1:
+        left = rest.count()
+        if level and (nodes == 1 or (before is not None and 50 * left > 49 * before)):
             done.append(rest.select("id", "members"))
             break
-        level, nodes = level + 1, -(-nodes // fan_in)
-        up = rest.withColumn("node", F.expr(f"cast(node div {fan_in} as int)")).repartition(nodes, "node")
+        groups = -(-left // carry)
+        level, nodes = level + 1, max(-(-nodes // fan_in), groups)
+        dealt = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(nodes)).cast("int") if groups == nodes else F.expr(f"cast(node div {fan_in} as int)")
+        before = left if groups == nodes > 1 else None
+        up = rest.withColumn("node", dealt).repartition(nodes, "node")
         made = materialize(up.mapInArrow(merge(level, min(capacity // 8, 4 << level)), BIN))
     every = done[0]
     for d in done[1:]:

@@ -216,7 +216,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 def detect(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``spans``: array of (k, kind, start, end, base), by kind as listed, then start."""
     model = model or fit(docs, text)
-    df = docs.drop("spans").withColumn("_c", candidates(F.col(f"`{text}`")))
+    df = docs.drop("spans", "_c", "_base").withColumn("_c", candidates(F.col(f"`{text}`")))
     df = df.withColumn("_base", F.filter("_c", lambda c: c["base"]))
     extra = F.filter("_c", lambda c: ~c["base"] & (model.logit(c) >= 0) & (c["votes"]["format"] > 0) & ~F.exists(
         "_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))

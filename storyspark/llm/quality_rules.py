@@ -19,8 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import computed_once
 from .common import SPACE, materialize
 
+#: Fences, one row per language and source, that may be broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_shout", "n_upper", "n_distinct", "n_lines")
 #: rate: (part, whole), per 1,000
@@ -135,11 +138,23 @@ def judge(measured: DataFrame, config: RuleConfig) -> DataFrame:
 
     The measures are stored before anything filters on them, so each text is measured once.
     """
-    measured = materialize(measured.withColumn(
-        "base_failed", (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_pct * F.col("n_words"))))
+    return _judged(*_sketched(materialize(_based(measured, config)), config), config)
+
+
+def _based(measured: DataFrame, config: RuleConfig) -> DataFrame:
+    return measured.withColumn(
+        "base_failed", (F.col("n_words") < config.min_words) | (100 * F.col("n_repeat_words") > config.max_repeat_pct * F.col("n_words")))
+
+
+def _sketched(measured: DataFrame, config: RuleConfig) -> tuple[DataFrame, DataFrame]:
+    """The rows and their groups' fences, a row per group; they are broadcast if they are few."""
+    rates = [f.rate for f in config.fences]
+    fences = materialize(limits(materialize(sketches(measured.where(~F.col("base_failed")), rates, ["lang", "source"])), config))
+    return measured, F.broadcast(fences) if fences.count() <= BROADCAST_GROUPS else fences
+
+
+def _judged(measured: DataFrame, fences: DataFrame, config: RuleConfig) -> DataFrame:
     rates = [f.rate for f in config.fences]
-    sketch = materialize(sketches(measured.where(~F.col("base_failed")), rates, ["lang", "source"]))
-    fences = limits(sketch, config)
     df = measured.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = F.array_compact(F.array(*[
         F.when((F.col(f.rate) < F.col(f"_{f.rate}")) if f.below else (F.col(f.rate) > F.col(f"_{f.rate}")), F.lit(f.rate))
@@ -154,6 +169,12 @@ def apply_rules(docs: DataFrame, config: RuleConfig = RuleConfig(), text: str =
 
 
 def keep(docs: DataFrame, config: RuleConfig = RuleConfig(), text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns, also those named like a measure."""
+    """The rows of ``docs`` that are kept, with their own columns, also those named like a measure.
+
+    Texts are neither stored nor shuffled: they are measured once for the sketch and again beside the fences.
+    """
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), *[f"`{c}`" for c in sorted({text, "lang", "source"})])
-    return judge(measure(rows, text, ("_row", "lang", "source")), config).where("kept").select("_row.*")
+    names = ["base_failed", *[f.rate for f in config.fences]]
+    measured = _based(measure(rows, text, ("_row", "lang", "source")), config).select("_row", "lang", "source", F.struct(*names).alias("_m"))
+    measured = computed_once(measured, "_m").select("_row", "lang", "source", "_m.*")
+    return _judged(*_sketched(measured, config), config).where("kept").select("_row.*")

@@ -45,7 +45,7 @@ def stages(spark):
 
 def test_every_query_is_registered():
     names = {int(m[1]) for q in entry.queries() if (m := re.match(r"op(\d+)_", q))}
-    assert names == set(range(1, 11)) and "pipeline" in entry.queries() and len(QUERIES) == 10
+    assert names == set(range(1, 14)) and "pipeline" in entry.queries() and len(QUERIES) == 13
     assert {"op1_license_scan", "op4_quality_rules", "op6_topk_search", "op10_mixing"} == set(ORACLES)
 
 
@@ -97,6 +97,25 @@ def test_stages_take_odd_rows(spark, odd, empty, k):
         assert out.count() <= max(12, df.count()) * 40
 
 
+def test_stages_leave_clashing_columns_alone(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    extra = "spans string, tokens string, domain string, epoch string, _i int, _c string, _leaf string, _row string, _key int, _base int, m map<string,int>, n_chars long"
+    rows = [(k, f"{text} {k % 7} mail a{k}@b.example.org" if k % 2 else f"{text} other{k % 5} " * 2, "en", "src1", "s", "t", "d", "e", k, "c", "l", "r", 1, 2, {"a": k}, 5)
+            for k in range(40)] + [(3, "again " + text, "en", "src2", *["z"] * 4, 9, *["z"] * 3, 1, 2, {"b": 1}, 7)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {extra}")
+    names = [c for c in df.columns if c not in ("text", "n_chars")]
+    known = {str([r[c] for c in names]) for r in df.collect()}
+    for name, stage in pipeline.STAGES[:4]:
+        got = stage(spark, df, SF)
+        assert got.schema.simpleString() == df.schema.simpleString(), name
+        found = got.collect()
+        assert found and {str([r[c] for c in names]) for r in found} <= known, name
+        if name == "pii":
+            assert len(found) == 41 and all(("[EMAIL]" in r["text"]) == (r["doc_id"] % 2 == 1 and "again" not in r["text"]) for r in found)
+        if name == "near_dedup":
+            assert len({r["doc_id"] for r in found}) == len(found) < 20
+
+
 def test_nothing_else_imports_the_subpackage():
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(f"{top}/storyspark"):
