@@ -55,17 +55,17 @@ def jaccard_prefixes(nodes: DataFrame, node: str, tokens: str, threshold: float)
 def with_bigrams(df: DataFrame, title: str, name: str = "grams") -> DataFrame:
     """Character bigrams, numbered so that a repeated bigram counts as often as it occurs.
 
-    Two steps, so that the sorted array is made once per row and not once per element.
+    Distinct bigrams are few however long a title is, and each is counted once.
     """
     c = F.col(title)
     plain = F.when(
         F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
     ).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("__sorted", F.array_sort(plain))
-    ordered = F.col("__sorted")
-    # position minus the first position of the same bigram = its running number
-    numbered = F.transform(ordered, lambda g, i: F.concat(g, F.lit("#"), (i + 1 - F.array_position(ordered, g)).cast("string")))
-    return df.withColumn(name, numbered).drop("__sorted")
+    df = df.withColumn("__all", plain)
+    counted = F.transform(F.array_distinct("__all"), lambda g: F.struct(g.alias("g"), F.size(F.filter("__all", lambda x: x == g)).alias("n")))
+    numbered = F.flatten(F.transform(counted, lambda c: F.transform(
+        F.sequence(F.lit(0), c["n"] - 1), lambda k: F.concat(c["g"], F.lit("#"), k.cast("string")))))
+    return df.withColumn(name, numbered).drop("__all")
 
 
 def ratio_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:

@@ -72,7 +72,7 @@ _METHOD = (
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(read_table(spark, sf, "documents"), "doc_id")
-    first = F.left(t.squeeze(F.split_part("text", F.lit("."), F.lit(1))), F.lit(120))
+    first = t.squeeze(F.split_part("text", F.lit("."), F.lit(1)))
     base = F.lit("2024-01-01").cast("timestamp_ntz")
     minutes = (F.col("doc_id") * 37) % 43200
 
@@ -81,7 +81,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
     published = F.when(F.col("doc_id") % 97 != 0, at(minutes))
     return docs.select(
-        F.col("doc_id").alias("id"), first.alias("title"), F.left("text", F.lit(200)).alias("description"),
+        F.col("doc_id").alias("id"), first.alias("title"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("description"),
         F.col("text").alias("content"), F.lit(None).cast("string").alias("excerpt"),
         F.expr(_CATEGORY).alias("category"), "lang", "source",
         F.expr("CASE WHEN doc_id % 5 = 0 THEN 'api' ELSE 'scraper' END").alias("source_type"),
@@ -97,7 +97,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ARTICLES = f"""articles AS (
-  SELECT doc_id AS id, left({sql_squeeze("split_part(text, '.', 1)")}, 120) AS title, left(text, 200) AS description,
+  SELECT doc_id AS id, {sql_squeeze("split_part(text, '.', 1)")} AS title, split_part(text, chr(10), 1) AS description,
     text AS content, NULL::VARCHAR AS excerpt, {_CATEGORY} AS category, lang, source,
     CASE WHEN doc_id % 5 = 0 THEN 'api' ELSE 'scraper' END AS source_type,
     {_URL} AS url, md5({_URL}) AS url_hash, {_IMAGE} AS image, NULL::VARCHAR AS country,
@@ -158,13 +158,13 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
     at = F.coalesce("published_at", "collected_at")
     return rows.select(
         "id", F.col("id").alias("article_id"), "category", "story_cluster_id", "title",
-        F.left(t.squeeze(F.col("content")), F.lit(300)).alias("summary"), F.left("description", F.lit(40)).alias("fact"),
+        t.squeeze(F.col("content")).alias("summary"), F.col("description").alias("fact"),
         F.to_date(at).alias("summary_date"), (at + F.expr("INTERVAL 30 MINUTES")).alias("created_at"), "quality", "score")
 
 
 SUMMARIES = f"""{STORIES},
-summaries AS (SELECT id, id AS article_id, category, story_cluster_id, title, left({sql_squeeze("content")}, 300) AS summary,
-    left(description, 40) AS fact, coalesce(published_at, collected_at)::DATE AS summary_date,
+summaries AS (SELECT id, id AS article_id, category, story_cluster_id, title, {sql_squeeze("content")} AS summary,
+    description AS fact, coalesce(published_at, collected_at)::DATE AS summary_date,
     coalesce(published_at, collected_at) + INTERVAL 30 MINUTE AS created_at, quality, score
   FROM stored JOIN labels ON id = doc_id)"""
 
@@ -287,23 +287,24 @@ def conversation_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
     lang = F.expr("CASE conv_id % 4 WHEN 0 THEN 'Futbol' WHEN 1 THEN 'Política' WHEN 2 THEN 'nacional' ELSE 'cosas' END")
     first = t.squeeze(F.split_part("text", F.lit("."), F.lit(1)))
     originals = turns.where("role = 'user'").select(
-        batch.alias("batch_id"), F.lit(0).alias("pos"), key.alias("id"), F.left(first, F.lit(140)).alias("title"), F.left("text", F.lit(400)).alias("description"),
+        batch.alias("batch_id"), F.lit(0).alias("pos"), key.alias("id"), first.alias("title"), F.col("text").alias("description"),
         F.col("text").alias("content"), lang.alias("category"), F.concat(F.lit("src"), (F.col("conv_id") % 5).cast("string")).alias("source"),
         F.concat(F.lit("https://news.example.com/"), key.cast("string")).alias("url"), F.lit(None).cast("string").alias("story_cluster_id"),
         F.array(F.lit("A "), F.lit("a"), F.concat(F.lit("s"), (F.col("conv_id") % 3).cast("string"))).alias("corroborating_sources"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("conv_id") % 500).cast("int"))).alias("published_at"))
     claim = F.struct(
-        F.concat(F.lit("1. "), F.left("text", F.lit(300))).alias("claim"),
+        F.concat(F.lit("1. "), F.col("text")).alias("claim"),
         F.expr("CASE conv_id % 3 WHEN 0 THEN 'Multi_Source' WHEN 1 THEN 'rumour' END").alias("confidence"), F.lit("dato").alias("claim_type"),
-        F.when(F.col("conv_id") % 2 == 0, key - 1).otherwise(F.lit(-1).cast("bigint")).alias("article_id"), F.left("text", F.lit(200)).alias("excerpt"))
+        F.when(F.col("conv_id") % 2 == 0, key - 1).otherwise(F.lit(-1).cast("bigint")).alias("article_id"), F.col("text").alias("excerpt"))
     item = F.struct(
-        F.when(F.col("conv_id") % 2 == 0, key - 1).alias("article_id"), F.left(first, F.lit(140)).alias("title"),
-        F.concat(F.lit("2) "), F.left("text", F.lit(90))).alias("summary"), F.left("text", F.lit(200)).alias("fact"), F.array(claim, claim, claim, claim).alias("claims"))
+        F.when(F.col("conv_id") % 2 == 0, key - 1).alias("article_id"), first.alias("title"),
+        F.concat(F.lit("2) "), F.col("text")).alias("summary"), F.col("text").alias("fact"), F.array(claim, claim, claim, claim).alias("claims"))
     body = F.to_json(F.array(item))
     wrapped = (
         F.when(F.col("conv_id") % 3 == 0, body).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Claro:\n```json\n"), body, F.lit("\n```\n")))
         .otherwise(F.concat(F.lit('{"summaries": '), body, F.lit("}"))))
-    wrapped = F.when(F.col("conv_id") % 10 == 9, F.left(wrapped, F.lit(60))).otherwise(wrapped)
+    # an answer that breaks off inside its first item
+    wrapped = F.when(F.col("conv_id") % 10 == 9, F.concat(F.lit('[{"summary": "'), F.regexp_replace("text", r'["\\\[\]{}]', " "))).otherwise(wrapped)
     category = F.expr("CASE conv_id % 2 WHEN 0 THEN 'Politica nacional' ELSE 'otra' END")
     responses = turns.where("role = 'assistant'").select(batch.alias("batch_id"), category.alias("category"), wrapped.alias("response"))
     evidence = originals.select("batch_id", F.lit(0).alias("idx"), F.lit(0).alias("ord"), F.col("id").alias("article_id"), "url", "published_at")

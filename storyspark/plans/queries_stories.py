@@ -13,7 +13,9 @@ from ..operators import select as sel
 from ..operators import similarity as sim
 from ..operators import stories as st
 from ..operators import summaries as sm
+from ..config import CORROBORATION_STOPWORDS, STORY_STOPWORDS
 from ..operators.scan import previous, running
+from .ratio_sql import ratio_ctes
 from ..sources import tables
 from . import fixtures as fx
 from .queries_core import diverse_sql
@@ -22,6 +24,24 @@ from .registry import query
 _EXC = f"left(coalesce(nullif({fx.sql_story_text('content')}, ''), nullif({fx.sql_story_text('description')}, ''), ''), 280)"
 
 
+def _tok(x: str, stop=STORY_STOPWORDS) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all({x}, '{fx.WD}+'), lambda z: length(z) >= 4 AND z NOT IN ({', '.join(repr(w) for w in stop)})))"
+
+
+def _jac(x: str, y: str) -> str:
+    shared = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE {shared}::DOUBLE / (len({x}) + len({y}) - {shared}) END"
+
+
+_FEW = (lambda x: f"len(list_filter(string_split({x}.exc, ' '), lambda z: length(z) > 0)) < 6")
+
+
+def _alike(x: str, y: str) -> str:
+    """Similarity of two stories, with their title ratio in ``ratio``."""
+    return f"""CASE WHEN length({x}.st) = 0 OR length({y}.st) = 0 THEN 0.0 WHEN {x}.st = {y}.st AND {x}.exc = {y}.exc THEN 1.0
+    WHEN ({_FEW(x)} OR {_FEW(y)}) AND ratio < 0.92 THEN 0.0 ELSE CAST(format('{{:.4f}}', ratio * 0.65 + ({_jac(x + '.tok', y + '.tok')}) * 0.35) AS DOUBLE) END"""
+
+
 # --- duplicates --------------------------------------------------------------
 @query("dedup_url", f"""WITH {fx.ARTICLES} SELECT id, url FROM articles QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(url, ''), id::VARCHAR) ORDER BY collected_at, id) = 1""")
 def _(spark, sf):
@@ -32,12 +52,30 @@ def _batched(spark, sf):
     return fx.articles(spark, sf).withColumn("batch", F.to_date("collected_at"))
 
 
-@query("dedup_title")
+@query("dedup_title", f"""WITH RECURSIVE {fx.ARTICLES},
+ti AS MATERIALIZED (SELECT id, published_at AS pub, collected_at::DATE AS d, {fx.sql_title_key("title")} AS t, row_number() OVER (PARTITION BY collected_at::DATE ORDER BY collected_at, id) AS rn FROM articles),
+tp AS (SELECT DISTINCT x.t AS a, y.t AS b FROM ti x JOIN ti y ON x.d = y.d AND y.rn < x.rn AND x.t <> y.t
+  AND 2.0 * least(length(x.t), length(y.t)) >= 0.85 * (length(x.t) + length(y.t)) AND len(list_intersect(string_split(x.t, ''), string_split(y.t, ''))) > 0),
+{ratio_ctes("tp", "ra")},
+sl AS MATERIALIZED (SELECT a, list(b) AS near FROM ra WHERE ratio >= 0.85 GROUP BY a),
+tn AS MATERIALIZED (SELECT ti.*, coalesce(near, []::VARCHAR[]) AS near FROM ti LEFT JOIN sl ON sl.a = ti.t),
+w(d, rn, st) AS (SELECT d, 0::BIGINT, []::STRUCT(t VARCHAR, id BIGINT, p TIMESTAMP)[] FROM (SELECT DISTINCT d FROM tn) UNION ALL
+  SELECT d, rn, CASE WHEN hit IS NULL THEN list_append(st, {{'t': t, 'id': id, 'p': pub}})
+    WHEN pub IS NOT NULL AND (st[hit].p IS NULL OR pub > st[hit].p) THEN list_transform(st, lambda x, i: CASE WHEN i = hit THEN {{'t': t, 'id': id, 'p': pub}} ELSE x END) ELSE st END
+  FROM (SELECT w.d, tn.rn, st, tn.t, tn.id, tn.pub, list_position(list_transform(st, lambda x: x.t = tn.t OR list_contains(tn.near, x.t)), true) AS hit
+    FROM w JOIN tn ON tn.d = w.d AND tn.rn = w.rn + 1))
+SELECT unnest(list_transform(arg_max(st, rn), lambda x: x.id)) AS id FROM w GROUP BY d""")
 def _(spark, sf):
     return dd.dedup_title(_batched(spark, sf), ["batch"])
 
 
-@query("story_pairs")
+_KEYED = f"""{fx.ARTICLES}, k0 AS (SELECT *, coalesce(published_at, collected_at) AS pub, {_EXC} AS exc, {fx.sql_story_text("title")} AS st FROM articles),
+tk AS MATERIALIZED (SELECT id, source, is_active, pub, collected_at, st, exc, {_tok("concat_ws(' ', st, exc)")} AS tok FROM k0)"""
+
+
+@query("story_pairs", f"""WITH RECURSIVE {_KEYED}, pp AS MATERIALIZED (SELECT *, lag(id) OVER (PARTITION BY source ORDER BY collected_at, id) AS previous_id FROM tk),
+pq AS (SELECT x.st AS a, y.st AS b FROM pp x JOIN tk y ON y.id = x.previous_id), {ratio_ctes("pq", "ra")}
+SELECT x.id, x.previous_id, {_alike("x", "y")} AS similarity FROM pp x JOIN tk y ON y.id = x.previous_id JOIN ra ON ra.a = x.st AND ra.b = y.st""")
 def _(spark, sf):
     """Similarity of each article to the one ingested before it from the same source."""
     keys = st.story_keys(fx.articles(spark, sf)).select("id", "source", "collected_at", F.struct(
@@ -64,7 +102,22 @@ def _(spark, sf):
     return st.match_exact(fx.articles(spark, sf))
 
 
-@query("story_match")
+_MATCH = f"""{_EXACT}, {_KEYED.replace(fx.ARTICLES + ", ", "")},
+cp AS MATERIALIZED (SELECT a.id, b.id AS m, a.st AS a, b.st AS b FROM tk a JOIN tk b ON b.is_active AND (b.collected_at, b.id) < (a.collected_at, a.id) AND b.pub >= a.pub - INTERVAL 3 DAY
+  WHERE a.id NOT IN (SELECT id FROM ex) AND length(a.st) > 0 AND length(b.st) > 0 AND (a.st = b.st AND a.exc = b.exc OR {_jac("a.tok", "b.tok")} >= 0.57)),
+{ratio_ctes("cp", "ra")},
+sc AS (SELECT x.id, y.id AS m, y.pub, y.collected_at, ({_alike("x", "y")}) * (1.0::DOUBLE - (1.0::DOUBLE - 0.85::DOUBLE) * least(abs(epoch_us(x.pub) - epoch_us(y.pub)) / 3600000000.0::DOUBLE / 72.0::DOUBLE, 1.0::DOUBLE)) AS score
+  FROM cp JOIN tk x ON x.id = cp.id JOIN tk y ON y.id = cp.m JOIN ra ON ra.a = cp.a AND ra.b = cp.b),
+fz AS MATERIALIZED (SELECT id, m, score FROM sc WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pub DESC, collected_at DESC, m) = 1),
+fr AS MATERIALIZED (SELECT id FROM ky WHERE id NOT IN (SELECT id FROM ex) AND id NOT IN (SELECT id FROM fz)),
+c3 AS (SELECT a.id, b.id AS m, row_number() OVER (PARTITION BY a.id ORDER BY b.id IN (SELECT id FROM fr) DESC, b.pub DESC, b.id) AS rn FROM ky a JOIN ky b ON a.category = b.category AND a.fp = b.fp AND b.is_active
+  AND (b.collected_at, b.id) < (a.collected_at, a.id) AND b.pub >= a.pub - INTERVAL 3 DAY),
+mt AS MATERIALIZED (SELECT ky.id, coalesce(x.m, y.m) AS match_id, CASE WHEN x.m IS NOT NULL THEN 'fingerprint' ELSE 'url_normalized' END AS reason, 1.0::DOUBLE AS score
+  FROM ky LEFT JOIN c3 x ON x.id = ky.id AND x.rn = 1 LEFT JOIN c2 y ON y.id = ky.id AND y.rn = 1 WHERE coalesce(x.m, y.m) IS NOT NULL
+  UNION ALL SELECT id, m, CASE WHEN score < 0.96 THEN 'title_similarity' ELSE 'content_similarity' END, score FROM fz)"""
+
+
+@query("story_match", f"WITH RECURSIVE {_MATCH} SELECT id, match_id, reason, score FROM mt")
 def _(spark, sf):
     return st.match_stories(fx.articles(spark, sf))
 
@@ -78,13 +131,33 @@ def _(spark, sf):
     return st.cluster_ids(a, edges).select("id", "story_cluster_id", "duplicate_of_article_id")
 
 
-@query("story_clusters_full")
+@query("story_clusters_full", f"""WITH RECURSIVE {_MATCH}, up(id, root, d) AS (SELECT id, match_id, 1 FROM mt UNION ALL SELECT up.id, mt.match_id, d + 1 FROM up JOIN mt ON mt.id = up.root),
+rt AS (SELECT id, arg_max(root, d) AS root FROM up GROUP BY id)
+SELECT ky.id, coalesce(r.fp, ky.fp) AS story_cluster_id, mt.match_id AS duplicate_of_article_id, mt.reason AS duplicate_reason, mt.score AS similarity_score
+FROM ky LEFT JOIN rt ON rt.id = ky.id LEFT JOIN ky r ON r.id = rt.root LEFT JOIN mt ON mt.id = ky.id""")
 def _(spark, sf):
     a = fx.articles(spark, sf)
     return st.cluster_ids(a, st.match_stories(a)).select("id", "story_cluster_id", "duplicate_of_article_id", "duplicate_reason", "similarity_score")
 
 
-@query("corroboration")
+_CTEXT = fx.sql_fold("concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(content, ''))")
+
+
+@query("corroboration", f"""WITH RECURSIVE {fx.ARTICLES},
+ci AS MATERIALIZED (SELECT id, collected_at, title, source, collected_at::DATE AS d, lower(trim(coalesce(category, ''))) AS cat, {fx.sql_fold("title")} AS t, {_tok(_CTEXT, CORROBORATION_STOPWORDS)} AS tok,
+  row_number() OVER (PARTITION BY collected_at::DATE ORDER BY collected_at, id) AS rn FROM articles),
+cq AS MATERIALIZED (SELECT x.d, x.rn, y.rn AS o, x.t AS a, y.t AS b, {_jac("x.tok", "y.tok")} AS j FROM ci x JOIN ci y ON x.d = y.d AND y.rn < x.rn AND (x.cat = '' OR y.cat = '' OR x.cat = y.cat)),
+cr AS (SELECT DISTINCT a, b FROM cq WHERE j < 0.55 AND 2.0 * least(length(a), length(b)) >= 0.82 * (length(a) + length(b))),
+{ratio_ctes("cr", "ra")},
+sm AS MATERIALIZED (SELECT d, rn, list(o) AS near FROM cq WHERE j >= 0.55 OR (a, b) IN (SELECT (a, b) FROM ra WHERE ratio >= 0.82) GROUP BY d, rn),
+cn AS MATERIALIZED (SELECT ci.d, ci.rn, coalesce(near, []::BIGINT[]) AS near FROM ci LEFT JOIN sm ON sm.d = ci.d AND sm.rn = ci.rn),
+w(d, rn, lead) AS (SELECT d, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT d FROM cn) UNION ALL
+  SELECT w.d, cn.rn, list_append(lead, coalesce(list_min(list_transform(near, lambda o: lead[o])), cn.rn)) FROM w JOIN cn ON cn.d = w.d AND cn.rn = w.rn + 1),
+ld AS (SELECT d, unnest(range(1, len(lead) + 1)) AS rn, unnest(lead) AS leader FROM (SELECT d, arg_max(lead, rn) AS lead FROM w GROUP BY d)),
+cl AS (SELECT ci.*, leader FROM ci JOIN ld ON ld.d = ci.d AND ld.rn = ci.rn),
+tl AS (SELECT d, leader, 'story-' || left(sha1(first(t ORDER BY {fx.sql_words("title")} DESC, collected_at, id)), 12) AS cluster_id,
+  coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (WHERE source <> ''), '') AS sources, count(DISTINCT source) FILTER (WHERE source <> '')::INTEGER AS source_count FROM cl GROUP BY d, leader)
+SELECT cl.id, tl.cluster_id, tl.sources, tl.source_count FROM cl JOIN tl ON tl.d = cl.d AND tl.leader = cl.leader""")
 def _(spark, sf):
     out = st.corroboration(_batched(spark, sf), ["batch"])
     return out.select("id", "cluster_id", F.array_join("corroborating_sources", ",").alias("sources"), "source_count")
@@ -102,7 +175,10 @@ def _(spark, sf):
     return st.story_articles(fx.stored_articles(spark, sf))
 
 
-@query("story_updates")
+@query("story_updates", f"""WITH RECURSIVE {fx.ARTICLES}, sa AS MATERIALIZED (SELECT id, collected_at, title, source || '-' || weekofyear(collected_at) AS story_id, {fx.sql_story_text("title")} AS n FROM articles),
+cs AS MATERIALIZED (SELECT sa.*, first(n) OVER (PARTITION BY story_id ORDER BY collected_at, id) AS canon FROM sa),
+up AS (SELECT DISTINCT canon AS a, n AS b FROM cs WHERE length(n) > 0 AND length(canon) > 0 AND n <> canon), {ratio_ctes("up", "ra")}
+SELECT story_id, 'Actualizacion: ' || arg_max(title, (collected_at, id)) AS last_update_note FROM cs JOIN ra ON ra.a = canon AND ra.b = n WHERE ratio < 0.92 GROUP BY story_id""")
 def _(spark, sf):
     # one story per source and week, so that titles inside a story differ
     a = fx.articles(spark, sf)
@@ -158,12 +234,12 @@ def _claims(spark, sf):
     """Stored claims: two sets per labelled article's story, one per label kind."""
     s = fx.summaries(spark, sf)
     base = s.select(
-        F.col("story_cluster_id").alias("story_id"), F.col("id").alias("article_id"), F.expr(_CLAIM_LEVEL).alias("confidence"), F.left("summary", F.lit(100)).alias("claim"),
+        F.col("story_cluster_id").alias("story_id"), F.col("id").alias("article_id"), F.expr(_CLAIM_LEVEL).alias("confidence"), F.col("summary").alias("claim"),
         F.to_timestamp_ntz(F.col("summary_date")).alias("created_at"))
     return base
 
 
-_CLAIMS = f"""{fx.SUMMARIES}, claims AS (SELECT story_cluster_id AS story_id, id AS article_id, {_CLAIM_LEVEL} AS confidence, left(summary, 100) AS claim, summary_date::TIMESTAMP AS created_at FROM summaries)"""
+_CLAIMS = f"""{fx.SUMMARIES}, claims AS (SELECT story_cluster_id AS story_id, id AS article_id, {_CLAIM_LEVEL} AS confidence, summary AS claim, summary_date::TIMESTAMP AS created_at FROM summaries)"""
 
 
 @query("story_coverage", f"""WITH {_CLAIMS}, so AS (SELECT story_cluster_id AS story_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS source_count FROM stored GROUP BY 1),
@@ -282,7 +358,7 @@ def _(spark, sf):
 
 
 _BATCH = "conv_id || '-' || (turn // 2)"
-_CONV = f"""us AS (SELECT {_BATCH} AS batch_id, conv_id, conv_id * 1000 + turn AS id, left({fx.sql_squeeze("split_part(text, '.', 1)")}, 140) AS title, conv_id % 5 AS s5 FROM conversations WHERE role = 'user'),
+_CONV = f"""us AS (SELECT {_BATCH} AS batch_id, conv_id, conv_id * 1000 + turn AS id, {fx.sql_squeeze("split_part(text, '.', 1)")} AS title, conv_id % 5 AS s5 FROM conversations WHERE role = 'user'),
 an AS (SELECT {_BATCH} AS batch_id, conv_id, conv_id * 1000 + turn AS k, text FROM conversations WHERE role = 'assistant' AND conv_id % 10 <> 9)"""
 
 
@@ -293,8 +369,8 @@ def _lim(x: str, n: int) -> str:
 _CLEAN = (lambda x: fx.sql_squeeze(f"regexp_replace({x}, '^{fx.SP}*([0-9]+[.)]{fx.SP}*)+', '')"))
 
 
-@query("summary_rows", f"""WITH {_CONV}, j AS (SELECT a.*, u.id AS uid, u.s5, coalesce(nullif(u.title, ''), left({fx.sql_squeeze("split_part(a.text, '.', 1)")}, 140)) AS tt FROM an a LEFT JOIN us u ON u.batch_id = a.batch_id),
-c AS (SELECT *, {_CLEAN("tt")} AS t2, {_CLEAN("left(text, 200)")} AS f2, {_CLEAN("left(text, 90)")} AS sm FROM j)
+@query("summary_rows", f"""WITH {_CONV}, j AS (SELECT a.*, u.id AS uid, u.s5, coalesce(nullif(u.title, ''), {fx.sql_squeeze("split_part(a.text, '.', 1)")}) AS tt FROM an a LEFT JOIN us u ON u.batch_id = a.batch_id),
+c AS (SELECT *, {_CLEAN("tt")} AS t2, {_CLEAN("text")} AS f2, {_CLEAN("text")} AS sm FROM j)
 SELECT batch_id, {_lim("t2", 100)} AS title, {_lim("f2", 140)} AS fact, CASE WHEN conv_id % 2 = 0 THEN 'politica' WHEN uid IS NULL THEN 'general' ELSE CASE conv_id % 4 WHEN 1 THEN 'politica' ELSE 'general' END END AS category,
   CASE WHEN conv_id % 2 = 0 THEN k - 1 ELSE uid END AS article_id, CASE WHEN uid IS NULL THEN 1 ELSE 2 END AS source_article_count, CASE WHEN uid IS NULL THEN '' ELSE 'src' || s5 END AS source FROM c WHERE t2 <> '' AND sm <> ''""")
 def _(spark, sf):
@@ -302,8 +378,8 @@ def _(spark, sf):
     return sm.summary_rows(responses, originals).select("batch_id", "title", "fact", "category", "article_id", "source_article_count", "source")
 
 
-@query("claims_evidence", f"""WITH {_CONV}, c AS (SELECT a.*, u.id AS uid, {_CLEAN("'1. ' || left(a.text, 300)")} AS cl, {_CLEAN("left(a.text, 200)")} AS ex, unnest([1, 2, 3]) AS claim_pos FROM an a JOIN us u ON u.batch_id = a.batch_id
-  WHERE {_CLEAN("left(a.text, 90)")} <> '')
+@query("claims_evidence", f"""WITH {_CONV}, c AS (SELECT a.*, u.id AS uid, {_CLEAN("'1. ' || a.text")} AS cl, {_CLEAN("a.text")} AS ex, unnest([1, 2, 3]) AS claim_pos FROM an a JOIN us u ON u.batch_id = a.batch_id
+  WHERE {_CLEAN("a.text")} <> '')
 SELECT batch_id, claim_pos, {_lim("cl", 220)} AS claim, CASE WHEN conv_id % 3 = 0 THEN 'multi_source' ELSE 'single_source' END AS confidence, uid AS article_id, 'https://news.example.com/' || uid AS source_url,
   nullif({_lim("ex", 160)}, '') AS source_excerpt FROM c WHERE cl <> ''""")
 def _(spark, sf):
@@ -347,9 +423,9 @@ def _(spark, sf):
 
 
 @query("rewrite_merge", f"""WITH tn AS (SELECT conv_id AS batch_id, turn AS pos, count(*) OVER (PARTITION BY conv_id) AS n, text FROM conversations), k AS (SELECT *, CASE WHEN batch_id % 3 = 2 THEN 0 ELSE n - 1 END AS m FROM tn)
-SELECT batch_id, pos, pos < m AS rewritten, CASE WHEN pos < m THEN 'texto ' || pos || ' nuevo' ELSE left(text, 50) END AS summary FROM k WHERE m = 0 OR pos < m""")
+SELECT batch_id, pos, pos < m AS rewritten, CASE WHEN pos < m THEN 'texto ' || pos || ' nuevo' ELSE text END AS summary FROM k WHERE m = 0 OR pos < m""")
 def _(spark, sf):
-    turns = tables.read_table(spark, sf, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").cast("int").alias("pos"), F.left("text", F.lit(50)).alias("summary"))
+    turns = tables.read_table(spark, sf, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").cast("int").alias("pos"), F.col("text").alias("summary"))
     lines = F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.concat((i + 1).cast("string"), F.lit(". Titulo | 1. texto "), i.cast("string"), F.lit("  nuevo")))
     n = turns.groupBy("batch_id").agg(F.count("*").cast("int").alias("n"))
     answer = F.when(F.col("batch_id") % 3 == 2, F.lit("sin cambios")).when(F.col("n") >= 2, F.concat(F.lit("Listo:\n"), F.array_join(lines, "\n"))).otherwise("")
