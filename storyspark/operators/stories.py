@@ -15,7 +15,7 @@ from ..functions.values import hours_between, micros, temporal_proximity
 from ..session import cut
 from .graph import forest_roots, smallest_reachable
 from .rank import article_text, canonical_source
-from .scan import Blocks, greatest_before, previous, running, top_per
+from .scan import Blocks, greatest_before, previous, running, top_per, total
 from .similarity import jaccard_edges, jaccard_overlap, jaccard_prefixes, position_ok, story_similarity, title_edges
 
 
@@ -123,22 +123,15 @@ def fuzzy_matches(rows: DataFrame, probes: DataFrame, cfg: StoryConfig = StoryCo
             "a", "b", cfg.title_weight, cfg.content_weight, cfg.short_title_threshold, cfg.min_excerpt_words).alias("sim"))
         .where(F.col("sim") >= cfg.threshold))
 
-    twin_of = nodes.select("node", "twin", (F.size("tokens") > 0).alias("has_tokens"))
-    cand = rows.where("is_active").select(
-        F.col("id").alias("match_id"), F.col("node").alias("old"), "bucket", F.col("published").alias("c_published"),
-        F.col("collected_at").alias("c_collected"))
-    probe = probes.select("id", F.col("node").alias("new"), "published", "collected_at", F.col("bucket").alias("p_bucket"))
-    near = (
-        probe.join(similar, "new").withColumn("bucket", F.explode(F.array(*[F.col("p_bucket") + d for d in (-1, 0, 1)])))
-        .join(cand, ["old", "bucket"]).select("id", "match_id", "sim", "published", "collected_at", "c_published", "c_collected"))
-    twins = (
-        probe.join(twin_of.withColumnRenamed("node", "new"), "new")
-        .join(cand.join(twin_of.select(F.col("node").alias("old"), "twin"), "old"), "twin")
-        .where((F.col("new") == F.col("old")) | F.col("has_tokens"))
-        .select("id", "match_id", F.lit(1.0).alias("sim"), "published", "collected_at", "c_published", "c_collected"))
-    both = near.unionByName(twins).where(
-        (F.struct("c_collected", "match_id") < F.struct(F.col("collected_at").alias("c_collected"), F.col("id").alias("match_id")))
-        & (F.col("c_published") >= F.col("published") - F.make_dt_interval(F.lit(cfg.lookback_days))))
+    # what a probe asks for: a similar text, or any text with its title and tokens
+    twins = nodes.select("node", F.when(F.size("tokens") > 0, F.col("twin")).otherwise(F.col("node")).alias("target"))
+    cand = rows.where("is_active").select("node", F.col("id").alias("match_id"), F.col("published").alias("c_published"), F.col("collected_at").alias("c_collected"))
+    offers = cand.select(F.col("node").alias("target"), "match_id", "c_published", "c_collected").unionByName(
+        cand.join(twins, "node").where("target <> node").select("target", "match_id", "c_published", "c_collected"))
+    probe = probes.select("id", "node", "published", "collected_at")
+    asks = probe.join(similar.withColumnRenamed("new", "node"), "node").select("id", F.col("old").alias("target"), "sim", "published", "collected_at").unionByName(
+        probe.join(twins, "node").select("id", "target", F.lit(1.0).alias("sim"), "published", "collected_at"))
+    both = earlier_candidates(asks, offers, cfg)
     score = F.col("sim") * temporal_proximity(hours_between(F.col("published"), F.col("c_published")), cfg.lookback_days * 24)
     scored = both.withColumn("score", score).where(F.col("score") >= cfg.threshold)
     # partial aggregation keeps one best candidate per probe before the shuffle
@@ -147,6 +140,53 @@ def fuzzy_matches(rows: DataFrame, probes: DataFrame, cfg: StoryConfig = StoryCo
     return best.select("id", (-F.col("b.neg")).alias("match_id"), F.col("b.score").alias("score"))
 
 
+#: A target with more candidates is looked up by its range index; others meet their asks directly.
+DIRECT_CANDIDATES = 64
+
+
+def earlier_candidates(asks: DataFrame, offers: DataFrame, cfg: StoryConfig, direct: int | None = None) -> DataFrame:
+    """Candidates ingested before each ask and not older than the look-back, the best of each target among them.
+
+    ``asks(id, target, sim, published, collected_at)``, ``offers(target, match_id, c_published, c_collected)``. The score of
+    one target's candidates depends on their distance in time alone, so only the nearest before, the nearest after and, as
+    closeness ends at the look-back, the latest can win. Those ingested before an ask are a prefix of the target's candidates
+    in ingestion order, and a prefix is a sum of dyadic blocks, one per bit of its length: an ask looks into one block per
+    bit, and a candidate lies in one block per level. A text in a third of n rows so costs n log n rows, not n squared.
+    """
+    floor = F.col("published") - F.make_dt_interval(F.lit(cfg.lookback_days))
+    before = (F.struct("c_collected", "match_id") < F.struct(F.col("collected_at").alias("c_collected"), F.col("id").alias("match_id")))
+    made = ["id", "sim", "published", "match_id", "c_published", "c_collected"]
+    many = cut(offers.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") > (DIRECT_CANDIDATES if direct is None else direct)).select("target"))
+    few = asks.join(many, "target", "left_anti").join(offers, "target").where(before & (F.col("c_published") >= floor)).select(*made)
+    if many.isEmpty():
+        return few
+    # positions: an ask's is the number of its target's candidates ingested before it
+    events = offers.join(many, "target", "left_semi").select(
+        "target", F.col("c_collected").alias("at"), F.col("match_id").alias("who"), F.lit(False).alias("is_ask"),
+        F.struct("match_id", "c_published", "c_collected").alias("offer"), F.lit(None).cast("struct<id:bigint,sim:double,published:timestamp_ntz>").alias("ask")
+    ).unionByName(asks.join(many, "target", "left_semi").select(
+        "target", F.col("collected_at").alias("at"), F.col("id").alias("who"), F.lit(True).alias("is_ask"),
+        F.lit(None).cast("struct<match_id:bigint,c_published:timestamp_ntz,c_collected:timestamp_ntz>").alias("offer"), F.struct("id", "sim", "published").alias("ask")))
+    one = F.when(F.col("is_ask"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    placed = cut(running(events, ["target"], [F.col("at"), F.col("who"), ~F.col("is_ask")], {"n": total(one)}))
+    levels = max(1, int(placed.agg(F.max("n")).first()[0]).bit_length())
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    inside = placed.withColumn("level", level).withColumn("block", F.expr("shiftright(if(is_ask, n, n - 1), level)"))
+    # an ask takes the block before its own where its length has the bit; such blocks are even
+    inside = inside.where(F.expr("if(is_ask, block % 2 = 1, block % 2 = 0)")).withColumn("block", F.expr("if(is_ask, block - 1, block)"))
+    key = ["target", "level", "block"]
+    at = micros(F.coalesce("offer.c_published", "ask.published"))
+    inside = cut(inside.select(*key, "is_ask", "offer", "ask", at.alias("pos"), micros(F.col("at")).alias("seen"), "who"))
+    offer = F.when(~F.col("is_ask"), F.struct(F.col("pos").alias("p"), F.col("seen").alias("s"), (-F.col("who")).alias("neg"), F.col("offer").alias("o")))
+    away = F.when(~F.col("is_ask"), F.struct((-F.col("pos")).alias("p"), F.col("seen").alias("s"), (-F.col("who")).alias("neg"), F.col("offer").alias("o")))
+    rest = [F.col("seen"), F.col("who")]
+    found = running(inside, key, [F.col("pos"), F.col("is_ask"), *rest], {"prior": greatest_before(offer)})
+    found = running(found, key, [-F.col("pos"), ~F.col("is_ask"), *rest], {"later": greatest_before(away)}).where("is_ask")
+    last = inside.where(~F.col("is_ask")).groupBy(*key).agg(F.max(offer).alias("last"))
+    found = found.join(last, key).select("ask.*", F.explode(F.array_compact(F.array("prior.o", "later.o", "last.o"))).alias("o")).select("id", "sim", "published", "o.*")
+    return few.unionByName(found.where(F.col("c_published") >= floor).select(*made))
+
+
 def match_stories(df: DataFrame, cfg: StoryConfig = StoryConfig()) -> DataFrame:
     """One edge from each duplicate to the best earlier-ingested row: id, match_id, reason, score.
 

@@ -67,6 +67,29 @@ def test_title_dedup_equals_the_walk(spark, seed):
     assert sorted(r["id"] for r in dedupe.dedup_title(df, ["batch"], block_rows=7).collect()) == want
 
 
+def test_candidates_of_a_common_text_are_looked_up_not_joined(spark):
+    """Each of 600 rows asks for one target with 600 candidates: a few rows per ask, and the best ones among them."""
+    rnd = random.Random(4)
+    base = datetime(2024, 1, 1)
+    rows = [(i, base + timedelta(minutes=rnd.randrange(60 * 24 * 12)), base + timedelta(minutes=rnd.randrange(600))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, published timestamp_ntz, collected_at timestamp_ntz")
+    asks = df.select("id", F.lit("t").alias("target"), F.lit(1.0).alias("sim"), "published", "collected_at")
+    offers = df.select(F.lit("t").alias("target"), F.col("id").alias("match_id"), F.col("published").alias("c_published"), F.col("collected_at").alias("c_collected"))
+    got = stories.earlier_candidates(asks, offers, StoryConfig(), direct=10).collect()
+    assert len(got) <= 600 * 3 * 10
+
+    def closeness(a, c):
+        return 1 - 0.15 * min(abs((a - c).total_seconds()) / 3600 / 72, 1.0)
+
+    best = {}
+    for r in got:
+        key = (closeness(r["published"], r["c_published"]), r["c_published"], r["c_collected"], -r["match_id"])
+        best[r["id"]] = max(best.get(r["id"], key), key)
+    for i, at, seen in rows:
+        want = max(((closeness(at, p), p, s, -k) for k, p, s in rows if (s, k) < (seen, i) and p >= at - timedelta(days=3)), default=None)
+        assert best.get(i) == want
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_corroboration_equals_the_walk(spark, seed):
     rows = make_rows(seed, 90)
@@ -99,8 +122,9 @@ def test_corroboration_equals_the_walk(spark, seed):
         assert {tuple(by_id[i]["corroborating_sources"]) for i in members} == {tuple(sources)}
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_story_match_equals_the_walk(spark, seed):
+@pytest.mark.parametrize(("seed", "direct"), [(5, 64), (6, 64), (5, 2), (7, 0)])
+def test_story_match_equals_the_walk(spark, seed, direct, monkeypatch):
+    monkeypatch.setattr(stories, "DIRECT_CANDIDATES", direct)
     rows = make_rows(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     cfg = StoryConfig()
