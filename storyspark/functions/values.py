@@ -96,6 +96,11 @@ def iso_with_offset(ts: Column, offset: str = "-04:00") -> Column:
     return F.concat(whole, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit(offset))
 
 
+def json_safe(*columns: Column) -> Column:
+    """A row as JSON text: nested values stay nested, times are ISO texts, decimals keep their digits, nulls are written."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "dateFormat": "yyyy-MM-dd"})
+
+
 def temporal_proximity(hours: Column, window_hours: float, floor: float = 0.85) -> Column:
     """1.0 for simultaneous rows falling to ``floor`` at the edge of the window."""
     if window_hours <= 0:

@@ -423,12 +423,30 @@ def related_articles(articles: DataFrame) -> DataFrame:
         F.coalesce("members", F.lit(0)).alias("members"))
 
 
+_NO_DATE = "9999-01-01"
+
+
+def _numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``position`` from 1 within ``story_id``; a running count, so a hot story is numbered in blocks."""
+    return running(rows, ["story_id"], order, {"position": total(F.lit(1).cast("bigint"))})
+
+
+def related_members(articles: DataFrame) -> DataFrame:
+    """The listing of every story: (story_id, position, id, is_duplicate), originals before duplicates, then by date and id.
+
+    All articles of a story share its listing, so it is made once per story and not once per article.
+    """
+    rows = articles.where(F.col("is_active") & F.col("story_cluster_id").isNotNull()).select(
+        F.col("story_cluster_id").alias("story_id"), "id", F.col("duplicate_of_article_id").isNotNull().alias("is_duplicate"),
+        F.coalesce("published_at", F.lit(_NO_DATE).cast("timestamp_ntz")).alias("listed_at"))
+    return _numbered(rows, [F.col("is_duplicate"), F.col("listed_at"), F.col("id")]).select("story_id", "position", "id", "is_duplicate")
+
+
 def related_listing(articles: DataFrame, article_ids: DataFrame) -> DataFrame:
-    """Member rows of the stories of some articles, canonical members first."""
+    """Listings of the stories of some articles: (asked_id, position, id, is_duplicate)."""
     asked = articles.join(article_ids, "id", "left_semi").where("is_active").select(
-        F.col("id").alias("asked_id"), "story_cluster_id")
-    return articles.where("is_active").join(asked, "story_cluster_id").orderBy(
-        "asked_id", F.col("duplicate_of_article_id").isNotNull(), F.col("published_at").asc_nulls_last(), "id")
+        F.col("id").alias("asked_id"), F.col("story_cluster_id").alias("story_id"))
+    return asked.join(related_members(articles), "story_id").select("asked_id", "position", "id", "is_duplicate")
 
 
 def confidence_level(status: Column, types: Column, sources: Column, articles: Column) -> Column:
@@ -512,6 +530,29 @@ def story_detail(stories: DataFrame, links: DataFrame, articles: DataFrame, clai
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("articles", "claims", "corrections")})
 
 
+def story_parts(links: DataFrame, articles: DataFrame, claims: DataFrame, evidence: DataFrame, corrections: DataFrame) -> DataFrame:
+    """All that a story shows, one row per part: (story_id, part, position, ref_id, text, detail, at).
+
+    Members by date, claims in the order of their ids with every piece of evidence beside them, corrections newest first. Parts
+    stay rows, since a story's lists have no bound. ``claims(story_id, claim_id, claim, confidence)``,
+    ``evidence(claim_id, article_id, source_url, published_at)``, ``corrections(story_id, reason, corrected_by, corrected_at)``.
+    """
+    members = story_members(links, articles).select(
+        "story_id", F.lit("member").alias("part"), F.col("article_id").alias("ref_id"), F.col("title").alias("text"), F.col("source").alias("detail"),
+        F.col("published_at").alias("at"), F.coalesce("published_at", F.lit(_NO_DATE).cast("timestamp_ntz")).alias("rank"))
+    shown = claims.join(evidence.withColumnRenamed("claim_id", "e"), F.col("claim_id") == F.col("e"), "left")
+    told = shown.select(
+        "story_id", F.lit("claim").alias("part"), F.col("claim_id").alias("ref_id"), F.concat_ws(": ", "confidence", "claim").alias("text"),
+        F.col("source_url").alias("detail"), F.col("published_at").alias("at"), F.lit(_NO_DATE).cast("timestamp_ntz").alias("rank"))
+    mended = corrections.select(
+        "story_id", F.lit("correction").alias("part"), F.lit(0).cast("bigint").alias("ref_id"), F.col("reason").alias("text"), F.col("corrected_by").alias("detail"),
+        F.col("corrected_at").alias("at"), (F.lit(_NO_DATE).cast("timestamp_ntz") - (F.col("corrected_at") - F.lit("1970-01-01").cast("timestamp_ntz"))).alias("rank"))
+    every = members.unionByName(told).unionByName(mended)
+    order = [F.col(c) for c in ("rank", "ref_id", "detail", "text")]
+    return running(every, ["story_id", "part"], order, {"position": total(F.lit(1).cast("bigint"))}).select(
+        "story_id", "part", "position", "ref_id", "text", "detail", "at")
+
+
 def story_members(links: DataFrame, articles: DataFrame) -> DataFrame:
     """Members of stories in date order; every row after the first is an update."""
     rows = links.join(articles.select(F.col("id").alias("article_id"), "title", "url", "source", "published_at"), "article_id")

@@ -146,9 +146,13 @@ def claims_evidence(rows: DataFrame, evidence: DataFrame, cfg: SummaryConfig = S
         F.col("ev.published_at").alias("published_at"))
 
 
-def current_claims(claims: DataFrame) -> DataFrame:
-    """Claims of the newest set of each story: ``claims(story_id, created_at, ...)``."""
-    newest = claims.groupBy("story_id").agg(F.max("created_at").alias("created_at"))
+def current_claims(claims: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Claims of the newest set of each story: ``claims(story_id, created_at, ...)``.
+
+    ``sets(story_id, created_at)`` names all sets, empty ones too: where the newest is empty, a story has no claims any more.
+    """
+    known = claims.select("story_id", "created_at")
+    newest = (known if sets is None else known.unionByName(sets.select("story_id", "created_at"))).groupBy("story_id").agg(F.max("created_at").alias("created_at"))
     return claims.join(newest, ["story_id", "created_at"], "left_semi")
 
 

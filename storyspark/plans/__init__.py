@@ -3,4 +3,4 @@
 
 def load_queries() -> None:
     """Import the modules that register queries."""
-    from . import queries_core, queries_series, queries_stories  # noqa: F401
+    from . import queries_core, queries_detail, queries_series, queries_stories  # noqa: F401

@@ -311,12 +311,6 @@ def _(spark, sf):
     return _pages(spark, sf).select("page_id", t.strip_invisible(repair_text(F.col("html"))).alias("repaired"))
 
 
-@query("summary_context")
-def _(spark, sf):
-    a = fx.articles(spark, sf)
-    return a.select("id", t.summary_with_context(F.col("title"), F.col("description")).alias("summary"))
-
-
 _NH = "regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\\.', '')"
 _NP = "regexp_replace(regexp_extract(url, '//[^/?#]*(/[^?#]*)', 1), '/+$', '')"
 _NQ = "array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_.*|fbclid|ref)='))), '&')"
