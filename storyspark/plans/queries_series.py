@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as al
@@ -15,10 +15,12 @@ from ..operators import indicators as ic
 from ..operators import quality as q
 from ..operators import select
 from ..operators.dedupe import dedup_url
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from ..sources import tables
 from ..streaming import jobs
+from ..functions.urls import normalize_url
 from . import fixtures as fx
+from .queries_core import _NH, _NP, _NQ
 from .registry import query
 
 SINCE = datetime(2024, 1, 15)
@@ -261,13 +263,17 @@ def _folders(spark: SparkSession) -> tuple[str, str, str]:
     return f"{base}/in", f"{base}/out", f"{base}/ckpt"
 
 
-def _replay(df: DataFrame, order: str | None = None) -> tuple[DataFrame, str, str]:
-    """Write a table to a folder and open it as a stream."""
+def _replay(df: DataFrame, batch: Column | None = None) -> tuple[DataFrame, str, str]:
+    """Write a table to a folder and open it as a stream; with ``batch``, rows of one number are one micro-batch, in that order."""
     spark = df.sparkSession
     source, sink, ckpt = _folders(spark)
-    df.write.parquet(source)
-    stream = spark.readStream.schema(df.schema).parquet(source)
-    return stream, sink, ckpt
+    if batch is None:
+        df.write.parquet(source)
+        return spark.readStream.schema(df.schema).parquet(source), sink, ckpt
+    rows = cut(df.withColumn("__batch", batch))
+    for n in sorted(r[0] for r in rows.select("__batch").distinct().collect()):
+        rows.where(F.col("__batch") == n).drop("__batch").coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source), sink, ckpt
 
 
 def _drain(out: DataFrame, sink: str, ckpt: str) -> DataFrame:
@@ -283,10 +289,15 @@ def _(spark, sf):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_name", "n")
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"""WITH {fx.EVENTS}, l AS (SELECT *, lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at) AS p FROM ev),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(created_at) - epoch_us(p) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created_at) AS n FROM l)
+SELECT user_id, min(created_at) AS session_start, max(created_at) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, n
+HAVING max(created_at) + INTERVAL 30 MINUTE <= (SELECT max(created_at) FROM ev) - INTERVAL 1 HOUR""")
 def _(spark, sf):
+    """Sessions that the watermark has closed."""
     stream, sink, ckpt = _replay(fx.events(spark, sf).select("user_id", "created_at"))
-    return _drain(jobs.sessions(stream), sink, ckpt)
+    out = _drain(jobs.sessions(stream), sink, ckpt)
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events")
 
 
 _SERIES_KEY = "('feed|' || indicator_code || '|' || coalesce(currency, chr(0)) || '|' || chr(0) || '|' || chr(0))"
@@ -295,8 +306,12 @@ _SERIES_KEY = "('feed|' || indicator_code || '|' || coalesce(currency, chr(0)) |
 @query("stream_change_only", f"""WITH {fx.INDICATORS}, l AS (SELECT *, coalesce(observed_at, collected_at::DATE) AS day, lag(coalesce(observed_at, collected_at::DATE)) OVER w AS pd, lag(value) OVER w AS pv FROM ind
 WINDOW w AS (PARTITION BY source, indicator_code, currency, asset, side ORDER BY collected_at, id)) SELECT id, day, value::DOUBLE AS value FROM l WHERE NOT coalesce(pd = day AND pv = value, false)""")
 def _(spark, sf):
-    stream, sink, ckpt = _replay(fx.indicators(spark, sf).drop("raw_payload"))
-    return _drain(jobs.change_only(stream, ic.SERIES_KEY), sink, ckpt).select("id", "day", "value")
+    """Replayed in order, four batches a run."""
+    rows = fx.indicators(spark, sf).drop("raw_payload")
+    stream, sink, ckpt = _replay(rows, F.floor((F.dayofyear("collected_at") - 1) / 8).cast("int"))
+    jobs.run_change_only(stream, ic.SERIES_KEY, sink, sink + "-state", ckpt)
+    out = spark.read.schema(f"id {dict(rows.dtypes)['id']}, day date, value decimal(18,6)").parquet(sink)
+    return out.select("id", "day", "value")
 
 
 @query("stream_price_alerts", _ALERT_SQL)
@@ -305,20 +320,35 @@ def _(spark, sf):
     return _drain(jobs.price_alerts(stream, "0.01"), sink, ckpt)
 
 
-@query("stream_dedup", f"""WITH {fx.ARTICLES} SELECT count(DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS n FROM articles""")
+@query("stream_dedup", f"""WITH {fx.ARTICLES} SELECT DISTINCT 'https://' || {_NH} || {_NP} || CASE WHEN {_NQ} <> '' THEN '?' || {_NQ} ELSE '' END AS normal_url FROM articles""")
 def _(spark, sf):
+    """One row per URL, whichever of its articles came first."""
     a = fx.articles(spark, sf).select("id", "url", "collected_at")
     stream, sink, ckpt = _replay(a)
-    return _drain(jobs.dedup_articles(stream, "40 days"), sink, ckpt).agg(F.count("*").alias("n"))
+    return _drain(jobs.dedup_articles(stream, "40 days"), sink, ckpt).select(normalize_url(F.col("url")).alias("normal_url"))
 
 
-@query("run_metrics", f"""WITH {fx.ARTICLES}, u0 AS (SELECT *, {fx.sql_squeeze("lower(concat_ws(' ', description, content, ''))")} AS x, {fx.sql_squeeze("lower(title)")} AS y FROM articles)
-SELECT count(*) AS raw_count, count(*) FILTER (WHERE length(x) > 0 AND x <> y AND (length(x) >= 50 OR len(string_split(x, ' ')) >= 8)) AS usable_count FROM u0""")
+_WEEK = "CAST((extract(dayofyear FROM collected_at) - 1) // 7 AS INTEGER) + CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END"
+
+
+@query("run_metrics", f"""WITH {fx.ARTICLES}, b AS (SELECT id, title, source, category, score, url, collected_at, published_at + to_hours(CASE WHEN id % 31 = 0 THEN 40 ELSE 0 END) AS pub, {_WEEK} AS wk,
+  {fx.sql_squeeze("lower(concat_ws(' ', description, content, ''))")} AS x, {fx.sql_squeeze("lower(title)")} AS y FROM articles),
+e AS (SELECT wk, max(collected_at) AS hi, row_number() OVER (ORDER BY wk) - 1 AS run FROM b GROUP BY wk), w AS (SELECT *, max(hi) OVER (ORDER BY wk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM e),
+m AS (SELECT b.*, w.run, coalesce(collected_at < edge - INTERVAL 3 DAY, false) AS late FROM b JOIN w USING (wk)), f AS (SELECT *, coalesce(pub > collected_at + INTERVAL 1 DAY, false) AND NOT late AS future FROM m),
+u AS (SELECT *, length(x) > 0 AND x <> y AND (length(x) >= 50 OR len(string_split(x, ' ')) >= 8) AS usable FROM f WHERE NOT late AND NOT future),
+d AS (SELECT *, usable AND row_number() OVER (PARTITION BY run, usable, url ORDER BY collected_at, id) = 1 AS uq FROM u),
+p0 AS (SELECT *, row_number() OVER (PARTITION BY run, category, source ORDER BY score DESC, id) AS rs FROM d WHERE uq), p1 AS (SELECT *, row_number() OVER (PARTITION BY run, category ORDER BY rs > 2, score DESC, id) AS pick FROM p0),
+c AS (SELECT run, id, id IN (SELECT doc_id FROM labels WHERE quality = 1) AS told FROM p1 WHERE pick <= CASE WHEN category IN ('politica', 'economia') THEN 8 ELSE 5 END)
+SELECT f.run, count(*) AS raw, count(*) FILTER (WHERE f.late) AS late, count(*) FILTER (WHERE f.future) AS future, count(*) FILTER (WHERE d.usable) AS usable_count, count(*) FILTER (WHERE d.uq) AS unique_count,
+  count(*) FILTER (WHERE d.uq) AS ranked_count, count(c.id) AS candidate_count, count(*) FILTER (WHERE NOT c.told) AS summary_due_count FROM f LEFT JOIN d USING (id) LEFT JOIN c ON c.id = f.id GROUP BY f.run""")
 def _(spark, sf):
-    stream, sink, ckpt = _replay(fx.articles(spark, sf).select("id", "title", "description", "content", "excerpt"))
-    metrics = sink + "-metrics"
-    jobs.run_batches(
-        stream, lambda b: b.withColumn("usable", q.usable_text()), sink, metrics, ckpt,
-        {"raw_count": F.count(F.lit(1)), "usable_count": F.count_if("usable")})
-    runs = spark.read.schema("run bigint, raw_count bigint, usable_count bigint").parquet(metrics)
-    return runs.agg(F.sum("raw_count").alias("raw_count"), F.sum("usable_count").alias("usable_count"))
+    """Weekly batches, some of whose rows arrive a week late and some dated ahead."""
+    rows = fx.articles(spark, sf).select("id", "title", "description", "content", "excerpt", "source", "category", "score", "url", "collected_at", (
+        F.col("published_at") + F.when(F.col("id") % 31 == 0, F.expr("INTERVAL 40 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))).alias("published_at"))
+    week = F.floor((F.dayofyear("collected_at") - 1) / 7).cast("int") + F.when(F.col("id") % 10 == 3, 1).otherwise(0)
+    stream, sink, ckpt = _replay(rows, week)
+    told = tables.read_table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    jobs.run_batches(stream, lambda b: jobs.selection_steps(b, told), sink, sink + "-metrics", ckpt, jobs.run_counters(), jobs.LateRule(), sink + "-late")
+    names = ["usable_count", "unique_count", "ranked_count", "candidate_count", "summary_due_count"]
+    schema = ", ".join(f"{n} bigint" for n in ("run", *names, "raw", "late", "future"))
+    return spark.read.schema(schema).parquet(sink + "-metrics").select("run", "raw", "late", "future", *names)

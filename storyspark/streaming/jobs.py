@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from fractions import Fraction
 from typing import Any
 
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import EVENT_NAMES
+from ..config import EVENT_NAMES, SummaryConfig
 from ..functions.urls import url_fingerprint
-from ..operators import alerts
+from ..operators import alerts, indicators, quality
+from ..operators.dedupe import dedup_url
+from ..operators.select import diverse_topk
 
 
 def event_counts(
@@ -47,33 +50,36 @@ def dedup_articles(stream: DataFrame, horizon: str = "3 days") -> DataFrame:
     return keyed.withWatermark("at", horizon).dropDuplicatesWithinWatermark(["url_key"])
 
 
-_POINT = "series string, id bigint, day date, value bigint, collected_at timestamp"
+def _earlier(folder: str, schema: str, epoch: int, spark: Any) -> DataFrame | None:
+    """What batches before ``epoch`` have stored in ``folder``."""
+    return None if epoch == 0 else spark.read.schema(f"{schema}, epoch bigint").parquet(folder).where(F.col("epoch") < epoch)
 
 
-def change_only(stream: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Points whose day or value differs from the last one of their series, in arrival order.
+def run_change_only(stream: DataFrame, key: Sequence[str], sink: str, state: str, checkpoint: str) -> None:
+    """Points whose day or value differs from the last one of their series, batch by batch.
 
-    State is the last (day, value) of a series. Batches of a series arrive as several
-    frames, each sorted by time and id before the walk.
+    The state is a table with the last point per series. A batch puts it before its own points, so the batch operator
+    decides all of them in one window per series, with hot series cut into blocks; nothing is gathered in a worker. A batch
+    that is run again replaces its own folders and reads only the state of those before it.
     """
-    series = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key])
-    points = stream.where(F.col("value").isNotNull()).select(
-        series.alias("series"), "id", F.coalesce("observed_at", F.to_date("collected_at")).alias("day"),
-        alerts.millionths(F.col("value")).alias("value"), F.col("collected_at").cast("timestamp").alias("collected_at"))
+    fields = [*key, "id", "observed_at", "collected_at", "value"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.select(*fields).schema)
 
-    def walk(_: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        batch = pd.concat(list(frames)).sort_values(["collected_at", "id"])
-        keep = []
-        for day, value in zip(batch["day"].astype(str), batch["value"]):
-            keep.append(last is None or last[0] != day or last[1] != value)
-            last = (day, int(value))
-        state.update(last)
-        yield batch[keep]
+    def handle(batch: DataFrame, epoch: int) -> None:
+        points = batch.select(*fields).where(F.col("value").isNotNull()).withColumn("__new", F.lit(True))
+        before = _earlier(state, schema, epoch, batch.sparkSession)
+        if before is not None:
+            points = points.unionByName(before.where(F.col("epoch") == epoch - 1).select(*fields, F.lit(False).alias("__new")))
+        points = points.persist()
+        done = indicators.change_only(points, key)
+        done.where("__new and outcome = 'inserted'").select(
+            *fields, F.coalesce("observed_at", F.to_date("collected_at")).alias("day")).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        order = F.struct("collected_at", "id")
+        last = points.groupBy(*key).agg(F.max_by(F.struct("id", "observed_at", "collected_at", "value"), order).alias("l")).select(*key, "l.*")
+        last.select(*fields).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        points.unpersist()
 
-    kept = points.groupBy("series").applyInPandasWithState(
-        walk, _POINT, "day string, value bigint", "append", GroupStateTimeout.NoTimeout)
-    return kept.withColumn("value", (F.col("value").cast("decimal(24,0)") / alerts.SCALE).cast("decimal(18,6)"))
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def price_alerts(stream: DataFrame, threshold: float | str = "0.01") -> DataFrame:
@@ -104,24 +110,77 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
     query.awaitTermination()
 
 
+@dataclass(frozen=True)
+class LateRule:
+    """Rows more than ``delay`` behind the greatest event time of earlier batches are late; rows dated more than ``ahead``
+    after their event time lie in the future."""
+
+    at: str = "collected_at"
+    delay: str = "3 days"
+    dated: str = "published_at"
+    ahead: str = "1 day"
+
+
 def run_batches(
     stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, metrics_sink: str, checkpoint: str,
-    counters: dict[str, Any],
+    counters: dict[str, Any], late: LateRule | None = None, late_sink: str | None = None,
 ) -> None:
     """Micro-batch runner: one pass per batch writes rows and the run's counters.
 
-    ``counters`` maps names to aggregates over the processed rows. They are read with
-    ``observe``, so no batch is scanned twice. A batch that is run again replaces its own
-    output folder, so the result stays the same.
+    ``counters`` maps names to aggregates over the processed rows, which ``observe`` reads while they are written. With
+    ``late``, rows that are late or in the future are not processed: they go to ``late_sink``, and the metrics count them in
+    ``late`` and ``future`` beside all rows in ``raw`` and keep the greatest event time, which is the state that later batches
+    read. A batch that is run again replaces its own output folders, so the result stays the same.
     """
     from pyspark.sql import Observation
 
+    kept = "raw bigint, late bigint, future bigint, max_at timestamp_ntz"
+    names = ", ".join(f"{n} bigint" for n in counters)
+
     def handle(batch: DataFrame, epoch: int) -> None:
+        spark, extra = batch.sparkSession, []
+        if late is not None:
+            before = _earlier(metrics_sink, f"run bigint, {names}, {kept}", epoch, spark)
+            edge = None if before is None else before.agg(F.max("max_at")).first()[0]
+            at = F.col(late.at)
+            is_late = F.coalesce(at < F.lit(edge).cast("timestamp_ntz") - F.expr(f"INTERVAL {late.delay}"), F.lit(False)) if edge else F.lit(False)
+            ahead = F.coalesce(F.col(late.dated) > at + F.expr(f"INTERVAL {late.ahead}"), F.lit(False))
+            marked = batch.withColumns({"__late": is_late, "__future": ahead & ~is_late}).persist()
+            marked.where("__late or __future").withColumnsRenamed({"__late": "late", "__future": "future"}).write.mode("overwrite").parquet(f"{late_sink}/epoch={epoch}")
+            extra = list(marked.agg(F.count("*"), F.count_if("__late"), F.count_if("__future"), F.max(at.cast("timestamp_ntz"))).first())
+            batch = marked.where("not __late and not __future").drop("__late", "__future")
         seen = Observation(f"run_{epoch}")
         rows = process(batch).observe(seen, *[expr.alias(name) for name, expr in counters.items()])
         rows.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
         values = {name: int(seen.get[name] or 0) for name in counters}
-        row = batch.sparkSession.createDataFrame([(epoch, *values.values())], ", ".join(["run bigint", *[f"{n} bigint" for n in values]]))
+        schema = f"run bigint, {names}" + (f", {kept}" if late is not None else "")
+        row = spark.createDataFrame([(epoch, *values.values(), *extra)], schema)
         row.coalesce(1).write.mode("overwrite").parquet(f"{metrics_sink}/epoch={epoch}")
+        if late is not None:
+            marked.unpersist()
 
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def selection_steps(batch: DataFrame, summarised: DataFrame | None = None, cfg: SummaryConfig = SummaryConfig()) -> DataFrame:
+    """Rows of a batch with the steps that they reach: usable, unique, ranked, candidate, summary_due.
+
+    Unique is the first usable row of a URL, ranked a unique row with a score, candidates are the diverse best per category, and
+    a summary is due for candidates that have none.
+    """
+    marked = batch.withColumn("usable", quality.usable_text())
+    unique = dedup_url(marked.where("usable")).select("id", F.lit(True).alias("__unique"))
+    marked = marked.join(unique, "id", "left").withColumn("unique", F.coalesce("__unique", F.lit(False))).drop("__unique")
+    marked = marked.withColumn("ranked", F.col("unique") & F.col("score").isNotNull())
+    best = diverse_topk(marked.where("ranked"), cfg).select("id", F.lit(True).alias("__best"))
+    marked = marked.join(best, "id", "left").withColumn("candidate", F.coalesce("__best", F.lit(False))).drop("__best")
+    due = F.col("candidate")
+    if summarised is not None:
+        marked = marked.join(summarised.select("id", F.lit(True).alias("__told")).distinct(), "id", "left")
+        due = due & F.col("__told").isNull()
+    return marked.withColumn("summary_due", due).drop("__told")
+
+
+def run_counters() -> dict[str, Any]:
+    """Counters of a run over rows of :func:`selection_steps`."""
+    return {f"{c}_count": F.count_if(c) for c in ("usable", "unique", "ranked", "candidate", "summary_due")}

@@ -100,7 +100,7 @@ def test_streams_equal_batches(spark, tmp_path):
     rnd = random.Random(5)
     df = points(spark, [(rnd.randrange(3), None) for _ in range(60)])
     stream = replay(spark, df, tmp_path / "a")
-    jobs.run_available(jobs.change_only(stream, indicators.SERIES_KEY), str(tmp_path / "a/out"), str(tmp_path / "a/ck"))
+    jobs.run_change_only(stream, indicators.SERIES_KEY, str(tmp_path / "a/out"), str(tmp_path / "a/state"), str(tmp_path / "a/ck"))
     got = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "a/out")).collect())
     assert got == sorted(r["id"] for r in indicators.change_only(df).where("outcome = 'inserted'").collect())
 
@@ -122,6 +122,49 @@ def test_micro_batches_count_and_can_run_again(spark, tmp_path):
     assert tuple(totals) == (10, 5)
 
 
+def in_batches(spark, df, number, folder):
+    """A stream with one batch per number, in that order."""
+    for n in sorted(r[0] for r in df.select(number).distinct().collect()):
+        df.where(number == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_change_only_keeps_its_state_between_batches(spark, tmp_path):
+    rnd = random.Random(8)
+    df = points(spark, [(rnd.randrange(2), None) for _ in range(60)])
+    stream = in_batches(spark, df, F.floor(F.col("id") / 13), tmp_path)
+    for _ in range(2):
+        jobs.run_change_only(stream, indicators.SERIES_KEY, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/ck")
+    got = sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted(r["id"] for r in indicators.change_only(df).where("outcome = 'inserted'").collect())
+
+
+def test_late_and_future_rows_go_aside_and_are_counted(spark, tmp_path):
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    rows = [(1, 0, day(5), day(5)), (2, 0, day(9), day(8)), (3, 0, day(6), day(8)),  # the third is dated two days ahead
+            (4, 1, day(5), day(5)), (5, 1, day(7), day(7)), (6, 1, day(12), None), (7, 2, day(8), day(8)), (8, 2, day(9), day(9)), (9, 2, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, n int, collected_at timestamp_ntz, published_at timestamp_ntz")
+    stream = in_batches(spark, df, F.col("n"), tmp_path)
+    out, m = f"{tmp_path}/out", f"{tmp_path}/m"
+    for _ in range(2):  # the second run finds nothing new
+        jobs.run_batches(stream, lambda b: b, out, m, f"{tmp_path}/ck", {"seen": F.count(F.lit(1))}, jobs.LateRule(), f"{tmp_path}/late")
+    got = [tuple(r) for r in spark.read.parquet(m).orderBy("run").select("run", "raw", "late", "future", "seen").collect()]
+    assert got == [(0, 3, 0, 1, 2), (1, 3, 1, 0, 2), (2, 3, 1, 0, 2)]
+    assert sorted((r["id"], r["late"]) for r in spark.read.parquet(f"{tmp_path}/late").collect()) == [(3, False), (4, True), (7, True)]
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 5, 6, 8, 9]
+
+
+def test_selection_steps_count_what_reaches_each(spark):
+    long = "word " * 20
+    rows = [(1, "t1", long, "u1", 5.0), (2, "t2", long, "u1", 9.0), (3, "t3", "", "u2", 1.0), (4, "t4", long, "u4", None), (5, "t5", long, "u5", 2.0)]
+    df = spark.createDataFrame([(i, ti, x, u, s, "salud", "s", datetime(2024, 1, i)) for i, ti, x, u, s in rows],
+                               "id bigint, title string, content string, url string, score double, category string, source string, collected_at timestamp_ntz")
+    df = df.withColumns({"description": F.lit(""), "excerpt": F.lit("")})
+    told = spark.createDataFrame([(5,), (5,)], "id bigint")
+    got = jobs.selection_steps(df, told).agg(*[c.alias(n) for n, c in jobs.run_counters().items()]).first().asDict()
+    assert got == {"usable_count": 4, "unique_count": 3, "ranked_count": 2, "candidate_count": 2, "summary_due_count": 1}
+
+
 def test_diverse_topk_equals_two_passes(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice(["politica", "salud"]), rnd.choice([" A", "a", "b", None, "c"]), float(rnd.randrange(40))) for i in range(200)]
