@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,24 @@ def _grouped(rows: DataFrame, keys: Column, name: str = "unit") -> DataFrame:
         name, F.coalesce("component", "_k")).drop("_k", "_keys", "node", "component")
 
 
+class _Holders:
+    """Which records hold a key now; a record holds the keys it was last written with."""
+
+    def __init__(self) -> None:
+        self.by_key: dict[Any, set[int]] = {}
+        self.keys: dict[int, list] = {}
+
+    def of(self, keys: Iterable) -> set[int]:
+        return set().union(*[self.by_key.get(k, ()) for k in keys])
+
+    def put(self, record: int, keys: Iterable) -> None:
+        for k in self.keys.get(record, ()):
+            self.by_key[k].discard(record)
+        self.keys[record] = list(keys)
+        for k in self.keys[record]:
+            self.by_key.setdefault(k, set()).add(record)
+
+
 def subscription_state(requests: DataFrame) -> DataFrame:
     """Subscribers after all requests, one record per subscriber.
 
@@ -100,19 +119,22 @@ def subscription_state(requests: DataFrame) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         records: list[dict] = []
+        holders = _Holders()
         for r in pdf.sort_values(["at", "seq"]).to_dict("records"):
             own = {c: r[c] for c in names if isinstance(r[c], str) and r[c]}
-            hits = [x for x in records if any(x[c] == v for c, v in own.items())]
+            hits = holders.of(own.items())
             if r["action"] == "unsubscribe":
-                for x in hits:
-                    x.update(is_active=False, updated_at=r["at"])
+                for k in hits:
+                    records[k].update(is_active=False, updated_at=r["at"])
                 continue
-            if not hits:
-                hits = [{"categories": ["general"]}]
-                records += hits
-            wanted = sorted(r["categories"]) if r["categories"] is not None and len(r["categories"]) else hits[0]["categories"]
-            hits[0].update({c: own.get(c) for c in names}, channel=r["channel"], frequency=r["frequency"], preferred_hour=r["preferred_hour"],
-                           categories=wanted, is_active=True, updated_at=r["at"])
+            k = min(hits, default=len(records))
+            if k == len(records):
+                records.append({"categories": ["general"]})
+            x = records[k]
+            wanted = sorted(r["categories"]) if r["categories"] is not None and len(r["categories"]) else x["categories"]
+            x.update({c: own.get(c) for c in names}, channel=r["channel"], frequency=r["frequency"], preferred_hour=r["preferred_hour"],
+                     categories=wanted, is_active=True, updated_at=r["at"])
+            holders.put(k, own.items())
         return pd.DataFrame(records, columns=[x.split()[0] for x in SUBSCRIBER.split(", ")])
 
     return rows.groupBy("unit").applyInPandas(walk, SUBSCRIBER)
@@ -145,19 +167,19 @@ def upsert_summaries(base: DataFrame, new: DataFrame) -> DataFrame:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["new", "id"]).astype(object).where(pdf.notna(), None)
         records: list[dict] = []
+        holders = _Holders()
         for r in pdf.to_dict("records"):
-            if not r["new"]:
-                records.append(r | {"outcome": "kept"})
-                continue
-            same_day = [x for x in records if x["summary_date"] == r["summary_date"]]
-            hit = next((x for x in same_day if x["category"] == r["category"] and x["title"] == r["title"]), None)
-            if hit is None and r["article_id"] is not None:
-                hit = next((x for x in same_day if x["article_id"] == r["article_id"]), None)
-            if hit is None:
-                records.append(r | {"outcome": "inserted"})
+            title, article = ("t", r["summary_date"], r["category"], r["title"]), ("a", r["summary_date"], r["article_id"])
+            own = [title, article] if r["article_id"] is not None else [title]
+            k = len(records)
+            if r["new"]:
+                k = min(holders.of([title]) or holders.of(own), default=k)
+            if k == len(records):
+                records.append(r | {"outcome": "inserted" if r["new"] else "kept"})
             else:
-                hit.update({c: r[c] for c in cols})
-                hit["outcome"] = "inserted" if hit["outcome"] == "inserted" else "updated"
+                records[k].update({c: r[c] for c in cols})
+                records[k]["outcome"] = "inserted" if records[k]["outcome"] == "inserted" else "updated"
+            holders.put(k, own)
         return pd.DataFrame(records, columns=["id", "summary_date", *cols, "outcome"])
 
     return kept.unionByName(rows.groupBy("unit").applyInPandas(walk, schema))

@@ -1,7 +1,10 @@
 """Upserts that follow the order of their input."""
 
+import random
 from datetime import date, datetime, timedelta
 
+import pytest
+
 from storyspark.operators import merge
 
 REQUEST = ("phone string, telegram_id string, email string, action string, at timestamp_ntz, seq bigint, channel string, "
@@ -22,6 +25,46 @@ def test_one_record_per_subscriber(spark):
     assert got == {(None, "7", "a@x.org", "mail", ("deportes",), False), ("+1", "9", None, "chat", ("general",), True)}
 
 
+def walked_requests(rows):
+    """The requests one after the other, each searching all records."""
+    records = []
+    for phone, telegram, mail, action, channel, categories in rows:
+        own = {c: v for c, v in (("phone", phone), ("telegram_id", telegram), ("email", mail)) if v}
+        hits = [x for x in records if any(x.get(c) == v for c, v in own.items())]
+        if not own:
+            continue
+        if action == "unsubscribe":
+            for x in hits:
+                x["is_active"] = False
+            continue
+        if not hits:
+            hits = [{"categories": ["general"]}]
+            records += hits
+        hits[0].update({c: own.get(c) for c in ("phone", "telegram_id", "email")}, channel=channel, is_active=True, categories=sorted(categories) if categories else hits[0]["categories"])
+    return sorted((str(x["phone"]), str(x["telegram_id"]), str(x["email"]), x["channel"], tuple(x["categories"]), x["is_active"]) for x in records)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_identities_taken_over_equal_the_walk(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(90):  # identifiers wander between few people; one phone is in a third of all requests
+        phone = "+0" if rnd.random() < 0.33 else rnd.choice([None, "", f"+{rnd.randrange(1, 9)}"])
+        rows.append((phone, rnd.choice([None, None, str(rnd.randrange(9))]), rnd.choice([None, f"{rnd.choice('abcdefgh')}@x.org"]),
+                     "unsubscribe" if rnd.random() < 0.15 else "subscribe", f"c{k}", rnd.choice([None, [], ["z", "a"], [f"k{k}"]])))
+    got = sorted((str(r["phone"]), str(r["telegram_id"]), str(r["email"]), r["channel"], tuple(r["categories"]), r["is_active"])
+                 for r in merge.subscription_state(requests(spark, *rows)).collect())
+    assert got == walked_requests(rows)
+
+
+def test_a_phone_joins_two_mail_records(spark):
+    df = requests(spark, (None, None, "a@x.org", "subscribe", "1", None), ("+1", None, "b@x.org", "subscribe", "2", ["b"]), ("+1", None, "a@x.org", "subscribe", "3", None),
+                  (None, None, "b@x.org", "subscribe", "4", None), ("+1", None, None, "unsubscribe", "5", None))
+    got = sorted((str(r["phone"]), r["email"], r["channel"], list(r["categories"]), r["is_active"]) for r in merge.subscription_state(df).collect())
+    # the third request takes the oldest record, so the second keeps its phone until the fourth overwrites it
+    assert got == [("+1", "a@x.org", "3", ["general"], False), ("None", "b@x.org", "4", ["b"], True)]
+
+
 SUMMARY = "id bigint, article_id bigint, category string, story_cluster_id string, title string, summary string, fact string, summary_date date"
 
 
