@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; functions that run there name its modules."""
+    sc = spark.sparkContext
+    if getattr(sc, "_storyspark_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    # Spark copies the file to every executor; the driver's own copy is not read again
+    name = os.path.join(tempfile.mkdtemp(prefix="storyspark-"), "storyspark.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(top):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("storyspark", os.path.relpath(path, top)))
+    sc.addPyFile(name)
+    sc._storyspark_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the session settings results depend on; leave cluster sizing alone."""
+    """Pin the session settings results depend on, and send the package to the workers; leave cluster sizing alone."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
