@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.values import json_safe
+from ..operators import analytics as an
 from ..operators import rank as rk
 from ..operators import select as sel
 from ..operators import stories as st
@@ -36,9 +37,6 @@ def _(spark, sf):
     return st.bucketed_claims(_claims(spark, sf)).select("story_id", "article_id", "claim", "created_at", "bucket")
 
 
-_KINDS = "['unchecked', 'checked', 'quoted']"
-
-
 @query("story_parts", f"""WITH {_CLAIMS}, cl AS (SELECT story_id, article_id * 2 AS claim_id, claim, confidence FROM claims),
 e AS (SELECT id * 2 AS claim_id, url, published_at FROM stored WHERE id % 3 <> 0 UNION ALL SELECT id * 2, url || '#2', published_at FROM stored WHERE id % 5 = 0),
 p AS (SELECT story_cluster_id AS story_id, 'member' AS part, id AS ref_id, title AS text, source AS detail, published_at AS "at", coalesce(published_at, TIMESTAMP '9999-01-01') AS rank FROM stored
@@ -65,9 +63,6 @@ def _(spark, sf):
     return sm.current_claims(_claims(spark, sf), empty).select("story_id", "article_id", "created_at")
 
 
-_DETAIL = "trim(coalesce(content, ''))"
-
-
 @query("summary_items", f"""WITH {fx.STORED}, {diverse_sql("stored")}, w AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id) AS pos FROM p2
   WHERE pick <= CASE WHEN category IN ('politica', 'economia') THEN 8 ELSE 5 END),
 sb AS (SELECT w.id, b.id AS sid, row_number() OVER (PARTITION BY w.id ORDER BY b.published_at NULLS LAST, b.id) AS k FROM w JOIN stored b ON b.story_cluster_id = w.story_cluster_id AND b.id <> w.id AND b.is_active),
@@ -133,3 +128,18 @@ def _(spark, sf):
     return a.select("id", json_safe(
         F.col("id"), F.col("published_at"), F.col("source"), F.col("is_active").alias("active"), F.array("lang", "category").alias("places"), F.col("image"),
         F.col("score").cast("decimal(9,2)").alias("weight")).alias("body"))
+
+
+@query("event_ranges", f"""WITH {fx.EVENTS}, r AS (SELECT DISTINCT created_at::DATE AS first_day FROM ev), x AS (SELECT first_day, ev.event_name, count(*) AS n, count(DISTINCT session_id) AS s, count(DISTINCT user_id) AS u
+  FROM r JOIN ev ON ev.created_at::DATE BETWEEN first_day AND first_day + 6 GROUP BY 1, 2)
+SELECT strftime(first_day, '%Y-%m-%d') AS range_id, event_name, n, true AS sessions_close, true AS users_close FROM x""")
+def _(spark, sf):
+    """The week from every day on, merged from daily rows; estimates are held against exact counts with a tolerance of 8 %."""
+    ev = fx.events(spark, sf)
+    days = ev.select(F.to_date("created_at").alias("first_day")).distinct()
+    ranges = days.select(F.col("first_day").cast("string").alias("range_id"), "first_day", F.date_add("first_day", 6).alias("last_day"))
+    got = an.range_summary(an.daily_sketches(ev), ranges)
+    exact = ev.join(F.broadcast(ranges), F.to_date("created_at").between(F.col("first_day"), F.col("last_day"))).groupBy("range_id", "event_name").agg(
+        F.countDistinct("session_id").alias("s"), F.countDistinct("user_id").alias("u"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.08 * F.col(b)
+    return got.join(exact, ["range_id", "event_name"]).select("range_id", "event_name", "n", close("sessions", "s").alias("sessions_close"), close("users", "u").alias("users_close"))

@@ -165,6 +165,23 @@ def test_selection_steps_count_what_reaches_each(spark):
     assert got == {"usable_count": 4, "unique_count": 3, "ranked_count": 2, "candidate_count": 2, "summary_due_count": 1}
 
 
+def test_sketches_merge_for_any_range_within_their_bound(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(f"e{i % 2}", f"s{i * 7919 % 6000}", f"u{i % 900}", start + timedelta(minutes=i * 2)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "event_name string, session_id string, user_id string, created_at timestamp_ntz")
+    daily = analytics.daily_sketches(df)
+    spans = [(0, 0), (0, 16), (3, 9), (40, 41)]
+    ranges = spark.createDataFrame([(f"{a}-{b}", (start + timedelta(days=a)).date(), (start + timedelta(days=b)).date()) for a, b in spans], "range_id string, first_day date, last_day date")
+    got = {(r["range_id"], r["event_name"]): r for r in analytics.range_summary(daily, ranges).collect()}
+    assert len(got) == 6  # nothing lies in the last range
+    for a, b in spans[:3]:
+        for name in ("e0", "e1"):
+            own = [r for r in rows if r[0] == name and a <= (r[3] - start).days <= b]
+            r = got[f"{a}-{b}", name]
+            assert r["n"] == len(own)
+            assert abs(r["sessions"] - len({x[1] for x in own})) <= 0.05 * len(own) and abs(r["users"] - len({x[2] for x in own})) <= 0.05 * 900
+
+
 def test_diverse_topk_equals_two_passes(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice(["politica", "salud"]), rnd.choice([" A", "a", "b", None, "c"]), float(rnd.randrange(40))) for i in range(200)]
