@@ -198,7 +198,8 @@ class Block:
                 heapq.heappush(heap, (-(s1[i + 1] + s2[0]), i + 1, 0))
 
     def scores(self, q: np.ndarray, rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.concatenate([np.arange(a, b) for a, b in rows])
+        starts, sizes = np.array([a for a, _ in rows]), np.array([b - a for a, b in rows])
+        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
         if self.small * float(np.abs(q).max(initial=0)) < 2.0**52:
             return at, (self.x[at] @ q.astype(np.float64)).astype(np.int64)
         return at, self.exact[at] @ q
@@ -207,22 +208,24 @@ class Block:
                windows: list[Span]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of the best rows of each window; ``wanted`` says which row places may count."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
-        open_, waiting, held = set(range(len(windows))), [], 0
+        open_, waiting, held, chunk = set(range(len(windows))), [], 0, 128
 
         def flush() -> None:
-            nonlocal waiting, held
+            nonlocal waiting, held, chunk
             at, s = self.scores(q, waiting)
             keep = wanted(at)
             at, s = at[keep], s[keep]
             for w in open_:
                 inside = (s >= windows[w].low) & (s <= windows[w].high)
+                if not inside.any():
+                    continue
                 ids, best = np.concatenate([found[w][0], self.ids[at[inside]]]), np.concatenate([found[w][1], s[inside]])
                 order = np.lexsort((ids, -best))[:windows[w].k]
                 found[w] = ids[order], best[order]
-            waiting, held = [], 0
+            waiting, held, chunk = [], 0, min(2 * chunk, 4096)  # a search that has not ended soon scores more at once
 
         for bound, rows in self.visits(b1, b2):
-            if waiting and (held >= 128 or held >= rows[1] - rows[0]):
+            if held >= chunk:
                 flush()
             if not waiting:
                 # a window is certified when what is left cannot come before its last row, or lies below it
