@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.values import json_safe
+from ..functions.urls import date_from_url, normalize_url
+from ..functions.values import json_safe, parse_date_text
 from ..operators import analytics as an
 from ..operators import rank as rk
 from ..operators import select as sel
@@ -143,3 +144,28 @@ def _(spark, sf):
         F.countDistinct("session_id").alias("s"), F.countDistinct("user_id").alias("u"))
     close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.08 * F.col(b)
     return got.join(exact, ["range_id", "event_name"]).select("range_id", "event_name", "n", close("sessions", "s").alias("sessions_close"), close("users", "u").alias("users_close"))
+
+
+#: Written forms of a time, and what is left of it in each.
+_FORMS = (
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "microseconds"), ("yyyy-MM-dd'T'HH:mm:ss.SSS", "milliseconds"), ("yyyy-MM-dd'T'HH:mm:ss", "second"), ("yyyy-MM-dd'T'HH:mm", "minute"),
+    ("yyyy-MM-dd HH:mm:ss", "second"), ("yyyy-MM-dd HH:mm", "minute"), ("yyyy-MM-dd", "day"), ("d/M/yyyy HH:mm:ss", "second"), ("d/M/yyyy HH:mm", "minute"),
+    ("d/M/yyyy", "day"), ("d-M-yyyy", "day"), ("yyyy/MM/dd", "day"))
+
+
+@query("date_texts", f"""SELECT event_id, CASE event_id % {len(_FORMS)} {' '.join(f"WHEN {k} THEN date_trunc('{left}', ts)" for k, (_, left) in enumerate(_FORMS))} END AS from_text,
+  date_trunc('minute', ts) AS from_stamp FROM events""")
+def _(spark, sf):
+    """Every event's time written in one of the listed forms and read back, and as the numeric stamp of a URL."""
+    ev = fx.read_table(spark, sf, "events")
+    text = F.coalesce(*[F.when(F.col("event_id") % len(_FORMS) == k, F.date_format("ts", form)) for k, (form, _) in enumerate(_FORMS)])
+    stamp = F.concat(F.lit("https://x.example/nota-"), F.date_format("ts", "yyyyMMddHHmm"), F.lit(".html"))
+    return ev.select("event_id", parse_date_text(F.concat(F.lit("Hoy, hace 3 horas: "), text)).alias("from_text"), date_from_url(stamp).alias("from_stamp"))
+
+
+@query("url_escapes", """SELECT doc_id AS id, 'https://x.example/' || lang || '%20n/a-' || doc_id || '?k=' || source || '+b&q=%C3%A9' AS normal_url FROM documents""")
+def _(spark, sf):
+    """Escapes in whatever case and form become one form; tracking parameters go."""
+    docs = fx.read_table(spark, sf, "documents")
+    url = F.concat(F.lit("HTTP://www.X.example/"), "lang", F.lit("%20n/a-"), F.col("doc_id").cast("string"), F.lit("/?q=%c3%a9&utm_campaign=z&k="), "source", F.lit("%20b#part"))
+    return docs.select(F.col("doc_id").alias("id"), normalize_url(url).alias("normal_url"))
