@@ -11,18 +11,22 @@ from ..session import cut
 def forest_roots(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(child, root) for a table with at most one edge per child, by pointer jumping.
 
-    The distance to the root halves in every round, so depth d needs log2(d) rounds.
+    The distance to the root halves in every round, so depth d needs log2(d) rounds. A row whose pointer has reached
+    a root is settled and takes no further part, so the rows of a big cluster meet on its root's key once at most.
     """
-    state = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")))
+    every = active = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")))
+    settled = None
     while True:
-        up = state.select(F.col("c").alias("c2"), F.col("p").alias("p2"))
+        up = every.select(F.col("c").alias("c2"), F.col("p").alias("p2"))
         moved = cut(
-            state.join(up, F.col("p") == F.col("c2"), "left")
+            active.join(up, F.col("p") == F.col("c2"), "left")
             .select("c", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved"))
         )
-        state = moved.select("c", "p")
-        if moved.where("moved").limit(1).isEmpty():
-            return state.select(F.col("c").alias(child), F.col("p").alias("root"))
+        there, active = moved.where("not moved").drop("moved"), moved.where("moved").drop("moved")
+        settled = there if settled is None else settled.unionByName(there)
+        if active.isEmpty():
+            return settled.select(F.col("c").alias(child), F.col("p").alias("root"))
+        every = settled.unionByName(active)
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
