@@ -117,10 +117,11 @@ class Blocks:
 
         blocks = rows.groupBy(*self.keys, _BLOCK).agg(*[summary(r).alias(f"__s_{name}") for name, r in wanted.items()])
         order = Window.partitionBy(*self.keys).orderBy(_BLOCK)
-        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*self.keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
         fold = {"previous": lambda c: F.last(c, ignorenulls=True).over(before)["v"], "total": lambda c: F.sum(c).over(before),
                 "greatest_before": lambda c: F.max(c).over(before), "nearest_before": lambda c: F.last(c, ignorenulls=True).over(before),
-                "nearest_after": lambda c: F.first(c, ignorenulls=True).over(after)}
+                "nearest_after": lambda c: F.last(c, ignorenulls=True).over(after)}
         return blocks.select(*[F.col(k).alias(f"__c_{k}") for k in (*self.keys, _BLOCK)],
                              *[fold[r.kind](F.col(f"__s_{name}")).alias(f"__s_{name}") for name, r in wanted.items()])
 
@@ -140,8 +141,9 @@ class Blocks:
                 own = F.max(r.value).over(w.rowsBetween(Window.unboundedPreceding, -1))
                 made[name] = own if carry is None else F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(F.greatest(own, carry))
             else:
-                own = (F.last(r.value, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1)) if r.kind == "nearest_before"
-                       else F.first(r.value, ignorenulls=True).over(w.rangeBetween(1, Window.unboundedFollowing)))
+                # seen from the end, what follows is what comes before: a frame that only grows takes linear time
+                seen = w if r.kind == "nearest_before" else Window.partitionBy(*by).orderBy(-self.order[0])
+                own = F.last(r.value, ignorenulls=True).over(seen.rangeBetween(Window.unboundedPreceding, -1))
                 made[name] = own if carry is None else F.coalesce(own, carry)
         return df.withColumns(made)
 
