@@ -207,7 +207,7 @@ def category_text(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     parts = F.split(_text(c), r"(?<=[.!?])" + SPACE + "+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def summary_with_context(summary: Column, context: Column, min_chars: int = 120, max_chars: int = 360) -> Column:

@@ -75,6 +75,11 @@ def test_clean_generated_and_context(one):
     assert one(t.summary_with_context(lit(""), lit("Algo de contexto."))) == ""
 
 
+def test_sentences_keep_digits_that_are_their_position(one):
+    assert one(t.sentences(lit("0 uno 0. 1 dos 1. 2 tres 2."))) == ["0 uno 0.", "1 dos 1.", "2 tres 2."]
+    assert one(t.summary_with_context(lit("Reouti anatha"), lit("Reouti anatha. 19.37.233.111"))) == "Reouti anatha. 19.37.233.111"
+
+
 def test_invisible_and_repair(one):
     assert one(t.strip_invisible(lit("a­b​  c"))) == "ab c"
     assert one(repair_text(lit("econom&amp;iacute;a"))) == "economía"
