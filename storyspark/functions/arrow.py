@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _ratios(left: pd.Series, right: pd.Series) -> list[float]:
+def ratios(left: pd.Series, right: pd.Series) -> list[float]:
+    """Matching-block ratios of pairs of titles."""
     # the matcher keeps the index of its second argument, so equal right-hand titles
     # of a batch are compared in one go
     out = [0.0] * len(left)
@@ -35,7 +36,7 @@ def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
     Used on candidate pairs only.
     """
-    return pd.Series(_ratios(left, right))
+    return pd.Series(ratios(left, right))
 
 
 @F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("mixed", T.DoubleType())]))
@@ -43,9 +44,9 @@ def story_score(
     left: pd.Series, right: pd.Series, jaccard: pd.Series, title_weight: pd.Series, content_weight: pd.Series
 ) -> pd.DataFrame:
     """Title ratio, and its mix with the token overlap to four digits of the binary value."""
-    ratios = _ratios(left, right)
-    mixed = [round(r * tw + j * cw, 4) for r, j, tw, cw in zip(ratios, jaccard, title_weight, content_weight)]
-    return pd.DataFrame({"ratio": ratios, "mixed": mixed})
+    found = ratios(left, right)
+    mixed = [round(r * tw + j * cw, 4) for r, j, tw, cw in zip(found, jaccard, title_weight, content_weight)]
+    return pd.DataFrame({"ratio": found, "mixed": mixed})
 
 
 # --- fixed values: broken UTF-8 sequences and their meaning ------------------

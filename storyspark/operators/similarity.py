@@ -1,149 +1,216 @@
-"""Candidate pairs for fuzzy comparisons, found by equi joins only.
+"""Pairs for fuzzy comparisons, found by tiles of rows that meet in tasks.
 
-Prefix filtering: under one global order of tokens, two sets that overlap enough
-must share a token among their first few. Frequent tokens come last in the order, so
-prefixes hold rare tokens and join buckets stay small. Exact copies are collapsed to
-one node before any pair is formed.
+Distinct titles or texts are dealt to tiles by size and hash; every two tiles whose sizes allow a pair meet once, and a
+task rules pairs out by products of counts before it compares the rest. Candidates are never stored or shuffled: disk grows
+with the rows and the pairs found. Exact copies are collapsed to one node before any pair is formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.arrow import story_score, title_ratio
+from ..functions.arrow import ratios, story_score
 from ..session import cut
 
-def _prefixes(nodes: DataFrame, node: str, tokens: str, keep: Column) -> DataFrame:
-    """(node, n, pos, token): the first ``keep`` tokens of each node, rarest first.
-
-    Every token has its exact document count; a token of one node alone needs no count, as no pair shares it.
-    """
-    single = nodes.select(F.col(node).alias("node"), F.size(tokens).alias("n"), keep.alias("keep"), F.explode(tokens).alias("token"))
-    counts = single.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = single.join(counts, "token", "left").groupBy("node", "n", "keep").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), "token"))).alias("s"))
-    return ranked.select("node", "n", F.posexplode(F.slice("s", F.lit(1), F.col("keep").cast("int"))).alias("pos", "e")).select(
-        "node", "n", "pos", F.col("e.token").alias("token"))
+#: Rows of a tile at most, and the sizes (characters or tokens) of its rows together; two tiles meet in one task.
+TILE_ROWS, TILE_SIZE = 4_096, 1 << 19
 
 
-def position_ok(n: str, pos: str, other_n: str, other_pos: str, need: Column) -> Column:
-    """Whether the tokens from a shared one on can still reach the needed overlap.
+def _cells(left: DataFrame, right: DataFrame | None, keys: Sequence[str], reach: float) -> DataFrame:
+    """Rows ``(keys, node, size, text)`` dealt to cells, each of a left and a right tile: (keys, a, i, b, j, is_left, ...).
 
-    True for every qualifying pair at the first token it shares, so nothing is lost, and
-    pairs that only meet late in both prefixes are dropped inside the join.
+    Sizes that differ by less than ``reach`` lie in one size class or in two that adjoin, and a class of a key is cut
+    into tiles of bounded size by a hash. Every left row so meets every right row it can be similar to in exactly one
+    cell. Without ``right`` rows meet each other once: a cell has ``(a, i) <= (b, j)``, and a tile meets itself.
     """
-    return F.least(F.col(n) - F.col(pos), F.col(other_n) - F.col(other_pos)) >= need
-
-
-def jaccard_overlap(n: str, other_n: str, threshold: float) -> Column:
-    """Tokens two sets of these sizes must share."""
-    return F.ceil((F.col(n) + F.col(other_n)) * (threshold / (1.0 + threshold)) - 1e-9)
-
-
-def jaccard_prefixes(nodes: DataFrame, node: str, tokens: str, threshold: float) -> DataFrame:
-    """Prefixes such that sets with Jaccard >= ``threshold`` share a prefix token."""
-    nodes = nodes.where(F.size(tokens) > 0)
-    n = F.size(tokens)
-    return _prefixes(nodes, node, tokens, n - F.ceil(n * threshold - 1e-9) + 1)
-
-
-def with_bigrams(df: DataFrame, title: str, name: str = "grams") -> DataFrame:
-    """Character bigrams, numbered so that a repeated bigram counts as often as it occurs.
-
-    Distinct bigrams are few however long a title is, and each is counted once.
+    step = F.floor(F.ln(F.col("size").cast("double")) / F.ln(F.lit(reach * 1.0001))).cast("int")
+
+    def classed(df: DataFrame) -> DataFrame:
+        return df.where(F.col("size") > 0).withColumn("cls", step)
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SIZE)).cast("int")
+        return df.groupBy(*keys, "cls").agg(n.alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cls", "n"))).alias(name))
+
+    once = right is None
+    left = classed(left)
+    right = left if once else classed(right)
+    plan = cut(tiles(left, "tl").join(tiles(right, "tr"), list(keys)))
+
+    def dealt(df: DataFrame, own: str, other: str, is_left: bool) -> DataFrame:
+        rows = df.join(F.broadcast(plan), list(keys)).withColumn("me", F.pmod(F.xxhash64("node"), F.try_element_at(own, F.col("cls"))).cast("int"))
+        parts = []
+        for d in ((0, 1) if is_left else (0, -1)) if once else (-1, 0, 1):
+            met, me, cls = F.try_element_at(other, F.col("cls") + d), F.col("me"), F.col("cls")
+            low, high = F.lit(0), met - 1
+            if once and d == 0:
+                low, high = (me, high) if is_left else (low, me)
+            cell = (lambda x: F.struct(cls.alias("a"), me.alias("i"), (cls + d).alias("b"), x.alias("j"))) if is_left else (
+                lambda x: F.struct((cls + d).alias("a"), x.alias("i"), cls.alias("b"), me.alias("j")))
+            parts.append(F.when(met.isNotNull(), F.transform(F.sequence(low, high), cell)).otherwise(F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")))
+        return rows.select(*keys, "node", "size", "text", F.lit(is_left).alias("is_left"), F.inline(F.concat(*parts)))
+
+    both = dealt(left, "tl", "tr", True).unionByName(dealt(right, "tr", "tl", False))
+    # a cell is much work on few bytes: adaptive execution must not put many into one task
+    return both.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "a", "i", "b", "j")
+
+
+def _counts(ids: list[np.ndarray], width: int) -> np.ndarray:
+    """How many ids of each row fall into each of ``width`` buckets."""
+    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    flat = row * width + (np.concatenate(ids) & (width - 1))
+    return np.bincount(flat, minlength=len(ids) * width).reshape(len(ids), width).astype(np.float32)
+
+
+def _near(left: list[np.ndarray], right: list[np.ndarray], share: float, less: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of bags that may share ``share * (m + n) - less`` of their m and n ids and whose sizes differ by ``ratio`` at most.
+
+    Bags are counted in hashed buckets. Both the product of two counts and their minimum are at least what two bags share
+    there, so the matrix product and then the sum of minima rule pairs out, but never one that shares enough.
     """
-    c = F.col(title)
-    plain = F.when(
-        F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("__all", plain)
-    counted = F.transform(F.array_distinct("__all"), lambda g: F.struct(g.alias("g"), F.size(F.filter("__all", lambda x: x == g)).alias("n")))
-    numbered = F.flatten(F.transform(counted, lambda c: F.transform(
-        F.sequence(F.lit(0), c["n"] - 1), lambda k: F.concat(c["g"], F.lit("#"), k.cast("string")))))
-    return df.withColumn(name, numbered).drop("__all")
-
-
-def ratio_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Prefixes such that titles with ratio >= ``threshold`` share a prefix bigram.
-
-    Two such titles of lengths a and b share at least (1.5t-1)(a+b)-1 bigrams (k blocks
-    over M matched characters keep M-k of them, and k <= a+b-2M+1), and never fewer
-    than one. The shorter title has at least t/(2-t) of the longer one's length.
-    ``nodes(node, title, grams)``.
-    """
-    length = F.length("title")
-    shortest = threshold / (2.0 - threshold)
-    need = F.greatest(F.lit(1.0), F.ceil((1.5 * threshold - 1.0) * length * (1.0 + shortest) - 1.0 - 1e-9))
-    keep = F.greatest(F.lit(1), F.size("grams") - need + 1)
-    return _prefixes(nodes.where(F.size("grams") > 0), "node", "grams", keep).withColumn("length", F.col("n") + 1)
-
-
-def unordered_pairs(prefixes: DataFrame, blocks: DataFrame, keys: Sequence[str], length_ok: Column, need: Column) -> DataFrame:
-    """Distinct node pairs (left < right) of a block that share a prefix token.
-
-    ``blocks(node, *keys)`` says in which blocks a node occurs; ``need`` is the overlap a
-    pair must reach.
-    """
-    placed = prefixes.join(blocks, "node")
-    right = placed.select(*[F.col(c).alias(f"r_{c}") for c in placed.columns])
-    on = (F.col("token") == F.col("r_token")) & (F.col("node") < F.col("r_node")) & length_ok & position_ok("n", "pos", "r_n", "r_pos", need)
-    for key in keys:
-        on = on & (F.col(key) == F.col(f"r_{key}"))
-    return placed.join(right, on).select(
-        *keys, F.col("node").alias("left"), F.col("r_node").alias("right")).distinct()
+    m, n = (np.array([len(x) for x in side], dtype=np.float32) for side in (left, right))
+    width = int(min(16_384, max(256, 1 << int(8 * max(m.max(), n.max())).bit_length())))
+    l, r = _counts(left, width), _counts(right, width)
+    slack = 0.05
+    lx = np.column_stack([l, -share * m, np.ones_like(m)]).astype(np.float32)
+    rx = np.column_stack([r, np.ones_like(n), -share * n]).astype(np.float32).T.copy()
+    out = []
+    for at in range(0, len(l), 512):
+        i, j = np.divmod(np.flatnonzero((lx[at:at + 512] @ rx).ravel() >= -less - slack), len(r))
+        i += at
+        fits = (m[i] >= n[j] * ratio - 1e-3) & (n[j] >= m[i] * ratio - 1e-3)
+        i, j = i[fits], j[fits]
+        rows = max(1, (1 << 21) // width)
+        for s in range(0, len(i), rows):
+            x, y = i[s:s + rows], j[s:s + rows]
+            enough = np.minimum(l[x], r[y]).sum(axis=1) >= share * (m[x] + n[y]) - less - slack
+            out.append((x[enough], y[enough]))
+    if not out:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """Left and right tile of a cell, and whether they are the same tile."""
+    left, right = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
+    one = pdf.iloc[0]
+    return left, right, bool(one["a"] == one["b"] and one["i"] == one["j"])
+
+
+def _keyed(pdf: pd.DataFrame, keys: Sequence[str], columns: dict) -> pd.DataFrame:
+    made = pd.DataFrame(columns)
+    for c in reversed(keys):
+        made.insert(0, c, pd.Series([pdf[c].iloc[0]] * len(made), dtype=pdf[c].dtype))
+    return made
+
+
+def _different(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different nodes; those of a tile with itself once."""
+    a, b = left["node"].to_numpy(dtype=object)[i], right["node"].to_numpy(dtype=object)[j]
+    keep = (a < b if same else a != b).astype(bool)
+    return i[keep], j[keep]
 
 
 def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Directed (keys, new, old, ratio): ratio of the newer title against the older one.
 
     ``nodes(node, title)`` are distinct titles. Both directions are computed because the
-    ratio depends on the order of its arguments.
+    ratio depends on the order of its arguments. Titles of lengths a and b with this ratio share at least (1.5t-1)(a+b)-1
+    bigrams (k blocks over M matched characters keep M-k of them, and k <= a+b-2M+1), and the shorter one has at least
+    t/(2-t) of the longer one's length. Tiles of titles meet in tasks, which rule pairs out by counted bigrams and
+    characters; no pair is stored before its ratio is known.
     """
-    nodes = cut(with_bigrams(nodes.select("node", "title"), "title"))
-    prefixes = ratio_prefixes(nodes, threshold)
-    shortest = threshold / (2.0 - threshold)
-    length_ok = (F.col("length") >= F.col("r_length") * shortest - 1e-9) & (
-        F.col("r_length") >= F.col("length") * shortest - 1e-9)
-    bound = (1.5 * threshold - 1.0) * (F.col("length") + F.col("r_length")) - 1.0 - 1e-9
-    pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok, F.greatest(F.lit(1.0), bound)))
-    titled = (
-        pairs.select("left", "right").distinct()
-        .join(nodes.select(F.col("node").alias("left"), F.col("title").alias("lt"), F.col("grams").alias("lg")), "left")
-        .join(nodes.select(F.col("node").alias("right"), F.col("title").alias("rt"), F.col("grams").alias("rg")), "right"))
-    # the full bigram bound and the length bound run in the JVM; few pairs reach Python
-    total = F.length("lt") + F.length("rt")
-    shared = F.size(F.array_intersect("lg", "rg"))
-    titled = titled.where(shared >= F.greatest(F.lit(1.0), (1.5 * threshold - 1.0) * total - 1.0 - 1e-9))
-    scored = titled.select("left", "right", title_ratio("lt", "rt").alias("lr"), title_ratio("rt", "lt").alias("rl"))
-    both = scored.select("left", "right", F.inline(F.array(
-        F.struct(F.col("left").alias("new"), F.col("right").alias("old"), F.col("lr").alias("ratio")),
-        F.struct(F.col("right").alias("new"), F.col("left").alias("old"), F.col("rl").alias("ratio")),
-    ))).where(F.col("ratio") >= threshold)
-    return pairs.join(both, ["left", "right"]).select(*keys, "new", "old", "ratio")
+    keys, shortest, share = list(keys), threshold / (2.0 - threshold), 1.5 * threshold - 1.0
+    # a title of one character resembles no other one
+    rows = blocks.join(nodes.where(F.length("title") > 1), "node").select(*keys, "node", F.length("title").alias("size"), F.col("title").alias("text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields] + ["new string", "old string", "ratio double"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        empty = _keyed(pdf, keys, {"new": pd.Series(dtype=object), "old": pd.Series(dtype=object), "ratio": pd.Series(dtype=float)})
+        if left.empty or right.empty:
+            return empty
+
+        def read(side: pd.DataFrame) -> tuple[list, list]:
+            chars = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for x in side["text"]]
+            return chars, [((c[:-1] * 0x9E3779B1 + c[1:] * 0x85EBCA6B) >> 7) for c in chars]
+
+        lc, lg = read(left)
+        rc, rg = read(right)
+        # n bigrams are n + 1 characters, so sizes only nearly have the ratio of lengths, which is looked at below
+        i, j = _near(lg, rg, share, 1.0 - 2.0 * share, shortest * 0.5)
+        i, j = _different(left, right, i, j, same)
+        la, lb = np.array([len(c) for c in lc])[i], np.array([len(c) for c in rc])[j]
+        fits = (la >= lb * shortest - 1e-9) & (lb >= la * shortest - 1e-9)
+        i, j = i[fits], j[fits]
+        cl, cr = _counts(lc, 256), _counts(rc, 256)
+        out: list[np.ndarray] = []
+        for s in range(0, len(i), 8_192):
+            x, y = i[s:s + 8_192], j[s:s + 8_192]
+            total = cl[x].sum(axis=1) + cr[y].sum(axis=1)
+            out.append(2.0 * np.minimum(cl[x], cr[y]).sum(axis=1) >= threshold * total - 0.01)
+        if not out:
+            return empty
+        keep = np.concatenate(out)
+        i, j = i[keep], j[keep]
+        lt, rt = left["text"].to_numpy(dtype=object)[i], right["text"].to_numpy(dtype=object)[j]
+        ln, rn = left["node"].to_numpy(dtype=object)[i], right["node"].to_numpy(dtype=object)[j]
+        made = pd.DataFrame({"new": np.concatenate([ln, rn]), "old": np.concatenate([rn, ln]),
+                             "ratio": ratios(pd.Series(np.concatenate([lt, rt])), pd.Series(np.concatenate([rt, lt])))})
+        made = made[made["ratio"] >= threshold].reset_index(drop=True)
+        return _keyed(pdf, keys, {c: made[c] for c in made.columns})
+
+    cells = _cells(rows, None, keys, 1.0 / shortest)
+    return cells.groupBy(*keys, "a", "i", "b", "j").applyInPandas(compare, schema)
+
+
+def _jaccard_cells(cells: DataFrame, keys: Sequence[str], threshold: float, once: bool) -> DataFrame:
+    """(keys, left, right, jaccard) of the token sets that meet in a cell; tokens are joined by blanks."""
+    keys = list(keys)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields] + ["left string", "right string", "jaccard double"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        found: list[tuple] = []
+        if not left.empty and not right.empty:
+            number: dict[str, int] = {}
+            sets = {side: [{number.setdefault(w, len(number)) for w in x.split(" ")} for x in df["text"]] for side, df in (("l", left), ("r", right))}
+            ids = {side: [np.fromiter(s, dtype=np.int64, count=len(s)) for s in v] for side, v in sets.items()}
+            i, j = _different(left, right, *_near(ids["l"], ids["r"], threshold / (1.0 + threshold), 0.0, threshold), same and once)
+            ln, rn = left["node"].to_numpy(dtype=object), right["node"].to_numpy(dtype=object)
+            for x, y in zip(i.tolist(), j.tolist()):
+                a, b = sets["l"][x], sets["r"][y]
+                shared = len(a & b)
+                jaccard = shared / (len(a) + len(b) - shared)
+                if jaccard >= threshold:
+                    found.append((ln[x], rn[y], jaccard))
+        made = pd.DataFrame(found, columns=["left", "right", "jaccard"]).astype({"jaccard": float})
+        return _keyed(pdf, keys, {c: made[c] for c in made.columns})
+
+    return cells.groupBy(*keys, "a", "i", "b", "j").applyInPandas(compare, schema)
 
 
 def jaccard_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Directed (keys, new, old, jaccard) in both directions for token sets."""
-    prefixes = jaccard_prefixes(nodes, "node", "tokens", threshold)
-    length_ok = (F.col("n") >= F.col("r_n") * threshold - 1e-9) & (F.col("r_n") >= F.col("n") * threshold - 1e-9)
-    pairs = cut(unordered_pairs(prefixes, blocks, keys, length_ok, jaccard_overlap("n", "r_n", threshold)))
-    distinct = pairs.select("left", "right").distinct()
-    scored = (
-        distinct.join(nodes.select(F.col("node").alias("left"), F.col("tokens").alias("lt")), "left")
-        .join(nodes.select(F.col("node").alias("right"), F.col("tokens").alias("rt")), "right")
-        .select("left", "right", t.jaccard(F.col("lt"), F.col("rt")).alias("jaccard"))
-        .where(F.col("jaccard") >= threshold)
-    )
-    both = scored.select("left", "right", F.inline(F.array(
+    rows = blocks.join(nodes, "node").select(*keys, "node", F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("text"))
+    pairs = _jaccard_cells(_cells(rows, None, keys, 1.0 / threshold), keys, threshold, True)
+    return pairs.select(*keys, F.inline(F.array(
         F.struct(F.col("left").alias("new"), F.col("right").alias("old"), F.col("jaccard")),
         F.struct(F.col("right").alias("new"), F.col("left").alias("old"), F.col("jaccard")),
     )))
-    return pairs.join(both, ["left", "right"]).select(*keys, "new", "old", "jaccard")
+
+
+def jaccard_pairs(nodes: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Distinct (left, right) nodes whose token sets are that similar and that meet under a key: ``left`` and ``right`` are (node, keys)."""
+    sized = nodes.select("node", F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("text"))
+    sides = [side.join(sized, "node").select(*keys, "node", "size", "text") for side in (left, right)]
+    return _jaccard_cells(_cells(*sides, keys, 1.0 / threshold), keys, threshold, False).select("left", "right").distinct()
 
 
 def story_similarity(left: str, right: str, title_weight: float = 0.65, content_weight: float = 0.35,

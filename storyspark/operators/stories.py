@@ -16,7 +16,7 @@ from ..session import cut
 from .graph import forest_roots, smallest_reachable
 from .rank import article_text, canonical_source
 from .scan import Blocks, greatest_before, previous, running, top_per, total
-from .similarity import jaccard_edges, jaccard_overlap, jaccard_prefixes, position_ok, story_similarity, title_edges
+from .similarity import jaccard_edges, jaccard_pairs, story_similarity, title_edges
 
 
 def story_keys(df: DataFrame, cfg: StoryConfig = StoryConfig()) -> DataFrame:
@@ -102,15 +102,9 @@ def fuzzy_matches(rows: DataFrame, probes: DataFrame, cfg: StoryConfig = StoryCo
         .withColumn("twin", F.md5(F.concat_ws("|", F.col("story_title"), F.array_join(F.array_sort("tokens"), " "))))
     )
     nodes = cut(nodes)
-    prefixes = cut(jaccard_prefixes(nodes, "node", "tokens", need))
     cand_at = rows.where("is_active").select("node", "bucket").distinct()
     probe_at = probes.select("node", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket")).distinct()
-    left = prefixes.join(probe_at, "node").select("token", "bucket", F.col("node").alias("new"), F.col("n").alias("new_n"), F.col("pos").alias("new_pos"))
-    right = prefixes.join(cand_at, "node").select("token", "bucket", F.col("node").alias("old"), F.col("n").alias("old_n"), F.col("pos").alias("old_pos"))
-    pairs = left.join(right, ["token", "bucket"]).where(
-        (F.col("new") != F.col("old")) & position_ok("new_n", "new_pos", "old_n", "old_pos", jaccard_overlap("new_n", "old_n", need))
-        & (F.col("new_n") >= F.col("old_n") * need - 1e-9) & (F.col("old_n") >= F.col("new_n") * need - 1e-9)
-    ).select("new", "old").distinct()
+    pairs = jaccard_pairs(nodes, probe_at, cand_at, ["bucket"], need - 1e-9).select(F.col("left").alias("new"), F.col("right").alias("old"))
     shape = F.struct(F.col("story_title").alias("title"), F.col("story_excerpt").alias("excerpt"), "tokens")
     side = nodes.select("node", "twin", shape.alias("s"))
     sized = (

@@ -250,3 +250,29 @@ def test_merge_follows_the_order_of_decisions(spark):
             "duplicate_of_article_id": F.lit(None).cast("bigint"), "duplicate_reason": F.lit(None).cast("string")})
         got = stories.merge_singletons(df, spark.createDataFrame(decisions, "primary_id bigint, duplicate_id bigint, ord bigint")).collect()
         assert {r["id"]: r["story_cluster_id"] for r in got} == merge_walk(clusters, decisions)
+
+
+def test_tiles_meet_every_pair_once(spark, monkeypatch):
+    """Tiles of a few rows: every pair of a key is found once, by any size, and texts of one key alone never meet."""
+    from storyspark.operators import similarity as sim
+
+    monkeypatch.setattr(sim, "TILE_ROWS", 3)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.sample(words, rng.randint(2, 30)) for _ in range(8)]
+    sets = {f"n{i:02d}": sorted({w for w in base[i % 8] if rng.random() < 0.9} | {rng.choice(words)}) for i in range(40)}
+    place = {n: int(n[1:]) % 2 for n in sets}
+    nodes = spark.createDataFrame([(n, s, " ".join(s)) for n, s in sets.items()], "node string, tokens array<string>, title string")
+    blocks = spark.createDataFrame(list(place.items()), "node string, k int")
+    jac = {(k, a, b) for a in sets for b in sets for k in (0, 1) if place[a] == place[b] == k and a != b
+           and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.55}
+    found = [tuple(r) for r in sim.jaccard_edges(nodes, blocks, ["k"], 0.55).select("k", "new", "old").collect()]
+    assert jac and len(found) == len(set(found)) and set(found) == jac
+    ones = blocks.where("k = 0").select("node", F.lit(0).alias("k")), blocks.select("node", F.lit(0).alias("k"))
+    pairs = {tuple(r) for r in sim.jaccard_pairs(nodes, *ones, ["k"], 0.55).collect()}
+    assert pairs == {(a, b) for a in sets if place[a] == 0 for b in sets if a != b
+                     and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.55}
+    near = {(k, a, b) for a in sets for b in sets for k in (0, 1) if place[a] == place[b] == k and a != b
+            and SequenceMatcher(None, " ".join(sets[a]), " ".join(sets[b])).ratio() >= 0.82}
+    found = [tuple(r) for r in sim.title_edges(nodes.select("node", "title"), blocks, ["k"], 0.82).select("k", "new", "old").collect()]
+    assert near and len(found) == len(set(found)) and set(found) == near
