@@ -14,7 +14,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
+    configure(spark, "64m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

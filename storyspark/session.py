@@ -27,10 +27,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._storyspark_shipped = True
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Pin the session settings results depend on, and send the package to the workers; leave cluster sizing alone."""
+def configure(spark: SparkSession, batch: str = "4m") -> SparkSession:
+    """Pin the session settings results depend on, and send the package to the workers; leave cluster sizing alone.
+
+    ``batch`` is how many bytes a Python worker gets at once. Rows of whole pages are large: 10,000 of them, copied by each
+    of the workers of an executor, grow with the table until a batch is full.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

@@ -42,6 +42,9 @@ class PageLayout:
     )
 
 
+#: Pages whose parsed form is in a worker's memory at a time.
+PARSED_AT_ONCE = 64
+
 _CARD = "struct<title:string,href:string,date:string,image:string,category:string>"
 _PAGE = (
     "page_id bigint, url string, title string, metas array<struct<name:string,content:string>>, "
@@ -115,9 +118,11 @@ def read_pages(pages: DataFrame, layout: PageLayout = PageLayout()) -> DataFrame
         }
 
     def parse_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a parsed page is many times its markup, so few are held at once
         for pdf in batches:
-            yield pd.DataFrame([page_row(*r) for r in zip(pdf["page_id"], pdf["url"], pdf["html"])]) if len(pdf) else pd.DataFrame(
-                columns=[c.split()[0] for c in ("page_id", "url")])
+            for at in range(0, len(pdf), PARSED_AT_ONCE):
+                part = pdf.iloc[at:at + PARSED_AT_ONCE]
+                yield pd.DataFrame([page_row(*r) for r in zip(part["page_id"], part["url"], part["html"])])
 
     return pages.select("page_id", "url", "html").mapInPandas(parse_batch, _PAGE)
 
@@ -218,7 +223,7 @@ def page_meta(parsed: DataFrame) -> DataFrame:
         return F.nullif(F.get(F.filter("metas", lambda m: m["name"] == name), F.lit(0))["content"], F.lit(""))
 
     dates = F.concat(F.array(meta("article:published_time"), meta("og:published_time")), F.slice("times", 1, 1), "ld_dates")
-    parsed_dates = F.array_compact(F.transform(dates, v.parse_date_text))
+    parsed_dates = F.array_compact(F.transform(dates, lambda d: v.parse_date_text(d)))
     return parsed.select(
         "page_id", "url", "title",
         F.coalesce(meta("og:description"), meta("description"), meta("twitter:description"), F.lit("")).alias("description"),

@@ -60,3 +60,18 @@ def test_indicator_cards(spark):
         ("bcb_tipo_de_cambio_dolar_compra", 6.86, "buy", "BOB per USD", "BOB", "USD"),
         ("bcb_tipo_de_cambio_dolar_venta", 1234.5, "sell", "BOB per USD", "BOB", "USD")]
     assert rows[0]["observed_at"] == date(2026, 5, 10)
+
+
+def test_meta_reads_dates_written_as_numbers(spark):
+    """The place of a date among the candidates must not become its time zone."""
+    page = '<html><head><meta property="og:published_time" content="1778405400"></head><body></body></html>'
+    assert pages.page_meta(pages.read_pages(frame(spark, page))).first()["published_at"] == datetime(2026, 5, 10, 5, 30)
+
+
+def test_python_workers_get_bounded_batches(spark):
+    from storyspark.session import configure
+
+    configure(spark)
+    rows = frame(spark, *["<p>" + "x" * 100_000 + "</p>"] * 200).coalesce(1)
+    sizes = rows.mapInPandas(lambda parts: (p.assign(n=p["html"].str.len().sum())[["n"]].head(1) for p in parts), "n bigint").collect()
+    assert sum(r["n"] for r in sizes) == 200 * 100_007 and max(r["n"] for r in sizes) < 8_000_000
