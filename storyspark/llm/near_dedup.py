@@ -6,7 +6,10 @@ functions and sends each of its documents, for each function, to the child named
 with similarity s share a child with chance s per function. All documents of a node are compared with its first one, so
 that a large group of near copies becomes one cluster with as many comparisons as it has members. Nodes whose documents
 are all in one cluster end. In others, if at most ``leaf`` documents are outside the largest cluster, these are compared
-with all others; if more are, the node branches again. At ``depth`` what is left is compared exhaustively. Below the
+with all others; if more are, the node branches again. At ``depth`` what is left is compared exhaustively. In nodes of up to
+``small`` documents pairs are joined. In larger ones, which hold families of texts just below the threshold, no pair becomes
+a row: a tile of documents outside and a tile of all meet in one task, first by sketches, then, those that have a candidate,
+with their full sets, whose intersections are counted at once; a task returns the groups that it linked. Below the
 roots a hash of the node chooses its functions, so nodes that two documents share lose them independently: two documents of
 similarity 0.8 are missed by all trees with a chance of 4e-9 at the roots, 1.9e-8 one level below and 3.2e-8 at level 10 (computed
 over the shared functions of the 64).
@@ -23,10 +26,11 @@ one document, and its texts' links are all its links; very long texts are hashed
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ from .common import drop_step, materialize
 FUNCTIONS = 64
 #: Rows of ids that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Documents and runs of a tile, about, and runs whose presence is laid out at once.
+TILE, TILE_RUNS, WIDTH = 2048, 2_000_000, 2048
 
 
 @dataclass(frozen=True)
@@ -45,9 +51,11 @@ class JoinConfig:
     trees: int = 3
     root_branches: int = 4
     branches: int = 3
-    leaf: int = 256
+    leaf: int = 32_768
+    small: int = 64
     depth: int = 10
     agree: int = 38
+    same: int = 33
     seed: int = 11
 
 
@@ -118,8 +126,20 @@ def _close(a: str, b: str, config: JoinConfig) -> Column:
 
 def confirm(pairs: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``pairs`` is materialized."""
-    words = config.words
     ids = materialize(pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct())
+    sets = full_sets(ids, docs, config, doc_id, text)
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b"))
+    shared = both.withColumn("both", F.size(F.array_intersect("ra", "rb")).cast("bigint")).withColumn("n", F.size("ra").cast("bigint") + F.size("rb"))
+    links = materialize(shared.where(100 * F.col("both") >= config.pct * (F.col("n") - F.col("both"))).select("a", "b").distinct())
+    drop_step(sets)
+    drop_step(ids)
+    return links
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str, text: str) -> DataFrame:
+    """(id, runs) of the documents named by ``ids(i)``, which is materialized."""
+    words = config.words
     own = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     few = ids.count() <= BROADCAST_IDS
     own = own.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("i"), "left_semi")
@@ -129,14 +149,85 @@ def confirm(pairs: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str,
             sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "runs"])
 
-    sets = materialize(own.mapInArrow(run, "id long, runs array<long>"))
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b"))
-    shared = both.withColumn("both", F.size(F.array_intersect("ra", "rb")).cast("bigint")).withColumn("n", F.size("ra").cast("bigint") + F.size("rb"))
-    links = materialize(shared.where(100 * F.col("both") >= config.pct * (F.col("n") - F.col("both"))).select("a", "b").distinct())
-    drop_step(sets)
-    drop_step(ids)
-    return links
+    return materialize(own.mapInArrow(run, "id long, runs array<long>"))
+
+
+def _meet(rows: DataFrame, match: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``match`` on each cell of a node: a tile of its documents outside the main cluster (``left`` is ``l``) and a tile of all (``right`` is ``r``)."""
+    out = F.col("lead") != F.col("main")
+    tiles = lambda n, runs: F.ceil(F.greatest(n / TILE, runs / TILE_RUNS)).cast("int")
+    of = rows.groupBy(F.col("node").alias("of")).agg(tiles(F.count_if(out), F.sum(F.when(out, F.col("n")))).alias("lefts"), tiles(F.count("*"), F.sum("n")).alias("rights"))
+    own = rows.join(of.where("lefts > 0"), F.col("node") == F.col("of")).drop("of")
+    own = own.withColumns({"left": F.when(out, F.pmod(F.xxhash64("id"), "lefts").cast("int")), "right": F.pmod(F.xxhash64("id", F.lit("right")), "rights").cast("int")})
+    cell = lambda left, right: F.struct(left.alias("l"), right.alias("r"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda k: cell(k, F.col("right")))
+    as_left = F.when(out, F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda k: cell(F.col("left"), k))).otherwise(F.slice(as_right, 1, 0))
+    dealt = own.select("*", F.inline(F.array_distinct(F.concat(as_right, as_left)))).drop("lefts", "rights")
+    return dealt.groupBy("node", "l", "r").applyInPandas(match, schema)
+
+
+def _close_in(config: JoinConfig) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The documents of a cell that are close, by sizes, sketches and the low bytes of the minima, to one of another cluster."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        x_at, y_at = np.flatnonzero(pdf["left"] == pdf["l"]), np.flatnonzero(pdf["right"] == pdf["r"])
+        x, y, low = pdf.iloc[x_at], pdf.iloc[y_at], np.stack(pdf["sig"].to_list()).astype(np.uint8)
+        n, s0, s1, lead = (y[c].to_numpy() for c in ("n", "s0", "s1", "lead"))
+        hit = np.zeros(len(y), bool)
+        ids = []
+        for at in range(0, len(x), 256):
+            m, t0, t1, own = (x[c].to_numpy()[at:at + 256, None] for c in ("n", "s0", "s1", "lead"))
+            near = np.bitwise_count((t0 ^ s0) | (t1 ^ s1)) <= 64 - config.agree
+            near &= (100 * m >= config.pct * n) & (100 * n >= config.pct * m) & (own != lead)
+            i, j = np.nonzero(near)
+            for part in range(0, len(i), 1 << 16):
+                k, q = i[part:part + (1 << 16)], j[part:part + (1 << 16)]
+                near[k, q] = (low[x_at[at + k]] == low[y_at[q]]).sum(1) >= config.same
+            hit |= near.any(0)
+            ids.append(x["id"].to_numpy()[at:at + 256][near.any(1)])
+        ids = np.unique(np.concatenate([*ids, y["id"].to_numpy()[hit]]))
+        return pd.DataFrame({"node": np.full(len(ids), pdf["node"].iloc[0]), "id": ids})
+
+    return match
+
+
+def _linked_in(config: JoinConfig) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Each document of a cell with the smallest one that links of the cell, decided on full sets, connect it with."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, n = pdf["id"].to_numpy(), pdf["runs"].str.len().to_numpy()
+        x, y = np.flatnonzero(pdf["left"] == pdf["l"]), np.flatnonzero(pdf["right"] == pdf["r"])
+        _, run, often = np.unique(np.concatenate(pdf["runs"].to_list()), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(ids)), n)
+        place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[run]  # runs of one document only are in no intersection
+        order = np.argsort(place, kind="stable")
+        place, doc = place[order], doc[order]
+        both = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, int((often > 1).sum()), WIDTH):
+            lo, hi = np.searchsorted(place, [at, at + WIDTH])
+            has = np.zeros((len(ids), WIDTH), np.float32)
+            has[doc[lo:hi], place[lo:hi] - at] = 1
+            both += has[x] @ has[y].T
+        both = both.astype(np.int64)
+        near = np.zeros((len(ids), len(ids)), bool)
+        near[x[:, None], y] = 100 * both >= config.pct * (n[x][:, None] + n[y] - both)
+        near |= near.T
+        a, b = [], []
+        seen = np.zeros(len(ids), bool)
+        for k in np.flatnonzero(near.sum(1) > near.diagonal()):
+            if seen[k]:
+                continue
+            group, size = near[k].copy(), 0
+            group[k] = True
+            while size < (size := int(group.sum())):
+                group |= near[group].any(0)
+            seen |= group
+            b.append(ids[group & (np.arange(len(ids)) != k)])
+            a.append(np.full(len(b[-1]), ids[k]))
+        return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+    return match
 
 
 def _functions(level: int, config: JoinConfig) -> list[Column]:
@@ -175,10 +266,12 @@ def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id
 
     def grow(pairs: DataFrame) -> None:
         """Confirms pairs and joins the clusters that they link."""
-        nonlocal roots
         pairs = materialize(pairs.distinct())
-        found = confirm(pairs, docs, config, doc_id, text)
+        join(confirm(pairs, docs, config, doc_id, text))
         drop_step(pairs)
+
+    def join(found: DataFrame) -> None:
+        nonlocal roots
         if roots is None or not found.isEmpty():
             roots = components(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b"))))
 
@@ -196,11 +289,24 @@ def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id
         drop_step(live)
         nodes = own.groupBy("node", "lead").agg(F.count("*").alias("c")).groupBy("node").agg(
             F.max(F.struct("c", "lead")).alias("main"), F.sum("c").alias("size")).where("main.c < size")
-        nodes = nodes.select("node", F.col("main.lead").alias("main"), (F.col("size") - F.col("main.c")).alias("rest"))
+        nodes = nodes.select("node", F.col("main.lead").alias("main"), (F.col("size") - F.col("main.c")).alias("rest"), "size")
         few = own.join(nodes if level == config.depth else nodes.where(F.col("rest") <= config.leaf), "node")
-        near = few.where("lead <> main").alias("x").join(few.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.lead") != F.col("y.lead")) & (
+        pairs = few.where(F.col("size") <= config.small)
+        near = pairs.where("lead <> main").alias("x").join(pairs.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.lead") != F.col("y.lead")) & (
             (F.col("y.lead") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _close("x", "y", config))
         grow(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+        crowds = few.where(F.col("size") > config.small).select("node", "id", "lead", "main", "n", "s0", "s1")
+        signed = crowds.withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me")
+        close = materialize(_meet(signed, _close_in(config), "node long, id long").distinct())
+        if not close.isEmpty():
+            ids = materialize(close.select(F.col("id").alias("i")).distinct())
+            sets = full_sets(ids, docs, config, doc_id, text)
+            family = crowds.select("node", "id", "lead", "main", "n").join(close, ["node", "id"], "left_semi").join(sets, "id")
+            links = materialize(_meet(family, _linked_in(config), "a long, b long").distinct())
+            join(links)
+            for step in (ids, sets):
+                drop_step(step)
+        drop_step(close)
         big = own.join(nodes.where(F.col("rest") > config.leaf), "node").select(*data, "node", "tree")
         if level == config.depth or big.isEmpty():
             break

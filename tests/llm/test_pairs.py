@@ -71,6 +71,18 @@ def test_large_group_of_near_copies_needs_few_comparisons(spark):
     assert len({r["component_id"] for r in near.groups(df, config).collect()}) == 3
 
 
+def test_family_below_the_threshold_meets_in_tasks(spark, monkeypatch):
+    """Most of its texts are a little less similar than a link needs: they meet, and no pair of them is a row."""
+    rows = near_copies(4, [(240, 120, 22), (1, 50, 0)])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs, confirm = [], near.confirm
+    monkeypatch.setattr(near, "TILE", 50)  # several tiles
+    monkeypatch.setattr(near, "confirm", lambda found, *a: pairs.append(found.count()) or confirm(found, *a))
+    got = {r["doc_id"]: r["component_id"] for r in near.groups(df, near.JoinConfig(words=2, small=8)).collect()}
+    assert got == brute(rows, 2) and 2 < len(set(got.values())) < 241
+    assert sum(pairs) < 240 * 14  # with the first of each node; all pairs would be 28,680
+
+
 def test_nodes_of_a_tree_lose_a_pair_independently(spark):
     """400 pairs whose minima agree with chance 0.8, followed down one tree for as long as a node holds both documents."""
     rng = np.random.default_rng(6)
