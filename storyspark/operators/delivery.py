@@ -35,29 +35,65 @@ def eligible_subscribers(subscribers: DataFrame, as_of_utc: datetime, hour: int
     return subscribers.where(keep).withColumn("local_weekday", day)
 
 
+#: Sets of categories that may be broadcast with their items.
+BROADCAST_SETS = 1024
+
+
+def _askers(eligible: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """(subscriber_id, channel, wanted): the sorted set of categories that a subscriber gets; without a known one no row."""
+    everything = F.array(*[F.lit(c) for c in categories])
+    wanted = F.when(F.coalesce(F.size("categories") > 0, F.lit(False)), F.array_distinct("categories")).otherwise(everything)
+    asked = eligible.select(F.col("id").alias("subscriber_id"), "channel", F.explode(wanted).alias("category")).where(F.col("category").isin(*categories))
+    return asked.groupBy("subscriber_id").agg(F.min("channel").alias("channel"), F.array_sort(F.collect_set("category")).alias("wanted"))
+
+
+def _item_lists(askers: DataFrame, summaries: DataFrame, categories: Sequence[str], cfg: SummaryConfig) -> DataFrame:
+    """First ``delivery_rows`` distinct stories in summary order per set of categories that is ``wanted``.
+
+    An item among the first k has fewer than k distinct stories before it in its own category, so k distinct stories per
+    category are all that can be needed. They are chosen without their texts, which are read for these few only.
+    """
+    def short(rows: DataFrame) -> DataFrame:
+        return top_per(first_per(rows, ["category", "story_key"], [F.col("ord")]), ["category"], [F.col("ord")], cfg.delivery_rows)
+
+    known = summaries.where(F.col("category").isin(*categories))
+    chosen = short(known.select("id", "category", "ord", story_key(t.title_key(F.col("title"))).alias("story_key"))).select("id")
+    few = short(known.join(F.broadcast(chosen), "id", "left_semi").withColumn("story_key", story_key(t.title_key(F.col("title")))))
+    sets = askers.select("wanted").distinct().withColumn("category", F.explode("wanted"))
+    pairs = sets.join(F.broadcast(few.withColumnRenamed("id", "summary_id")), "category")
+    return top_per(first_per(pairs, ["wanted", "story_key"], [F.col("ord")]), ["wanted"], [F.col("ord")], cfg.delivery_rows, "position")
+
+
+def _per_subscriber(askers: DataFrame, per_set: DataFrame, categories: Sequence[str]) -> DataFrame:
+    few = 2 ** len(categories) <= BROADCAST_SETS
+    return askers.join(F.broadcast(per_set) if few else per_set, "wanted").drop("wanted")
+
+
 def delivery_items(
     eligible: DataFrame, summaries: DataFrame, categories: Sequence[str] = tuple(CATEGORIES), cfg: SummaryConfig = SummaryConfig(),
 ) -> DataFrame:
     """First ``delivery_rows`` distinct stories per subscriber in summary order.
 
-    An item among a subscriber's first k has fewer than k distinct stories before it in its
-    own category, so k distinct stories per category are all that can be needed. That list
-    (categories x k rows) is what meets the subscribers, whatever the number of summaries.
+    Items depend only on the set of categories, so they are found per set and joined to the subscribers that want it:
+    no texts are shuffled or sorted per subscriber.
     """
-    most = cfg.delivery_rows
-    keyed = summaries.where(F.col("category").isin(*categories)).withColumn("story_key", story_key(t.title_key(F.col("title"))))
-    per_category = first_per(keyed, ["category", "story_key"], [F.col("ord")])
-    short = top_per(per_category, ["category"], [F.col("ord")], most)
-    everything = F.array(*[F.lit(c) for c in categories])
-    wanted = F.when(F.coalesce(F.size("categories") > 0, F.lit(False)), F.array_distinct("categories")).otherwise(everything)
-    pairs = eligible.select(F.col("id").alias("subscriber_id"), "channel", F.explode(wanted).alias("category")).join(
-        F.broadcast(short.withColumnRenamed("id", "summary_id")), "category")
-    unique = first_per(pairs, ["subscriber_id", "story_key"], [F.col("ord")])
-    return top_per(unique, ["subscriber_id"], [F.col("ord")], cfg.delivery_rows, "position")
+    askers = _askers(eligible, categories)
+    return _per_subscriber(askers, _item_lists(askers, summaries, categories, cfg), categories)
 
 
-def render_messages(items: DataFrame, header: str = "Brief del dia\n\n", footer: str = "---\n/preferencias | /cancelar") -> DataFrame:
-    """One message text per subscriber; at most ``delivery_rows`` items are joined."""
+def delivery_messages(
+    eligible: DataFrame, summaries: DataFrame, categories: Sequence[str] = tuple(CATEGORIES), cfg: SummaryConfig = SummaryConfig(),
+) -> DataFrame:
+    """One message per subscriber over :func:`delivery_items`; the text is put together once per set of categories."""
+    askers = _askers(eligible, categories)
+    texts = render_messages(_item_lists(askers, summaries, categories, cfg), by=("wanted",))
+    return _per_subscriber(askers, texts, categories)
+
+
+def render_messages(
+    items: DataFrame, header: str = "Brief del dia\n\n", footer: str = "---\n/preferencias | /cancelar", by: Sequence[str] = ("subscriber_id", "channel"),
+) -> DataFrame:
+    """One message text per ``by``; at most ``delivery_rows`` items are joined."""
 
     def line(prefix: str, c: str) -> Column:
         return F.when(F.length(c) > 0, F.concat(F.lit(prefix), F.col(c), F.lit("\n"))).otherwise(F.lit(""))
@@ -66,7 +102,7 @@ def render_messages(items: DataFrame, header: str = "Brief del dia\n\n", footer:
         F.col("position").cast("string"), F.lit(". "), F.left("title", F.lit(80)), F.lit("\n   "), F.left("summary", F.lit(150)),
         F.lit("\n"), line("   Dato: ", "fact"), line("   ", "update_note"), F.lit("\n"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))), lambda s: s["entry"])
-    return items.groupBy("subscriber_id", "channel").agg(
+    return items.groupBy(*by).agg(
         F.concat(F.lit(header), F.array_join(parts, ""), F.lit(footer)).alias("message"), F.count("*").alias("n_items"))
 
 

@@ -236,18 +236,18 @@ def _items(spark, sf):
     s = fx.summaries(spark, sf).withColumn("ord", F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))
     notes = s.where("story_cluster_id IS NOT NULL").groupBy(F.col("story_cluster_id").alias("story_id")).agg(
         F.concat(F.lit("Actualizacion: "), F.max("title")).alias("last_update_note"), F.max("id").alias("m")).where("m % 2 = 0").drop("m")
-    return dl.delivery_items(_eligible(spark, sf), select.with_update_notes(s, notes), _CATS4)
+    return _eligible(spark, sf), select.with_update_notes(s, notes), _CATS4
 
 
 @query("delivery_items", f"WITH {_ITEMS} SELECT subscriber_id, position, id AS summary_id, update_note FROM it")
 def _(spark, sf):
-    return _items(spark, sf).select("subscriber_id", "position", "summary_id", "update_note")
+    return dl.delivery_items(*_items(spark, sf)).select("subscriber_id", "position", "summary_id", "update_note")
 
 
 @query("delivery_messages", f"""WITH {_ITEMS} SELECT subscriber_id, count(*) AS n_items, md5('Brief del dia' || chr(10) || chr(10) || string_agg(position || '. ' || left(title, 80) || chr(10) || '   ' || left(summary, 150) || chr(10)
 || CASE WHEN length(fact) > 0 THEN '   Dato: ' || fact || chr(10) ELSE '' END || CASE WHEN length(update_note) > 0 THEN '   ' || update_note || chr(10) ELSE '' END || chr(10), '' ORDER BY position) || '---' || chr(10) || '/preferencias | /cancelar') AS message_md5 FROM it GROUP BY 1""")
 def _(spark, sf):
-    return dl.render_messages(_items(spark, sf)).select("subscriber_id", "n_items", F.md5("message").alias("message_md5"))
+    return dl.delivery_messages(*_items(spark, sf)).select("subscriber_id", "n_items", F.md5("message").alias("message_md5"))
 
 
 @query("since_cursor", f"""WITH {fx.SUMMARIES}, {fx.SUBSCRIBERS}, a AS (SELECT s.id AS subscriber_id, c.category, coalesce(last_notified_at, TIMESTAMP '0001-01-01') AS tm FROM subs s, unnest(categories) c(category) WHERE is_active)

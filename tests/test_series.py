@@ -329,3 +329,19 @@ def test_export_and_import(spark, tmp_path):
     back = tables.import_tables(spark, str(tmp_path), {"news_sources": TABLES["news_sources"]})
     assert back["news_sources"].collect() == made["news_sources"].collect()
     assert tables.table_counts(back).first().asDict() == {"table_name": "news_sources", "rows": 1}
+
+
+def test_messages_are_put_together_per_set_of_categories(spark):
+    """Subscribers of one set share a text; no summary text is dealt by subscriber."""
+    subs = spark.createDataFrame(
+        [(1, "email", ["b", "a", "b"]), (2, "sms", ["a", "b", "zz"]), (3, None, []), (4, "email", ["zz"]), (5, "sms", None), (6, "sms", ["b"])],
+        "id bigint, channel string, categories array<string>")
+    s = spark.createDataFrame(
+        [(k, f"c{k % 4}", "abc"[k % 3], f"t{k}", f"s{k} " * 40, "f" if k % 2 else None, None, k) for k in range(30)],
+        "id bigint, story_cluster_id string, category string, title string, summary string, fact string, update_note string, ord int")
+    items = delivery.delivery_items(subs, s, ["a", "b", "c"])
+    want = {r["subscriber_id"]: (r["message"], r["n_items"]) for r in delivery.render_messages(items).collect()}
+    got = {r["subscriber_id"]: (r["message"], r["n_items"]) for r in delivery.delivery_messages(subs, s, ["a", "b", "c"]).collect()}
+    assert got == want and set(got) == {1, 2, 3, 5, 6} and got[1] == got[2] and got[3] == got[5] and got[6] != got[1]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(subscriber_id" not in plan
