@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,7 +146,8 @@ def upsert_summaries(base: DataFrame, new: DataFrame) -> DataFrame:
 
     ``new`` rows without title or text are dropped; one row per story key is kept, the first. A row that an earlier one
     of the batch changed or added is met as it then is, so both keys stay unique. Only stored rows that share a key
-    with the batch are walked, in groups connected by keys; all others are kept as they are.
+    with the batch are walked, in groups connected by keys; all others are kept as they are. A task walks its groups one after
+    the other over sorted keys; the texts stay where they are and are joined to what the walk decides.
     """
     key = t.title_key_raw(F.col("title"))
     story = F.coalesce(F.concat(F.lit("cluster:"), F.nullif("story_cluster_id", F.lit(""))), F.concat(F.lit("title:"), key))
@@ -155,31 +157,41 @@ def upsert_summaries(base: DataFrame, new: DataFrame) -> DataFrame:
     day = F.col("summary_date").cast("string")
     keys = F.array_compact(F.array(F.concat_ws("|", F.lit("t"), day, "category", "title"),
                                    F.when(F.col("article_id").isNotNull(), F.concat_ws("|", F.lit("a"), day, F.col("article_id").cast("string")))))
-    clean = clean.select("id", "summary_date", *cols, F.lit(True).alias("new"))
+    clean = cut(clean.select("id", "summary_date", *cols, F.lit(True).alias("new")))
     stored = base.select("id", "summary_date", *cols, F.lit(False).alias("new"))
     asked = clean.select(F.explode(keys).alias("k")).distinct()
     touched = stored.select("id", F.explode(keys).alias("k")).join(asked, "k", "left_semi").select(F.col("id").alias("i")).distinct()
     marked = stored.join(touched, F.col("id") == F.col("i"), "left")
     kept = marked.where("i IS NULL").drop("i", "new").withColumn("outcome", F.lit("kept"))
-    rows = _grouped(clean.unionByName(marked.where("i IS NOT NULL").drop("i")), keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["new", "id"]).astype(object).where(pdf.notna(), None)
-        records: list[dict] = []
-        holders = _Holders()
-        for r in pdf.to_dict("records"):
-            title, article = ("t", r["summary_date"], r["category"], r["title"]), ("a", r["summary_date"], r["article_id"])
-            own = [title, article] if r["article_id"] is not None else [title]
-            k = len(records)
-            if r["new"]:
-                k = min(holders.of([title]) or holders.of(own), default=k)
-            if k == len(records):
-                records.append(r | {"outcome": "inserted" if r["new"] else "kept"})
-            else:
-                records[k].update({c: r[c] for c in cols})
-                records[k]["outcome"] = "inserted" if records[k]["outcome"] == "inserted" else "updated"
-            holders.put(k, own)
-        return pd.DataFrame(records, columns=["id", "summary_date", *cols, "outcome"])
-
-    return kept.unionByName(rows.groupBy("unit").applyInPandas(walk, schema))
+    rows = cut(clean.unionByName(marked.where("i IS NOT NULL").drop("i")).withColumn("row", F.monotonically_increasing_id()))
+    grouped = _grouped(rows.select("id", "summary_date", "category", "title", "article_id", "new", "row"), keys)
+    ordered = grouped.repartition("unit").sortWithinPartitions("unit", "new", "id")
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        records, holders, unit = [], _Holders(), None
+        for batch in batches:
+            done: list[dict] = []
+            for r in batch.to_pylist():
+                if r["unit"] != unit:
+                    done += records
+                    records, holders, unit = [], _Holders(), r["unit"]
+                title, article = ("t", r["summary_date"], r["category"], r["title"]), ("a", r["summary_date"], r["article_id"])
+                own = [title, article] if r["article_id"] is not None else [title]
+                k = len(records)
+                if r["new"]:
+                    k = min(holders.of([title]) or holders.of(own), default=k)
+                if k == len(records):
+                    records.append({"id": r["id"], "last": r["row"], "outcome": "inserted" if r["new"] else "kept"})
+                else:
+                    records[k] |= {"last": r["row"], "outcome": "inserted" if records[k]["outcome"] == "inserted" else "updated"}
+                holders.put(k, own)
+            yield _decided(done)
+        yield _decided(records)
+
+    decided = ordered.mapInArrow(walk, "id bigint, last bigint, outcome string")
+    merged = decided.join(rows.drop("id", "new"), F.col("last") == F.col("row"))
+    return kept.unionByName(merged.select(*kept.columns))
+
+
+def _decided(records: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(records, pa.schema([("id", pa.int64()), ("last", pa.int64()), ("outcome", pa.string())]))

@@ -90,3 +90,20 @@ def test_a_trusted_date_outlives_a_later_untrusted_row(spark):
     batch = spark.createDataFrame([row(2, "h", 5, True, 2), row(3, "h", 9, False, 3), row(4, "n", 6, False, 2), row(5, "n", 7, False, 3)], ARTICLE)
     got = {r["url_hash"]: (r["title"], r["published_at"].day, r["score"]) for r in merge.upsert_articles(base, batch).collect()}
     assert got == {"h": ("t3", 5, 2.0), "n": ("t5", 6, 4.0)}
+
+
+def test_summaries_are_walked_without_their_texts(spark, monkeypatch):
+    """Groups that span batches, repeated ids and article ids beyond 2**53; what reaches the walk is keys."""
+    seen = []
+    grouped = merge._grouped
+    monkeypatch.setattr(merge, "_grouped", lambda rows, keys: seen.append(set(rows.columns)) or grouped(rows, keys))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        day, big = date(2024, 1, 2), 2**53
+        base = spark.createDataFrame([(k, big + k, "a", None, f"T{k}", "x", "f", day) for k in range(20)], SUMMARY)
+        new = spark.createDataFrame([(100 + k, big + k + 1, "a", f"c{k}", f"T{k}", f"s{k}", "f", day) for k in range(0, 20, 2)], SUMMARY)
+        got = {r["id"]: (r["title"], r["article_id"], r["summary"], r["outcome"]) for r in merge.upsert_summaries(base, new).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: (f"T{k}", big + k + 1, f"s{k}", "updated") if k % 2 == 0 else (f"T{k}", big + k, "x", "kept") for k in range(20)}
+    assert all("summary" not in columns and "fact" not in columns for columns in seen)
