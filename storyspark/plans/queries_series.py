@@ -317,7 +317,9 @@ def _(spark, sf):
 @query("stream_price_alerts", _ALERT_SQL)
 def _(spark, sf):
     stream, sink, ckpt = _replay(_priced(fx.indicators(spark, sf)).drop("raw_payload"))
-    return _drain(jobs.price_alerts(stream, "0.01"), sink, ckpt)
+    jobs.run_price_alerts(stream, sink, sink + "-state", ckpt, "0.01")
+    out = spark.read.schema("indicator_code string, id bigint, reference decimal(18,6), value decimal(18,6), change_ratio double, delivered boolean").parquet(sink)
+    return out.select("indicator_code", "id", "reference", "value", "change_ratio", "delivered")
 
 
 @query("stream_dedup", f"""WITH {fx.ARTICLES} SELECT DISTINCT 'https://' || {_NH} || {_NP} || CASE WHEN {_NQ} <> '' THEN '?' || {_NQ} ELSE '' END AS normal_url FROM articles""")

@@ -83,7 +83,10 @@ def run_change_only(stream: DataFrame, key: Sequence[str], sink: str, state: str
 
 
 def price_alerts(stream: DataFrame, threshold: float | str = "0.01") -> DataFrame:
-    """Alerts against the last delivered alert; state is the reference value of a code."""
+    """Alerts against the last delivered alert; state is the reference value of a code.
+
+    A worker gathers a batch's points of a code; :func:`run_price_alerts` does not.
+    """
     limit = Fraction(str(threshold))
     points = stream.where(F.col("value").isNotNull()).select(
         "indicator_code", "id", F.col("collected_at").cast("timestamp").alias("collected_at"),
@@ -102,6 +105,24 @@ def price_alerts(stream: DataFrame, threshold: float | str = "0.01") -> DataFram
     return alerts.with_ratio(found)
 
 
+def run_price_alerts(stream: DataFrame, sink: str, state: str, checkpoint: str, threshold: float | str = "0.01", block: str = "hour") -> None:
+    """Alerts against the last delivered alert, batch by batch; a worker holds the points of one time block of a code.
+
+    The state is a table with the reference per code, from which the batch operator starts. A batch that is run again
+    replaces its own folders and reads only the state of those before it.
+    """
+    schema = "indicator_code string, reference bigint"
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        before = _earlier(state, schema, epoch, batch.sparkSession)
+        start = None if before is None else before.where(F.col("epoch") == epoch - 1).select("indicator_code", "reference")
+        found, after = alerts.alerts_from(batch, start, threshold, block)
+        found.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        after.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
     """Drain what is available into a Parquet folder."""
     query = (

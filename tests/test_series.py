@@ -345,3 +345,19 @@ def test_messages_are_put_together_per_set_of_categories(spark):
     assert got == want and set(got) == {1, 2, 3, 5, 6} and got[1] == got[2] and got[3] == got[5] and got[6] != got[1]
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(subscriber_id" not in plan
+
+
+def test_alert_batches_carry_references_and_hold_one_block(spark, tmp_path, monkeypatch):
+    """Three batches give the alerts of one, and a worker gets the points of one time block of a code."""
+    rnd = random.Random(5)
+    rows = [("ab"[k % 2], k, datetime(2024, 1, 1) + timedelta(minutes=7 * k), Decimal(100 + rnd.randrange(9)), k % 5 != 0) for k in range(600)]
+    df = spark.createDataFrame(rows, "indicator_code string, id bigint, collected_at timestamp_ntz, value decimal(18,6), delivered boolean")
+    for part in range(3):
+        df.where(F.col("id").between(200 * part, 200 * part + 199)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(jobs, "price_alerts", None)
+    jobs.run_price_alerts(stream, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/ckpt", "0.03")
+    fields = ["indicator_code", "id", "reference", "value", "change_ratio", "delivered"]
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*fields).collect()))
+    assert got == sorted(map(tuple, alerts.price_alerts(df, "0.03").select(*fields).collect())) and len(got) > 50
+    assert spark.read.parquet(f"{tmp_path}/out").select("epoch").distinct().count() == 3
