@@ -6,8 +6,10 @@ functions and sends each of its documents, for each function, to the child named
 with similarity s share a child with chance s per function. All documents of a node are compared with its first one, so
 that a large group of near copies becomes one cluster with as many comparisons as it has members. Nodes whose documents
 are all in one cluster end. In others, if at most ``leaf`` documents are outside the largest cluster, these are compared
-with all others; if more are, the node branches again. At ``depth`` what is left is compared exhaustively. In nodes of up to
-``small`` documents pairs are joined. In larger ones, which hold families of texts just below the threshold, no pair becomes
+with all others. If more are, the node branches again, as long as its children hold at most half of its comparisons: so crowds
+that share a frequent run of words fall apart, and what a document is dealt to does not grow with the crowd. Families of texts just
+below the threshold do not fall apart; they, and what is left at ``depth``, are compared exhaustively. In nodes of up to
+``small`` documents pairs are joined. In larger ones no pair becomes
 a row: a tile of documents outside and a tile of all meet in one task, first by sketches, then, those that have a candidate,
 with their full sets, whose intersections are counted at once; a task returns the groups that it linked. Below the
 roots a hash of the node chooses its functions, so nodes that two documents share lose them independently: two documents of
@@ -40,8 +42,8 @@ from .common import drop_step, materialize
 FUNCTIONS = 64
 #: Rows of ids that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Documents and runs of a tile, about, and runs whose presence is laid out at once.
-TILE, TILE_RUNS, WIDTH = 2048, 2_000_000, 2048
+#: Documents and runs of a tile of sets, about, and runs whose presence is laid out at once; a tile of sketches has ``SKETCHES`` times the documents.
+TILE, TILE_RUNS, WIDTH, SKETCHES = 2048, 2_000_000, 2048, 4
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ class JoinConfig:
     trees: int = 3
     root_branches: int = 4
     branches: int = 3
-    leaf: int = 32_768
+    leaf: int = 2048
     small: int = 64
     depth: int = 10
     agree: int = 38
@@ -152,10 +154,10 @@ def full_sets(ids: DataFrame, docs: DataFrame, config: JoinConfig, doc_id: str,
     return materialize(own.mapInArrow(run, "id long, runs array<long>"))
 
 
-def _meet(rows: DataFrame, match: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _meet(rows: DataFrame, match: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tile: int, tile_runs: float) -> DataFrame:
     """``match`` on each cell of a node: a tile of its documents outside the main cluster (``left`` is ``l``) and a tile of all (``right`` is ``r``)."""
     out = F.col("lead") != F.col("main")
-    tiles = lambda n, runs: F.ceil(F.greatest(n / TILE, runs / TILE_RUNS)).cast("int")
+    tiles = lambda n, runs: F.ceil(F.greatest(n / tile, runs / tile_runs)).cast("int")
     of = rows.groupBy(F.col("node").alias("of")).agg(tiles(F.count_if(out), F.sum(F.when(out, F.col("n")))).alias("lefts"), tiles(F.count("*"), F.sum("n")).alias("rights"))
     own = rows.join(of.where("lefts > 0"), F.col("node") == F.col("of")).drop("of")
     own = own.withColumns({"left": F.when(out, F.pmod(F.xxhash64("id"), "lefts").cast("int")), "right": F.pmod(F.xxhash64("id", F.lit("right")), "rights").cast("int")})
@@ -175,8 +177,8 @@ def _close_in(config: JoinConfig) -> Callable[[pd.DataFrame], pd.DataFrame]:
         n, s0, s1, lead = (y[c].to_numpy() for c in ("n", "s0", "s1", "lead"))
         hit = np.zeros(len(y), bool)
         ids = []
-        for at in range(0, len(x), 256):
-            m, t0, t1, own = (x[c].to_numpy()[at:at + 256, None] for c in ("n", "s0", "s1", "lead"))
+        for at in range(0, len(x), 64):
+            m, t0, t1, own = (x[c].to_numpy()[at:at + 64, None] for c in ("n", "s0", "s1", "lead"))
             near = np.bitwise_count((t0 ^ s0) | (t1 ^ s1)) <= 64 - config.agree
             near &= (100 * m >= config.pct * n) & (100 * n >= config.pct * m) & (own != lead)
             i, j = np.nonzero(near)
@@ -184,7 +186,7 @@ def _close_in(config: JoinConfig) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 k, q = i[part:part + (1 << 16)], j[part:part + (1 << 16)]
                 near[k, q] = (low[x_at[at + k]] == low[y_at[q]]).sum(1) >= config.same
             hit |= near.any(0)
-            ids.append(x["id"].to_numpy()[at:at + 256][near.any(1)])
+            ids.append(x["id"].to_numpy()[at:at + 64][near.any(1)])
         ids = np.unique(np.concatenate([*ids, y["id"].to_numpy()[hit]]))
         return pd.DataFrame({"node": np.full(len(ids), pdf["node"].iloc[0]), "id": ids})
 
@@ -245,6 +247,15 @@ def _branch(rows: DataFrame, level: int, config: JoinConfig) -> DataFrame:
         F.xxhash64("tree", "node", F.lit(k), F.get("sig", c)) for k, c in enumerate(_functions(level, config))]))).drop("sig")
 
 
+def _split(nodes: DataFrame, kids: DataFrame) -> DataFrame:
+    """(of): the nodes whose children hold at most half of their comparisons, of documents outside the largest cluster with all.
+
+    Comparisons halve with every level, so branching deals out fewer rows than the tiles in its place would.
+    """
+    held = kids.groupBy("of", "node").agg(F.count("*").alias("c"), F.count_if("out").alias("o")).groupBy("of").agg(F.sum(F.col("c") * F.col("o")).alias("held"))
+    return nodes.join(held, F.col("node") == F.col("of")).where(2 * F.col("held") <= F.col("rest") * nodes["size"]).select("of")
+
+
 def _lead(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``lead``: the smallest document that a row's document is known to be connected with."""
     rows = rows.drop("lead")
@@ -280,37 +291,44 @@ def candidate_links(reps: DataFrame, docs: DataFrame, config: JoinConfig, doc_id
                                          F.min(F.struct("id", "lead")).alias("top")).where("lo <> hi")
         live = materialize(rows.join(stats.drop("lo", "hi"), "node"))
         if level:
-            drop_step(own)
+            drop_step(kids)
         # every document of a node against its first: a large group of near copies becomes one cluster
         star = live.where(F.col("lead") != F.col("top.lead")).select(me.alias("x"), F.col("first").alias("y")).where(_close("x", "y", config))
         grow(star.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
-        # documents outside a node's largest cluster, if they are few, against all others
+        # documents outside a node's largest cluster, if they are few or branching does not part them, against all others
         own = materialize(_lead(live.drop("first", "top", "size"), roots))
         drop_step(live)
         nodes = own.groupBy("node", "lead").agg(F.count("*").alias("c")).groupBy("node").agg(
             F.max(F.struct("c", "lead")).alias("main"), F.sum("c").alias("size")).where("main.c < size")
-        nodes = nodes.select("node", F.col("main.lead").alias("main"), (F.col("size") - F.col("main.c")).alias("rest"), "size")
-        few = own.join(nodes if level == config.depth else nodes.where(F.col("rest") <= config.leaf), "node")
+        nodes = materialize(nodes.select("node", F.col("main.lead").alias("main"), (F.col("size") - F.col("main.c")).alias("rest"), "size"))
+        large = nodes.where(F.col("rest") > config.leaf)
+        ends, deeper = nodes, level < config.depth and not large.isEmpty()
+        if deeper:
+            big = own.join(large, "node").withColumns({"_me": me, "of": F.col("node"), "out": F.col("lead") != F.col("main")})
+            kids = materialize(_branch(big.join(sig, F.col("_me") == F.col("me")).select(*data, "lead", "out", "of", "node", "tree", "sig"), level + 1, config))
+            split = materialize(_split(large, kids))
+            ends = nodes.join(split, F.col("node") == F.col("of"), "left_anti")
+        few = own.join(ends, "node")
         pairs = few.where(F.col("size") <= config.small)
         near = pairs.where("lead <> main").alias("x").join(pairs.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.lead") != F.col("y.lead")) & (
             (F.col("y.lead") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _close("x", "y", config))
         grow(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
         crowds = few.where(F.col("size") > config.small).select("node", "id", "lead", "main", "n", "s0", "s1")
         signed = crowds.withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me")
-        close = materialize(_meet(signed, _close_in(config), "node long, id long").distinct())
+        close = materialize(_meet(signed, _close_in(config), "node long, id long", SKETCHES * TILE, float("inf")).distinct())
         if not close.isEmpty():
             ids = materialize(close.select(F.col("id").alias("i")).distinct())
             sets = full_sets(ids, docs, config, doc_id, text)
             family = crowds.select("node", "id", "lead", "main", "n").join(close, ["node", "id"], "left_semi").join(sets, "id")
-            links = materialize(_meet(family, _linked_in(config), "a long, b long").distinct())
+            links = materialize(_meet(family, _linked_in(config), "a long, b long", TILE, TILE_RUNS).distinct())
             join(links)
             for step in (ids, sets):
                 drop_step(step)
-        drop_step(close)
-        big = own.join(nodes.where(F.col("rest") > config.leaf), "node").select(*data, "node", "tree")
-        if level == config.depth or big.isEmpty():
+        for step in (close, own, nodes):
+            drop_step(step)
+        if not deeper:
             break
-        rows = _branch(_lead(big, roots).withColumn("_me", me).join(sig, F.col("_me") == F.col("me")).drop("_me", "me"), level + 1, config)
+        rows = _lead(kids.join(split, "of", "left_semi").drop("of", "out"), roots)
     return roots.select(F.col("root").alias("a"), F.col("id").alias("b"))
 
 

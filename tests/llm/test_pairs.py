@@ -83,6 +83,25 @@ def test_family_below_the_threshold_meets_in_tasks(spark, monkeypatch):
     assert sum(pairs) < 240 * 14  # with the first of each node; all pairs would be 28,680
 
 
+def test_crowd_that_shares_a_run_is_not_dealt_to_more_tiles_the_larger_it_is(spark, monkeypatch):
+    """Texts that have nothing in common but a frequent pair of words fall apart by branching; a few of them are near copies."""
+    rng = random.Random(7)
+    rows = [(k, " ".join(["of", "the", *(f"w{rng.randrange(100_000)}" for _ in range(3 + k % 3))])) for k in range(5_000)]
+    rows += [(5_000 + k, t + f" of the {t}") for k, (_, t) in enumerate(rows[:60])] + [(5_100 + k, t + f" of the {t} of the") for k, (_, t) in enumerate(rows[:60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt, close_in = spark.sparkContext.accumulator(0), near._close_in
+
+    def counted(config):
+        match = close_in(config)
+        return lambda pdf: (dealt.add(len(pdf)), match(pdf))[1]
+
+    monkeypatch.setattr(near, "TILE", 512)
+    monkeypatch.setattr(near, "_close_in", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near.groups(df, near.JoinConfig(words=2)).collect()}
+    assert all(got[5_100 + k] == got[5_000 + k] != k for k in range(60)) and len(set(got.values())) == 5_060
+    assert dealt.value < 4 * len(rows)
+
+
 def test_nodes_of_a_tree_lose_a_pair_independently(spark):
     """400 pairs whose minima agree with chance 0.8, followed down one tree for as long as a node holds both documents."""
     rng = np.random.default_rng(6)
