@@ -68,34 +68,108 @@ def _counts(ids: list[np.ndarray], width: int) -> np.ndarray:
     return np.bincount(flat, minlength=len(ids) * width).reshape(len(ids), width).astype(np.float32)
 
 
+def _numbered(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """Bags as sets: the first, second, ... of equal ids become different ids."""
+    sizes = [len(x) for x in ids]
+    row, flat = np.repeat(np.arange(len(ids)), sizes), np.concatenate(ids)
+    order = np.lexsort((flat, row))
+    row, flat, at = row[order], flat[order], np.arange(len(flat))
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    return np.split((flat * 0x2545F491 + nth * 0x9E3779B1) >> 7, np.cumsum(sizes)[:-1])
+
+
 def _near(left: list[np.ndarray], right: list[np.ndarray], share: float, less: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of bags that may share ``share * (m + n) - less`` of their m and n ids and whose sizes differ by ``ratio`` at most.
 
-    Bags are counted in hashed buckets. Both the product of two counts and their minimum are at least what two bags share
-    there, so the matrix product and then the sum of minima rule pairs out, but never one that shares enough.
+    Bags are numbered, so that they share as much as sets. Frequent ids have a column of their own and the rest are hashed to
+    few columns: the product of the counts is what two sets share, or a little more, so it rules pairs out, but never one that
+    shares enough.
     """
     m, n = (np.array([len(x) for x in side], dtype=np.float32) for side in (left, right))
     width = int(min(16_384, max(256, 1 << int(8 * max(m.max(), n.max())).bit_length())))
-    l, r = _counts(left, width), _counts(right, width)
-    slack = 0.05
+    left, right = _numbered(left), _numbered(right)
+    _, column, often = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    own = width - width // 8
+    column = np.split(np.where(rank < own, rank, own + rank % (width // 8))[column], np.cumsum([len(x) for x in (*left, *right)])[:-1])
+    l, r = _counts(column[:len(left)], width), _counts(column[len(left):], width)
     lx = np.column_stack([l, -share * m, np.ones_like(m)]).astype(np.float32)
     rx = np.column_stack([r, np.ones_like(n), -share * n]).astype(np.float32).T.copy()
-    out = []
+    out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
     for at in range(0, len(l), 512):
-        i, j = np.divmod(np.flatnonzero((lx[at:at + 512] @ rx).ravel() >= -less - slack), len(r))
+        i, j = np.divmod(np.flatnonzero((lx[at:at + 512] @ rx).ravel() >= -less - 0.05), len(r))
         i += at
         fits = (m[i] >= n[j] * ratio - 1e-3) & (n[j] >= m[i] * ratio - 1e-3)
-        i, j = i[fits], j[fits]
-        rows = max(1, (1 << 21) // width)
-        for s in range(0, len(i), rows):
-            x, y = i[s:s + rows], j[s:s + rows]
-            enough = np.minimum(l[x], r[y]).sum(axis=1) >= share * (m[x] + n[y]) - less - slack
-            out.append((x[enough], y[enough]))
-    if not out:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        out.append((i[fits], j[fits]))
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+#: Left texts of more words of 64 characters are taken one after the other.
+BATCH_WORDS = 8
+
+
+def _subsequences(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of texts ``left[i]`` and ``right[j]``, all pairs of a batch at once.
+
+    Bit p of a pair's row is cleared when the length at character p of the left text grows; a character of the right text
+    moves all of them by one addition over 64-bit words, or over one long number for a long left text.
+    """
+    out = np.zeros(len(i), dtype=np.int64)
+    la, lb = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    words_of = (la[i] + 63) // 64
+    held, stands = -1, {}
+    for k in np.flatnonzero(words_of > BATCH_WORDS):
+        if i[k] != held:
+            held, stands = i[k], {}
+            for p, c in enumerate(left[held].tolist()):
+                stands[c] = stands.get(c, 0) | 1 << p
+        full = state = (1 << int(la[held])) - 1
+        for c in right[j[k]].tolist():
+            hit = state & stands.get(c, 0)
+            state = ((state + hit) | (state - hit)) & full
+        out[k] = la[held] - state.bit_count()
+    known = np.unique(np.concatenate([*left, *right]))
+    order = np.lexsort((lb[j], words_of))
+    for words in np.unique(words_of[words_of <= BATCH_WORDS]):
+        mine = order[words_of[order] == words]
+        step = max(256, 16_384 // int(words))
+        for s in range(0, len(mine), step):
+            part = mine[s:s + step]
+            rows, which = np.unique(i[part], return_inverse=True)
+            cols, other = np.unique(j[part], return_inverse=True)
+            # where each character stands in the left texts, as bits; 0 stands for no character
+            code = np.searchsorted(known, np.concatenate([left[r] for r in rows])) + 1
+            at = np.concatenate([np.arange(la[r]) for r in rows])
+            slot = (np.repeat(np.arange(len(rows)), la[rows]) * (len(known) + 1) + code) * words + at // 64
+            by = np.argsort(slot, kind="stable")
+            heads = np.flatnonzero(np.r_[True, slot[by][1:] != slot[by][:-1]])
+            bits = np.zeros(len(rows) * (len(known) + 1) * words, dtype=np.uint64)
+            bits[slot[by][heads]] = np.bitwise_or.reduceat((np.uint64(1) << (at % 64).astype(np.uint64))[by], heads)
+            bits = bits.reshape(-1, words)
+            longest = int(lb[cols].max())
+            text = np.zeros((longest, len(cols)), dtype=np.int64)
+            for k, c in enumerate(cols):
+                text[:lb[c], k] = np.searchsorted(known, right[c]) + 1
+            base = which * (len(known) + 1)
+            state = np.full((int(words), len(part)), ~np.uint64(0))
+            for line in text:
+                here = bits[base + line[other]].T
+                carry = np.zeros(len(part), dtype=np.uint64)
+                for w in range(int(words)):
+                    old, hit = state[w], here[w]
+                    both = old & hit
+                    total = old + both
+                    over = total < both
+                    moved = total + carry
+                    carry = (over | (moved < total)).astype(np.uint64)
+                    state[w] = moved | (old & ~hit)
+            out[part] = 64 * int(words) - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+    return out
+
+
 def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     """Left and right tile of a cell, and whether they are the same tile."""
     left, right = pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
@@ -117,6 +191,34 @@ def _different(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.nda
     return i[keep], j[keep]
 
 
+def _resembling(left: list[str], right: list[str], threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of titles whose ratio may reach the threshold in some direction; the bounds are those of :func:`title_edges`.
+
+    Pairs of a tile that is the ``same`` on both sides are found once.
+    """
+    shortest, share = threshold / (2.0 - threshold), 1.5 * threshold - 1.0
+
+    def read(side: list[str]) -> tuple[list, list]:
+        chars = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for x in side]
+        return chars, [((c[:-1] * 0x9E3779B1 + c[1:] * 0x85EBCA6B) >> 7) for c in chars]
+
+    lc, lg = read(left)
+    rc, rg = read(right)
+    # n bigrams are n + 1 characters, so sizes only nearly have the ratio of lengths, which is looked at below
+    i, j = _near(lg, rg, share, 1.0 - 2.0 * share, shortest * 0.5)
+    la, lb = np.array([len(c) for c in lc])[i], np.array([len(c) for c in rc])[j]
+    fits = (la >= lb * shortest - 1e-9) & (lb >= la * shortest - 1e-9) & ((i < j) | (not same))
+    i, j, need = i[fits], j[fits], threshold * (la + lb)[fits] / 2.0 - 0.01
+    cl, cr = _counts(lc, 256), _counts(rc, 256)
+    keep = np.ones(len(i), dtype=bool)
+    for s in range(0, len(i), 8_192):
+        keep[s:s + 8_192] = np.minimum(cl[i[s:s + 8_192]], cr[j[s:s + 8_192]]).sum(axis=1) >= need[s:s + 8_192]
+    i, j, need = i[keep], j[keep], need[keep]
+    # matching blocks are a common subsequence
+    keep = _subsequences(lc, rc, i, j) >= need
+    return i[keep], j[keep]
+
+
 def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Directed (keys, new, old, ratio): ratio of the newer title against the older one.
 
@@ -124,9 +226,10 @@ def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thresh
     ratio depends on the order of its arguments. Titles of lengths a and b with this ratio share at least (1.5t-1)(a+b)-1
     bigrams (k blocks over M matched characters keep M-k of them, and k <= a+b-2M+1), and the shorter one has at least
     t/(2-t) of the longer one's length. Tiles of titles meet in tasks, which rule pairs out by counted bigrams and
-    characters; no pair is stored before its ratio is known.
+    characters and by their longest common subsequence, which is at least as long as all matching blocks together; no pair
+    is stored before its ratio is known.
     """
-    keys, shortest, share = list(keys), threshold / (2.0 - threshold), 1.5 * threshold - 1.0
+    keys = list(keys)
     # a title of one character resembles no other one
     rows = blocks.join(nodes.where(F.length("title") > 1), "node").select(*keys, "node", F.length("title").alias("size"), F.col("title").alias("text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields] + ["new string", "old string", "ratio double"])
@@ -136,29 +239,8 @@ def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thresh
         empty = _keyed(pdf, keys, {"new": pd.Series(dtype=object), "old": pd.Series(dtype=object), "ratio": pd.Series(dtype=float)})
         if left.empty or right.empty:
             return empty
-
-        def read(side: pd.DataFrame) -> tuple[list, list]:
-            chars = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for x in side["text"]]
-            return chars, [((c[:-1] * 0x9E3779B1 + c[1:] * 0x85EBCA6B) >> 7) for c in chars]
-
-        lc, lg = read(left)
-        rc, rg = read(right)
-        # n bigrams are n + 1 characters, so sizes only nearly have the ratio of lengths, which is looked at below
-        i, j = _near(lg, rg, share, 1.0 - 2.0 * share, shortest * 0.5)
-        i, j = _different(left, right, i, j, same)
-        la, lb = np.array([len(c) for c in lc])[i], np.array([len(c) for c in rc])[j]
-        fits = (la >= lb * shortest - 1e-9) & (lb >= la * shortest - 1e-9)
-        i, j = i[fits], j[fits]
-        cl, cr = _counts(lc, 256), _counts(rc, 256)
-        out: list[np.ndarray] = []
-        for s in range(0, len(i), 8_192):
-            x, y = i[s:s + 8_192], j[s:s + 8_192]
-            total = cl[x].sum(axis=1) + cr[y].sum(axis=1)
-            out.append(2.0 * np.minimum(cl[x], cr[y]).sum(axis=1) >= threshold * total - 0.01)
-        if not out:
-            return empty
-        keep = np.concatenate(out)
-        i, j = i[keep], j[keep]
+        right = left if same else right
+        i, j = _resembling(left["text"].tolist(), right["text"].tolist(), threshold, same)
         lt, rt = left["text"].to_numpy(dtype=object)[i], right["text"].to_numpy(dtype=object)[j]
         ln, rn = left["node"].to_numpy(dtype=object)[i], right["node"].to_numpy(dtype=object)[j]
         made = pd.DataFrame({"new": np.concatenate([ln, rn]), "old": np.concatenate([rn, ln]),
@@ -166,7 +248,7 @@ def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thresh
         made = made[made["ratio"] >= threshold].reset_index(drop=True)
         return _keyed(pdf, keys, {c: made[c] for c in made.columns})
 
-    cells = _cells(rows, None, keys, 1.0 / shortest)
+    cells = _cells(rows, None, keys, (2.0 - threshold) / threshold)
     return cells.groupBy(*keys, "a", "i", "b", "j").applyInPandas(compare, schema)
 
 

@@ -276,3 +276,44 @@ def test_tiles_meet_every_pair_once(spark, monkeypatch):
             and SequenceMatcher(None, " ".join(sets[a]), " ".join(sets[b])).ratio() >= 0.82}
     found = [tuple(r) for r in sim.title_edges(nodes.select("node", "title"), blocks, ["k"], 0.82).select("k", "new", "old").collect()]
     assert near and len(found) == len(set(found)) and set(found) == near
+
+
+def test_titles_are_ruled_out_before_their_ratio():
+    """Titles of common syllables: nearly all pairs that reach the slow ratio are similar, and no similar pair is lost."""
+    from storyspark.operators import similarity as sim
+
+    rnd = random.Random(12)
+    parts = "th er an in on re he ti es or st en at to nt ha nd ou ea ng".split()
+
+    def title(n):
+        return " ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+
+    left = [title(rnd.randrange(12, 17)) for _ in range(60)] + [title(180) for _ in range(3)]
+    right = [x[:7] + rnd.choice(["", "x", "yz"]) + x[9:] for x in left[:20] + left[-3:]] + [title(rnd.randrange(12, 17)) for _ in range(50)]
+    for threshold in (0.82, 0.85):
+        i, j = sim._resembling(left, right, threshold)
+        found = set(zip(i.tolist(), j.tolist()))
+        # popular characters of a long second text are left out of a ratio, so that few of those reach the threshold
+        near = {(a, b) for a in range(63) for b in range(73) if max(
+            SequenceMatcher(None, left[a], right[b]).ratio(), SequenceMatcher(None, right[b], left[a]).ratio()) >= threshold}
+        assert len(near) >= 20 and near <= found and len(found) <= len(near) + 5
+
+
+def test_common_subsequences_equal_the_table():
+    from storyspark.operators import similarity as sim
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(row[-1], last[k + 1]))
+        return row[-1]
+
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(n)) for n in (1, 2, 40, 63, 64, 65, 127, 128, 129, 200, 512, 513, 700)]
+    codes = [sim.np.array([ord(c) for c in x]) for x in texts]
+    pairs = [(a, b) for a in range(13) for b in range(13)]
+    got = sim._subsequences(codes, codes[::-1], sim.np.array([a for a, _ in pairs]), sim.np.array([b for _, b in pairs]))
+    assert got.tolist() == [length(texts[a], texts[12 - b]) for a, b in pairs]
