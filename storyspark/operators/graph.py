@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,54 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return state.select("node", F.col("l.label").alias("label"), F.col("l.at").alias("label_node"))
 
 
+def smallest_earlier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label_node): like :func:`smallest_reachable` for edges that lead to earlier nodes only.
+
+    ``nodes(node, at, block, label, label_node)`` have a place ``(at, node)`` and lie in blocks of bounded size; ``edges(src, dst)``
+    lead to earlier places. Inside a block one pass in order settles every node, however long the chains are. A round takes
+    the best label over the edges between blocks and then passes over the blocks, so there are as many rounds as blocks
+    follow each other, and none without such edges.
+    """
+    place = nodes.select("node", "block", "at")
+    edges = cut(
+        edges.join(place.select(F.col("node").alias("src"), F.col("block").alias("home"), F.col("at").alias("src_at")), "src")
+        .join(place.select(F.col("node").alias("dst"), F.col("block").alias("dst_block")), "dst"))
+    inside = edges.where("home = dst_block").select("home", "src", "dst", "src_at")
+    across = edges.where("home <> dst_block").select("src", "dst")
+    columns = ["block", "node", "at", "label", "label_node"]
+    schema = "block string, node bigint, at bigint, label bigint, label_node bigint"
+    # a node without an edge inside its block needs no pass
+    linked = cut(inside.select(F.col("src").alias("node")).unionByName(inside.select(F.col("dst").alias("node"))).distinct())
+
+    def passed(state: DataFrame) -> DataFrame:
+        joined = state.select(*columns).join(linked, "node", "left_semi")
+        done = joined.groupBy("block").cogroup(inside.groupBy("home")).applyInPandas(_pass, schema)
+        return cut(done.unionByName(state.select(*columns).join(linked, "node", "left_anti")))
+
+    state = passed(nodes)
+    while not across.isEmpty():
+        best = across.join(state.select(F.col("node").alias("dst"), F.struct("label", "label_node").alias("l")), "dst").groupBy(
+            F.col("src").alias("node")).agg(F.min("l").alias("e"))
+        own = F.struct("label", "label_node")
+        better = cut(state.join(best, "node").where(F.col("e") < own).select("node", "e"))
+        if better.isEmpty():
+            break
+        l = F.least(own, F.coalesce("e", own))
+        state = passed(state.join(better, "node", "left").select("block", "node", "at", l["label"].alias("label"), l["label_node"].alias("label_node")))
+    return state.select("node", "label_node")
+
+
+def _pass(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Best labels inside a block, the edges taken in the order of their earlier ends' settling."""
+    best = dict(zip(nodes["node"].tolist(), zip(nodes["label"].tolist(), nodes["label_node"].tolist())))
+    edges = edges.sort_values(["src_at", "src"])
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist()):
+        if best[dst] < best[src]:
+            best[src] = best[dst]
+    labels = [best[n] for n in nodes["node"].tolist()]
+    return nodes.assign(label=[a for a, _ in labels], label_node=[b for _, b in labels])[["block", "node", "at", "label", "label_node"]]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table ``(src, dst)``."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

@@ -7,12 +7,14 @@ with the rows and the pairs found. Exact copies are collapsed to one node before
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.arrow import ratios, story_score
@@ -184,13 +186,6 @@ def _keyed(pdf: pd.DataFrame, keys: Sequence[str], columns: dict) -> pd.DataFram
     return made
 
 
-def _different(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different nodes; those of a tile with itself once."""
-    a, b = left["node"].to_numpy(dtype=object)[i], right["node"].to_numpy(dtype=object)[j]
-    keep = (a < b if same else a != b).astype(bool)
-    return i[keep], j[keep]
-
-
 def _resembling(left: list[str], right: list[str], threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of titles whose ratio may reach the threshold in some direction; the bounds are those of :func:`title_edges`.
 
@@ -252,37 +247,162 @@ def title_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thresh
     return cells.groupBy(*keys, "a", "i", "b", "j").applyInPandas(compare, schema)
 
 
-def _jaccard_cells(cells: DataFrame, keys: Sequence[str], threshold: float, once: bool) -> DataFrame:
-    """(keys, left, right, jaccard) of the token sets that meet in a cell; tokens are joined by blanks."""
+#: Sets are packed into one row by so many tiles; a key's packs of one side are dealt to chunks of so many packs.
+PACK_TILES, CHUNK_PACKS = 4, 16
+
+
+def _packs(rows: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Rows ``(keys, node, ids)`` in packs by size and hash: (keys, cls, pack, nodes, sizes, ids), sets one after the other.
+
+    Sets that differ in size by less than the threshold lie in one size class or in two that adjoin.
+    """
     keys = list(keys)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*keys).schema.fields] + ["left string", "right string", "jaccard double"])
+    rows = rows.withColumn("size", F.size("ids")).where("size > 0").withColumn(
+        "cls", F.floor(F.ln(F.col("size").cast("double")) / F.ln(F.lit(1.0001 / threshold))).cast("int"))
+    n = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("size") / TILE_SIZE) / PACK_TILES).cast("int")
+    plan = rows.groupBy(*keys, "cls").agg(n.alias("n"))
+    dealt = rows.join(F.broadcast(plan), [*keys, "cls"]).withColumn("pack", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    packs = dealt.repartition(*keys, "cls", "pack").groupBy(*keys, "cls", "pack").agg(F.collect_list(F.struct("node", "size", "ids")).alias("rows"))
+    return packs.select(*keys, "cls", "pack", F.col("rows.node").alias("nodes"), F.col("rows.size").alias("sizes"), F.flatten("rows.ids").alias("ids"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, same = _sides(pdf)
-        found: list[tuple] = []
-        if not left.empty and not right.empty:
-            number: dict[str, int] = {}
-            sets = {side: [{number.setdefault(w, len(number)) for w in x.split(" ")} for x in df["text"]] for side, df in (("l", left), ("r", right))}
-            ids = {side: [np.fromiter(s, dtype=np.int64, count=len(s)) for s in v] for side, v in sets.items()}
-            i, j = _different(left, right, *_near(ids["l"], ids["r"], threshold / (1.0 + threshold), 0.0, threshold), same and once)
-            ln, rn = left["node"].to_numpy(dtype=object), right["node"].to_numpy(dtype=object)
-            for x, y in zip(i.tolist(), j.tolist()):
-                a, b = sets["l"][x], sets["r"][y]
-                shared = len(a & b)
-                jaccard = shared / (len(a) + len(b) - shared)
-                if jaccard >= threshold:
-                    found.append((ln[x], rn[y], jaccard))
-        made = pd.DataFrame(found, columns=["left", "right", "jaccard"]).astype({"jaccard": float})
-        return _keyed(pdf, keys, {c: made[c] for c in made.columns})
 
-    return cells.groupBy(*keys, "a", "i", "b", "j").applyInPandas(compare, schema)
+def _pack_pairs(left: DataFrame, right: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Every two packs of a key whose sizes allow a pair: (keys, nodes, sizes, ids, and those of the right pack, null for the same pack).
+
+    Packs meet in a join, whose output goes straight to the comparison: a pack is not stored for every pack that it meets,
+    but once for each chunk of the other side, which bounds what a task holds, and for each part of its key, if there are
+    fewer keys than cores.
+    """
+    keys, once, spark = list(keys), right is None, left.sparkSession
+    right = left if once else right
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(name), (F.sum(F.size("nodes")) / (TILE_ROWS * PACK_TILES)).alias(f"{name}_rows"), (F.sum(F.size("ids")) / (TILE_SIZE * PACK_TILES)).alias(f"{name}_size"))
+
+    plan = cut(counted(left, "l").join(counted(right, "r"), keys))
+    cores = spark.sparkContext.defaultParallelism
+    parts = F.least(F.col("l"), F.lit(-(-2 * cores // max(1, plan.count())))).cast("int")
+    chunks = F.ceil(F.greatest("r_rows", "r_size") / CHUNK_PACKS).cast("int")
+    plan = F.broadcast(plan.select(*keys, parts.alias("parts"), chunks.alias("chunks")))
+
+    def dealt(df: DataFrame, own: str, of: str, other: str, to: str) -> DataFrame:
+        df = df.join(plan, keys).withColumn(own, F.pmod(F.hash("cls", "pack"), of)).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(to) - 1)))
+        # a pair of packs is much work on few bytes: adaptive execution must not put many into one task
+        return df.repartition(max(8 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys, "part", "chunk").drop("parts", "chunks")
+
+    met = [*keys, "part", "chunk"]
+    l = dealt(left, "part", "parts", "chunk", "chunks")
+    r = dealt(right, "chunk", "chunks", "part", "parts").select(*met, *[F.col(c).alias(f"r_{c}") for c in ("cls", "pack", "nodes", "sizes", "ids")])
+    apart, same = F.col("r_cls") - F.col("cls"), (F.col("r_cls") == F.col("cls")) & (F.col("r_pack") == F.col("pack"))
+    fits = (apart == 1) | ((apart == 0) & (F.col("r_pack") >= F.col("pack"))) if once else F.abs(apart) <= 1
+    other = [(F.when(~same, F.col(f"r_{c}")) if once else F.col(f"r_{c}")).alias(f"r_{c}") for c in ("nodes", "sizes", "ids")]
+    return l.hint("merge").join(r, met).where(fits).select(*keys, "nodes", "sizes", "ids", *other)
+
+
+#: Places that two beginnings of sets share are looked at in parts of so many.
+HITS = 1 << 21
+
+
+def _sharing(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of the index pairs of sets with at least this Jaccard, with it; without ``right`` pairs of ``left``, once.
+
+    Two sets of m and n ids that reach t share at least t/(1+t)(m+n) ids. Ids are put in order from the rarest, so that at
+    least one shared id lies in both beginnings, which leave out the last ceil(t m) - 1 ids; and what beginnings share
+    and those left out of the one that ends first bound what the sets share. Sizes are looked at before ids meet.
+    """
+    same = right is None
+    right = left if same else right
+    m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    mine, theirs = np.argsort(m, kind="stable"), np.argsort(n, kind="stable")
+    left, right, m, n = [left[k] for k in mine], [right[k] for k in theirs], m[mine], n[theirs]
+    names, word = np.unique(np.concatenate(left if same else [*left, *right]), return_inverse=True)
+    lw, rw = (word, word) if same else np.split(word, [m.sum()])
+    often = np.bincount(lw, minlength=len(names)) * (np.bincount(rw, minlength=len(names)) - same)
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(names))
+    alone = int((often == 0).sum())
+
+    def beginnings(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Set and id of every place, then for each set the last id and how many are left out."""
+        row, word = np.divmod(np.sort(np.repeat(np.arange(len(sizes)), sizes) * len(names) + rank[word]), len(names))
+        starts, out = np.cumsum(sizes) - sizes, np.ceil(threshold * sizes - 1e-9).astype(np.int64) - 1
+        use = (np.arange(len(word)) < (starts + sizes - out)[row]) & (word >= alone)
+        return row[use], word[use], word[starts + sizes - out - 1], out
+
+    li, lw, llast, lout = beginnings(lw, m)
+    rj, rw, rlast, rout = (li, lw, llast, lout) if same else beginnings(rw, n)
+    place = rw * len(n) + rj
+    order = np.argsort(place)
+    place, rj = place[order], rj[order]
+    low = np.searchsorted(n, np.ceil(threshold * m - 1e-9))
+    high = np.arange(len(m)) if same else np.searchsorted(n, np.floor(m / threshold + 1e-9), side="right")
+    start = np.searchsorted(place, lw * len(n) + low[li])
+    hits = np.maximum(np.searchsorted(place, lw * len(n) + high[li]) - start, 0)
+    first = np.searchsorted(li, np.arange(len(m) + 1))
+    total = np.concatenate([[0], np.cumsum(hits)])[first]
+    row = 0
+    while row < len(m):
+        to = max(row + 1, int(np.searchsorted(total, total[row] + HITS, side="right")) - 1)
+        a, b = first[row], first[to]
+        row = to
+        k = np.repeat(np.arange(a, b), hits[a:b])
+        at = np.arange(len(k)) - np.repeat(np.cumsum(hits[a:b]) - hits[a:b], hits[a:b]) + start[k]
+        pair, count = np.unique(li[k] * len(n) + rj[at], return_counts=True)
+        i, j = np.divmod(pair, len(n))
+        most = count + np.where(llast[i] <= rlast[j], lout[i], rout[j])
+        fits = most >= threshold / (1.0 + threshold) * (m[i] + n[j]) - 1e-6
+        i, j = i[fits], j[fits]
+        sets: dict[tuple, set] = {}
+        shared = np.zeros(len(i), dtype=np.int64)
+        for at, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            for of, side, k in ((True, left, x), (same, right, y)):
+                if (of, k) not in sets:
+                    sets[of, k] = set(side[k].tolist())
+            shared[at] = len(sets[True, x] & sets[same, y])
+        jaccard = shared / (m[i] + n[j] - shared)
+        keep = jaccard >= threshold
+        yield mine[i[keep]], theirs[j[keep]], jaccard[keep]
+
+
+def _similar_sets(left: DataFrame, right: DataFrame | None, keys: Sequence[str], threshold: float) -> DataFrame:
+    """(keys, left, right, jaccard) of sets ``(keys, node, ids)`` that are that similar; without ``right`` those of ``left``, once."""
+    keys = list(keys)
+    left = cut(_packs(left, keys, threshold))
+    pairs = _pack_pairs(left, None if right is None else cut(_packs(right, keys, threshold)), keys)
+    schema = T.StructType([*pairs.select(*keys).schema.fields, *(T.StructField(c, T.StringType()) for c in ("left", "right")), T.StructField("jaccard", T.DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: k for k, c in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                def sets(side: str) -> tuple[pa.Array, list[np.ndarray]]:
+                    nodes, sizes, ids = (batch.column(at[side + c])[k].values for c in ("nodes", "sizes", "ids"))
+                    return nodes, np.split(ids.to_numpy(zero_copy_only=False), np.cumsum(sizes.to_numpy(zero_copy_only=False))[:-1])
+
+                ln, ls = sets("")
+                rn, rs = (ln, None) if batch.column(at["r_nodes"])[k].values is None else sets("r_")
+                for i, j, jaccard in _sharing(ls, rs, threshold):
+                    named = [pa.array([batch.column(at[c])[k].as_py()] * len(i), type=batch.schema.field(c).type) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*named, ln.take(pa.array(i)), rn.take(pa.array(j)), pa.array(jaccard)], [*keys, "left", "right", "jaccard"])
+
+    return pairs.mapInArrow(compare, schema)
+
+
+def token_ids(tokens: str) -> Column:
+    """Words as 64-bit ids, a third of the room."""
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _sets(nodes: DataFrame) -> DataFrame:
+    """(node, ids) of ``nodes(node, tokens)``; tokens are words or already ids."""
+    words = isinstance(nodes.schema["tokens"].dataType.elementType, T.StringType)
+    return nodes.select("node", (token_ids("tokens") if words else F.col("tokens")).alias("ids"))
 
 
 def jaccard_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Directed (keys, new, old, jaccard) in both directions for token sets."""
-    rows = blocks.join(nodes, "node").select(*keys, "node", F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("text"))
-    pairs = _jaccard_cells(_cells(rows, None, keys, 1.0 / threshold), keys, threshold, True)
-    return pairs.select(*keys, F.inline(F.array(
+    rows = blocks.join(_sets(nodes), "node").select(*keys, "node", "ids")
+    return _similar_sets(rows, None, keys, threshold).select(*keys, F.inline(F.array(
         F.struct(F.col("left").alias("new"), F.col("right").alias("old"), F.col("jaccard")),
         F.struct(F.col("right").alias("new"), F.col("left").alias("old"), F.col("jaccard")),
     )))
@@ -290,9 +410,9 @@ def jaccard_edges(nodes: DataFrame, blocks: DataFrame, keys: Sequence[str], thre
 
 def jaccard_pairs(nodes: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Distinct (left, right) nodes whose token sets are that similar and that meet under a key: ``left`` and ``right`` are (node, keys)."""
-    sized = nodes.select("node", F.size("tokens").alias("size"), F.array_join("tokens", " ").alias("text"))
-    sides = [side.join(sized, "node").select(*keys, "node", "size", "text") for side in (left, right)]
-    return _jaccard_cells(_cells(*sides, keys, 1.0 / threshold), keys, threshold, False).select("left", "right").distinct()
+    sets = _sets(nodes)
+    left, right = (side.join(sets, "node").select(*keys, "node", "ids") for side in (left, right))
+    return _similar_sets(left, right, keys, threshold).where("left <> right").select("left", "right").distinct()
 
 
 def story_similarity(left: str, right: str, title_weight: float = 0.65, content_weight: float = 0.35,

@@ -13,10 +13,10 @@ from ..functions.arrow import title_ratio
 from ..functions.urls import url_fingerprint
 from ..functions.values import hours_between, micros, temporal_proximity
 from ..session import cut
-from .graph import forest_roots, smallest_reachable
+from .graph import forest_roots, smallest_earlier
 from .rank import article_text, canonical_source
 from .scan import Blocks, greatest_before, previous, running, top_per, total
-from .similarity import jaccard_edges, jaccard_pairs, story_similarity, title_edges
+from .similarity import jaccard_edges, jaccard_pairs, story_similarity, title_edges, token_ids
 
 
 def story_keys(df: DataFrame, cfg: StoryConfig = StoryConfig()) -> DataFrame:
@@ -230,12 +230,16 @@ def cluster_ids(df: DataFrame, edges: DataFrame, cfg: StoryConfig = StoryConfig(
     )
 
 
+#: Rows of a batch that one task passes over in order.
+BLOCK_ROWS = 200_000
+
+
 def corroboration(df: DataFrame, batch: Sequence[str], cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Clusters of one batch: (id, cluster_id, corroborating_sources, source_count).
 
     In input order a row joins the first cluster holding a similar row, and clusters are
     never merged. That equals the smallest row reachable over edges to earlier similar
-    rows, which label rounds find without gathering a cluster anywhere. Similarity is
+    rows, found by passes over blocks of rows in order, and rounds between the blocks of a long batch. Similarity is
     computed between distinct titles and distinct texts, not rows; as labels of a group
     of equal titles only ever fall, a row needs one edge per similar group, to its last
     earlier member.
@@ -248,7 +252,7 @@ def corroboration(df: DataFrame, batch: Sequence[str], cfg: ScoringConfig = Scor
         "title_node": F.md5("ftitle"),
         "text_node": F.md5(F.concat_ws("|", F.col("ftitle"), F.array_join(F.array_sort("tokens"), " "))),
     })
-    rows = cut(rows)
+    rows = cut(rows.withColumn("tokens", token_ids("tokens")))
     pos = F.struct(micros(F.col("collected_at")).alias("at"), "id")
     title_nodes = rows.select(F.col("title_node").alias("node"), F.col("ftitle").alias("title")).dropDuplicates(["node"])
     text_nodes = rows.select(F.col("text_node").alias("node"), "tokens").dropDuplicates(["node"])
@@ -292,9 +296,12 @@ def corroboration(df: DataFrame, batch: Sequence[str], cfg: ScoringConfig = Scor
         own.select(F.col("id").alias("src"), F.col("seen.id").alias("dst")))
     # the first row of the own group is reachable as well and shortens the search
     firsts = rows.groupBy(*own_group).agg(F.min(pos).alias("first"))
-    start = rows.join(firsts, own_group).select(
-        F.col("id").alias("node"), F.col("first.at").alias("label"), F.col("first.id").alias("label_node"))
-    labels = smallest_reachable(start, edges).select(F.col("node").alias("id"), F.col("label_node").alias("leader"))
+    placed = running(rows.select(*own_group, "id", "collected_at"), list(batch), order, {"n": total(F.lit(1).cast("bigint"))})
+    block = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in batch], F.floor((F.col("n") - 1) / BLOCK_ROWS).cast("string"))
+    start = cut(placed.join(firsts, own_group).select(
+        F.col("id").alias("node"), micros(F.col("collected_at")).alias("at"), block.alias("block"),
+        F.col("first.at").alias("label"), F.col("first.id").alias("label_node")))
+    labels = smallest_earlier(start, edges).select(F.col("node").alias("id"), F.col("label_node").alias("leader"))
     return _describe(rows.join(labels, "id"), pos)
 
 

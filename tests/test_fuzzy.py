@@ -317,3 +317,57 @@ def test_common_subsequences_equal_the_table():
     pairs = [(a, b) for a in range(13) for b in range(13)]
     got = sim._subsequences(codes, codes[::-1], sim.np.array([a for a, _ in pairs]), sim.np.array([b for _, b in pairs]))
     assert got.tolist() == [length(texts[a], texts[12 - b]) for a, b in pairs]
+
+
+def test_ladders_settle_in_one_pass_over_each_block(spark, monkeypatch):
+    """Every node reaches an early dead end at once and the first node over the whole chain: no round per link."""
+    n, rounds = 240, []
+    place = [(k, k, f"b{k // 60}", k, k) for k in range(n)]
+    nodes = spark.createDataFrame(place, "node bigint, at bigint, block string, label bigint, label_node bigint")
+    edges = spark.createDataFrame([(k, 1) for k in range(3, n)] + [(k, k - 1) for k in range(3, n)] + [(2, 0)], "src bigint, dst bigint")
+    plain = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or plain(df))
+    got = {r["node"]: r["label_node"] for r in graph.smallest_earlier(nodes, edges).collect()}
+    assert got == {k: 1 if k == 1 else 0 for k in range(n)}
+    assert len(rounds) <= 12
+
+
+def test_corroboration_over_blocks_equals_one_block(spark, monkeypatch):
+    df = spark.createDataFrame(make_rows(9, 60), SCHEMA).withColumn("batch", F.lit("d"))
+
+    def rows():
+        return sorted((r["id"], r["cluster_id"], tuple(r["corroborating_sources"])) for r in stories.corroboration(df, ["batch"]).collect())
+
+    whole = rows()
+    monkeypatch.setattr(stories, "BLOCK_ROWS", 13)
+    assert rows() == whole
+
+
+def test_sets_meet_by_their_beginnings():
+    """Sets in one tile or two: all similar pairs once, in parts of few hits as well."""
+    from storyspark.operators import similarity as sim
+
+    rnd = random.Random(14)
+    base = [rnd.sample(range(400), rnd.randrange(1, 60)) for _ in range(12)]
+    sets = [sorted({w for w in rnd.choice(base) if rnd.random() < 0.85} | {rnd.randrange(2000)}) for _ in range(150)]
+    arrays = [sim.np.array(x, dtype="int64") for x in sets]
+
+    def jaccard(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b))
+
+    def found(*args):
+        out = [(int(a), int(b), float(q)) for i, j, q in sim._sharing(*args) for a, b, q in zip(i, j, q)]
+        assert len({(a, b) for a, b, _ in out}) == len(out)
+        return out
+
+    for threshold in (0.55, 0.5714, 0.8):
+        for hits in (1 << 21, 40):
+            sim.HITS, kept = hits, sim.HITS
+            try:
+                one, two = found(arrays, None, threshold), found(arrays[:70], arrays[70:], threshold)
+            finally:
+                sim.HITS = kept
+            assert {frozenset((a, b)): q for a, b, q in one} == {
+                frozenset((a, b)): jaccard(sets[a], sets[b]) for a in range(150) for b in range(a) if jaccard(sets[a], sets[b]) >= threshold}
+            assert {(a, b): q for a, b, q in two} == {
+                (a, b): jaccard(sets[a], sets[b + 70]) for a in range(70) for b in range(80) if jaccard(sets[a], sets[b + 70]) >= threshold}
