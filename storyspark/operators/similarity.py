@@ -1,8 +1,8 @@
 """Pairs for fuzzy comparisons, found by tiles of rows that meet in tasks.
 
-Distinct titles or texts are dealt to tiles by size and hash; every two tiles whose sizes allow a pair meet once, and a
-task rules pairs out by products of counts before it compares the rest. Candidates are never stored or shuffled: disk grows
-with the rows and the pairs found. Exact copies are collapsed to one node before any pair is formed.
+Distinct titles are dealt to tiles by size and hash; every two tiles whose sizes allow a pair meet once, and a task rules pairs
+out by bounds before it compares the rest. Token sets travel in packs that a join brings together. Candidates are never stored or
+shuffled. Exact copies are collapsed to one node before any pair is formed.
 """
 
 from __future__ import annotations
